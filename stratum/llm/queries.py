@@ -29,6 +29,12 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import suffix_dedup
+
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm import token_counts
 
@@ -41,5 +47,33 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op8_token_counts, op9_warc)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op4_suffix_dedup, op8_token_counts, op9_warc, op10_minhash)}
+#: Smallest id that links (a, b), either way round, lead to.
+REACH = """reach AS (
+  SELECT id AS node, id AS m FROM ids
+  UNION
+  SELECT l.b, r.m FROM reach r JOIN (SELECT a, b FROM links UNION SELECT b, a FROM links) l ON l.a = r.node
+), least AS (SELECT node, min(m) AS component_id FROM reach GROUP BY node)"""
+
+OP10 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS shingle FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), ids AS (SELECT doc_id AS id FROM documents
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS inter FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * inter >= 75 * (na.n + nb.n - inter)
+), {REACH}
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, d.doc_id = l.component_id AS kept
+FROM documents d JOIN least l ON l.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10}
