@@ -29,12 +29,36 @@ def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media(table(spark, sf_dir, "documents"))
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import multi_index
+
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm import suffix_dedup
 
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import packing
+
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import quality
+
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import sentence_pieces
+
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm import token_counts
 
@@ -53,7 +77,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op4_suffix_dedup, op8_token_counts, op9_warc, op10_minhash)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op3_multi_index, op4_suffix_dedup, op5_packing, op6_quality, op7_sentence_pieces, op8_token_counts, op9_warc, op10_minhash)}
 #: Smallest id that links (a, b), either way round, lead to.
 REACH = """reach AS (
   SELECT id AS node, id AS m FROM ids
@@ -76,4 +100,27 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, l.component_id, d.doc_id = l.co
 FROM documents d JOIN least l ON l.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op10_minhash": OP10}
+OP3 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.x) = len(q.x) AND p.vec_id < q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.98
+), n AS (SELECT id, count(*) AS n FROM (SELECT a AS id FROM links UNION ALL SELECT b FROM links) GROUP BY id
+), ids AS (SELECT vec_id AS id FROM embeddings
+), {REACH}
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN n ON n.id = e.vec_id
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+f AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS digest, min(page_id) OVER (PARTITION BY payload) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(digest, 1 + 5 * (i // 4), 5))::INT // [32768, 1024, 32, 1][1 + i % 4]) % 32, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}
