@@ -3,10 +3,11 @@
 1. Winnowing deals the work. Of the SPAN - GRAM + 1 byte grams inside a SPAN-byte string the one with the least
    hash is its anchor, which depends on the string alone: equal strings have equal anchors. The starts that share
    an anchor are a run, and the bytes their strings cover its segment. A segment has a key (its anchor's hash), so
-   strings can be equal only within a key.
-2. Equal segments of a key are one class. Keys with one segment in all are done: nothing in them repeats.
-3. The segments of each other key (one of each class, twice if the class has two or more) form a text whose suffix
-   array is built by linear grouping; starts of full strings that are neighbours in it and agree in SPAN bytes repeat.
+   strings can be equal only within a key, and keys of one segment are done.
+2. Equal segments of a key are one class; two real segments of it go on at most, as more add nothing.
+3. The segments of a key form a text whose suffix array is built by linear grouping; starts of full strings that
+   are neighbours in it and agree in SPAN bytes repeat. Where keys have one class each and follow one another in
+   the same two documents, their segments overlap: each such chain is one text, so no byte is sorted twice.
 4. Repeated starts go back to every segment of their class, and are merged to spans for each document.
 
 A key with more than CLASSES classes is dealt anew: its runs are cut into bins of BIN starts, with the bytes
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, ship, small_ids
+from stratum.llm.common import cut, drop_cut, semi, ship, small_ids
 from stratum.llm.suffix_order import ranges, runs, suffix_array
 
 SPAN, GRAM, BIN = 400, 64, 16
@@ -100,28 +102,23 @@ def split(first, last, anchor, step: int):
     return a, b, bin_, of
 
 
-def segments(data: bytes, hashes: Hashes, hot: np.ndarray, hot_bins: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, class, first start, number of starts) of every run; hot and hot_bins are sorted keys to be dealt anew."""
+def segments(data: bytes, hashes: Hashes, level: int, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(key, class, first start, number of starts): at level 0 of every run, at 1 of the bins of runs with a key in hot[0], at 2 of the single starts of bins with a key in hot[1]."""
     with np.errstate(over="ignore"):
         for offset in range(0, len(data) - SPAN + 1, BLOCK):
             block = np.frombuffer(data, np.uint8)[offset : offset + BLOCK + SPAN - 1]
             prefix = hashes.prefix(block)
             first, last, anchor = anchored(prefix, len(block), hashes)
             key = hashes.of(prefix, anchor, anchor + GRAM)
-            if len(hot):
-                again = np.isin(key, hot)
-                keep = ~again
-                parts = [(first[keep], last[keep], key[keep])]
-                a, b, bin_, of = split(first[again], last[again], anchor[again], BIN)
-                anchors = anchor[again][of]
-                core = hashes.of(prefix, anchors - bin_ * BIN, anchors - bin_ * BIN - BIN + 1 + SPAN)
-                core = mix(core + bin_.astype(np.uint64) + np.uint64(1))
-                keep = ~np.isin(core, hot_bins)
-                parts.append((a[keep], b[keep], core[keep]))
-                a, b = a[~keep], b[~keep]
-                single = ranges(a, b - a + 1)
-                parts.append((single, single, mix(hashes.of(prefix, single, single + SPAN) + np.uint64(99))))
-                first, last, key = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if level > 0:
+                again = np.isin(key, hot[0])
+                first, last, bin_, of = split(first[again], last[again], anchor[again], BIN)
+                low = anchor[again][of] - bin_ * BIN
+                key = mix(hashes.of(prefix, low, low - BIN + 1 + SPAN) + bin_.astype(np.uint64) + np.uint64(1))
+            if level > 1:
+                again = np.isin(key, hot[1])
+                first = last = ranges(first[again], (last - first + 1)[again])
+                key = mix(hashes.of(prefix, first, first + SPAN) + np.uint64(99))
             yield key.view(np.int64), hashes.of(prefix, first, last + SPAN).view(np.int64), first + offset, last - first + 1
 
 
@@ -131,8 +128,8 @@ def with_row(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(data).alias("hash"), data.alias("data"))
 
 
-def cut_up(docs: DataFrame, hot: np.ndarray, hot_bins: np.ndarray) -> DataFrame:
-    """(key, class, id, hash, first, n) of all segments."""
+def cut_up(docs: DataFrame, level: int, hot: list[np.ndarray]) -> DataFrame:
+    """(key, class, id, hash, first, n) of the segments of a level."""
 
     def run(batches):
         hashes = Hashes()
@@ -142,7 +139,7 @@ def cut_up(docs: DataFrame, hot: np.ndarray, hot_bins: np.ndarray) -> DataFrame:
             for i in range(b.num_rows):
                 data = b.column(2)[i].as_py()
                 if len(data) >= SPAN:
-                    for got in segments(data, hashes, hot, hot_bins):
+                    for got in segments(data, hashes, level, hot):
                         for o, g in zip(out, got, strict=True):
                             o.append(g)
                         which.append(i)
@@ -155,122 +152,149 @@ def cut_up(docs: DataFrame, hot: np.ndarray, hot_bins: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "key long, class long, id long, hash long, first long, n int")
 
 
-def crowded(classes: DataFrame, but: np.ndarray) -> np.ndarray:
-    """Keys with more classes than CLASSES, or a millionth of all classes if that is more: at most a million keys of 8 bytes, as they are sent to every task."""
-    total = classes.count()
-    keys = classes.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(CLASSES, total // 1_000_000)).select("key").toPandas()["key"]
-    return np.unique(np.concatenate([but, keys.to_numpy(np.int64).view(np.uint64)]))
+def shared(rows: DataFrame) -> DataFrame:
+    """The segments whose key another segment has too."""
+    rows = cut(rows, "suffix-segments")
+    out = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi"), "suffix-shared")
+    drop_cut(rows)
+    return out
 
 
 def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All segments, and one row (key, class, m, id, hash, first, n) for each class."""
-    hot = hot_bins = np.empty(0, np.uint64)
+    """All segments that share their key, and (key, class, m, one, two, solo) of their classes: two members, and whether the key has no other class."""
+    rows, classes, hot = [], [], []
     for level in range(3):
-        all_ = cut(cut_up(docs, hot, hot_bins), "suffix-segments")
-        classes = cut(all_.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct("id", "hash", "first", "n")).alias("one")).select("key", "class", "m", "one.*"), "suffix-classes")
-        if level == 0:
-            hot = crowded(classes, hot)
-            if not len(hot):
-                break
-        elif level == 1:
-            hot_bins = crowded(classes, hot_bins)
-            if not len(hot_bins):
-                break
-    return all_, classes
-
-
-def repeated(groups: list[list[tuple[int, bytes, bool]]], hashes: Hashes) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """For groups of (class, bytes, whether it has two or more segments): (class, firsts, lasts) of the starts, from the segment's own, whose strings repeat in their group."""
-    pieces, starts, owners, bounds, at = [], [], [], [0], 0
-    entries = [(g, kind, data, k) for g, group in enumerate(groups) for kind, data, twice in group for k in range(1 + twice)]
-    for i, (g, _, data, _) in enumerate(entries):
-        pieces += [data, b"\0"]
-        starts.append(at)
-        at += len(data) + 1
-        if i + 1 == len(entries) or entries[i + 1][0] != g:
-            bounds.append(at)
-    raw = np.frombuffer(b"".join(pieces), np.uint8)
+        own = shared(cut_up(docs, level, hot))
+        kinds = own.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct("id", "hash", "first", "n")).alias("one"), F.max(F.struct("id", "hash", "first", "n")).alias("two"))
+        kinds = cut(kinds, "suffix-classes")
+        counts = kinds.groupBy("key").agg(F.count("*").alias("c"))
+        # at most a million keys of 8 bytes, as they are sent to every task
+        limit = max(CLASSES, kinds.count() // 1_000_000)
+        crowded = counts.where(F.col("c") > limit).select("key") if level < 2 else counts.limit(0).select("key")
+        names = crowded.toPandas()["key"].to_numpy(np.int64)
+        kinds = kinds.join(counts, "key").select("key", "class", "m", "one", "two", (F.col("c") == 1).alias("solo"), (F.col("c") > limit if level < 2 else F.lit(False)).alias("again"))
+        classes.append(kinds.where("NOT again").drop("again"))
+        if not len(names):
+            rows.append(own)
+            break
+        few = docs.sparkSession.createDataFrame(pa.table({"key": names}))
+        rows.append(own.join(F.broadcast(few), "key", "left_anti"))
+        ids = cut(own.join(F.broadcast(few), "key", "left_semi").select("id", "hash").distinct(), "suffix-again")
+        docs = semi(docs, ids, ["id", "hash"])
+        hot.append(np.sort(names.view(np.uint64)))
+    both = lambda frames: reduce(DataFrame.unionByName, frames)
+    return both(rows), cut(both(classes), "suffix-dealt")
+
+
+#: A segment's place in a text: its class and where its starts lie.
+PARTS = "array<struct<key: long, class: long, at: long, n: int>>"
+MOST_CHAINED = 128
+
+
+def chains(solo: DataFrame) -> DataFrame:
+    """Texts of keys with one class: (text, parts, id, hash, first, bytes). Runs that follow one another in both documents become one text of two strings."""
+    pairs = solo.groupBy("one.id", "one.hash", F.col("two.id").alias("id2"), F.col("two.hash").alias("hash2")).agg(F.array_sort(F.collect_list(F.struct(F.col("one.first").alias("first"), F.col("two.first").alias("first2"), F.col("one.n").alias("n"), "key", "class"))).alias("runs"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for id_, hash_, id2, hash2, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                at = 0
+                while at < len(found):
+                    end = at + 1
+                    while end < len(found) and end - at < MOST_CHAINED and all(found[end][k] == found[end - 1][k] + found[end - 1]["n"] for k in ("first", "first2")):
+                        end += 1
+                    head, tail = found[at], found[end - 1]
+                    size = tail["first"] + tail["n"] - head["first"] + SPAN - 1
+                    parts = [{"key": r["key"], "class": r["class"], "at": r["first"] - head["first"], "n": r["n"]} for r in found[at:end]]
+                    out += [(head["key"], parts, id_, hash_, head["first"], size), (head["key"], [], id2, hash2, head["first2"], size)]
+                    at = end
+            cols = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = (pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("class", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["text", "parts", "id", "hash", "first", "bytes"])
+
+    return pairs.mapInArrow(run, f"text long, parts {PARTS}, id long, hash long, first long, bytes long")
+
+
+def repeated(texts: list[list[tuple[list[dict], bytes]]], hashes: Hashes) -> list[tuple[int, int, list[dict]]]:
+    """For texts of (parts, bytes): (key, class, spans of its segment that repeated strings cover) of every part that has any."""
+    entries = [e for t in texts for e in t]
+    sizes = np.array([len(data) for _, data in entries])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    bounds = np.concatenate([[0], np.cumsum([sum(len(data) + 1 for _, data in t) for t in texts])])
+    raw = np.frombuffer(b"".join(x for _, data in entries for x in (data, b"\0")), np.uint8)
     symbols = raw.astype(np.uint16) + 2
-    starts = np.array(starts)
-    sizes = np.array([len(e[2]) for e in entries])
     symbols[starts + sizes] = 1
-    symbols[np.array(bounds[1:]) - 1] = 0
-    order = suffix_array(symbols, np.array(bounds))
+    symbols[bounds[1:] - 1] = 0
+    order = suffix_array(symbols, bounds)
     full = np.zeros(len(raw), bool)
-    n = sizes - SPAN + 1
-    full[ranges(starts, n)] = True
+    full[ranges(starts, sizes - SPAN + 1)] = True
     order = order[full[order]]
-    text = np.searchsorted(np.array(bounds), order, side="right")
+    text = np.searchsorted(bounds, order, side="right")
     with np.errstate(over="ignore"):
-        prefix = hashes.prefix(raw)
-        value = hashes.of(prefix, order, order + SPAN)
-    same = (value[1:] == value[:-1]) & (text[1:] == text[:-1])
-    hit = np.zeros(len(raw) + 1, bool)
-    hit[order[1:][same]] = True
-    hit[order[:-1][same]] = True
-    edge = np.flatnonzero(hit[1:] != hit[:-1]) + 1
-    if hit[0]:
-        edge = np.append(0, edge)
-    first, last = edge[0::2], edge[1::2] - 1
-    owner = np.searchsorted(starts, first, side="right") - 1
-    out = {}
-    for i in np.unique(owner).tolist():
-        g, kind, _, _ = entries[i]
-        own = owner == i if len(owner) < 64 else slice(*np.searchsorted(owner, [i, i + 1]))
-        out.setdefault((g, kind), (kind, first[own] - starts[i], last[own] - starts[i]))
-    return [(g, *v) for (g, _), v in out.items()]
+        value = hashes.of(hashes.prefix(raw), order, order + SPAN)
+    same = np.flatnonzero((value[1:] == value[:-1]) & (text[1:] == text[:-1]))
+    hit = np.zeros(len(raw) + 1, np.int8)
+    hit[order[same + 1]] = hit[order[same]] = 1
+    out = []
+    for (parts, _), start in zip(entries, starts.tolist(), strict=True):
+        for p in parts:
+            at = start + p["at"]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[at : at + p["n"]], [0]])))
+            if len(edge):
+                out.append((p["key"], p["class"], [{"a": a, "b": b + SPAN - 1} for a, b in edge.reshape(-1, 2).tolist()]))
+    return out
 
 
 def repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, class, spans array<struct<a, b>>): byte spans of a class, from its segment's start, that repeated strings cover."""
-    kept = classes.groupBy("key").agg(F.sum("m").alias("total")).where("total > 1").select("key")
-    wanted = classes.join(kept, "key", "left_semi").groupBy("id", "hash").agg(F.collect_list(F.struct("key", "class", (F.col("m") > 1).alias("twice"), "first", "n")).alias("want"))
-    wanted = cut(wanted, "suffix-wanted")
-    ids = wanted.select("id", "hash")
-    some = docs.join(F.broadcast(ids), ["id", "hash"], "left_semi") if small_ids(ids) else docs
+    many = classes.where("NOT solo")
+    part = F.array(F.struct("key", "class", F.lit(0).cast("long").alias("at"), F.col("one.n").alias("n"))).cast(PARTS)
+    size = lambda member: (F.col(f"{member}.n") + SPAN - 1).cast("long").alias("bytes")
+    one = many.select(F.col("key").alias("text"), part.alias("parts"), "one.id", "one.hash", "one.first", size("one"))
+    two = many.where("m > 1").select(F.col("key").alias("text"), F.array().cast(PARTS).alias("parts"), "two.id", "two.hash", "two.first", size("two"))
+    wanted = one.unionByName(two).unionByName(chains(classes.where("solo")))
+    wanted = cut(wanted.groupBy("id", "hash").agg(F.collect_list(F.struct("text", "parts", "first", "bytes")).alias("want")), "suffix-wanted")
 
     def fetch(batches):
         for b in batches:
-            for data, want in zip(b.column("data"), b.column("want"), strict=True):
-                data, want = data.as_py(), want.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([w["key"] for w in want], pa.int64()), pa.array([w["class"] for w in want], pa.int64()), pa.array([w["twice"] for w in want], pa.bool_()), pa.array([data[w["first"] : w["first"] + w["n"] + SPAN - 1] for w in want], pa.binary())], names=["key", "class", "twice", "data"])
+            wants = b.column("want")
+            for data, want in zip(b.column("data"), wants, strict=True):
+                data, rows = data.as_py(), want.values
+                spots = zip(rows.field("first").to_pylist(), rows.field("bytes").to_pylist(), strict=True)
+                yield pa.RecordBatch.from_arrays([rows.field("text"), rows.field("parts"), pa.array([data[a : a + n] for a, n in spots], pa.binary())], names=["text", "parts", "data"])
 
     def find(batches):
-        hashes = Hashes()
-        groups, group, at, seen, size = [], [], None, None, 0
+        hashes, texts, at, size = Hashes(), [], None, 0
 
         def found():
-            got = repeated([g for _, g in groups], hashes)
-            spans = [[{"a": int(a), "b": int(b) + SPAN} for a, b in zip(firsts, lasts, strict=True)] for _, _, firsts, lasts in got]
-            return pa.RecordBatch.from_arrays([pa.array([groups[g][0] for g, *_ in got], pa.int64()), pa.array([k for _, k, _, _ in got], pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))], names=["key", "class", "spans"])
+            cols = list(zip(*repeated(texts, hashes), strict=True)) or [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "class", "spans"])
 
         for batch in batches:
-            for key, kind, twice, data in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if key != at:
-                    if group:
-                        groups.append((at, group))
+            for text, parts, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if text != at:
                     if size > TOGETHER:
                         yield found()
-                        groups, size = [], 0
-                    at, group, seen = key, [], None
-                if kind != seen:  # equal rows of a table bring a class's bytes once each
-                    group.append((kind, data, twice))
-                    size += len(data) * (1 + twice)
-                    seen = kind
-        if group:
-            groups.append((at, group))
-        if groups:
+                        texts, size = [], 0
+                    texts.append([])
+                    at = text
+                texts[-1].append((parts, data))
+                size += len(data)
+        if texts:
             yield found()
 
-    bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(fetch, "key long, class long, twice boolean, data binary")
-    return bytes_.repartition("key").sortWithinPartitions("key", "class").mapInArrow(find, "key long, class long, spans array<struct<a: long, b: long>>")
+    some = semi(docs, wanted.select("id", "hash"), ["id", "hash"])
+    bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(fetch, f"text long, parts {PARTS}, data binary")
+    return bytes_.repartition("text").sortWithinPartitions("text").mapInArrow(find, "key long, class long, spans array<struct<a: long, b: long>>")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(id, hash, spans array<struct<a, b>>): disjoint ascending byte spans to remove, for the rows that have any."""
     ship(docs.sparkSession)
     all_, classes = dealt(docs)
-    found = cut(repeats(docs, classes), "suffix-repeats")
+    found = cut(repeats(docs, classes).groupBy("key", "class").agg(F.first("spans").alias("spans")), "suffix-repeats")
     placed = all_.join(found, ["key", "class"]).select("id", "hash", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
     return cut(placed.groupBy("id", "hash").agg(F.collect_set("s").alias("s")).select("id", "hash", united("s").alias("spans")), "suffix-spans")
 
