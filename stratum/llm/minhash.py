@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, drop_cut, keyed_bytes, semi, ship
+from stratum.llm.common import cut, drop_cut, keyed_bytes, semi, ship, small_ids
 from stratum.llm.components import components
 
 WORDS, NEED, OF = 5, 75, 100
@@ -219,3 +219,16 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         reps = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("component", "rep").alias("rep"))
     own = whole.select("doc_id", "set_key").join(reps, "set_key").groupBy("doc_id").agg(F.min("rep").alias("component_id"))
     return sig.join(own, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+
+
+def distinct(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df without the rows of documents whose component has a smaller doc_id; a kept doc_id's repeated rows are one row. Rows with a null id stay."""
+    found = near_duplicates(df, key, text)
+    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("_stratum_id")).distinct(), "minhash-gone")
+    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("_stratum_id")).agg(F.count("*").alias("n")).where("n > 1").select("_stratum_id"), "minhash-again")
+    tagged = df.withColumn("_stratum_id", F.col(f"`{key}`").cast("long"))
+    kept = tagged.join(F.broadcast(gone) if small_ids(gone) else gone, "_stratum_id", "left_anti")
+    if not again.isEmpty():
+        side = F.broadcast(again) if small_ids(again) else again
+        kept = kept.join(side, "_stratum_id", "left_anti").unionByName(kept.join(side, "_stratum_id", "left_semi").dropDuplicates(["_stratum_id"]))
+    return kept.select(*(F.col(f"`{c}`") for c in df.columns))

@@ -77,7 +77,13 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op3_multi_index, op4_suffix_dedup, op5_packing, op6_quality, op7_sentence_pieces, op8_token_counts, op9_warc, op10_minhash)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op3_multi_index, op4_suffix_dedup, op5_packing, op6_quality, op7_sentence_pieces, op8_token_counts, op9_warc, op10_minhash, pipeline)}
 #: Smallest id that links (a, b), either way round, lead to.
 REACH = """reach AS (
   SELECT id AS node, id AS m FROM ids
