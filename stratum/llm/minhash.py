@@ -4,11 +4,12 @@
    HASHES hash functions, both the minimum and the maximum: 2 * HASHES signature values from HASHES evaluations.
 2. Documents with equal sets are one class; only its smallest doc_id goes on.
 3. ROWS signature values make a band. Of each bucket, the member that shares most bucket places with others is
-   the pivot; the others are confirmed against it on full sets. Linked members then form components.
-4. While buckets hold members of different components, the next pivot is confirmed against the members of other
-   components, until so few such pairs are left (less than a constant times the bucket rows) that all are
-   confirmed at once. So every pair that shares a bucket is either confirmed or already in one component:
-   no pair is lost, and no step lists the pairs of a large bucket.
+   the pivot; the others are confirmed against it on full sets. Linked members then form components, so that a
+   group of near copies collapses without its pairs being listed. This is done PIVOT_ROUNDS times.
+4. Of buckets that still hold members of different components, all pairs across components are compared by their
+   signatures, in blocks, and those that agree in half of it (a pair at the limit agrees in three quarters; fewer
+   than half has a chance of about 1e-10) are confirmed on full sets. So every pair that shares a bucket is
+   confirmed, in one component already, or too far apart; and no step lists the pairs of a large bucket.
 
 Cases: null and empty texts, and texts without words, have the empty set and link with nothing; fewer than
 five words are one shingle; repeated rows of a doc_id give one row each with that id's component; rows with a
@@ -34,8 +35,9 @@ HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
 #: Words remembered by a worker, between two emptyings.
 REMEMBERED = 500_000
-#: Pairs that may be confirmed at once, for each bucket row.
-PAIRS_PER_ROW = 2
+PIVOT_ROUNDS = 2
+#: Members of a bucket compared with each other in one matrix, and the share of the signature two must agree in.
+BLOCK, AGREE = 1024, 0.5
 #: Members confirmed against one pivot in a group of rows; a pivot with more of them is repeated.
 GROUP = 512
 
@@ -114,22 +116,24 @@ def similar(a: np.ndarray, b: np.ndarray, need: int = NEED, of: int = OF) -> boo
     return of * inter >= need * (len(a) + len(b) - inter)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>"
+SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, low binary"
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """Set size, digest of the whole set and band keys of each (doc_id, data)."""
+    """Set size, digest of the whole set, band keys and each signature value's low byte, of each (doc_id, data)."""
 
     def run(batches):
         sets, functions = Shingles(), multipliers()
         for b in batches:
-            n, keys, own = [], [], []
+            n, keys, own, low = [], [], [], []
             for x in b.column(1):
                 s = sets(x.as_py())
                 n.append(len(s))
                 keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                own.append(bands(signature(s, functions)) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+                sig = signature(s, functions) if len(s) else None
+                own.append(bands(sig) if len(s) else None)
+                low.append(sig.astype(np.uint8).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "low"])
 
     ship(docs.sparkSession)
     return docs.mapInArrow(run, SIGNED)
@@ -162,45 +166,73 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long")
 
 
-def linked(members: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component), or None without links."""
-    links, comps, tried, turn = None, None, None, 0
-    bucket_rows = members.count()
-    if not bucket_rows:
+def alike(state: DataFrame, low: DataFrame) -> DataFrame:
+    """state: (key, doc_id, component) of buckets with different components. (a, b): pairs of a bucket, across components, whose signatures agree."""
+    parts = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = state.join(parts, "key").join(low, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a block meets each other block once, and itself
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "low")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compared(members):
+        own, ids, comps = (np.array([m[k] for m in members]) for k in range(3))
+        sigs = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1)
+        across = own.min() != own.max()
+        for k in range(len(members) - 1):
+            open_ = comps[k + 1 :] != comps[k]
+            if across:
+                open_ &= own[k + 1 :] != own[k]
+            rest = np.flatnonzero(open_) + k + 1
+            if len(rest):
+                near = rest[(sigs[rest] == sigs[k]).sum(1) >= AGREE * sigs.shape[1]]
+                yield from ((min(int(ids[k]), int(x)), max(int(ids[k]), int(x))) for x in ids[near])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        at, members = None, []
+
+        def answer():
+            found = list(compared(members)) if len(members) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for key, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, i, j) != at:
+                    if len(members) > 1:
+                        yield answer()
+                    at, members = (key, i, j), []
+                members.append(member)
+        yield answer()
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def linked(members: DataFrame, docs: DataFrame, low: DataFrame) -> DataFrame | None:
+    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component), or None without any bucket. low: (doc_id, low)."""
+    if members.isEmpty():
         return None
     sizes = members.groupBy("key").agg((F.count("*") - 1).alias("others"))
     weight = members.join(sizes, "key").groupBy("doc_id").agg(F.sum("others").alias("weight"))
     # order in which members of a bucket serve as pivots: those with most company first
     ranked = cut(members.join(weight, "doc_id").select("key", "doc_id", F.struct(-F.col("weight"), F.col("doc_id")).alias("order")), "minhash-members")
-    state = ranked.withColumn("component", F.col("doc_id"))
-    while True:
-        # pairs of different components in the bucket that no pivot so far has settled
+    state, links, comps, tried = ranked.withColumn("component", F.col("doc_id")), None, None, None
+    for turn in range(PIVOT_ROUNDS + 1):
+        # members that no pivot so far has settled, of buckets with different components
         open_ = state if tried is None else state.join(tried, ["key", "doc_id"], "left_anti")
-        inside = open_.groupBy("key", "component").agg(F.count("*").alias("n"))
-        load = inside.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own")).where("n * n > own")
-        left = load.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        mixed_ = open_.join(load.select("key"), "key", "left_semi")
-        last = turn > 0 and left <= PAIRS_PER_ROW * bucket_rows
-        if last:
-            one, two = mixed_.select("key", "doc_id", "component"), mixed_.select("key", F.col("doc_id").alias("other"), F.col("component").alias("of"))
-            pairs = one.join(two, "key").where("doc_id < other AND component <> of").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))
-        else:
-            pivot = mixed_.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), "order").alias("p")).select("key", F.col("p.doc_id").alias("a"), F.col("p.component").alias("of"))
-            pivot = cut(pivot, "minhash-pivots")
-            pairs = mixed_.join(pivot, "key").where("component <> of").select("a", F.col("doc_id").alias("b"))
+        mixed_ = open_.join(open_.groupBy("key").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q").select("key"), "key", "left_semi")
+        if turn < PIVOT_ROUNDS:
+            pivot = cut(mixed_.groupBy("key").agg(F.min_by(F.struct("doc_id", "component"), "order").alias("p")).select("key", F.col("p.doc_id").alias("a"), F.col("p.component").alias("of")), "minhash-pivots")
+            pairs = mixed_.join(pivot, "key").where("component <> of").select("a", F.col("doc_id").alias("b")).distinct()
             used = pivot.select("key", F.col("a").alias("doc_id"))
-            tried = used if tried is None else cut(tried.unionAll(used), "minhash-tried")
-        pairs = cut(pairs.distinct(), "minhash-pairs")
+            tried = used if tried is None else tried.unionAll(used)
+        else:
+            pairs = alike(mixed_.select("key", "doc_id", "component"), low)
+        pairs = cut(pairs, "minhash-pairs")
         new = cut(confirmed(pairs, docs), "minhash-links")
         drop_cut(pairs)
         links = new if links is None else links.unionAll(new)
         comps = cut(components(links), "minhash-components")
-        if last:
-            break
         state = ranked.join(comps, ranked.doc_id == comps.node, "left").select("key", "doc_id", "order", F.coalesce("component", "doc_id").alias("component"))
-        turn += 1
     return comps
 
 
@@ -209,11 +241,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     docs = keyed_bytes(df, key, text)
     sig = cut(signed(docs), "minhash-signed")
     whole = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
+    classes = cut(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "minhash-classes")
     placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(placed.join(shared, "key").select("key", "doc_id").distinct(), "minhash-buckets")
-    comps = linked(members, docs)
+    comps = linked(members, docs, classes.select(F.col("rep").alias("doc_id"), "low"))
     reps = classes.select("set_key", "rep")
     if comps is not None:
         reps = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("component", "rep").alias("rep"))
