@@ -32,10 +32,12 @@ from pyspark.sql import functions as F
 from stratum.llm.common import cut, drop_cut, semi, ship, small_ids
 from stratum.llm.suffix_order import ranges, runs, suffix_array
 
-SPAN, GRAM, BIN = 400, 64, 16
+SPAN, GRAM, BIN = 400, 24, 16
 CLASSES = 1024
 #: Starts handled at once in a long document, and symbols of suffix-array texts at once (in about 120 bytes each).
-BLOCK, TOGETHER = 1 << 19, 1_200_000
+BLOCK, TOGETHER = 1 << 18, 500_000
+#: Texts of more symbols wait for others like them: texts of a batch should take about as many steps.
+LARGE = 16_384
 PLACE_BITS = np.uint64(20)
 BASE = 0x9E3779B97F4A7C15
 
@@ -265,25 +267,35 @@ def repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows.field("text"), rows.field("parts"), pa.array([data[a : a + n] for a, n in spots], pa.binary())], names=["text", "parts", "data"])
 
     def find(batches):
-        hashes, texts, at, size = Hashes(), [], None, 0
+        hashes, at, text = Hashes(), None, []
+        waiting, sizes = {False: [], True: []}, {False: 0, True: 0}
 
-        def found():
-            cols = list(zip(*repeated(texts, hashes), strict=True)) or [[]] * 3
+        def found(large):
+            cols = list(zip(*repeated(waiting[large], hashes), strict=True)) or [[]] * 3
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+            waiting[large], sizes[large] = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "class", "spans"])
 
+        def done():
+            size = sum(len(data) for _, data in text)
+            large = size > LARGE
+            waiting[large].append(text)
+            sizes[large] += size
+            return large if sizes[large] > TOGETHER else None
+
         for batch in batches:
-            for text, parts, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if text != at:
-                    if size > TOGETHER:
-                        yield found()
-                        texts, size = [], 0
-                    texts.append([])
-                    at = text
-                texts[-1].append((parts, data))
-                size += len(data)
-        if texts:
-            yield found()
+            for name, parts, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                name = name.as_py()
+                if name != at:
+                    if text and (large := done()) is not None:
+                        yield found(large)
+                    at, text = name, []
+                text.append((parts.as_py(), data.as_py()))
+        if text:
+            done()
+        for large in (False, True):
+            if waiting[large]:
+                yield found(large)
 
     some = semi(docs, wanted.select("id", "hash"), ["id", "hash"])
     bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(fetch, f"text long, parts {PARTS}, data binary")
