@@ -48,6 +48,7 @@ def splitting(slow1: Column, slow2: Column, twist: Column) -> Column:
 def tracing_velocity(columns: set[str], vp: Column, vs: Column) -> tuple[Column, Column]:
     """Vp and Vs of a node from reference values and the fields there are, applied in a fixed order."""
     has = lambda name: F.col(name) if name in columns else None
+    ratio = vp / vs
     if (c := has("Vp")) is not None:
         vp = c
     if (c := has("dlnVp")) is not None:
@@ -61,7 +62,30 @@ def tracing_velocity(columns: set[str], vp: Column, vs: Column) -> tuple[Column,
     if (c := has("Vp2Vs")) is not None:
         vs = vp / c
     if (c := has("dlnVp2Vs")) is not None:
-        vs = vs / (1 + c)
+        vs = vp / (ratio * (1 + c))
     if (c := has("eta")) is not None:
-        vs = vs * c
+        vs = vs * (1 + F.col("dlnVp") * c)
     return vp, vs
+
+
+def thomsen_p_velocity(v0: Column, dlnvp: Column, epsilon: Column, delta: Column, cosine: Column) -> Column:
+    return 1 / thomsen_p(v0, dlnvp, epsilon, delta, cosine)
+
+
+#: Fixed values of the rational fits below (published parameters of a crack model and a melt model).
+DELTA_FIT = (0.6742, -0.8169, 0.04419)
+MELT_DLNVP, MELT_DLNVP_POLE = (-0.4363, -0.1672, -2.759e-5), 2.693e-2
+MELT_EPSILON, MELT_DELTA = (-2.1911, 2.1881, -1.4518e-3), (-0.3302, 0.01573)
+
+
+def delta_of_epsilon(epsilon: Column) -> Column:
+    """Thomsen delta of aligned cracks; elliptical (delta = epsilon) where epsilon is not positive."""
+    a, b, c = DELTA_FIT
+    return F.when(epsilon > 0, epsilon * (a * epsilon + b) / (epsilon + c)).otherwise(epsilon)
+
+
+def melt(fraction: Column, dlnvp: Column) -> tuple[Column, Column, Column]:
+    """Thomsen epsilon and delta and the whole velocity change of a melt fraction."""
+    square = lambda p: p[0] * fraction * fraction + p[1] * fraction + p[2]
+    epsilon = square(MELT_EPSILON)
+    return epsilon, epsilon * MELT_DELTA[0] / (fraction + MELT_DELTA[1]), dlnvp + square(MELT_DLNVP) / (fraction + MELT_DLNVP_POLE)

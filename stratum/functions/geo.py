@@ -74,14 +74,21 @@ def regular_index(value: Column, low: float, step: float) -> Column:
     return F.floor((value - low) / step + 0.5).cast("long") + 1
 
 
-def rotation(lon: Column, lat: Column) -> list[list[Column]]:
-    """Rows of the matrix that turns Earth-centred components to (up, east, north) at a point."""
-    zero = F.lit(0.0)
-    return [
-        [F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat)],
-        [-F.sin(lon), F.cos(lon), zero],
-        [-F.sin(lat) * F.cos(lon), -F.sin(lat) * F.sin(lon), F.cos(lat)],
-    ]
+def axis_rotation(angle: Column, axis: int) -> list[list[Column]]:
+    """Rows of the matrix that turns by an angle about axis 1, 2 or 3."""
+    if axis not in (1, 2, 3):
+        raise ValueError("axis is 1, 2 or 3")
+    one, zero, c, s = F.lit(1.0), F.lit(0.0), F.cos(angle), F.sin(angle)
+    a, b = [k for k in (0, 1, 2) if k != axis - 1]
+    out = [[one if i == j else zero for j in range(3)] for i in range(3)]
+    out[a][a] = out[b][b] = c
+    out[a][b], out[b][a] = (s, -s) if axis == 2 else (-s, s)
+    return out
+
+
+def lattice_rotations(lon: Column, lat: Column) -> tuple[list[list[Column]], list[list[Column]]]:
+    """About the first axis by -lat, and about the second by lon."""
+    return axis_rotation(-lat, 1), axis_rotation(lon, 2)
 
 
 def enu_to_ecef(east: Column, north: Column, up: Column, lat: Column, lon: Column) -> tuple[Column, Column, Column]:
@@ -99,9 +106,9 @@ def rotate_tensor(t: dict[str, Column], lat: Column, lon: Column) -> dict[str, C
 
 
 def gnomonic(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[Column, Column]:
-    """Plane coordinates of a point in the gnomonic projection about (lat0, lon0)."""
+    """Plane coordinates (km) of a point in the gnomonic projection about (lat0, lon0)."""
     c = F.sin(lat0) * F.sin(lat) + F.cos(lat0) * F.cos(lat) * F.cos(lon - lon0)
-    return F.cos(lat) * F.sin(lon - lon0) / c, (F.cos(lat0) * F.sin(lat) - F.sin(lat0) * F.cos(lat) * F.cos(lon - lon0)) / c
+    return EARTH_RADIUS * F.cos(lat) * F.sin(lon - lon0) / c, EARTH_RADIUS * (F.cos(lat0) * F.sin(lat) - F.sin(lat0) * F.cos(lat) * F.cos(lon - lon0)) / c
 
 
 def direction(azimuth: Column, elevation: Column) -> tuple[Column, Column, Column]:
