@@ -48,7 +48,7 @@ def densest_interval(s: Column, level: float) -> tuple[Column, Column]:
 
 def freedman_diaconis(s: Column) -> Column:
     low, high = median_interval(s, 0.5)
-    return 2 * (high - low) / F.pow(F.size(s).cast("double"), F.lit(1 / 3))
+    return 2 * (high - low) / F.cbrt(F.size(s).cast("double"))
 
 
 def binned_mode(sorted_: DataFrame, keys: list[str], width: Column | None = None) -> DataFrame:

@@ -1,6 +1,6 @@
-"""Registered queries and their SQL."""
+"""All registered queries and their SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from stratum.plans import posterior  # noqa: F401
+from stratum.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
