@@ -2,19 +2,22 @@
 
 The model file is a protobuf; parse() reads its wire format without a schema. build() makes a tokenizers pipeline
 from it: the normaliser (its compiled character map, white-space rules), the metaspace marker, unigram scores or
-BPE merges implied by piece scores, and byte fallback. encode() runs batches on the library's own threads. Parity
-is verified for every word: the first time a worker meets a word, the original library encodes it too, and a
-difference raises ParityError.
+BPE merges implied by piece scores, and byte fallback.
 
-Cases: a null or empty text has no ids; text is decoded from its ids again by decode(); user-defined and control
-pieces inside a text are ordinary text, as in the original; repeated rows each give a row; extra columns are ignored.
+Where no piece of the model has a marker after another character and the normaliser has no character map, a text
+is its units (a run of spaces and the word after it): a worker encodes each distinct unit once, in batches on the
+library's own threads, and puts texts together from them. Other models' texts are encoded whole. Parity is
+verified for every unit (or text): the original library encodes it too, and a difference raises ParityError. So is
+the way back: a unit decoded from its ids is the unit, else round_trip is false.
+
+Cases: a null or empty text has no ids; user-defined and control pieces inside a text are ordinary text, as in the
+original; repeated rows each give a row; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from functools import cache
@@ -24,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from stratum.llm.common import keyed_bytes, ship
+from stratum.llm.word_table import WordTable
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces
 UNIGRAM, BPE = 1, 2  # kinds of models
-#: A run of spaces (or markers, which are the same to the model) and the word after it.
-UNIT = re.compile(f"[ {MARK}]+[^ {MARK}]*")
-#: Words whose parity a worker remembers, and characters encoded together.
-REMEMBERED, TOGETHER = 300_000, 1 << 18
+#: Units that a worker remembers, bytes of text taken together, and the library's threads in each worker.
+REMEMBERED, TOGETHER, THREADS = 2_000_000, 1 << 20, 2
 
 
 class ParityError(ValueError):
@@ -131,69 +133,83 @@ def described(path: str) -> str:
 
 
 class Codec:
-    """Encodes and decodes by build(path); each new word is compared with the original library."""
+    """Encodes and decodes by build(path), and verifies parity with the original library."""
 
-    def __init__(self, path: str, threads: bool = True, verify: bool = True):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads else "false"
+    def __init__(self, path: str, verify: bool = True):
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.tokenizer, self.model = build(path)
-        self.seen: set[str] = set()
+        self.by_unit = not self.model["charsmap"] and not self.model["remove_extra"] and self.tokenizer.pre_tokenizer is not None
         self.original = None
         if verify:
             import sentencepiece
 
             self.original = sentencepiece.SentencePieceProcessor(model_file=path)
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        out, at = [], 0
-        while at < len(texts):
-            size, end = 0, at
-            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                size, end = size + len(texts[end]), end + 1
-            if self.original:
-                self.verify(texts[at:end])
-            out += [e.ids for e in self.tokenizer.encode_batch_fast(texts[at:end], add_special_tokens=False)]
-            at = end
-        return out
-
-    def verify(self, texts: list[str]) -> None:
-        new = set()
-        for text in texts:
-            if text.startswith(" ") or text.endswith(" ") or "  " in text or MARK in text:
-                new.add(text[: len(text) - len(text.lstrip(" ")) + 1])
-                new.update(u[1:] for u in UNIT.findall(" " + text))
-            else:
-                new.update(text.split(" "))
-        new = sorted(new - self.seen - {""})
-        ours = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        for word, a, b in zip(new, ours, self.original.encode(new, num_threads=1), strict=True):
-            if a != b:
-                raise ParityError(f"{word!r}: {a}, but the original library gives {b}")
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        self.seen.update(new)
-
-    def decode(self, ids: list[int]) -> str:
-        return self.tokenizer.decode(ids, skip_special_tokens=False)
+        self.units = WordTable(self.learn, REMEMBERED)
+
+    def learn(self, units: list[bytes]) -> tuple[list[list[int]], list[bool]]:
+        skip = int(self.model["dummy_prefix"])  # the unit's first space is the one that the normaliser adds
+        texts = [u[skip:].decode("utf-8", "replace") for u in units]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.original:
+            for text, ours, theirs in zip(texts, found, self.original.encode(texts, num_threads=1), strict=True):
+                if ours != theirs:
+                    raise ParityError(f"{text!r}: {ours}, but the original library gives {theirs}")
+        return found, [a == normal(b, self.model) for a, b in zip(self.decode(found), texts, strict=True)]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, the number of ids of each, and whether its ids lead back to it."""
+        # a marker in a text acts as a space; spaces at the end have no word after them
+        plain = self.by_unit and not any(t.endswith(b" ") or MARK.encode() in t for t in texts)
+        if not plain:
+            if len(texts) > 1:
+                parts = [self.encode([t]) for t in texts]
+                return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+            found, flags = self.learn([b" " * self.model["dummy_prefix"] + texts[0]]) if texts[0] else ([[]], [True])
+            return np.array(found[0], np.uint32), np.array([len(found[0])]), np.array(flags)
+        prefix = b" " * self.model["dummy_prefix"]
+        marked = [prefix + t if t else t for t in texts]
+        joined = b"".join(marked)
+        raw = np.frombuffer(joined, np.uint8)
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, marked), np.int64, len(marked)))])
+        begins = (raw == 32) & np.concatenate([[True], raw[:-1] != 32]) if len(raw) else np.empty(0, bool)
+        begins[bounds[:-1][np.diff(bounds) > 0]] = True
+        start = np.flatnonzero(begins)
+        ids, count, flag = self.units(joined, start, np.append(start[1:], len(raw)))
+        of = np.searchsorted(start, bounds)
+        total = np.concatenate([[0], np.cumsum(count)])
+        wrong = np.concatenate([[0], np.cumsum(~flag)])
+        return ids, np.diff(total[of]), np.diff(wrong[of]) == 0
+
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+
+
+def normal(text: str, model: dict) -> str:
+    """text as decoding should give it back: a marker is a space, and extra spaces go if the model says so. (Texts changed by a character map don't count as led back to.)"""
+    text = text.replace(MARK, " ")
+    return " ".join(x for x in text.split(" ") if x) if model["remove_extra"] else text
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip) of each row: ids as the model's own library gives them; round_trip: decoding gives the text back with its white space as the normaliser leaves it."""
+    """(doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip) of each row: ids as the model's own library gives them."""
 
     def run(batches):
         codec = Codec(path, verify=verify)
-        byte_ids = np.array([i for i, (_, _, k) in enumerate(codec.model["pieces"]) if k == BYTE])
+        is_byte = np.array([k == BYTE for _, _, k in codec.model["pieces"]])
         for b in batches:
-            texts = [x.as_py().decode("utf-8", "replace") for x in b.column(1)]
-            rows = []
-            at = 0
-            while at < len(texts):
+            data, rows, at = [x.as_py() for x in b.column(1)], [], 0
+            while at < len(data):
                 size, end = 0, at
-                while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
-                    size, end = size + len(texts[end]), end + 1
-                found = codec.encode(texts[at:end])
-                for text, ids, back in zip(texts[at:end], found, codec.tokenizer.decode_batch(found, skip_special_tokens=False), strict=True):
-                    array = np.array(ids, "<u4")
-                    rows.append((len(ids), zlib.crc32(array.tobytes()), int(np.isin(array, byte_ids).sum()), back == normal(text, codec)))
+                while end < len(data) and (end == at or size + len(data[end]) < TOGETHER):
+                    size, end = size + len(data[end]) + 1, end + 1
+                ids, count, back = codec.encode(data[at:end])
+                ids = ids.astype("<u4")
+                place = 0
+                for n, ok in zip(count.tolist(), back.tolist(), strict=True):
+                    own = ids[place : place + n]
+                    rows.append((n, zlib.crc32(own.tobytes()), int(is_byte[own].sum()), ok))
+                    place += n
                 at = end
             cols = list(zip(*rows, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_tokens", "ids_crc32", "n_byte_pieces", "round_trip"])
@@ -202,7 +218,18 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ve
     return keyed_bytes(df, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
 
 
-def normal(text: str, codec: Codec) -> str:
-    """text as decoding should give it back: a marker is a space, and the rules of the normaliser hold."""
-    out = codec.tokenizer.normalizer.normalize_str(text).replace(MARK, " ")
-    return out[1:] if codec.model["dummy_prefix"] else out
+def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
+    """df with the text of a column of ids (null for null ids)."""
+    from pyspark.sql import functions as F
+
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def decoded(column):
+        codec = Codec(path, verify=False)
+        known = column.notna()
+        column = column.astype(object)
+        column[known] = codec.decode([[int(i) for i in x] for x in column[known]])
+        return column
+
+    return df.withColumn(out, decoded(F.col(f"`{ids}`")))
