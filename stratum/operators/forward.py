@@ -8,6 +8,7 @@ splitting intensity. Functions are registered by name, and unknown names or miss
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -103,7 +104,9 @@ def shear(fsh: Column, fsv: Column) -> tuple[Column, Column, Column]:
     psi, gamma = C("psi"), C("gamma")
     double = twice(ray_cosine(psi, gamma))
     d = C("azimuth") - psi
-    beta = F.atan(-F.sin(d) * F.cos(gamma) / (F.cos(d) * F.sin(C("elevation")) * F.cos(gamma) - F.cos(C("elevation")) * F.sin(gamma))) - C("polarization")
+    along, across = F.cos(d) * F.sin(C("elevation")) * F.cos(gamma) - F.cos(C("elevation")) * F.sin(gamma), -F.sin(d) * F.cos(gamma)
+    # a zero denominator is a right angle; the sign of the angle falls out of all that follows
+    beta = F.when(along == 0, F.lit(math.pi / 2)).otherwise(F.atan(across / F.when(along == 0, F.lit(1.0)).otherwise(along))) - C("polarization")
     return 1 / (1 + fsh * double), (1 + fsv) / ((1 + fsh) * (1 + fsv * (2 * double * double - 1))), beta
 
 

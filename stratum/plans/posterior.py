@@ -126,7 +126,7 @@ def posterior_hdi(spark, sf_dir):
 
 
 MODE = """
-WITH q AS (SELECT l_suppkey, l_returnflag, 2 * (quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25)) / cbrt(count(*)) AS w, median(l_quantity) AS med FROM lineitem GROUP BY ALL),
+WITH q AS (SELECT l_suppkey, l_returnflag, round(2 * (quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25)) / cbrt(count(*)), 9) AS w, median(l_quantity) AS med FROM lineitem GROUP BY ALL),
 b AS (SELECT l_suppkey, l_returnflag, w, med, CASE WHEN w > 0 THEN round_even(l_quantity / w, 0) END AS bin, count(*) AS c FROM lineitem JOIN q USING (l_suppkey, l_returnflag) GROUP BY ALL),
 m AS (SELECT l_suppkey, l_returnflag, coalesce(bin * w, med) AS mode FROM b QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY c DESC, bin) = 1)
 """
