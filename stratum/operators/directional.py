@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions.geo import direction
 from stratum.operators.moments import ratio
+from stratum.session import ship
 
 PARTS = ("t11", "t12", "t13", "t22", "t23", "t33")
 
@@ -35,7 +36,6 @@ def bias(t: dict[str, Column] | None = None) -> Column:
 AXES = "lambda1 double, lambda2 double, lambda3 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, x3 double, y3 double, z3 double"
 
 
-@F.pandas_udf(AXES)
 def principal_axes(t11: pd.Series, t12: pd.Series, t13: pd.Series, t22: pd.Series, t23: pd.Series, t33: pd.Series) -> pd.DataFrame:
     """Eigenvalues in ascending order of size, and unit eigenvectors whose largest component is positive; one batched solve for each Arrow batch."""
     a, b, c, d, e, f = (s.to_numpy(float) for s in (t11, t12, t13, t22, t23, t33))
@@ -53,7 +53,8 @@ def principal_axes(t11: pd.Series, t12: pd.Series, t13: pd.Series, t22: pd.Serie
 
 def with_axes(tensors: DataFrame) -> DataFrame:
     """Tensors with their principal axes (columns of AXES) and directional bias."""
-    return tensors.withColumn("_a", principal_axes(*PARTS)).select(*tensors.columns, "_a.*", bias().alias("bias"))
+    ship(tensors.sparkSession)
+    return tensors.withColumn("_a", F.pandas_udf(principal_axes, AXES)(*PARTS)).select(*tensors.columns, "_a.*", bias().alias("bias"))
 
 
 def deviations(samples: DataFrame, axes: DataFrame, keys: list[str], f: Column, azimuth: Column, elevation: Column) -> DataFrame:

@@ -11,8 +11,6 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
-
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, NaN where b is 0 (or undefined)."""

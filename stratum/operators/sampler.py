@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.session import ship
+
 VALUE, MOVE, BIRTH, DEATH, NOISE = 1, 2, 3, 4, 5
 LOG_ROOT_2PI = math.log(math.sqrt(2 * math.pi))
 
@@ -242,6 +244,7 @@ def swapped(a: dict, b: dict, count: int, log_u: float) -> bool:
 
 def run(spark: SparkSession, s: Settings, chains: int, seed: int = 1, cold: int | None = None, hottest: float = 1.0, swap_every: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(models, nuclei) of all chains. With swap_every, chains trade temperatures (in random disjoint pairs) after every so many iterations."""
+    ship(spark)
     temperatures = ladder(chains, chains if cold is None else cold, hottest)
     length = swap_every or s.iterations
 

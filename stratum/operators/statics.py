@@ -39,7 +39,9 @@ def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float,
         g[i, j] += weight
         g[j, i] += weight
     for key, a, b in ties.select("id", "obs_a", "obs_b").collect() if ties is not None else ():
-        i, j = at[a, "event", key], at[b, "event", key]
+        i, j = at.get((a, "event", key)), at.get((b, "event", key))
+        if i is None or j is None:
+            continue  # one of the observables has no such event
         g[i, i] += TIE
         g[j, j] += TIE
         g[i, j] -= TIE

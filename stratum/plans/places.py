@@ -132,28 +132,29 @@ def directions(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("f"), F.expr(AZ).alias("az"), F.expr(EL).alias("el"), "l_discount")
 
 
-ARGS = F.col("f"), F.col("az"), F.col("el")
+def args():
+    return F.col("f"), F.col("az"), F.col("el")
 
 
 @query(TENSOR + "SELECT l_suppkey, " + ", ".join(f"round({p}, 6) AS {p}" for p in directional.PARTS) + " FROM t")
 def directional_tensor(spark, sf_dir):
-    return rounded(directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *ARGS), [])
+    return rounded(directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *args()), [])
 
 
 @query(TENSOR + ", i AS (SELECT l_suppkey, t11 + t22 + t33 AS tr, t11 ^ 2 + t22 ^ 2 + t33 ^ 2 + 2 * (t12 ^ 2 + t13 ^ 2 + t23 ^ 2) AS sq FROM t) SELECT l_suppkey, round(sqrt(0.5) * sqrt(3 * sq - tr ^ 2) / sqrt(sq), 6) AS bias FROM i")
 def directional_bias(spark, sf_dir):
-    t = directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *ARGS)
+    t = directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *args())
     return t.select("l_suppkey", r6(directional.bias()).alias("bias"))
 
 
 @query()
 def principal_axes(spark, sf_dir):
-    return rounded(directional.with_axes(directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *ARGS)), [])
+    return rounded(directional.with_axes(directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *args())), [])
 
 
 @query()
 def directional_moments(spark, sf_dir):
-    return rounded(directional.directional_moments(directions(spark, sf_dir), ["l_suppkey"], *ARGS, field="l_discount"), [])
+    return rounded(directional.directional_moments(directions(spark, sf_dir), ["l_suppkey"], *args(), field="l_discount"), [])
 
 
 @query("""WITH p AS (SELECT l_orderkey, l_linenumber, l_partkey, radians(l_partkey % 360) AS az, radians(l_suppkey % 90 - 45) AS el, l_discount AS e, l_tax AS d FROM lineitem),

@@ -9,7 +9,10 @@ from stratum.operators.select import in_box
 from stratum.plans.registry import query, rounded, table
 
 KEYS = ["l_suppkey", "l_returnflag"]
-X = F.col("l_quantity")
+
+
+def x():
+    return F.col("l_quantity")
 
 
 def samples(spark, sf_dir):
@@ -23,14 +26,14 @@ SELECT l_suppkey, l_returnflag, n, round(mean, 6) AS mean, round(sd, 6) AS sd,
   round(CASE WHEN sd <> 0 THEN (s3 / n - 3 * mean * sd ^ 2 - mean ^ 3) / sd ^ 3 ELSE 'nan'::DOUBLE END, 6) AS skewness FROM m
 """)
 def posterior_moments(spark, sf_dir):
-    return rounded(moments.moments(samples(spark, sf_dir), KEYS, X), KEYS)
+    return rounded(moments.moments(samples(spark, sf_dir), KEYS, x()), KEYS)
 
 
 @query("""
 SELECT l_suppkey, l_returnflag, count(*) AS n, sum(l_quantity) AS s1, sum(l_quantity^2) AS s2, sum(l_quantity^3) AS s3, sum(l_quantity^4) AS s4 FROM lineitem GROUP BY ALL
 """)
 def power_sums(spark, sf_dir):
-    return moments.power_sums(samples(spark, sf_dir), KEYS, X, 4)
+    return moments.power_sums(samples(spark, sf_dir), KEYS, x(), 4)
 
 
 @query("""
@@ -39,7 +42,7 @@ SELECT l_suppkey, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(sqrt(xx
   round((xy - mx * my) / (sqrt(xx - mx * mx) * sqrt(yy - my * my)), 6) AS pcc FROM g
 """)
 def posterior_correlation(spark, sf_dir):
-    return rounded(moments.correlation(samples(spark, sf_dir), ["l_suppkey"], X, F.col("l_discount")), ["l_suppkey"])
+    return rounded(moments.correlation(samples(spark, sf_dir), ["l_suppkey"], x(), F.col("l_discount")), ["l_suppkey"])
 
 
 @query("""
@@ -50,7 +53,7 @@ SELECT l_suppkey, round(mx, 6) AS mean_x, round(my, 6) AS mean_y, round(sqrt(xx
 """)
 def correlation_in_domain(spark, sf_dir):
     inside = (F.col("l_tax") <= 0.04) & (F.col("l_linenumber") <= 5)
-    return rounded(moments.correlation(samples(spark, sf_dir), ["l_suppkey"], X, F.col("l_discount"), inside), ["l_suppkey"])
+    return rounded(moments.correlation(samples(spark, sf_dir), ["l_suppkey"], x(), F.col("l_discount"), inside), ["l_suppkey"])
 
 
 @query("""
@@ -59,7 +62,7 @@ s AS (SELECT *, sqrt(a2 - a1 * a1) AS sa, sqrt(b2 - b1 * b1) AS sb FROM g)
 SELECT point, round(a1, 6) AS u1_a, round(sa, 6) AS u2_a, round((a3 - 3 * a1 * sa ^ 2 - a1 ^ 3) / sa ^ 3, 6) AS u3_a, round(b1, 6) AS u1_b, round(sb, 6) AS u2_b, round((b3 - 3 * b1 * sb ^ 2 - b1 ^ 3) / sb ^ 3, 6) AS u3_b, round((ab - a1 * b1) / (sa * sb), 6) AS pcc_a_b FROM s
 """)
 def wide_moments(spark, sf_dir):
-    s = samples(spark, sf_dir).select(F.col("l_suppkey").alias("point"), X.alias("a"), F.col("l_discount").alias("b"))
+    s = samples(spark, sf_dir).select(F.col("l_suppkey").alias("point"), x().alias("a"), F.col("l_discount").alias("b"))
     return rounded(moments.all_moments(s, "point", ["a", "b"]), ["point"])
 
 
@@ -67,13 +70,13 @@ def wide_moments(spark, sf_dir):
 SELECT l_suppkey, l_returnflag, round(avg(CASE WHEN l_discount BETWEEN 0.02 AND 0.08 THEN l_quantity ELSE 25.0 END), 6) AS mean FROM lineitem GROUP BY ALL
 """)
 def squeezed_mean(spark, sf_dir):
-    v = moments.squeezed(X, F.col("l_discount").between(0.02, 0.08), 25.0)
+    v = moments.squeezed(x(), F.col("l_discount").between(0.02, 0.08), 25.0)
     return rounded(samples(spark, sf_dir).groupBy(*KEYS).agg(F.avg(v).alias("mean")), KEYS)
 
 
 @query("SELECT l_suppkey, l_returnflag, round(1 / avg(1 / l_quantity), 6) AS velocity FROM lineitem GROUP BY ALL")
 def slowness_mean(spark, sf_dir):
-    return rounded(moments.harmonic_mean(samples(spark, sf_dir), KEYS, X), KEYS)
+    return rounded(moments.harmonic_mean(samples(spark, sf_dir), KEYS, x()), KEYS)
 
 
 @query("""
@@ -89,16 +92,16 @@ def slowness_mean_by_frame(spark, sf_dir):
 
 @query("SELECT l_suppkey, l_returnflag, round(avg((l_quantity > 10 AND l_quantity < 30)::INT), 6) AS probability FROM lineitem GROUP BY ALL")
 def probability_interval(spark, sf_dir):
-    return rounded(moments.probability(samples(spark, sf_dir), KEYS, (X > 10) & (X < 30)), KEYS)
+    return rounded(moments.probability(samples(spark, sf_dir), KEYS, (x() > 10) & (x() < 30)), KEYS)
 
 
 @query("SELECT l_suppkey, l_returnflag, round(avg((l_quantity < 20)::INT), 6) AS probability FROM lineitem GROUP BY ALL")
 def probability_tail(spark, sf_dir):
-    return rounded(moments.probability(samples(spark, sf_dir), KEYS, X < 20), KEYS)
+    return rounded(moments.probability(samples(spark, sf_dir), KEYS, x() < 20), KEYS)
 
 
 def sorted_(spark, sf_dir):
-    return order_stats.sorted_samples(samples(spark, sf_dir), KEYS, X)
+    return order_stats.sorted_samples(samples(spark, sf_dir), KEYS, x())
 
 
 @query("""
@@ -178,7 +181,7 @@ t AS (SELECT g.*, lo AS hdi_lo, hi AS hdi_hi, hval, mode FROM g JOIN h USING (l_
 SELECT l_suppkey, """ + ", ".join(f"max(CASE WHEN l_returnflag = '{f}' THEN round({s}, 6) END) AS {s}_{f}" for f in "ANR" for s in STATS) + " FROM t GROUP BY ALL"
 )
 def posterior_tendencies(spark, sf_dir):
-    long = order_stats.tendencies(samples(spark, sf_dir), KEYS, X, 0.0, 50.0)
+    long = order_stats.tendencies(samples(spark, sf_dir), KEYS, x(), 0.0, 50.0)
     return order_stats.pivoted(rounded(long, KEYS), "l_suppkey", "l_returnflag", ["A", "N", "R"], STATS)
 
 
@@ -189,8 +192,8 @@ SELECT l_suppkey, weighted_median, round(weighted_mean, 6) AS weighted_mean FROM
 """)
 def weighted_tendencies(spark, sf_dir):
     s, w = samples(spark, sf_dir), F.col("l_extendedprice")
-    mean = rounded(order_stats.weighted_mean(s, ["l_suppkey"], X, w), ["l_suppkey"])
-    return order_stats.weighted_median(s, ["l_suppkey"], X, w).join(mean, "l_suppkey")
+    mean = rounded(order_stats.weighted_mean(s, ["l_suppkey"], x(), w), ["l_suppkey"])
+    return order_stats.weighted_median(s, ["l_suppkey"], x(), w).join(mean, "l_suppkey")
 
 
 COORDS = [f"c{i}" for i in range(1, 5)]
@@ -234,4 +237,4 @@ def in_field_box(spark, sf_dir):
 
     lat, lon = F.radians(F.pmod("l_partkey", F.lit(180)) - 90), F.radians(F.pmod(F.col("l_suppkey") * 37, F.lit(360)) - 180)
     limits = {"lat": (math.radians(-30), math.radians(30)), "lon": (math.radians(-90), math.radians(90)), "r": (10.0, 40.0)}
-    return samples(spark, sf_dir).where(in_box(lat, lon, X, limits)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return samples(spark, sf_dir).where(in_box(lat, lon, x(), limits)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
