@@ -31,8 +31,8 @@ def scored(arrivals: DataFrame, nodes: DataFrame, times: DataFrame, sigma: Colum
 
 
 def located(scores: DataFrame) -> DataFrame:
-    """The best node of each event; of equal ones the lowest."""
-    best = F.min(F.struct(F.round("misfit", 9).alias("m"), "node_ix", "shift", "misfit", "error")).alias("b")
+    """The best node of each event; of those equal to six decimals the lowest."""
+    best = F.min(F.struct(F.round("misfit", 6).alias("m"), "node_ix", "shift", "misfit", "error")).alias("b")
     return scores.groupBy("event_id").agg(best).select("event_id", "b.node_ix", "b.shift", "b.misfit", "b.error")
 
 

@@ -169,7 +169,7 @@ def carved_grid(spark, sf_dir):
 @query("""WITH a AS (SELECT l_orderkey % 30 AS event_id, l_suppkey AS station_id, l_quantity AS observed, 1.0 + l_linenumber / 10 AS sigma FROM lineitem), n AS (SELECT range AS node_ix FROM range(1, 21)),
 r AS (SELECT event_id, node_ix, observed - ((station_id * 7 + node_ix * 13) % 50) AS r, sigma AS s FROM a, n),
 g AS (SELECT event_id, node_ix, sum(r / s ^ 2) / sum(1 / s ^ 2) AS shift, sum(r * r / s ^ 2) - (sum(r / s ^ 2)) ^ 2 / sum(1 / s ^ 2) AS misfit FROM r GROUP BY ALL)
-SELECT event_id, node_ix, round(shift, 6) AS shift, round(misfit, 5) AS misfit FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY misfit, node_ix) = 1""")
+SELECT event_id, node_ix, round(shift, 6) AS shift, round(misfit, 5) AS misfit FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(misfit, 6), node_ix) = 1""")
 def relocate(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 30).alias("event_id"), F.col("l_suppkey").alias("station_id"), F.lit("P").alias("phase"), F.col("l_quantity").alias("observed"), (1.0 + F.col("l_linenumber") / 10).alias("sigma"))
     nodes = spark.range(1, 21).select(F.col("id").alias("node_ix"))
