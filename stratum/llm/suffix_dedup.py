@@ -2,15 +2,16 @@
 
 1. Winnowing deals the work. Of the SPAN - GRAM + 1 byte grams inside a SPAN-byte string the one with the least
    hash is its anchor, which depends on the string alone: equal strings have equal anchors. The starts that share
-   an anchor are a run, and the bytes their strings cover its segment. A segment has a key (its anchor's hash), so
-   strings can be equal only within a key, and keys of one segment are done.
+   an anchor are a run, cut in two at HALF; the bytes their strings cover are a segment. A segment's key is the hash
+   of the bytes that all its strings share (212 of them), so strings can be equal only within a key, and keys of
+   one segment are done.
 2. Equal segments of a key are one class; two real segments of it go on at most, as more add nothing.
 3. The segments of a key form a text whose suffix array is built by linear grouping; starts of full strings that
    are neighbours in it and agree in SPAN bytes repeat. Where keys have one class each and follow one another in
    the same two documents, their segments overlap: each such chain is one text, so no byte is sorted twice.
 4. Repeated starts go back to every segment of their class, and are merged to spans for each document.
 
-A key with more than CLASSES classes is dealt anew: its runs are cut into bins of BIN starts, with the bytes
+A key with more than CLASSES classes is dealt anew: its half runs are cut into bins of BIN starts, with the bytes
 that all strings of a bin share as the key; and a bin with more than CLASSES classes into single starts, where
 a key is the string itself and so has one class. No class, segment or document is dropped.
 
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from stratum.llm.common import cut, drop_cut, semi, ship, small_ids
 from stratum.llm.suffix_order import ranges, runs, suffix_array
 
-SPAN, GRAM, BIN = 400, 24, 16
-CLASSES = 1024
+SPAN, GRAM, HALF, BIN = 400, 24, 189, 16
+CLASSES = 128
 #: Starts handled at once in a long document, and symbols of suffix-array texts at once (in about 120 bytes each).
 BLOCK, TOGETHER = 1 << 18, 500_000
 #: Texts of more symbols wait for others like them: texts of a batch should take about as many steps.
@@ -104,23 +105,30 @@ def split(first, last, anchor, step: int):
     return a, b, bin_, of
 
 
+def cores(prefix: np.ndarray, hashes: Hashes, anchor: np.ndarray, bin_: np.ndarray, step: int) -> np.ndarray:
+    """Hashes of the bytes that all strings of a bin of step starts share."""
+    low = anchor - bin_ * step
+    return mix(hashes.of(prefix, low, low - step + 1 + SPAN) + bin_.astype(np.uint64) + np.uint64(step))
+
+
 def segments(data: bytes, hashes: Hashes, level: int, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, class, first start, number of starts): at level 0 of every run, at 1 of the bins of runs with a key in hot[0], at 2 of the single starts of bins with a key in hot[1]."""
+    """(key, class, first start, number of starts): at level 0 of every half run, at 1 of the bins of those with a key in hot[0], at 2 of the single starts of bins with a key in hot[1]."""
     with np.errstate(over="ignore"):
         for offset in range(0, len(data) - SPAN + 1, BLOCK):
             block = np.frombuffer(data, np.uint8)[offset : offset + BLOCK + SPAN - 1]
             prefix = hashes.prefix(block)
             first, last, anchor = anchored(prefix, len(block), hashes)
-            key = hashes.of(prefix, anchor, anchor + GRAM)
-            if level > 0:
-                again = np.isin(key, hot[0])
-                first, last, bin_, of = split(first[again], last[again], anchor[again], BIN)
-                low = anchor[again][of] - bin_ * BIN
-                key = mix(hashes.of(prefix, low, low - BIN + 1 + SPAN) + bin_.astype(np.uint64) + np.uint64(1))
+            for step, crowded in zip((HALF, BIN)[: level + 1], [None, *hot][: level + 1], strict=False):
+                if crowded is not None:
+                    again = np.isin(key, crowded)
+                    first, last, anchor = first[again], last[again], anchor[again]
+                first, last, bin_, of = split(first, last, anchor, step)
+                anchor = anchor[of]
+                key = cores(prefix, hashes, anchor, bin_, step)
             if level > 1:
                 again = np.isin(key, hot[1])
                 first = last = ranges(first[again], (last - first + 1)[again])
-                key = mix(hashes.of(prefix, first, first + SPAN) + np.uint64(99))
+                key = mix(hashes.of(prefix, first, first + SPAN) + np.uint64(1))
             yield key.view(np.int64), hashes.of(prefix, first, last + SPAN).view(np.int64), first + offset, last - first + 1
 
 
