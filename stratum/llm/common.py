@@ -2,36 +2,47 @@
 
 from __future__ import annotations
 
-import os
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum import session
+
 #: Most rows (each of a few longs) that any operator here lets Spark broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 
+#: Rows in an Arrow batch, in place of Spark's default of 10,000: rows here are whole documents.
+BATCH_ROWS = 2_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the package to executors that can't import it from a folder (once for each context)."""
-    sc = spark.sparkContext
-    if getattr(sc, "_stratum_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    if os.path.isdir(os.path.join(root, "stratum")):
-        made = os.path.join(tempfile.mkdtemp(prefix="stratum-"), "stratum_ship.zip")
-        with zipfile.ZipFile(made, "w") as z:
-            for top, _, names in os.walk(os.path.join(root, "stratum")):
-                for name in names:
-                    if name.endswith(".py"):
-                        path = os.path.join(top, name)
-                        z.write(path, os.path.relpath(path, root))
-        sc.addPyFile(made)
-    sc._stratum_shipped = True
+    """Give executors the package, and keep Arrow batches small unless the session has chosen a size."""
+    session.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def lean(run: Callable) -> Callable:
+    """run (batches to batches), whose task's memory goes back to the system when it ends: workers live on between tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,7 +106,7 @@ def per_document(df: DataFrame, make: Callable[[], Callable[[bytes], tuple]], sc
         return pa.array(values, type=kind)
 
     ship(df.sparkSession)
-    return df.mapInArrow(run, full)
+    return df.mapInArrow(lean(run), full)
 
 
 def small_ids(ids: DataFrame, limit: int = BROADCAST_ROWS) -> bool:

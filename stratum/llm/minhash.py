@@ -27,14 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, drop_cut, keyed_bytes, semi, ship, small_ids
+from stratum.llm.common import cut, drop_cut, keyed_bytes, lean, semi, ship, small_ids
 from stratum.llm.components import components
 
 WORDS, NEED, OF = 5, 75, 100
 HASHES, ROWS = 64, 4
 BANDS = 2 * HASHES // ROWS
 #: Words remembered by a worker, between two emptyings.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 PIVOT_ROUNDS = 2
 #: Members of a bucket compared with each other in one matrix, and the share of the signature two must agree in.
 BLOCK, AGREE = 1024, 0.5
@@ -136,7 +136,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(own, pa.list_(pa.int64())), pa.array(low, pa.binary())], names=["doc_id", "n_shingles", "set_key", "bands", "low"])
 
     ship(docs.sparkSession)
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(lean(run), SIGNED)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     found_b.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(found_a, pa.int64()), pa.array(found_b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def alike(state: DataFrame, low: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def alike(state: DataFrame, low: DataFrame) -> DataFrame:
                 members.append(member)
         yield answer()
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def linked(members: DataFrame, docs: DataFrame, low: DataFrame) -> DataFrame | None:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, ship
+from stratum.llm.common import cut, lean, ship
 from stratum.llm.components import components
 
 COSINE, TARGET = 0.98, 1.0
@@ -193,7 +193,7 @@ def matched(rows: DataFrame, cosine: float) -> DataFrame:
         if waiting and index is not None:
             yield answer()
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(lean(run), FOUND)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE, target: float = TARGET) -> DataFrame:
@@ -235,7 +235,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("n").take(at), b.column("label").take(at), pa.array(cell, pa.string()), pa.array(home, pa.bool_()), b.column("v").take(at)], names=["id", "n", "label", "cell", "home", "v"])
 
-    placed = cut(classes.select("id", "n", "label", "dim", "v").mapInArrow(place, "id long, n long, label string, cell string, home boolean, v binary"), "index-places")
+    placed = cut(classes.select("id", "n", "label", "dim", "v").mapInArrow(lean(place), "id long, n long, label string, cell string, home boolean, v binary"), "index-places")
     sizes = placed.groupBy("label", "cell").agg(F.ceil(F.count_if("home") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")).where("blocks > 0")
     dealt = placed.join(sizes, ["label", "cell"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))

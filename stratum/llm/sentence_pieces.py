@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratum.llm.common import keyed_bytes, ship
+from stratum.llm.common import keyed_bytes, lean, ship
 from stratum.llm.word_table import WordTable
 
 MARK = "▁"
@@ -215,7 +215,7 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ve
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_tokens", "ids_crc32", "n_byte_pieces", "round_trip"])
 
     ship(df.sparkSession)
-    return keyed_bytes(df, key, text).mapInArrow(run, "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
+    return keyed_bytes(df, key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, drop_cut, semi, ship, small_ids
+from stratum.llm.common import cut, drop_cut, lean, semi, ship, small_ids
 from stratum.llm.suffix_order import ranges, runs, suffix_array
 
 SPAN, GRAM, HALF, BIN = 400, 24, 189, 16
@@ -159,7 +159,7 @@ def cut_up(docs: DataFrame, level: int, hot: list[np.ndarray]) -> DataFrame:
                 key, kind, first, n = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), b.column(0).take(row), b.column(1).take(row), pa.array(first, pa.int64()), pa.array(n.astype(np.int32), pa.int32())], names=["key", "class", "id", "hash", "first", "n"])
 
-    return docs.mapInArrow(run, "key long, class long, id long, hash long, first long, n int")
+    return docs.mapInArrow(lean(run), "key long, class long, id long, hash long, first long, n int")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -223,7 +223,7 @@ def chains(solo: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.list_(pa.struct([("key", pa.int64()), ("class", pa.int64()), ("at", pa.int64()), ("n", pa.int32())])), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["text", "parts", "id", "hash", "first", "bytes"])
 
-    return pairs.mapInArrow(run, f"text long, parts {PARTS}, id long, hash long, first long, bytes long")
+    return pairs.mapInArrow(lean(run), f"text long, parts {PARTS}, id long, hash long, first long, bytes long")
 
 
 def repeated(texts: list[list[tuple[list[dict], bytes]]], hashes: Hashes) -> list[tuple[int, int, list[dict]]]:
@@ -306,8 +306,8 @@ def repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
                 yield found(large)
 
     some = semi(docs, wanted.select("id", "hash"), ["id", "hash"])
-    bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(fetch, f"text long, parts {PARTS}, data binary")
-    return bytes_.repartition("text").sortWithinPartitions("text").mapInArrow(find, "key long, class long, spans array<struct<a: long, b: long>>")
+    bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(lean(fetch), f"text long, parts {PARTS}, data binary")
+    return bytes_.repartition("text").sortWithinPartitions("text").mapInArrow(lean(find), "key long, class long, spans array<struct<a: long, b: long>>")
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -383,7 +383,7 @@ def report(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

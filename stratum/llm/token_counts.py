@@ -19,7 +19,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from stratum.llm.common import keyed_bytes, ship
+from stratum.llm.common import keyed_bytes, lean, ship
 
 CHUNK, OVERLAP = 32_768, 512
 #: Characters of text given to the library at once: its encodings hold about 100 bytes a token.
@@ -102,4 +102,4 @@ def count(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", lim
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, data), pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     ship(df.sparkSession)
-    return keyed_bytes(df, key, text).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return keyed_bytes(df, key, text).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import cut, ship, small_ids
+from stratum.llm.common import cut, lean, ship, small_ids
 
 ARCHIVE_BYTES, CHUNK = 1 << 20, 1 << 16
 DATE = "2020-01-01T00:00:00Z"
@@ -131,7 +131,7 @@ def write(df: DataFrame, key: str = "page_id", url: str = "url", payload: str =
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
 
     ship(df.sparkSession)
-    return rows.mapInArrow(pack, "archive binary")
+    return rows.mapInArrow(lean(pack), "archive binary")
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -144,7 +144,7 @@ def read(archives: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     ship(archives.sparkSession)
-    return archives.select("archive").mapInArrow(unpack, RECORDS)
+    return archives.select("archive").mapInArrow(lean(unpack), RECORDS)
 
 
 def round_trip(df: DataFrame) -> DataFrame:
