@@ -22,6 +22,8 @@ rows count as further places; rows with a null id are documents like others; ext
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -34,11 +36,9 @@ from stratum.llm.common import cut, drop_cut, lean, semi, ship, small_ids
 from stratum.llm.suffix_order import ranges, runs, suffix_array
 
 SPAN, GRAM, HALF, BIN = 400, 24, 189, 16
-CLASSES = 128
+CLASSES = 32
 #: Starts handled at once in a long document, and symbols of suffix-array texts at once (in about 120 bytes each).
 BLOCK, TOGETHER = 1 << 18, 500_000
-#: Texts of more symbols wait for others like them: texts of a batch should take about as many steps.
-LARGE = 16_384
 PLACE_BITS = np.uint64(20)
 BASE = 0x9E3779B97F4A7C15
 
@@ -276,34 +276,41 @@ def repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def find(batches):
         hashes, at, text = Hashes(), None, []
-        waiting, sizes = {False: [], True: []}, {False: 0, True: 0}
+        waiting, sizes = defaultdict(list), defaultdict(int)
 
-        def found(large):
-            cols = list(zip(*repeated(waiting[large], hashes), strict=True)) or [[]] * 3
+        def found(texts):
+            cols = list(zip(*repeated(texts, hashes), strict=True)) or [[]] * 3
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
-            waiting[large], sizes[large] = [], 0
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "class", "spans"])
 
         def done():
+            """Texts of like size wait for each other, as they take about as many steps."""
             size = sum(len(data) for _, data in text)
-            large = size > LARGE
-            waiting[large].append(text)
-            sizes[large] += size
-            return large if sizes[large] > TOGETHER else None
+            like = round(2 * math.log2(size))
+            waiting[like].append(text)
+            sizes[like] += size
+            if sizes[like] < TOGETHER:
+                return None
+            sizes[like] = 0
+            return waiting.pop(like)
 
         for batch in batches:
             for name, parts, data in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 name = name.as_py()
                 if name != at:
-                    if text and (large := done()) is not None:
-                        yield found(large)
+                    if text and (texts := done()):
+                        yield found(texts)
                     at, text = name, []
                 text.append((parts.as_py(), data.as_py()))
-        if text:
-            done()
-        for large in (False, True):
-            if waiting[large]:
-                yield found(large)
+        if text and (texts := done()):
+            yield found(texts)
+        rest = [t for like in sorted(waiting) for t in waiting[like]]
+        while rest:
+            size = end = 0
+            while end < len(rest) and size < TOGETHER:
+                size, end = size + sum(len(data) for _, data in rest[end]), end + 1
+            yield found(rest[:end])
+            rest = rest[end:]
 
     some = semi(docs, wanted.select("id", "hash"), ["id", "hash"])
     bytes_ = some.join(wanted, ["id", "hash"]).select("data", "want").mapInArrow(lean(fetch), f"text long, parts {PARTS}, data binary")

@@ -17,14 +17,25 @@ import numpy as np
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (sizes[0] values), then those of starts[1], ..."""
-    total = int(sizes.sum())
-    ends = np.cumsum(sizes)
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - sizes), sizes)
+    ends = sizes.cumsum()
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += (starts - ends + sizes).repeat(sizes)
+    return out
 
 
 def runs(x: np.ndarray) -> np.ndarray:
     """Indexes where a run of equal values begins."""
-    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+    begins = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=begins[1:])
+    return begins.nonzero()[0]
+
+
+def lengths(first: np.ndarray, n: int) -> np.ndarray:
+    """Lengths of runs that begin at first, of n values in all."""
+    out = np.empty(len(first), np.int64)
+    np.subtract(first[1:], first[:-1], out=out[:-1])
+    out[-1:] = n - first[-1:]
+    return out
 
 
 def first_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +50,7 @@ def first_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     own = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
     starts = runs(own[order] * 65536 + symbols[order])
     group = np.empty(len(symbols), np.int64)
-    group[order] = np.repeat(starts, np.diff(np.append(starts, len(symbols))))
+    group[order] = starts.repeat(lengths(starts, len(symbols)))
     return order, group
 
 
@@ -51,7 +62,7 @@ def lyndon_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     place[slots] = np.arange(n)
     size = np.zeros(n + 1, np.int64)
     starts = np.flatnonzero(group[slots] == np.arange(n))
-    size[starts] = np.diff(np.append(starts, n))
+    size[starts] = lengths(starts, n)
     length = np.ones(n, np.int64)
     before = np.empty(n, np.int64)
     marked = np.zeros(n, bool)
@@ -64,11 +75,11 @@ def lyndon_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
             return slots, group, length
         count = high - start
         member = slots[ranges(start, count)]
-        own = np.repeat(np.arange(len(low)), count)
-        floor, own_group = low[own], start[own]
+        own = np.arange(len(low)).repeat(count)
+        floor, own_group = low.repeat(count), start.repeat(count)
         pointer = member - 1
         before[member] = pointer
-        open_ = np.flatnonzero((pointer >= floor) & (group[pointer] >= own_group))
+        open_ = ((pointer >= floor) & (group[pointer] >= own_group)).nonzero()[0]
         while len(open_):
             onward = before[pointer[open_]]
             pointer[open_] = onward
@@ -82,16 +93,16 @@ def lyndon_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         order = np.argsort(hit, kind="stable")
         hit, hit_own = hit[order], hit_own[order]
         first = runs(hit)
-        times = np.diff(np.append(first, len(hit)))
+        times = lengths(first, len(hit))
         hit, hit_own = hit[first], hit_own[first]
-        length[hit] += times * length[member[np.cumsum(count) - 1]][hit_own]
+        length[hit] += times * length[member[count.cumsum() - 1]][hit_own]
         # the pointed-at suffixes move to the end of their groups, those with more pointers last
         key = group[hit] * (n + 1) + times
         order = np.argsort(key, kind="stable")
         hit, key = hit[order], key[order]
         old = group[hit]
         first = runs(old)
-        leaving = np.diff(np.append(first, len(hit)))
+        leaving = lengths(first, len(hit))
         of = old[first]
         tail = of + size[of] - leaving
         to = ranges(tail, leaving)
@@ -99,13 +110,13 @@ def lyndon_groups(symbols: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
         marked[hit] = True
         pushed = there[~marked[there]]
         marked[hit] = False
-        free = was[was < np.repeat(tail, leaving)]
+        free = was[was < tail.repeat(leaving)]
         slots[free], place[pushed] = pushed, free
         slots[to], place[hit] = hit, to
         size[of] -= leaving
         first = runs(key)
-        size[to[first]] = new = np.diff(np.append(first, len(hit)))
-        group[hit] = np.repeat(to[first], new)
+        size[to[first]] = new = lengths(first, len(hit))
+        group[hit] = to[first].repeat(new)
 
 
 def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -114,7 +125,7 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     slots, group, length = lyndon_groups(symbols, bounds)
     after = np.arange(n) + length
     starts = np.flatnonzero(group[slots] == np.arange(n))
-    sizes = np.diff(np.append(starts, n))
+    sizes = lengths(starts, n)
     rank = np.full(n + 1, -1, np.int64)
     rank[slots[starts[sizes == 1]]] = starts[sizes == 1]
     starts, sizes = starts[sizes > 1], sizes[sizes > 1]
@@ -123,7 +134,7 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     # step k emits the k-th lowest group (of two or more suffixes) of every text
     text = np.searchsorted(bounds, starts, side="right")
     begin = runs(text)
-    step = np.arange(len(starts)) - np.repeat(begin, np.diff(np.append(begin, len(starts))))
+    step = np.arange(len(starts)) - np.repeat(begin, lengths(begin, len(starts)))
     order = np.argsort(step, kind="stable")
     starts, sizes, step = starts[order], sizes[order], step[order]
     places = ranges(starts, sizes)
@@ -143,7 +154,7 @@ def suffix_array(symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             order = np.argsort(own[ready] * (n + 1) + known[ready], kind="stable")
             now, at = member[ready][order], own[ready][order]
             first = runs(at)
-            count = np.diff(np.append(first, len(at)))
+            count = lengths(first, len(at))
             rank[now] = filled[ready][order] + np.arange(len(at)) - np.repeat(first, count)
             grown = np.zeros(len(own), np.int64)
             where = np.searchsorted(at[first], own)
