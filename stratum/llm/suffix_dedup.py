@@ -11,9 +11,10 @@
    the same two documents, their segments overlap: each such chain is one text, so no byte is sorted twice.
 4. Repeated starts go back to every segment of their class, and are merged to spans for each document.
 
-A key with more than CLASSES classes is dealt anew: its half runs are cut into bins of BIN starts, with the bytes
-that all strings of a bin share as the key; and a bin with more than CLASSES classes into single starts, where
-a key is the string itself and so has one class. No class, segment or document is dropped.
+A key with more than CLASSES classes is dealt anew: two members of each of its classes, enough to stand for all, are
+cut into bins of BIN starts, with the bytes that all strings of a bin share as the key; and a bin with more than
+CLASSES classes into single starts, where a key is the string itself and so has one class. What is found goes back to
+the classes that the parts are from. No class, segment or document is dropped.
 
 Cases: null and empty texts, and texts under SPAN bytes, keep all bytes; strings never cross documents; repeated
 rows count as further places; rows with a null id are documents like others; extra columns are ignored.
@@ -111,35 +112,47 @@ def cores(prefix: np.ndarray, hashes: Hashes, anchor: np.ndarray, bin_: np.ndarr
     return mix(hashes.of(prefix, low, low - step + 1 + SPAN) + bin_.astype(np.uint64) + np.uint64(step))
 
 
-def segments(data: bytes, hashes: Hashes, level: int, hot: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(key, class, first start, number of starts): at level 0 of every half run, at 1 of the bins of those with a key in hot[0], at 2 of the single starts of bins with a key in hot[1]."""
+Found = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def segments(data: bytes, hashes: Hashes) -> Iterator[Found]:
+    """(key, class, first start, number of starts) of every half run."""
     with np.errstate(over="ignore"):
         for offset in range(0, len(data) - SPAN + 1, BLOCK):
             block = np.frombuffer(data, np.uint8)[offset : offset + BLOCK + SPAN - 1]
             prefix = hashes.prefix(block)
             first, last, anchor = anchored(prefix, len(block), hashes)
-            for step, crowded in zip((HALF, BIN)[: level + 1], [None, *hot][: level + 1], strict=False):
-                if crowded is not None:
-                    again = np.isin(key, crowded)
-                    first, last, anchor = first[again], last[again], anchor[again]
-                first, last, bin_, of = split(first, last, anchor, step)
-                anchor = anchor[of]
-                key = cores(prefix, hashes, anchor, bin_, step)
-            if level > 1:
-                again = np.isin(key, hot[1])
-                first = last = ranges(first[again], (last - first + 1)[again])
-                key = mix(hashes.of(prefix, first, first + SPAN) + np.uint64(1))
+            first, last, bin_, of = split(first, last, anchor, HALF)
+            key = cores(prefix, hashes, anchor[of], bin_, HALF)
             yield key.view(np.int64), hashes.of(prefix, first, last + SPAN).view(np.int64), first + offset, last - first + 1
 
 
+def parts_of(data: bytes, hashes: Hashes, level: int) -> Found:
+    """The same of a segment's bins (level 1), or of a bin's single starts (level 2)."""
+    with np.errstate(over="ignore"):
+        block = np.frombuffer(data, np.uint8)
+        prefix = hashes.prefix(block)
+        if level == 1:
+            first, last, anchor = anchored(prefix, len(block), hashes)
+            first, last, bin_, of = split(first, last, anchor, BIN)
+            key = cores(prefix, hashes, anchor[of], bin_, BIN)
+        else:
+            first = last = np.arange(len(block) - SPAN + 1)
+            key = mix(hashes.of(prefix, first, first + SPAN) + np.uint64(1))
+        return key.view(np.int64), hashes.of(prefix, first, last + SPAN).view(np.int64), first, last - first + 1
+
+
 def with_row(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id, hash, data): a row is known by its id (null: the least long) and its text's hash, so equal rows share their result."""
     data = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary")
     return df.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(-(2**63))).alias("id"), F.xxhash64(data).alias("hash"), data.alias("data"))
 
 
-def cut_up(docs: DataFrame, level: int, hot: list[np.ndarray]) -> DataFrame:
-    """(key, class, id, hash, first, n) of the segments of a level."""
+SEGMENT = "key long, class long, id long, hash long, first long, n int"
+
+
+def cut_up(docs: DataFrame) -> DataFrame:
+    """The segments (columns of SEGMENT) of all documents."""
 
     def run(batches):
         hashes = Hashes()
@@ -149,7 +162,7 @@ def cut_up(docs: DataFrame, level: int, hot: list[np.ndarray]) -> DataFrame:
             for i in range(b.num_rows):
                 data = b.column(2)[i].as_py()
                 if len(data) >= SPAN:
-                    for got in segments(data, hashes, level, hot):
+                    for got in segments(data, hashes):
                         for o, g in zip(out, got, strict=True):
                             o.append(g)
                         which.append(i)
@@ -159,7 +172,33 @@ def cut_up(docs: DataFrame, level: int, hot: list[np.ndarray]) -> DataFrame:
                 key, kind, first, n = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(kind), b.column(0).take(row), b.column(1).take(row), pa.array(first, pa.int64()), pa.array(n.astype(np.int32), pa.int32())], names=["key", "class", "id", "hash", "first", "n"])
 
-    return docs.mapInArrow(lean(run), "key long, class long, id long, hash long, first long, n int")
+    return docs.mapInArrow(lean(run), SEGMENT)
+
+
+def cut_again(docs: DataFrame, members: DataFrame, level: int) -> DataFrame:
+    """The parts of members (columns of SEGMENT), with the class they are from and their first start's distance from its first: parent, parent_class, shift."""
+    wanted = cut(members.groupBy("id", "hash").agg(F.collect_list(F.struct("key", "class", "first", "n")).alias("want")), "suffix-again")
+    some = semi(docs, wanted.select("id", "hash"), ["id", "hash"]).dropDuplicates(["id", "hash"])
+
+    def run(batches):
+        hashes = Hashes()
+        for b in batches:
+            for id_, hash_, data, want in zip(*(b.column(c) for c in ("id", "hash", "data", "want")), strict=True):
+                data, rows, counts, out = data.as_py(), want.as_py(), [], [[], [], [], []]
+                for w in rows:
+                    got = parts_of(data[w["first"] : w["first"] + w["n"] + SPAN - 1], hashes, level)
+                    counts.append(len(got[0]))
+                    for o, g in zip(out, got, strict=True):
+                        o.append(g)
+                key, kind, shift, n = (np.concatenate(x) for x in out)
+                parent, parent_class, first = (np.repeat(np.array([w[c] for w in rows], np.int64), counts) for c in ("key", "class", "first"))
+                total = len(key)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key), pa.array(kind), pa.array([id_.as_py()] * total, pa.int64()), pa.array([hash_.as_py()] * total, pa.int64()), pa.array(first + shift), pa.array(n.astype(np.int32)), pa.array(parent), pa.array(parent_class), pa.array(shift.astype(np.int64))],
+                    names=["key", "class", "id", "hash", "first", "n", "parent", "parent_class", "shift"],
+                )
+
+    return some.join(wanted, ["id", "hash"]).select("id", "hash", "data", "want").mapInArrow(lean(run), f"{SEGMENT}, parent long, parent_class long, shift long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -170,30 +209,23 @@ def shared(rows: DataFrame) -> DataFrame:
     return out
 
 
-def dealt(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All segments that share their key, and (key, class, m, one, two, solo) of their classes: two members, and whether the key has no other class."""
-    rows, classes, hot = [], [], []
+def dealt(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """The segments of each level that share their key, and (key, class, m, one, two, solo) of the classes that aren't dealt anew: two members, and whether the key has no other class."""
+    levels, classes, own = [], [], shared(cut_up(docs))
     for level in range(3):
-        own = shared(cut_up(docs, level, hot))
-        kinds = own.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct("id", "hash", "first", "n")).alias("one"), F.max(F.struct("id", "hash", "first", "n")).alias("two"))
-        kinds = cut(kinds, "suffix-classes")
+        kinds = cut(own.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct("id", "hash", "first", "n")).alias("one"), F.max(F.struct("id", "hash", "first", "n")).alias("two")), "suffix-classes")
         counts = kinds.groupBy("key").agg(F.count("*").alias("c"))
-        # at most a million keys of 8 bytes, as they are sent to every task
-        limit = max(CLASSES, kinds.count() // 1_000_000)
-        crowded = counts.where(F.col("c") > limit).select("key") if level < 2 else counts.limit(0).select("key")
-        names = crowded.toPandas()["key"].to_numpy(np.int64)
-        kinds = kinds.join(counts, "key").select("key", "class", "m", "one", "two", (F.col("c") == 1).alias("solo"), (F.col("c") > limit if level < 2 else F.lit(False)).alias("again"))
-        classes.append(kinds.where("NOT again").drop("again"))
-        if not len(names):
-            rows.append(own)
+        kinds = kinds.join(counts, "key")
+        levels.append(own)
+        crowded = kinds.where(F.col("c") > CLASSES)
+        if level == 2 or crowded.isEmpty():
+            classes.append(kinds)
             break
-        few = docs.sparkSession.createDataFrame(pa.table({"key": names}))
-        rows.append(own.join(F.broadcast(few), "key", "left_anti"))
-        ids = cut(own.join(F.broadcast(few), "key", "left_semi").select("id", "hash").distinct(), "suffix-again")
-        docs = semi(docs, ids, ["id", "hash"])
-        hot.append(np.sort(names.view(np.uint64)))
-    both = lambda frames: reduce(DataFrame.unionByName, frames)
-    return both(rows), cut(both(classes), "suffix-dealt")
+        classes.append(kinds.where(F.col("c") <= CLASSES))
+        members = crowded.select("key", "class", "one.*").unionByName(crowded.where("m > 1").select("key", "class", "two.*"))
+        own = shared(cut_again(docs, members, level + 1))
+    all_ = reduce(DataFrame.unionByName, classes)
+    return levels, cut(all_.select("key", "class", "m", "one", "two", (F.col("c") == 1).alias("solo")), "suffix-dealt")
 
 
 #: A segment's place in a text: its class and where its starts lie.
@@ -320,9 +352,14 @@ def repeats(docs: DataFrame, classes: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(id, hash, spans array<struct<a, b>>): disjoint ascending byte spans to remove, for the rows that have any."""
     ship(docs.sparkSession)
-    all_, classes = dealt(docs)
+    levels, classes = dealt(docs)
     found = cut(repeats(docs, classes).groupBy("key", "class").agg(F.first("spans").alias("spans")), "suffix-repeats")
-    placed = all_.join(found, ["key", "class"]).select("id", "hash", F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col("first")).alias("a"), (s["b"] + F.col("first")).alias("b")))).alias("s"))
+    moved = lambda by: F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))).alias("s")
+    for rows in levels[:0:-1]:  # what parts repeat goes to the classes they are from
+        up = rows.join(found, ["key", "class"]).select("parent", "parent_class", moved("shift"))
+        up = up.groupBy(F.col("parent").alias("key"), F.col("parent_class").alias("class")).agg(F.collect_set("s").alias("s"))
+        found = found.unionByName(cut(up.select("key", "class", united("s").alias("spans")), "suffix-up"))
+    placed = levels[0].join(found, ["key", "class"]).select("id", "hash", moved("first"))
     return cut(placed.groupBy("id", "hash").agg(F.collect_set("s").alias("s")).select("id", "hash", united("s").alias("spans")), "suffix-spans")
 
 
