@@ -129,4 +129,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}
+OP4 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS (SELECT doc_id, unnest(list_transform(range(0, greatest(0, length(h) // 2 - 399)), lambda p: {'p': p, 'k': hash(h[2 * p + 1:2 * p + 800])}), recursive := true) FROM d),
+r AS (SELECT doc_id, p FROM x WHERE k IN (SELECT k FROM x GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, g),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+m AS (SELECT k.doc_id, sum(b - a) AS n, count(*) AS c, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4, "op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}
