@@ -6,10 +6,12 @@
 3. ROWS signature values make a band. Of each bucket, the member that shares most bucket places with others is
    the pivot; the others are confirmed against it on full sets. Linked members then form components, so that a
    group of near copies collapses without its pairs being listed. This is done PIVOT_ROUNDS times.
-4. Of buckets that still hold members of different components, all pairs across components are compared by their
-   signatures, in blocks, and those that agree in half of it (a pair at the limit agrees in three quarters; fewer
-   than half has a chance of about 1e-10) are confirmed on full sets. So every pair that shares a bucket is
-   confirmed, in one component already, or too far apart; and no step lists the pairs of a large bucket.
+4. Members of buckets that still hold different components are dealt in blocks. A block first compares signatures:
+   a pair across components that agrees in half of it (a pair at the limit agrees in three quarters; fewer than half
+   has a chance of about 1e-10) is a candidate in the first bucket the two share. The texts of members with a
+   candidate then come to their blocks, where candidates are confirmed on full sets and only a spanning forest of
+   the links leaves. So every pair that shares a bucket is confirmed, in one component already, or too far apart;
+   and no step lists the pairs of a bucket.
 
 Cases: null and empty texts, and texts without words, have the empty set and link with nothing; fewer than
 five words are one shingle; repeated rows of a doc_id give one row each with that id's component; rows with a
@@ -37,7 +39,7 @@ BANDS = 2 * HASHES // ROWS
 REMEMBERED = 200_000
 PIVOT_ROUNDS = 2
 #: Members of a bucket compared with each other in one matrix, and the share of the signature two must agree in.
-BLOCK, AGREE = 1024, 0.5
+BLOCK, AGREE = 512, 0.5
 #: Members confirmed against one pivot in a group of rows; a pivot with more of them is repeated.
 GROUP = 512
 
@@ -166,49 +168,99 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(run), "a long, b long")
 
 
-def alike(state: DataFrame, low: DataFrame) -> DataFrame:
-    """state: (key, doc_id, component) of buckets with different components. (a, b): pairs of a bucket, across components, whose signatures agree."""
-    parts = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    rows = state.join(parts, "key").join(low, "doc_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # a block meets each other block once, and itself
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component", "low")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compared(members):
-        own, ids, comps = (np.array([m[k] for m in members]) for k in range(3))
-        sigs = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1)
-        across = own.min() != own.max()
-        for k in range(len(members) - 1):
-            open_ = comps[k + 1 :] != comps[k]
-            if across:
-                open_ &= own[k + 1 :] != own[k]
-            rest = np.flatnonzero(open_) + k + 1
-            if len(rest):
-                near = rest[(sigs[rest] == sigs[k]).sum(1) >= AGREE * sigs.shape[1]]
-                yield from ((min(int(ids[k]), int(x)), max(int(ids[k]), int(x))) for x in ids[near])
+BLOCKS = "key long, i int, j int, own int, doc_id long, component long"
+
+
+def candidates(key: int, members: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Places (k, x) of a block's members (own block, id, component, low, bands, ...) across components, and across blocks if there are two, whose signatures agree and who share no earlier bucket."""
+    own, comps = (np.array([m[k] for m in members]) for k in (0, 2))
+    low = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(len(members), -1)
+    places = np.array([m[4] for m in members], np.int64)
+    across = own.min() != own.max()
+    for k in range(len(members) - 1):
+        open_ = comps[k + 1 :] != comps[k]
+        if across:
+            open_ &= own[k + 1 :] != own[k]
+        rest = open_.nonzero()[0] + k + 1
+        if len(rest):
+            near = rest[(low[rest] == low[k]).sum(1) >= AGREE * low.shape[1]]
+            if len(near):
+                first = (places[near] == places[k]).argmax(1)
+                for x in near[places[k][first] == key].tolist():
+                    yield k, x
+
+
+def by_block(rows: DataFrame, answer, schema: str) -> DataFrame:
+    """answer(key, i, j, members) for each (key, i, j) of rows; it gives columns."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    kinds = [{"long": pa.int64(), "int": pa.int32()}[part.strip().split(" ")[1]] for part in schema.split(",")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         at, members = None, []
 
-        def answer():
-            found = list(compared(members)) if len(members) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def answered():
+            found = list(answer(*at, members)) if len(members) > 1 else []
+            cols = list(zip(*found, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
             for key, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != at:
                     if len(members) > 1:
-                        yield answer()
+                        yield answered()
                     at, members = (key, i, j), []
                 members.append(member)
-        yield answer()
+        if len(members) > 1:
+            yield answered()
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(run), schema)
+
+
+def with_candidates(key, i, j, members):
+    some = {m for pair in candidates(key, members) for m in pair}
+    return [(key, i, j, members[m][0], members[m][1], members[m][2]) for m in sorted(some)]
 
-    return rows.mapInArrow(lean(run), "a long, b long").distinct()
+
+def links_of(key, i, j, members):
+    """Links (a, b) that join a block's members, as few as do; members' last column is the text."""
+    sets, made, root = Shingles(), {}, {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def own(m):
+        if m not in made:
+            made[m] = sets(members[m][5])
+        return made[m]
+
+    out = []
+    for a, b in candidates(key, members):
+        p, q = top(members[a][2]), top(members[b][2])
+        if p != q and similar(own(a), own(b)):
+            root[max(p, q)] = min(p, q)
+            out.append((min(members[a][1], members[b][1]), max(members[a][1], members[b][1])))
+    return out
+
+
+def block_links(state: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
+    """state: (key, doc_id, component) of buckets with different components; signatures: (doc_id, low, bands). (a, b): links that join what the buckets' links join."""
+    parts = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    rows = state.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # a block meets each other block once, and itself
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "component")
+    order = ["key", "i", "j", "own", "doc_id", "component", "low", "bands"]
+    members = cut(by_block(rows.join(signatures, "doc_id").select(order), with_candidates, BLOCKS), "minhash-blocks")
+    ids = cut(members.select("doc_id").distinct(), "minhash-ids")
+    texts = semi(docs, ids, ["doc_id"]).dropDuplicates(["doc_id"])
+    return by_block(members.join(signatures, "doc_id").join(texts, "doc_id").select(*order, "data"), links_of, "a long, b long")
 
 
-def linked(members: DataFrame, docs: DataFrame, low: DataFrame) -> DataFrame | None:
-    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component), or None without any bucket. low: (doc_id, low)."""
+def linked(members: DataFrame, docs: DataFrame, signatures: DataFrame) -> DataFrame | None:
+    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component), or None without any bucket. signatures: (doc_id, low, bands)."""
     if members.isEmpty():
         return None
     sizes = members.groupBy("key").agg((F.count("*") - 1).alias("others"))
@@ -225,11 +277,11 @@ def linked(members: DataFrame, docs: DataFrame, low: DataFrame) -> DataFrame | N
             pairs = mixed_.join(pivot, "key").where("component <> of").select("a", F.col("doc_id").alias("b")).distinct()
             used = pivot.select("key", F.col("a").alias("doc_id"))
             tried = used if tried is None else tried.unionAll(used)
+            pairs = cut(pairs, "minhash-pairs")
+            new = cut(confirmed(pairs, docs), "minhash-links")
+            drop_cut(pairs)
         else:
-            pairs = alike(mixed_.select("key", "doc_id", "component"), low)
-        pairs = cut(pairs, "minhash-pairs")
-        new = cut(confirmed(pairs, docs), "minhash-links")
-        drop_cut(pairs)
+            new = cut(block_links(mixed_.select("key", "doc_id", "component"), signatures, docs), "minhash-links")
         links = new if links is None else links.unionAll(new)
         comps = cut(components(links), "minhash-components")
         state = ranked.join(comps, ranked.doc_id == comps.node, "left").select("key", "doc_id", "order", F.coalesce("component", "doc_id").alias("component"))
@@ -245,7 +297,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(placed.join(shared, "key").select("key", "doc_id").distinct(), "minhash-buckets")
-    comps = linked(members, docs, classes.select(F.col("rep").alias("doc_id"), "low"))
+    comps = linked(members, docs, classes.select(F.col("rep").alias("doc_id"), "low", "bands"))
     reps = classes.select("set_key", "rep")
     if comps is not None:
         reps = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("component", "rep").alias("rep"))
