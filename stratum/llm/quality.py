@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def features(data: pd.Series) -> pd.Series:
         return data.map(lambda d: passages([d])[0].tobytes())
 
-    rows = own.join(F.broadcast(chosen), "id").select("id", "y", features("data").alias("x")).toPandas().sort_values(["id"], kind="stable")
+    rows = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", features("data").alias("x")).toPandas().sort_values(["id"], kind="stable")
     if rows["y"].nunique() < 2:
         return float(rows["y"].mean()) if len(rows) else 0.5
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in rows["x"]]
