@@ -84,3 +84,18 @@ def directional_moments(samples: DataFrame, keys: list[str], f: Column, azimuth:
     if field:
         out.append(ratio(c("m23") - c("m2") * c("m3"), sd(c("m2"), c("q2")) * sd(c("m3"), c("q3"))).alias(f"pcc_{field}_prj"))
     return g.select(*keys, *out).join(axes.select(*keys, "bias"), keys)
+
+
+def directional_tendencies(samples: DataFrame, keys: list[str], f: Column, azimuth: Column, elevation: Column, limits: dict[str, tuple[float, float]], level: float = 0.9) -> DataFrame:
+    """Tendencies of strength, projection and angle (long in field), limits giving each one's prior range, with the strength-weighted mean and median of the angle; each weight stays with its sample."""
+    from stratum.operators import order_stats
+
+    axes = with_axes(mean_tensor(samples, keys, f, azimuth, elevation))
+    d = deviations(samples, axes, keys, f, azimuth, elevation)
+    out = None
+    for name, (low, high) in limits.items():
+        one = order_stats.tendencies(d, keys, F.col(name), low, high, level).withColumn("field", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    weight, angle = F.col("strength"), F.col("angle")
+    w = order_stats.weighted_mean(d, keys, angle, weight).join(order_stats.weighted_median(d, keys, angle, weight), keys)
+    return out.join(w, keys).withColumns({c: F.when(F.col("field") == "angle", F.col(c)) for c in ("weighted_mean", "weighted_median")})

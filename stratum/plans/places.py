@@ -181,3 +181,39 @@ def tracing_velocities(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").withColumns({"dlnVp": F.col("l_discount"), "dlnVp2Vs": F.col("l_tax")})
     vp, vs = anisotropy.tracing_velocity(set(n.columns), 6 + F.col("l_quantity") / 50, 3.5 + F.col("l_quantity") / 90)
     return n.select("l_orderkey", "l_linenumber", "l_partkey", r6(vp).alias("vp"), r6(vs).alias("vs"))
+
+
+@query()
+def directional_tendencies(spark, sf_dir):
+    limits = {"strength": (0.0, 50.0), "prj": (0.0, 50.0), "angle": (0.0, math.pi / 2)}
+    return rounded(directional.directional_tendencies(directions(spark, sf_dir), ["l_suppkey"], *args(), limits), [])
+
+
+@query(SUP + """, c AS (SELECT *, s_suppkey % 20 AS ray_id, cos(lat) * cos(lon) * r AS x, cos(lat) * sin(lon) * r AS y, sin(lat) * r AS z FROM s),
+d AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy, lead(z) OVER w - z AS dz FROM c WINDOW w AS (PARTITION BY ray_id ORDER BY s_suppkey)),
+e AS (SELECT ray_id, s_suppkey, r, sqrt(dx ^ 2 + dy ^ 2 + dz ^ 2) AS len, -sin(lon) * dx + cos(lon) * dy AS ea, -sin(lat) * (cos(lon) * dx + sin(lon) * dy) + cos(lat) * dz AS no, cos(lat) * (cos(lon) * dx + sin(lon) * dy) + sin(lat) * dz AS up FROM d),
+f AS (SELECT *, atan2(no, ea) AS az, asin(round(up / len, 6)) AS el FROM e)
+SELECT ray_id, s_suppkey AS node_ix, round(len, 6) AS seg_len, round(coalesce(az, lag(az) OVER w), 6) AS azimuth, round(coalesce(el, lag(el) OVER w), 6) AS elevation, round(5 + (6371 - r) / 100, 6) AS vp1d, round(3 + (6371 - r) / 200, 6) AS vs1d FROM f WINDOW w AS (PARTITION BY ray_id ORDER BY s_suppkey)""")
+def ray_node_table(spark, sf_dir):
+    from stratum.operators import rays
+
+    s = supplier(spark, sf_dir)
+    x, y, z = geo.to_cartesian(F.col("lat"), F.col("lon"), F.col("r"))
+    paths = s.select((F.col("s_suppkey") % 20).alias("ray_id"), F.col("s_suppkey").alias("node_ix"), x.alias("x"), y.alias("y"), z.alias("z"))
+    knots = spark.createDataFrame([(6371.0, 5.0, 3.0), (6171.0, 7.0, 4.0)], "radius double, vp double, vs double")
+    return rounded(rays.build(paths, knots).select("ray_id", "node_ix", "seg_len", "azimuth", "elevation", "vp1d", "vs1d"), [])
+
+
+@query("SELECT event_id, user_id, lag(event_id) OVER w AS below, lead(event_id) OVER w AS above FROM events WINDOW w AS (PARTITION BY user_id ORDER BY value, event_id)")
+def radial_neighbours(spark, sf_dir):
+    from stratum.operators import rays
+
+    return rays.radial_neighbours(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value").select("event_id", "user_id", "below", "above")
+
+
+@query(GRID_SQL + f""", t AS (SELECT radians(s_suppkey * 7 % 13 - 6) AS la, radians(s_suppkey * 11 % 29 + 5) AS lo, s_acctbal AS elevation FROM supplier),
+n AS (SELECT node_ix, elevation, (cos(lat) * cos(lon) - cos(la) * cos(lo)) ^ 2 + (cos(lat) * sin(lon) - cos(la) * sin(lo)) ^ 2 + (sin(lat) - sin(la)) ^ 2 AS d, la, lo FROM p, t)
+SELECT node_ix, elevation FROM n QUALIFY row_number() OVER (PARTITION BY node_ix ORDER BY round(d, 12), la, lo, elevation) = 1""")
+def topography_grid(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select(F.expr("radians(s_suppkey * 7 % 13 - 6)").alias("lat"), F.expr("radians(s_suppkey * 11 % 29 + 5)").alias("lon"), F.col("s_acctbal").alias("elevation"))
+    return grid.topography(grid.lattice(spark, *GRID), s).select("node_ix", "elevation")
