@@ -204,8 +204,11 @@ def cut_again(docs: DataFrame, members: DataFrame, level: int) -> DataFrame:
 def shared(rows: DataFrame) -> DataFrame:
     """The segments whose key another segment has too."""
     rows = cut(rows, "suffix-segments")
-    out = cut(rows.join(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "key", "left_semi"), "suffix-shared")
+    # counted apart from the join, so that Spark can split a hot key's rows in it
+    keys = cut(rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "suffix-keys")
+    out = cut(rows.join(keys, "key", "left_semi"), "suffix-shared")
     drop_cut(rows)
+    drop_cut(keys)
     return out
 
 
@@ -214,7 +217,7 @@ def dealt(docs: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     levels, classes, own = [], [], shared(cut_up(docs))
     for level in range(3):
         kinds = cut(own.groupBy("key", "class").agg(F.count("*").alias("m"), F.min(F.struct("id", "hash", "first", "n")).alias("one"), F.max(F.struct("id", "hash", "first", "n")).alias("two")), "suffix-classes")
-        counts = kinds.groupBy("key").agg(F.count("*").alias("c"))
+        counts = cut(kinds.groupBy("key").agg(F.count("*").alias("c")), "suffix-counts")
         kinds = kinds.join(counts, "key")
         levels.append(own)
         crowded = kinds.where(F.col("c") > CLASSES)
