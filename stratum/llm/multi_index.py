@@ -115,9 +115,9 @@ def matrix(column: pa.Array) -> np.ndarray:
 def packed(column: str):
     """array<double> as binary doubles."""
 
-    @F.pandas_udf("binary")
-    def one(vectors):
-        return vectors.map(lambda v: np.asarray(v, np.float64).tobytes())
+    @F.arrow_udf("binary")
+    def one(vectors: pa.Array) -> pa.Array:
+        return pa.array([np.asarray(v, np.float64).tobytes() for v in vectors.to_pylist()], pa.binary())
 
     return one(column)
 

@@ -12,18 +12,20 @@ labels, lang, source and doc_id are no inputs; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import ship
+from stratum.llm.common import lean, ship
 from stratum.llm.suffix_order import runs
 
 PASSAGE, HIDDEN, ATTENTION = 64, 32, 16
 TRAIN_DOCS, EPOCHS, RATE, DECAY, SEED = 4000, 12, 0.01, 1e-4, 7
 THRESHOLD = 0.3
-TOGETHER = 1 << 21
+TOGETHER = 1 << 19
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 #: Kinds of bytes: each ASCII byte its own, letters' cases apart, others by their top bits.
 BYTE_KIND = np.where(np.arange(256) < 128, np.arange(256), 128 + (np.arange(256) >> 4 & 7))
@@ -158,9 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
     own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary").alias("data"))
 
-    @F.pandas_udf("binary")
-    def features(data: pd.Series) -> pd.Series:
-        return data.map(lambda d: passages([d])[0].tobytes())
+    @F.arrow_udf("binary")
+    def features(data: pa.Array) -> pa.Array:
+        return pa.array([passages([d])[0].tobytes() for d in data.to_pylist()], pa.binary())
 
     rows = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", features("data").alias("x")).toPandas().sort_values(["id"], kind="stable")
     if rows["y"].nunique() < 2:
@@ -171,9 +173,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def score_column(model, text: str):
-    @F.pandas_udf("double")
-    def score(data: pd.Series) -> pd.Series:
-        return pd.Series(scores(model, list(data)))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(lambda some: (pa.array(scores(model, b.to_pylist()), pa.float64()) for b in some))(batches)
 
     return score(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))
 

@@ -9,13 +9,15 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from collections.abc import Iterator
 from functools import cache
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import keyed_bytes, per_document
+from stratum.llm.common import keyed_bytes, lean, per_document, ship
 
 KINDS = ("assign", "access", "hex", "github", "npm", "bip32", "age")
 BASE_KINDS = KINDS[:3]
@@ -137,25 +139,21 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 def redact(df: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with every found span of its text replaced by mark (overlapping spans by one). Null texts stay null; other columns stay as they are."""
-    from stratum.llm.common import ship
-
     ship(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def cleaned(texts):
-        def one(t):
-            if t is None:
-                return None
-            spans = find(t.encode("utf-8", "replace"))
-            if not spans:
-                return t
-            out, at = [], 0
-            for a, b, _ in spans:
-                if a >= at:
-                    out += [t[at:a], mark]
-                at = max(at, b)
-            return "".join([*out, t[at:]])
-
-        return texts.map(one, na_action="ignore")
+    def one(t: str | None) -> str | None:
+        spans = find(t.encode("utf-8", "replace")) if t else None
+        if not spans:
+            return t
+        out, at = [], 0
+        for a, b, _ in spans:
+            if a >= at:
+                out += [t[at:a], mark]
+            at = max(at, b)
+        return "".join([*out, t[at:]])
+
+    @F.arrow_udf("string")
+    def cleaned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(lambda some: (pa.array([one(t) for t in b.to_pylist()], pa.string()) for b in some))(batches)
 
     return df.withColumn(text, cleaned(F.col(f"`{text}`")))

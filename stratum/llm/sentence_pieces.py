@@ -33,7 +33,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces
 UNIGRAM, BPE = 1, 2  # kinds of models
 #: Units that a worker remembers, bytes of text taken together, and the library's threads in each worker.
-REMEMBERED, TOGETHER, THREADS = 2_000_000, 1 << 20, 2
+REMEMBERED, TOGETHER, THREADS = 2_000_000, 1 << 19, 2
 
 
 class ParityError(ValueError):
@@ -224,12 +224,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> Dat
 
     ship(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def decoded(column):
-        codec = Codec(path, verify=False)
-        known = column.notna()
-        column = column.astype(object)
-        column[known] = codec.decode([[int(i) for i in x] for x in column[known]])
-        return column
+    @F.arrow_udf("string")
+    def decoded(column: pa.Array) -> pa.Array:
+        codec, rows = Codec(path, verify=False), column.to_pylist()
+        known = codec.decode([[int(i) for i in x] for x in rows if x is not None])
+        texts = iter(known)
+        return pa.array([None if x is None else next(texts) for x in rows], pa.string())
 
     return df.withColumn(out, decoded(F.col(f"`{ids}`")))

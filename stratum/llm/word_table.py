@@ -33,7 +33,7 @@ class WordTable:
     def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             if len(self.up) <= len(raw):
-                n = max(len(raw), 1 << 21) + 1
+                n = max(len(raw), 1 << 19) + 1
                 self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
                 self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 2**64), np.uint64)]))
             sums = np.zeros(len(raw) + 1, np.uint64)
