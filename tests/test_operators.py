@@ -284,3 +284,27 @@ def test_stream_of_samples(spark, tmp_path):
     q.processAllAvailable()
     assert spark.table("running").first()["mean"] == pytest.approx(4.6)
     q.stop()
+
+
+def test_rays_are_built(spark):
+    from stratum.operators import rays
+
+    paths = spark.createDataFrame([(1, i, 6000.0 + 53 * i, 0.0, 0.0, float(i)) for i in range(8)] + [(2, 1, 6300.0, 0.0, 0.0, 0.0), (2, 2, 6300.0, 10.0, 0.0, 1.0)], "ray_id int, node_ix int, x double, y double, z double, t double")
+    knots = spark.createDataFrame([(6371.0, 5.0, 3.0), (6000.0, 8.71, 4.0)], "radius double, vp double, vs double")
+    n = rays.build(paths, knots, spacing=100.0, polarization=spark.createDataFrame([(1, 0.5)], "ray_id int, zeta double"))
+    one = n.where("ray_id = 1").orderBy("node_ix").collect()
+    assert len(one) == 4 and one[0]["seg_len"] == pytest.approx(371 / 3) and one[3]["seg_len"] is None
+    assert all(r["elevation"] == pytest.approx(math.pi / 2) and r["polarization"] == 0.5 for r in one)
+    assert one[1]["vp1d"] == pytest.approx(8.71 - 3.71 / 3)
+    two = n.where("ray_id = 2").orderBy("node_ix").collect()
+    assert len(two) == 2 and two[0]["azimuth"] == pytest.approx(0, abs=1e-2) and two[0]["polarization"] == 0
+    trimmed = rays.build(paths, knots, inside=F.col("x") > 6200)
+    assert trimmed.where("ray_id = 1").agg(F.min("x")).first()[0] == 6212.0
+
+
+def test_neighbours_in_radius(spark):
+    from stratum.operators import rays
+
+    c = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 9.0)], "nucleus_ix int, r double").withColumn("m", F.lit(1))
+    got = {r["nucleus_ix"]: (r["below"], r["above"]) for r in rays.radial_neighbours(c, ["m"]).collect()}
+    assert got == {2: (None, 1), 1: (2, 3), 3: (1, None)}
