@@ -357,13 +357,14 @@ def spans(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     levels, classes = dealt(docs)
     found = cut(repeats(docs, classes).groupBy("key", "class").agg(F.first("spans").alias("spans")), "suffix-repeats")
-    moved = lambda by: F.explode(F.transform("spans", lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b")))).alias("s")
+    moved = lambda by: F.transform("spans", lambda s: F.struct((s["a"] + F.col(by)).alias("a"), (s["b"] + F.col(by)).alias("b"))).alias("s")
+    gathered = F.flatten(F.collect_set("s")).alias("s")
     for rows in levels[:0:-1]:  # what parts repeat goes to the classes they are from
         up = rows.join(found, ["key", "class"]).select("parent", "parent_class", moved("shift"))
-        up = up.groupBy(F.col("parent").alias("key"), F.col("parent_class").alias("class")).agg(F.collect_set("s").alias("s"))
+        up = up.groupBy(F.col("parent").alias("key"), F.col("parent_class").alias("class")).agg(gathered)
         found = found.unionByName(cut(up.select("key", "class", united("s").alias("spans")), "suffix-up"))
     placed = levels[0].join(found, ["key", "class"]).select("id", "hash", moved("first"))
-    return cut(placed.groupBy("id", "hash").agg(F.collect_set("s").alias("s")).select("id", "hash", united("s").alias("spans")), "suffix-spans")
+    return cut(placed.groupBy("id", "hash").agg(gathered).select("id", "hash", united("s").alias("spans")), "suffix-spans")
 
 
 def union(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
