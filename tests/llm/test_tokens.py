@@ -52,6 +52,21 @@ def test_word_ids_equal_the_library():
             at += n
 
 
+def test_decomposed_capitals_equal_the_library():
+    """Capitals with a mark that compose only in lower case; case folded before NFC gives other ids."""
+    w = packing.WordIds(WORD)
+    pairs = ["J\u030c", "H\u0331", "T\u0308", "W\u030a", "Y\u030a"]
+    fixed = [f"x {p}ab" for p in pairs] + [f"{p}{q}.{p}" for p in pairs for q in pairs] + ["J\u0323\u030c", "AJ\u030cB Plain", "I\u0307 \u0130", "=\u0338A<\u0338", "\u212a.K\u030c"]
+    letters = LETTERS + "JHTWYjhtwyAI=\u030c\u0331\u0308\u030a\u0323\u0338\u0307"
+    mixed = ["".join(random.choice(letters) for _ in range(random.randrange(60))) for _ in range(1000)]
+    for some in ([t] for t in fixed + mixed):
+        ids, count = w([t.encode() for t in some])
+        assert ids.tolist() == w.library.encode(some[0], add_special_tokens=False).ids, some[0]
+        assert count.tolist() == [len(ids)]
+    ids, _ = w([t.encode() for t in fixed])
+    assert ids.tolist() == [i for t in fixed for i in w.library.encode(t, add_special_tokens=False).ids]
+
+
 def test_word_table_empties_itself():
     w = packing.WordIds(WORD)
     w.words.limit = 5
