@@ -94,6 +94,13 @@ def shared_statics(spark, sf_dir):
     return index.shared_statics(s).drop("group_id")
 
 
+@query("WITH s AS (SELECT DISTINCT event_type AS obs_name, user_id AS id FROM events) SELECT a.id, a.obs_name AS obs_a, b.obs_name AS obs_b FROM s a JOIN s b ON a.id = b.id AND a.obs_name < b.obs_name")
+def shared_statics_all(spark, sf_dir):
+    """shared_statics over every id, not the first 20."""
+    s = table(spark, sf_dir, "events").select(F.col("event_type").alias("obs_name"), F.lit(1).alias("group_id"), F.col("user_id").alias("id")).distinct()
+    return index.shared_statics(s).drop("group_id")
+
+
 @query("WITH z AS (SELECT user_id, max(value) AS zeta FROM events WHERE event_type = 'click' GROUP BY ALL) SELECT DISTINCT e.user_id, e.event_type, z.zeta FROM events e LEFT JOIN z USING (user_id)")
 def polarization_attached(spark, sf_dir):
     e = table(spark, sf_dir, "events")

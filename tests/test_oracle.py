@@ -50,6 +50,25 @@ def test_rows(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0
 
 
+def same_at(spark, name, sf):
+    """Whether the query gives the rows of its SQL on larger tables; the number of rows."""
+    con = pytest.importorskip("duckdb").connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df = catalogue.QUERIES[name](spark, sf)
+    cols = sorted(df.columns)
+    got = ordered([tuple(r) for r in df.select(*cols).collect()])
+    assert got == ordered(con.sql(catalogue.ORACLE_SQL[name]).select(*[f'"{c}"' for c in cols]).fetchall())
+    return len(got)
+
+
+def test_shared_statics_of_every_id(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same_at(spark, "shared_statics_all", sf) > catalogue.QUERIES["shared_statics"](spark, sf).count()
+    ids = catalogue.QUERIES["shared_statics_all"](spark, sf).select("id").distinct().count()
+    assert ids == spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
