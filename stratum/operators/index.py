@@ -9,6 +9,8 @@ from stratum.operators.select import positioned
 
 #: Most rows of a dimension that a join may broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: Width of the ranges of an id in which rows find the one after them.
+RANGE = 10_000
 
 
 def dimension(table: DataFrame) -> DataFrame:
@@ -43,6 +45,16 @@ def dense_index(observations: DataFrame, group: list[str], ids: dict[str, str])
     return out
 
 
+def followed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Each row that has one after it by a whole-number id (gaps are allowed), with that one's value. Rows meet in ranges of the id; the last of a range takes the first of the next range that has rows, from a table of one row a range."""
+    own = rows.withColumn("_range", F.floor(F.col(order) / RANGE))
+    first = own.groupBy("_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
+    after = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
+    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_range").orderBy(order))
+    out = own.withColumn("_inside", inside).join(after, "_range").withColumn("_next", F.coalesce("_inside", "_after"))
+    return out.where("_next IS NOT NULL").withColumn(name, F.col("_next.v")).drop("_range", "_inside", "_after", "_next")
+
+
 def phase_codes(observations: DataFrame, phase: str = "phase") -> DataFrame:
     """(phase, code): codes 1 .. n of distinct phases, alphabetical."""
     return positioned(observations.select(phase).distinct(), [phase], "code")

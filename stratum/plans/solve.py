@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratum.operators import graph, grid, locate, residuals, sampler, statics
+from stratum.operators import graph, grid, index, locate, residuals, sampler, statics
 from stratum.plans.registry import query, r6, rounded, table
 
 
@@ -122,6 +122,15 @@ def tempering_swap(spark, sf_dir):
     return c.where("event_id < 1000").select("event_id", (F.log(u) < (1 / t1 - 1 / t2) * (F.col("value") - F.col("m2")) / 2).alias("swapped"))
 
 
+@query("""WITH c AS (SELECT event_id, value AS m1, lead(value) OVER (ORDER BY event_id) AS m2, 1 + event_id % 3 AS t1, 1 + event_id % 4 AS t2, (event_id % 10 + 1) / 12 AS u FROM events)
+SELECT event_id, ln(u) < (1 / t1 - 1 / t2) * (m1 - m2) / 2 AS swapped FROM c WHERE m2 IS NOT NULL""")
+def tempering_swap_all(spark, sf_dir):
+    """tempering_swap for every row that has one after it, not for the first 1,000 ids."""
+    c = index.followed(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", "m2").where("m2 IS NOT NULL")
+    t1, t2, u = 1 + F.col("event_id") % 3, 1 + F.col("event_id") % 4, (F.col("event_id") % 10 + 1) / 12
+    return c.select("event_id", (F.log(u) < (1 / t1 - 1 / t2) * (F.col("value") - F.col("m2")) / 2).alias("swapped"))
+
+
 SMALL = ((-0.02, 0.02, 4), (0.0, 0.03, 3), (6300.0, 6371.0, 3))
 
 

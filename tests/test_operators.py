@@ -216,6 +216,13 @@ def test_location(spark):
     assert shifted.agg(F.max(F.abs(F.col("observed")))).first()[0] <= 23
 
 
+def test_followed_over_gaps_and_ranges(spark):
+    ids = [0, 1, 5, 9_998, 9_999, 10_000, 30_500, 30_501, 89_999, 90_000]
+    rows = [(i, None if i == 30_501 else float(i)) for i in ids]
+    got = index.followed(spark.createDataFrame(rows, "id long, v double"), "id", "v", "after").orderBy("id").collect()
+    assert [(r["id"], r["v"], r["after"]) for r in got] == [(*a, b[1]) for a, b in zip(rows, rows[1:])]
+
+
 def test_joint_statics_recover(spark):
     rng = np.random.default_rng(2)
     ev, st = rng.normal(size=8), rng.normal(size=6)

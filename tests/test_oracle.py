@@ -69,6 +69,11 @@ def test_shared_statics_of_every_id(spark):
     assert ids == spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct().count()
 
 
+def test_tempering_swap_of_every_row(spark):
+    sf = "/root/testdata/sf0.01"
+    assert same_at(spark, "tempering_swap_all", sf) == spark.read.parquet(f"{sf}/events.parquet").count() - 1
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
