@@ -222,6 +222,14 @@ def nearest_cell_by_cubes(spark, sf_dir):
     return rounded(cells(spark, sf_dir, cell=0.15), ["v"])
 
 
+@query()
+def nearest_cell_all_nuclei(spark, sf_dir):
+    """Every vector is a nucleus of one of three models, and every vector is a point."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COORDS)))
+    n = v.select((F.col("vec_id") % 3).alias("chain"), F.col("vec_id").alias("nucleus_ix"), F.col("label").cast("double").alias("v"), *COORDS)
+    return rounded(nearest.nearest_cells(v.select("vec_id", *COORDS), n, ["chain"], COORDS, point="vec_id", cell=0.15), ["v"])
+
+
 @query(CELLS + ", s AS (SELECT vec_id, count(*) AS n, sum(v) AS s1, sum(v^2) AS s2 FROM (SELECT vec_id, CASE WHEN d2 <= 0.1 THEN v ELSE 4.5 END AS v FROM b) GROUP BY ALL) SELECT vec_id, n, round(s1 / n, 6) AS mean, round(sqrt(greatest(0, s2 / n - (s1 / n) ^ 2)), 6) AS sd FROM s")
 def nearest_cell_moments(spark, sf_dir):
     v = moments.squeezed(F.col("v"), F.col("d2") <= 0.1, 4.5)

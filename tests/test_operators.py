@@ -216,6 +216,25 @@ def test_location(spark):
     assert shifted.agg(F.max(F.abs(F.col("observed")))).first()[0] <= 23
 
 
+def test_every_vector_is_a_nucleus(spark):
+    import numpy as np
+
+    from stratum.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([list(map(float, r["embedding"][:4])) for r in rows])
+    ix = np.array([r["vec_id"] for r in rows])
+    got = {(r["vec_id"], r["chain"]): r for r in catalogue.QUERIES["nearest_cell_all_nuclei"](spark, sf).collect()}
+    assert len(got) == 3 * len(rows)
+    for chain in range(3):
+        some = np.flatnonzero(ix % 3 == chain)
+        for i, p in zip(ix.tolist(), x):
+            d2 = ((p - x[some]) ** 2).sum(1)
+            k, r = some[d2.argmin()], got[i, chain]
+            assert abs(r["d2"] - d2.min()) < 2e-6 and (r["nucleus_ix"] == ix[k] or np.sort(d2)[1] - d2.min() < 1e-12)
+
+
 def test_followed_over_gaps_and_ranges(spark):
     ids = [0, 1, 5, 9_998, 9_999, 10_000, 30_500, 30_501, 89_999, 90_000]
     rows = [(i, None if i == 30_501 else float(i)) for i in ids]
