@@ -64,6 +64,14 @@ def gnomonic_plane(spark, sf_dir):
     return rounded(s.select("s_suppkey", x.alias("x"), y.alias("y")), [])
 
 
+@query(SUP + ", c AS (SELECT *, sin(0.2) * sin(lat) + cos(0.2) * cos(lat) * cos(lon - 0.1) AS k FROM s) SELECT s_suppkey, CASE WHEN k > 0 THEN round(6371 * cos(lat) * sin(lon - 0.1) / k, 6) END AS x, CASE WHEN k > 0 THEN round(6371 * (cos(0.2) * sin(lat) - sin(0.2) * cos(lat) * cos(lon - 0.1)) / k, 6) END AS y FROM c")
+def gnomonic_plane_all(spark, sf_dir):
+    """gnomonic_plane for every supplier; null where the projection isn't defined, a quarter of the circle or more from its centre."""
+    x, y = geo.gnomonic(F.col("lat"), F.col("lon"), F.lit(0.2), F.lit(0.1))
+    ahead = F.sin(F.lit(0.2)) * F.sin("lat") + F.cos(F.lit(0.2)) * F.cos("lat") * F.cos(F.col("lon") - 0.1) > 0
+    return rounded(supplier(spark, sf_dir).select("s_suppkey", F.when(ahead, x).alias("x"), F.when(ahead, y).alias("y")), [])
+
+
 @query(SUP + ", v AS (SELECT s_suppkey, lat, lon, 1.0::DOUBLE AS e, 2.0::DOUBLE AS n, 0.5::DOUBLE AS u FROM s) SELECT s_suppkey, round(-sin(lon) * e - sin(lat) * cos(lon) * n + cos(lat) * cos(lon) * u, 6) AS x, round(cos(lon) * e - sin(lat) * sin(lon) * n + cos(lat) * sin(lon) * u, 6) AS y, round(cos(lat) * n + sin(lat) * u, 6) AS z FROM v")
 def local_to_global_vector(spark, sf_dir):
     x, y, z = geo.enu_to_ecef(F.lit(1.0), F.lit(2.0), F.lit(0.5), F.col("lat"), F.col("lon"))

@@ -235,6 +235,14 @@ def test_every_vector_is_a_nucleus(spark):
             assert abs(r["d2"] - d2.min()) < 2e-6 and (r["nucleus_ix"] == ix[k] or np.sort(d2)[1] - d2.min() < 1e-12)
 
 
+def test_long_paths_are_an_error(spark):
+    tree = spark.createDataFrame([(1, "P", i, i - 1) for i in range(1, 6)], "source long, phase string, node_ix long, prev long")
+    receiver = spark.createDataFrame([(1, "P", 5)], "source long, phase string, receiver long")
+    assert [r["node_ix"] for r in graph.paths(tree, receiver, most=4).orderBy("seq").collect()] == [5, 4, 3, 2, 1]
+    with pytest.raises(ValueError):
+        graph.paths(tree, receiver, most=3)
+
+
 def test_followed_over_gaps_and_ranges(spark):
     ids = [0, 1, 5, 9_998, 9_999, 10_000, 30_500, 30_501, 89_999, 90_000]
     rows = [(i, None if i == 30_501 else float(i)) for i in ids]

@@ -74,6 +74,13 @@ def test_tempering_swap_of_every_row(spark):
     assert same_at(spark, "tempering_swap_all", sf) == spark.read.parquet(f"{sf}/events.parquet").count() - 1
 
 
+def test_gnomonic_plane_of_every_supplier(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = catalogue.QUERIES["gnomonic_plane_all"](spark, sf)
+    assert rows.count() == spark.read.parquet(f"{sf}/supplier.parquet").count() > catalogue.QUERIES["gnomonic_plane"](spark, sf).count()
+    assert 0 < rows.where("x IS NULL AND y IS NULL").count() < rows.count()
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
