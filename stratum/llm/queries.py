@@ -136,9 +136,14 @@ r AS (SELECT doc_id, p FROM x WHERE k IN (SELECT k FROM x GROUP BY k HAVING coun
 g AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 400 THEN 0 ELSE 1 END AS new FROM r)),
 s AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS b FROM g GROUP BY doc_id, g),
 k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
-m AS (SELECT k.doc_id, sum(b - a) AS n, count(*) AS c, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id)
-SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256
-FROM d LEFT JOIN m USING (doc_id)
+w AS (SELECT s.doc_id, a + length(regexp_extract(substr(h, 2 * a + 1, 6), '^([89AB].)*')) // 2 AS a,
+  b - CASE WHEN substr(h, 2 * b + 1, 1) IN ('8', '9', 'A', 'B') THEN 1 + length(regexp_extract(substr(h, 2 * b - 3, 4), '([89AB].)*$')) // 2 ELSE 0 END AS b FROM s JOIN d USING (doc_id)),
+v AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM w),
+m AS (SELECT k.doc_id, sum(b - a) AS n, count(*) AS c, max(b) AS last, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS kept FROM k JOIN d USING (doc_id) GROUP BY k.doc_id),
+t AS (SELECT v.doc_id, max(b) AS end_, string_agg(h[2 * before + 1:2 * a], '' ORDER BY a) AS whole FROM v JOIN d USING (doc_id) GROUP BY v.doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || h[2 * coalesce(last, 0) + 1:])) AS kept_sha256,
+  decode(unhex(coalesce(whole, '') || h[2 * coalesce(end_, 0) + 1:])) AS text
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4, "op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}

@@ -79,6 +79,15 @@ def cut_by_brute_force(rows, span=400):
     return sorted(out, key=repr)
 
 
+def report_rows(df, **more):
+    """The columns that cut_by_brute_force gives, after a look at text: what is left, but for characters cut by an edge."""
+    rows = suffix_dedup.report(df, **more).collect()
+    for r in rows:
+        whole = hashlib.sha256(r["text"].encode()).hexdigest() == r["kept_sha256"]
+        assert whole or len(r["text"].encode()) >= r["n_bytes"] - r["n_removed"]
+    return sorted((tuple(r)[:5] for r in rows), key=repr)
+
+
 def repeats_table():
     passage = "".join(random.choice("abcdeé ") for _ in range(3000))
     noise = lambda n: "".join(random.choice("xyz ") for _ in range(random.randrange(n)))
@@ -86,7 +95,7 @@ def repeats_table():
     for i in range(60):
         a = random.randrange(2000)
         rows.append((i, noise(500) + passage[a : a + random.randrange(380, 900)] + noise(300)))
-    rows += [(900, None), (901, ""), (902, "a" * 1500), (902, "a" * 1500), (903, "ab" * 700), (None, passage[:500]), (905, "q" * 399), (906, "b" * 400), (907, "c" * 401), (908, passage[1000:1399]), (909, passage * 2)]
+    rows += [(900, None), (901, ""), (902, "a" * 1500), (902, "a" * 1500), (903, "ab" * 700), (None, passage[:500]), (0, passage[:500]), (-(2**63), passage[100:700]), (905, "q" * 399), (906, "b" * 400), (907, "c" * 401), (908, passage[1000:1399]), (909, passage * 2)]
     return rows
 
 
@@ -95,14 +104,40 @@ def test_repeated_strings(spark, monkeypatch, classes):
     monkeypatch.setattr(suffix_dedup, "CLASSES", classes)
     rows = repeats_table()
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, hash int")
-    assert sorted((tuple(r) for r in suffix_dedup.report(df).collect()), key=repr) == cut_by_brute_force(rows)
+    assert report_rows(df) == cut_by_brute_force(rows)
 
 
 def test_repeats_across_blocks(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK", 700)
     rows = repeats_table()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted((tuple(r) for r in suffix_dedup.report(df).collect()), key=repr) == cut_by_brute_force(rows)
+    assert report_rows(df) == cut_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("span", [120, 200])
+def test_repeated_strings_of_other_lengths(spark, span):
+    rows = repeats_table()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert report_rows(df, span=span) == cut_by_brute_force(rows, span)
+
+
+def test_pairs_that_agree():
+    raw = np.frombuffer(bytes(random.choice(b"ab") for _ in range(3000)) * 2 + b"a" * 900, np.uint8)
+    a, b = np.array([random.randrange(6000) for _ in range(500)]), np.array([random.randrange(6000) for _ in range(500)])
+    b[::2] = (a[::2] + 3000) % 6000
+    for span in (5, 40):
+        assert suffix_dedup.agree(raw, a, b, span).tolist() == [bytes(raw[x : x + span]) == bytes(raw[y : y + span]) for x, y in zip(a, b, strict=True)]
+
+
+def test_only_passages_of_many_words_leave(spark):
+    words = lambda n: " ".join(random.choice("abcdefgh") * random.randrange(3, 6) for _ in range(n))
+    long, short, solid = words(60), words(45), "x" * 390
+    rows = [(1, f"{words(9)} {long} {words(7)}"), (2, f"{long}. {words(30)}"), (3, f"{short}! {words(20)}"), (4, f"{words(12)} {short}"), (5, f"{solid}-{words(4)}"), (6, f"{words(5)}+{solid}"), (7, None), (8, "")]
+    df = spark.createDataFrame([(*r, "other", 5, 6) for r in rows], "doc_id long, text string, _stratum_id string, row int, spans int")
+    got = {r["doc_id"]: r for r in suffix_dedup.remove(df, span=200, words=50, size=400).collect()}
+    assert len(got) == 8 and all((r["_stratum_id"], r["row"], r["spans"]) == ("other", 5, 6) for r in got.values())
+    assert long not in got[1]["text"] + got[2]["text"] and len(got[2]["text"]) <= len(rows[1][1]) - len(long)
+    assert all(got[i]["text"] == t for i, t in rows[2:])
 
 
 def test_removal_keeps_rows_columns_and_characters(spark):
