@@ -56,7 +56,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from stratum.llm import sentence_pieces
 
-    return sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return sentence_pieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model")).drop("ids")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,8 +32,8 @@ from stratum.llm.word_table import WordTable
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces
 UNIGRAM, BPE = 1, 2  # kinds of models
-#: Units that a worker remembers, bytes of text taken together, and the library's threads in each worker.
-REMEMBERED, TOGETHER, THREADS = 2_000_000, 1 << 19, 2
+#: Units that a worker remembers (from task to task), bytes of text taken together, and the library's threads in each worker.
+REMEMBERED, TOGETHER, THREADS = 1_000_000, 1 << 19, 2
 
 
 class ParityError(ValueError):
@@ -185,6 +185,12 @@ class Codec:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
 
+@cache
+def codec_of(path: str, verify: bool) -> Codec:
+    """The worker's own codec, which outlives a task: units that one task verified serve those after it."""
+    return Codec(path, verify=verify)
+
+
 def normal(text: str, model: dict) -> str:
     """text as decoding should give it back: a marker is a space, and extra spaces go if the model says so. (Texts changed by a character map don't count as led back to.)"""
     text = text.replace(MARK, " ")
@@ -192,13 +198,13 @@ def normal(text: str, model: dict) -> str:
 
 
 def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", verify: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip) of each row: ids as the model's own library gives them."""
+    """(doc_id, n_tokens, ids_crc32, n_byte_pieces, round_trip, ids array<int>) of each row: ids as the model's own library gives them; decode() takes them back to text."""
 
     def run(batches):
-        codec = Codec(path, verify=verify)
+        codec = codec_of(path, verify)
         is_byte = np.array([k == BYTE for _, _, k in codec.model["pieces"]])
         for b in batches:
-            data, rows, at = [x.as_py() for x in b.column(1)], [], 0
+            data, rows, at, parts = [x.as_py() for x in b.column(1)], [], 0, [np.empty(0, np.int32)]
             while at < len(data):
                 size, end = 0, at
                 while end < len(data) and (end == at or size + len(data[end]) < TOGETHER):
@@ -210,12 +216,15 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", ve
                     own = ids[place : place + n]
                     rows.append((n, zlib.crc32(own.tobytes()), int(is_byte[own].sum()), ok))
                     place += n
+                parts.append(ids.astype(np.int32))
                 at = end
             cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True))], names=["doc_id", "n_tokens", "ids_crc32", "n_byte_pieces", "round_trip"])
+            ends = np.concatenate([[0], np.cumsum(cols[0])]).astype(np.int32)
+            every = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)), every], names=["doc_id", "n_tokens", "ids_crc32", "n_byte_pieces", "round_trip", "ids"])
 
     ship(df.sparkSession)
-    return keyed_bytes(df, key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean")
+    return keyed_bytes(df, key, text).mapInArrow(lean(run), "doc_id long, n_tokens long, ids_crc32 long, n_byte_pieces long, round_trip boolean, ids array<int>")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:

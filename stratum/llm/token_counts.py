@@ -1,6 +1,6 @@
 """Token counts: overlap resynchronisation for huge documents.
 
-A text of up to CHUNK characters is encoded whole. A longer one is encoded in chunks that overlap by OVERLAP
+A text of up to CHUNK characters is encoded whole, as is any text by a file that isn't known to allow cuts. A longer one is encoded in chunks that overlap by OVERLAP
 characters, with offsets; two neighbours are spliced at a boundary that both encodings have and that is
 proven stable: a single space between two visible characters, which no pre-token of the byte-level pattern
 crosses, so nothing before it changes the tokens after it. If the overlap holds none, it is doubled, up to
@@ -12,6 +12,7 @@ strings inside a text are handled as the library does by default; repeated rows
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 from functools import cache
@@ -38,6 +39,20 @@ def tokenizer(path: str):
     return t
 
 
+@cache
+def cuttable(path: str) -> bool:
+    """Whether a stable place in a text is one for the file at path too: the byte-level pattern alone makes pre-tokens, nothing normalises, and no added token holds a space or takes those beside it."""
+    made = json.loads(tokenizer(path).to_str())
+    before = made["pre_tokenizer"] or {}
+    return (
+        made["normalizer"] is None
+        and (before.get("type"), before.get("use_regex"), before.get("add_prefix_space")) == ("ByteLevel", True, False)
+        and made["model"]["type"] == "BPE"
+        and not made["model"].get("dropout")
+        and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] for t in made["added_tokens"])
+    )
+
+
 def visible(c: str) -> bool:
     return c.isalnum() or "!" <= c <= "~"
 
@@ -67,10 +82,10 @@ def spliced_count(text: str, encode: Callable[[str], list[tuple[int, int]]], chu
         start += own[cuts[-1]][0]
 
 
-def count_texts(texts: list[str], t) -> list[int]:
+def count_texts(texts: list[str], t, cut: bool = True) -> list[int]:
     counts, short = [0] * len(texts), []
     for i, text in enumerate(texts):
-        if len(text) > CHUNK:
+        if len(text) > CHUNK and cut:
             counts[i] = spliced_count(text, lambda s: t.encode(s, add_special_tokens=False).offsets)
         elif text:
             short.append(i)
@@ -95,7 +110,7 @@ def count(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", lim
             m = sentencepiece.SentencePieceProcessor(model_file=path)
             counted = lambda texts: [len(m.encode(x)) for x in texts]
         else:
-            counted = lambda texts: count_texts(texts, tokenizer(path))
+            counted = lambda texts: count_texts(texts, tokenizer(path), cuttable(path))
         for b in batches:
             data = [x.as_py() for x in b.column(1)]
             n = counted([x.decode("utf-8", "replace") for x in data])

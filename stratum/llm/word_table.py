@@ -1,19 +1,26 @@
-"""Ids of words, remembered by a worker: each distinct word is encoded once, and texts are put together from their words.
+"""Ids of words, remembered by a worker: each distinct word is encoded once, and texts are put together from them.
 
-A word is named by a 64-bit hash from prefix sums (so no word is made a Python object unless it is new), and its
-length and first bytes confirm it. Words lie in sorted arrays of about 40 bytes each, emptied beyond a limit.
+A word of up to 16 bytes is its width, first and last 8 bytes, so no word is made a Python object unless it is new;
+a hash of the three only finds it in sorted arrays (of about 40 bytes a word), and the three confirm it. Longer
+words, and those whose hash another word has, are looked up by their bytes. All is emptied beyond a limit.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 
-from stratum.llm.suffix_order import ranges, runs
+from stratum.llm.suffix_order import lengths, ranges, runs
 
-BASE = 0x9E3779B97F4A7C15
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Most bytes of a word that its first and last 8 bytes give whole.
+SHORT = 16
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(29)
 
 
 class WordTable:
@@ -21,27 +28,20 @@ class WordTable:
 
     def __init__(self, learn: Callable[[list[bytes]], tuple[list[Sequence[int]], Sequence[bool]]], limit: int = 4_000_000):
         self.learn, self.limit = learn, limit
-        self.table = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(256)], np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.key, self.check = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.key, self.head, self.tail, self.width = *(np.empty(0, np.uint64) for _ in range(3)), np.empty(0, np.uint8)
         self.at, self.count, self.flag = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
+        self.by_bytes: dict[bytes, tuple[int, int, bool]] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
 
-    def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def hashes(self, head: np.ndarray, tail: np.ndarray, width: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
-            if len(self.up) <= len(raw):
-                n = max(len(raw), 1 << 21) + 1
-                self.up = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]))
-                self.down = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n, pow(BASE, -1, 2**64), np.uint64)]))
-            sums = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(self.table[raw] * self.up[: len(raw)], out=sums[1:])
-            h = (sums[end] - sums[start]) * self.down[start] ^ (end - start).astype(np.uint64)
-            return (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-
-    def add(self, key: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
+            return mixed(mixed(head + width * ODD) + tail)
+
+    def learned(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the ids of new words lie, how many there are, and the flags."""
         found, flags = self.learn(words)
         count = np.fromiter(map(len, found), np.int32, len(found))
         new = np.fromiter((i for ids in found for i in ids), np.uint32, int(count.sum()))
@@ -50,38 +50,58 @@ class WordTable:
         self.ids[self.used : self.used + len(new)] = new
         at = self.used + np.cumsum(count) - count
         self.used += len(new)
-        where = np.searchsorted(self.key, key)
-        self.key, self.check = np.insert(self.key, where, key), np.insert(self.check, where, check)
-        self.at, self.count, self.flag = np.insert(self.at, where, at), np.insert(self.count, where, count), np.insert(self.flag, where, flags)
+        return at, count, np.asarray(flags, bool)
+
+    def rest(self, words: list[bytes]) -> tuple[list, list, list]:
+        """The same of words that are looked up by their bytes."""
+        known = self.by_bytes
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            known.update(zip(new, zip(*(x.tolist() for x in self.learned(new)), strict=True), strict=True))
+        return tuple(zip(*map(known.__getitem__, words), strict=True))
 
     def __call__(self, joined: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all words joined[start[i]:end[i]] one after another, the number of ids of each word, and its flag."""
         if not len(start):
             return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
-        raw = np.frombuffer(joined, np.uint8)
-        key = self.hashes(raw, start, end)
-        order = np.argsort(key)
-        first = runs(key[order])
-        words = order[first]
-        padded = np.concatenate([raw, np.zeros(8, np.uint8)])
-        head = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[start[words]]).view(np.uint64).ravel()
-        width = end[words] - start[words]
-        bits = (np.minimum(width, 7) * 8).astype(np.uint64)
-        check = np.where(width < 8, head & ((np.uint64(1) << bits) - np.uint64(1)), head) ^ width.astype(np.uint64) << np.uint64(56)
-        if len(self.key) > self.limit:
+        if len(self.key) + len(self.by_bytes) > self.limit:
             self.clear()
-        new = np.arange(len(words))
-        if len(self.key):
-            inside = np.minimum(np.searchsorted(self.key, key[words]), len(self.key) - 1)
-            same = self.key[inside] == key[words]
-            new = np.flatnonzero(~same)
-            if (same & (self.check[inside] != check)).any():
-                self.clear()  # two words share a hash: start anew with the later one
-                new = np.arange(len(words))
-        if len(new):
-            some = words[new]
-            self.add(key[some], check[new], [joined[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
-        slot = np.empty(len(order), np.int64)
-        slot[order] = np.repeat(np.searchsorted(self.key, key[words]), np.diff(np.append(first, len(order))))
-        count = self.count[slot].astype(np.int64)
-        return self.ids[ranges(self.at[slot], count)], count, self.flag[slot]
+        padded = np.frombuffer(b"".join([bytes(8), joined, bytes(8)]), np.uint8)
+        windows = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        eight = lambda at: np.ascontiguousarray(windows[at]).view(np.uint64).ravel()
+        width = (end - start).astype(np.uint64)
+        short = width <= SHORT
+        head, tail = eight(start + 8), np.where(width > 8, eight(end), np.uint64(0))
+        cut = width < 8
+        head[cut] &= (np.uint64(1) << width[cut] * np.uint64(8)) - np.uint64(1)
+        key = self.hashes(head, tail, width)
+        at, count, flag = np.empty(len(start), np.int64), np.empty(len(start), np.int64), np.empty(len(start), bool)
+        own = short.nonzero()[0]
+        while len(own):
+            order = own[np.argsort(key[own])]
+            first = runs(key[order])
+            words = order[first]
+            of = np.repeat(words, lengths(first, len(order)))
+            differ = (head[order] != head[of]) | (tail[order] != tail[of]) | (width[order] != width[of])
+            inside = np.minimum(np.searchsorted(self.key, key[words]), max(0, len(self.key) - 1))
+            same = self.key[inside] == key[words] if len(self.key) else np.zeros(len(words), bool)
+            there = inside[same]
+            other = (self.head[there] != head[words[same]]) | (self.tail[there] != tail[words[same]]) | (self.width[there] != width[words[same]])
+            if differ.any() or other.any():  # two words share a hash: the later one is looked up by its bytes
+                short[order[differ]] = False
+                short[own[np.isin(key[own], key[words[same][other]])]] = False
+                own = short.nonzero()[0]
+                continue
+            some = words[~same]
+            if len(some):
+                new = self.learned([joined[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+                where = np.searchsorted(self.key, key[some])
+                for name, x in zip(("key", "head", "tail", "width", "at", "count", "flag"), (key[some], head[some], tail[some], width[some], *new), strict=True):
+                    setattr(self, name, np.insert(getattr(self, name), where, x))
+            slot = np.repeat(np.searchsorted(self.key, key[words]), lengths(first, len(order)))
+            at[order], count[order], flag[order] = self.at[slot], self.count[slot], self.flag[slot]
+            break
+        if len(own) < len(start):
+            long = (~short).nonzero()[0]
+            at[long], count[long], flag[long] = self.rest([joined[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        return self.ids[ranges(at, count)], count, flag

@@ -35,6 +35,7 @@ def test_count_table(spark):
     n = len(t.encode(big, add_special_tokens=False))
     assert len(rows) == 5 and got[4] == (len(big), n, True) and got[2] == got[3] == (0, 0, False)
     assert got[1][1] == len(t.encode("hello <|endoftext|> world", add_special_tokens=False))
+    assert token_counts.count(df.limit(0), BYTE).count() == 0
     by_piece = token_counts.count(df, PIECE).where("doc_id = 1").first()["n_tokens"]
     import sentencepiece
 
@@ -76,6 +77,49 @@ def test_word_table_empties_itself():
         assert ids.tolist() == [i for t in some for i in w.library.encode(t, add_special_tokens=False).ids]
 
 
+def colliding_words():
+    """A Thue-Morse string of 1,024 letters and its complement: every polynomial hash modulo 2 ** 64 takes them for equal."""
+    s = "a"
+    for _ in range(11):
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s[:1024], s[1024:]
+
+
+def test_words_of_one_hash(spark, monkeypatch):
+    from stratum.llm.word_table import WordTable
+
+    rows = [(i, f"say abcdefgh{w} twice") for i, w in enumerate(colliding_words())]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    library, original = packing.WordIds(WORD).library, sentence_pieces.Codec(PIECE).original
+    import zlib
+
+    import numpy as np
+
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    want = [(i, crc(library.encode(t, add_special_tokens=False).ids + [0])) for i, t in rows]
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in packing.pack(df, WORD).collect()) == want
+    assert sorted((r["doc_id"], r["ids_crc32"]) for r in sentence_pieces.encode(df, PIECE).collect()) == [(i, crc(original.encode(t))) for i, t in rows]
+    # a table whose hash says nothing still tells words apart
+    monkeypatch.setattr(WordTable, "hashes", lambda self, head, tail, width: np.minimum(width, np.uint64(2)))
+    w = packing.WordIds(WORD)
+    for _ in range(20):
+        some = texts(20)
+        ids, _ = w([t.encode() for t in some])
+        assert ids.tolist() == [i for t in some for i in w.library.encode(t, add_special_tokens=False).ids]
+
+
+def test_other_files_are_encoded_whole(tmp_path):
+    """Files whose parts don't prove that texts can be cut."""
+    other = packing.WordIds(BYTE)
+    assert not other.plain and packing.WordIds(WORD).plain
+    some = texts(30)
+    ids, count = other([t.encode() for t in some])
+    assert ids.tolist() == [i for t in some for i in other.library.encode(t, add_special_tokens=False).ids] and len(count) == 30
+    assert token_counts.cuttable(BYTE) and not token_counts.cuttable(WORD)
+    long = [" ".join(texts(3000))]
+    assert token_counts.count_texts(long, token_counts.tokenizer(WORD), False) == [len(token_counts.tokenizer(WORD).encode(long[0], add_special_tokens=False))]
+
+
 def test_sentence_pieces_parity():
     import sentencepiece
 
@@ -125,8 +169,13 @@ def test_unigram_model_from_protobuf(tmp_path):
 
 
 def test_sentence_piece_table(spark):
-    df = spark.createDataFrame([(1, "Hello wörld 𓂀", 0), (2, None, 0), (3, "", 0)], "doc_id long, text string, ids int")
-    rows = {r["doc_id"]: r for r in sentence_pieces.encode(df, PIECE).collect()}
+    long = " ".join(["Hello there,  wörld."] * 9000)
+    texts_ = [(1, "Hello wörld 𓂀"), (2, None), (3, ""), (4, long), (4, long)]
+    df = spark.createDataFrame([(*t, 0) for t in texts_], "doc_id long, text string, ids int")
+    made = sentence_pieces.encode(df, PIECE)
+    rows = {r["doc_id"]: r for r in made.collect()}
+    assert made.count() == 5 and rows[4]["n_tokens"] == len(rows[4]["ids"]) and sentence_pieces.encode(df.limit(0), PIECE).count() == 0
+    assert sorted(r["text"] for r in sentence_pieces.decode(made, PIECE).collect()) == sorted(t or "" for _, t in texts_)
     assert rows[1]["n_byte_pieces"] == 4 and rows[1]["round_trip"] and rows[2]["n_tokens"] == rows[3]["n_tokens"] == 0
     import sentencepiece
 
@@ -157,6 +206,15 @@ def test_packing(spark):
             at += length
         assert at <= 2048
     assert len(bins) <= -(-sum(lengths) // 2048) + 4
+    import zlib
+
+    import numpy as np
+
+    want = []
+    for i, t in docs:
+        ids = np.array([*w.library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        want += [(i, k, a, min(2048, len(ids) - a), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted(map(repr, ((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows))) == sorted(map(repr, want))
     pieces = sorted((r["piece"], r["start"], r["length"]) for r in rows if r["doc_id"] == 1000)
     assert pieces[:2] == [(0, 0, 2048)] * 2 and pieces[-1] == (2, 4096, 5001 - 4096)
     assert packing.pack(df.limit(0), WORD).count() == 0
