@@ -14,8 +14,9 @@
    and no step lists the pairs of a bucket.
 
 Cases: null and empty texts, and texts without words, have the empty set and link with nothing; fewer than
-five words are one shingle; repeated rows of a doc_id give one row each with that id's component; rows with a
-null doc_id link with nothing and keep a null component; extra columns are ignored.
+five words are one shingle; repeated rows of a doc_id give one row each with that id's component, also where their
+texts differ (the id then links with whatever any of them links with); rows with a null doc_id link with nothing and
+keep a null component; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -289,10 +290,30 @@ def linked(members: DataFrame, docs: DataFrame, signatures: DataFrame) -> DataFr
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of each row of df."""
+    """(doc_id, n_shingles, component_id, kept) of each row of df. Rows of one doc_id with different texts link with whatever any of them links with."""
     docs = keyed_bytes(df, key, text)
     sig = cut(signed(docs), "minhash-signed")
     whole = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
+    twice = whole.groupBy("doc_id").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q")).where("p <> q")
+    if twice.isEmpty():
+        return grouped(docs, sig)
+    # an id that stands for several texts can't name a set: rows are numbered, and their groups taken back to ids
+    drop_cut(sig)
+    rows = cut(docs.withColumn("row", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())), "minhash-rows")
+    numbered = rows.select(F.col("row").alias("doc_id"), "data")
+    found = grouped(numbered, cut(signed(numbered), "minhash-signed")).select(F.col("doc_id").alias("row"), "n_shingles", "component_id")
+    ids = rows.select("row", "doc_id")
+    named = cut(ids.where("row IS NOT NULL").join(found, "row").select("doc_id", "n_shingles", "component_id"), "minhash-named")
+    least = named.groupBy("component_id").agg(F.min("doc_id").alias("a"))
+    comps = components(cut(named.join(least, "component_id").select("a", F.col("doc_id").alias("b")), "minhash-ids"), "minhash-components")
+    out = named.join(comps, named.doc_id == comps.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.unionAll(found.where("row IS NULL").select(F.col("row").alias("doc_id"), "n_shingles", F.col("row").alias("component_id")))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def grouped(docs: DataFrame, sig: DataFrame) -> DataFrame:
+    """near_duplicates() of (doc_id, data), whose signatures are sig: an id has one text, if perhaps several rows."""
+    whole = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
     classes = cut(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "minhash-classes")
     placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -306,13 +327,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def distinct(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without the rows of documents whose component has a smaller doc_id; a kept doc_id's repeated rows are one row. Rows with a null id stay."""
+    """df without the rows of documents whose component has a smaller doc_id; of a kept doc_id's rows that with the least text hash stays. Rows with a null id stay; other columns may have any name."""
     found = near_duplicates(df, key, text)
-    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("_stratum_id")).distinct(), "minhash-gone")
-    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("_stratum_id")).agg(F.count("*").alias("n")).where("n > 1").select("_stratum_id"), "minhash-again")
-    tagged = df.withColumn("_stratum_id", F.col(f"`{key}`").cast("long"))
-    kept = tagged.join(F.broadcast(gone) if small_ids(gone) else gone, "_stratum_id", "left_anti")
+    gone = cut(found.where("NOT kept").select(F.col("doc_id").alias("id")).distinct(), "minhash-gone")
+    again = cut(found.where("kept").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "minhash-again")
+    rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    kept = rows.join(F.broadcast(gone) if small_ids(gone) else gone, "id", "left_anti")
     if not again.isEmpty():
         side = F.broadcast(again) if small_ids(again) else again
-        kept = kept.join(side, "_stratum_id", "left_anti").unionByName(kept.join(side, "_stratum_id", "left_semi").dropDuplicates(["_stratum_id"]))
-    return kept.select(*(F.col(f"`{c}`") for c in df.columns))
+        one = kept.join(side, "id", "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64(F.col(f"row.`{text}`").cast("string"))).alias("row"))
+        kept = kept.join(side, "id", "left_anti").unionByName(one)
+    return kept.select(*(F.col(f"row.`{c}`") for c in df.columns))
