@@ -3,7 +3,8 @@
 A document is a bag of passages of PASSAGE words. Each passage becomes shares of its bytes by kind and a few
 word statistics, then a hidden vector; gated attention, learned from document labels alone, weights the hidden
 vectors, and the weighted sum is scored. Training takes at most TRAIN_DOCS labelled documents (a documented
-bound: those whose ids hash lowest) and runs on the driver; scoring covers every whole text.
+bound: those whose ids hash lowest), of each TRAIN_PASSAGES passages at most (evenly spaced over the whole text;
+576 bytes each, so 147 MB in all), and runs on the driver; scoring covers every passage of every whole text.
 
 Cases: a null or empty text is one empty passage; without labels of both kinds every score is the mean label,
 or 0.5 without any; labels of a repeated doc_id are averaged; a null doc_id is never labelled nor held out;
@@ -23,7 +24,7 @@ from stratum.llm.common import lean, ship
 from stratum.llm.suffix_order import runs
 
 PASSAGE, HIDDEN, ATTENTION = 64, 32, 16
-TRAIN_DOCS, EPOCHS, RATE, DECAY, SEED = 4000, 12, 0.01, 1e-4, 7
+TRAIN_DOCS, TRAIN_PASSAGES, EPOCHS, RATE, DECAY, SEED = 4000, 64, 12, 0.01, 1e-4, 7
 THRESHOLD = 0.3
 TOGETHER = 1 << 19
 SPACES = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
@@ -162,9 +163,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     @F.arrow_udf("binary")
     def features(data: pa.Array) -> pa.Array:
-        return pa.array([passages([d])[0].tobytes() for d in data.to_pylist()], pa.binary())
+        return pa.array([sampled(passages([d])[0], TRAIN_PASSAGES).tobytes() for d in data.to_pylist()], pa.binary())
 
-    rows = own.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "y", features("data").alias("x")).toPandas().sort_values(["id"], kind="stable")
+    # of an id's several texts the one whose hash is least is the labelled one
+    own = own.join(F.broadcast(chosen), "id").groupBy("id").agg(F.min("y").alias("y"), F.min_by("data", F.xxhash64("data")).alias("data"))
+    rows = own.select("id", "y", features("data").alias("x")).toPandas().sort_values(["id"], kind="stable")
     if rows["y"].nunique() < 2:
         return float(rows["y"].mean()) if len(rows) else 0.5
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in rows["x"]]
@@ -172,6 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     return trained(np.concatenate(bags), np.cumsum(sizes) - sizes, rows["y"].to_numpy(float))
 
 
+def sampled(x: np.ndarray, most: int) -> np.ndarray:
+    """At most so many rows of x, evenly spaced from first to last."""
+    return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).round().astype(np.int64)]
+
+
 def score_column(model, text: str):
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

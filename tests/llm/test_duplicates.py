@@ -198,6 +198,30 @@ def test_near_duplicates_repeated_and_null_rows(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.distinct(df.limit(0)).count() == 0
 
 
+def near_by_ids(rows):
+    """near_by_brute_force() where an id may have several texts: it links with whatever any of them links with."""
+    sets = [shingles(t) for _, t in rows]
+    ids = sorted({i for i, _ in rows if i is not None})
+    place = {d: n for n, d in enumerate(ids)}
+    pairs = [(place[rows[a][0]], place[rows[b][0]]) for a in range(len(rows)) for b in range(a) if None not in (rows[a][0], rows[b][0]) and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    top = union(len(ids), pairs)
+    own = lambda d: None if d is None else ids[top[place[d]]]
+    return sorted(((d, len(s), own(d), None if d is None else own(d) == d) for (d, _), s in zip(rows, sets, strict=True)), key=repr)
+
+
+def test_ids_of_several_texts(spark):
+    a, b = (" ".join(f"{x}{random.randrange(99)}" for _ in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "other"), (4, a), (4, None), (7, "alone"), (7, ""), (None, a), (9, b), (9, b)]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, _stratum_id string")
+    assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == near_by_ids(rows)
+    kept = minhash.distinct(df).collect()
+    assert sorted(((r["doc_id"]) for r in kept), key=str) == [1, 7, None] and {r["_stratum_id"] for r in kept} == {"mine"}
+    rows = near_table()
+    rows = [(i // 2 * (i % 3 > 0), t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == near_by_ids(rows)
+
+
 def test_min_max_signature():
     f, sets = minhash.multipliers(), minhash.Shingles()
     a, b = sets(b" ".join(b"w%d" % i for i in range(400))), sets(b" ".join(b"w%d" % i for i in range(40, 440)))
@@ -237,9 +261,11 @@ def vector_table(spark):
     return df, [tuple(r) for r in df.collect()]
 
 
-@pytest.mark.parametrize("block,cell", [(1024, 512), (7, 4)])
-def test_near_vectors(spark, monkeypatch, block, cell):
-    monkeypatch.setattr(multi_index, "BLOCK", block)
+@pytest.mark.parametrize("block,queries,most,cell", [(1 << 23, 256, 1 << 16, 512), (448, 7, 5, 4)])
+def test_near_vectors(spark, monkeypatch, block, queries, most, cell):
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", block)
+    monkeypatch.setattr(multi_index, "QUERIES", queries)
+    monkeypatch.setattr(multi_index, "MOST_QUERIES", most)
     monkeypatch.setattr(multi_index, "PER_CELL", cell)
     df, rows = vector_table(spark)
     assert sorted((tuple(r) for r in multi_index.near_duplicates(df).collect()), key=repr) == vectors_by_brute_force(rows, 0.98)

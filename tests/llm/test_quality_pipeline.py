@@ -54,6 +54,24 @@ def test_small_and_odd_tables(spark):
     assert quality.classify(docs.limit(0), one).count() == 0 and quality.keep(docs, none).count() == 4
 
 
+def test_repeated_and_long_rows(spark):
+    good, bad = ("the cat sat on the mat and looked around " * 3000, "###!!!$$$ " * 40)
+    rows = [(i, good[: 900 + i] if i % 2 else bad + str(i)) for i in range(60)] + [(1, bad), (1, bad), (100, good), (100, good)]
+    docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, y double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 2, "doc_id long, quality int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == 64 and got == quality.classify(docs, labels).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r["score"])
+    assert by[100][0] == by[100][1] > 0.5 > max(by[2]) and quality.keep(docs, labels).columns == docs.columns
+
+
+def test_training_rows_are_bounded():
+    x = np.arange(1000)[:, None]
+    assert quality.sampled(x, 1000) is x and quality.sampled(x, 64)[[0, -1]].ravel().tolist() == [0, 999] and len(np.unique(quality.sampled(x, 64))) == 64
+
+
 @tables
 def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
@@ -66,6 +84,29 @@ def test_held_out_accuracy(spark):
     assert out.count() == docs.count() and 0 <= out.agg(F.min("score")).first()[0] and out.agg(F.max("score")).first()[0] <= 1
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Repeated rows, nulls and empty texts, a column of a name that the operators use, and an empty table."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = str(tmp_path / "sf")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    passage = " ".join(f"{random.choice('abcdef') * 3}{random.randrange(9)}" for _ in range(55))
+    rows = [(1, f"one {passage} end"), (1, f"one {passage} end"), (2, f"{passage} quite other words follow it here and then some more of them in a long line until it ends " + "z " * 40), (3, None), (3, None), (4, ""), (None, "no id"), (None, "no id"), (5, "word " * 9000)]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), 7, "x", 1) for r in rows], "doc_id long, text string, n_chars int, hash int, spans string, _stratum_id int")
+    for table, n in ((docs, [9, 7, 7, 7]), (docs.limit(0), [0] * 4)):
+        now, counts = table, []
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            now = stage(spark, now, sf)
+            path = str(tmp_path / f"{n[0]} {name}")
+            now.write.parquet(path)
+            now = spark.read.parquet(path)
+            if k < 4:
+                assert now.columns == docs.columns
+                counts.append(now.count())
+            if name == "suffix" and n[0]:
+                assert not any(passage in (r["text"] or "") for r in now.collect()) and now.where("hash = 7 AND spans = 'x' AND _stratum_id = 1").count() == 7
+        assert counts == n and (now.count() > 0) == (n[0] > 0)
+
+
 @tables
 def test_pipeline(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
