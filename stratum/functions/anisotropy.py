@@ -5,44 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stratum.functions import either as E
+
 
 def axis_cosine(azimuth: Column, elevation: Column, axis_azimuth: Column, axis_elevation: Column) -> Column:
     """Cosine between propagation and symmetry axis."""
-    return F.cos(azimuth - axis_azimuth) * F.cos(elevation) * F.cos(axis_elevation) + F.sin(elevation) * F.sin(axis_elevation)
+    return E.cos(azimuth - axis_azimuth) * E.cos(elevation) * E.cos(axis_elevation) + E.sin(elevation) * E.sin(axis_elevation)
 
 
 def axis_twist(azimuth: Column, elevation: Column, polarization: Column, axis_azimuth: Column, axis_elevation: Column) -> Column:
     """Angle between polarization and the symmetry axis seen along the ray."""
     d = axis_azimuth - azimuth
-    return F.atan2(-F.sin(d) * F.cos(axis_elevation), F.cos(d) * F.sin(elevation) * F.cos(axis_elevation) - F.cos(elevation) * F.sin(axis_elevation)) - polarization
+    return E.atan2(-E.sin(d) * E.cos(axis_elevation), E.cos(d) * E.sin(elevation) * E.cos(axis_elevation) - E.cos(elevation) * E.sin(axis_elevation)) - polarization
 
 
 def thomsen_p(v0: Column, dlnvp: Column, epsilon: Column, delta: Column, cosine: Column) -> Column:
     """P slowness; v0 is the isotropic mean velocity."""
     c2 = cosine * cosine
     s2 = 1 - c2
-    alpha = v0 * (1 + dlnvp) / F.sqrt(1 + 16 * epsilon / 15 + 4 * delta / 15)
-    return 1 / (alpha * F.sqrt(1 + 2 * delta * s2 * c2 + 2 * epsilon * s2 * s2))
+    alpha = v0 * (1 + dlnvp) / E.sqrt(1 + 16 * epsilon / 15 + 4 * delta / 15)
+    return 1 / (alpha * E.sqrt(1 + 2 * delta * s2 * c2 + 2 * epsilon * s2 * s2))
 
 
 def thomsen_s(vp: Column, vs: Column, epsilon: Column, delta: Column, gamma: Column, cosine: Column) -> tuple[Column, Column]:
     """Slownesses of the two S waves; vp and vs are isotropic mean velocities."""
     c2 = cosine * cosine
     s2 = 1 - c2
-    alpha = vp / F.sqrt(1 + 16 * epsilon / 15 + 4 * delta / 15)
-    beta = F.sqrt((vs * vs - F.lit(2 / 15) * alpha * alpha * (epsilon - delta)) / (1 + F.lit(2 / 3) * gamma))
+    alpha = vp / E.sqrt(1 + 16 * epsilon / 15 + 4 * delta / 15)
+    beta = E.sqrt((vs * vs - E.lit(2 / 15) * alpha * alpha * (epsilon - delta)) / (1 + E.lit(2 / 3) * gamma))
     ratio = alpha / beta
-    return 1 / (beta * F.sqrt(1 + 2 * ratio * ratio * (epsilon - delta) * c2 * s2)), 1 / (beta * F.sqrt(1 + 2 * gamma * s2))
+    return 1 / (beta * E.sqrt(1 + 2 * ratio * ratio * (epsilon - delta) * c2 * s2)), 1 / (beta * E.sqrt(1 + 2 * gamma * s2))
 
 
 def s_arrival(slow1: Column, slow2: Column, twist: Column) -> Column:
     """Apparent slowness of the principal S arrival."""
-    return slow2 + (slow1 - slow2) * F.cos(twist) * F.cos(twist)
+    return slow2 + (slow1 - slow2) * E.cos(twist) * E.cos(twist)
 
 
 def splitting(slow1: Column, slow2: Column, twist: Column) -> Column:
     """Splitting intensity of a unit length."""
-    return 0.5 * (slow2 - slow1) * F.sin(2 * twist)
+    return 0.5 * (slow2 - slow1) * E.sin(2 * twist)
 
 
 def tracing_velocity(columns: set[str], vp: Column, vs: Column) -> tuple[Column, Column]:

@@ -15,9 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.functions import either as E
 from stratum.functions.anisotropy import axis_cosine, axis_twist, s_arrival, splitting, thomsen_p, thomsen_s
 
-C = F.col
+C = E.col
 
 
 @dataclass(frozen=True)
@@ -70,11 +71,11 @@ register("tt_P_Vp", "Vp")(lambda: 1 / C("Vp"))
 register("tt_P_dlnVp", "dlnVp")(lambda: 1 / vp_reference())
 register("tt_P_dlnVp_Vp", "dlnVp", "Vp")(lambda: 1 / ((1 + C("dlnVp")) * C("Vp")))
 register("tt_P_dlnVs_Vp2Vs", "dlnVs", "Vp2Vs")(lambda: 1 / (vs_reference() * C("Vp2Vs")))
-register("tt_P_dlnVp_fp", "dlnVp", "fp")(lambda: 1 / (fast("fp", F.sin(C("elevation"))) * vp_reference()))
-register("tt_P_Vp_fp_psi", "Vp", "fp", "psi")(lambda: 1 / (fast("fp", F.cos(C("azimuth") - C("psi"))) * C("Vp")))
-register("tt_P_dlnVp_fp_psi", "dlnVp", "fp", "psi")(lambda: 1 / (fast("fp", F.cos(C("azimuth") - C("psi"))) * vp_reference()))
+register("tt_P_dlnVp_fp", "dlnVp", "fp")(lambda: 1 / (fast("fp", E.sin(C("elevation"))) * vp_reference()))
+register("tt_P_Vp_fp_psi", "Vp", "fp", "psi")(lambda: 1 / (fast("fp", E.cos(C("azimuth") - C("psi"))) * C("Vp")))
+register("tt_P_dlnVp_fp_psi", "dlnVp", "fp", "psi")(lambda: 1 / (fast("fp", E.cos(C("azimuth") - C("psi"))) * vp_reference()))
 register("tt_P_dlnVp_fp_psi_gamma", "dlnVp", "fp", "psi", "gamma")(lambda: 1 / (fast("fp", ray_cosine(C("psi"), C("gamma"))) * vp_reference()))
-register("tt_P_dlnVp_fp_psi_v3", "dlnVp", "fp", "psi", "v3")(lambda: 1 / (fast("fp", ray_cosine(C("psi"), F.asin(C("v3")))) * vp_reference()))
+register("tt_P_dlnVp_fp_psi_v3", "dlnVp", "fp", "psi", "v3")(lambda: 1 / (fast("fp", ray_cosine(C("psi"), E.asin(C("v3")))) * vp_reference()))
 register("tt_P_dlnVp_Vp_fp_psi_gamma", "dlnVp", "Vp", "fp", "psi", "gamma")(lambda: 1 / (fast("fp", ray_cosine(C("psi"), C("gamma"))) * (1 + C("dlnVp")) * C("Vp")))
 register("tt_P_dlnVs_Vp2Vs_fp_psi_gamma", "dlnVs", "Vp2Vs", "fp", "psi", "gamma")(lambda: 1 / (fast("fp", ray_cosine(C("psi"), C("gamma"))) * vs_reference() * C("Vp2Vs")))
 
@@ -82,14 +83,14 @@ register("tt_P_dlnVs_Vp2Vs_fp_psi_gamma", "dlnVs", "Vp2Vs", "fp", "psi", "gamma"
 @register("tt_P_dlnVp_fp_psi_gamma_thomsen", "dlnVp", "fp", "psi", "gamma")
 def p_elliptical() -> Column:
     """gamma is the sine of the axis elevation; both Thomsen parameters are -fp."""
-    return thomsen_p(C("vp1d"), C("dlnVp"), -C("fp"), -C("fp"), ray_cosine(C("psi"), F.asin(C("gamma"))))
+    return thomsen_p(C("vp1d"), C("dlnVp"), -C("fp"), -C("fp"), ray_cosine(C("psi"), E.asin(C("gamma"))))
 
 
 def p_magnitude(elevation: Column) -> Column:
     return thomsen_p(C("vp1d"), C("dlnVp"), C("AniMag"), C("AniMag"), ray_cosine(C("SymAzm"), elevation))
 
 
-register("tt_P_dlnVp_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "AniMag", "SymAzm", "SymRad")(lambda: p_magnitude(F.asin(C("SymRad"))))
+register("tt_P_dlnVp_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "AniMag", "SymAzm", "SymRad")(lambda: p_magnitude(E.asin(C("SymRad"))))
 register("tt_P_dlnVp_AniMag_SymAzm_SymElv_Thomsen", "dlnVp", "AniMag", "SymAzm", "SymElv")(lambda: p_magnitude(C("SymElv")))
 
 register("tt_S_Vs", "Vs")(lambda: 1 / C("Vs"))
@@ -104,15 +105,15 @@ def shear(fsh: Column, fsv: Column) -> tuple[Column, Column, Column]:
     psi, gamma = C("psi"), C("gamma")
     double = twice(ray_cosine(psi, gamma))
     d = C("azimuth") - psi
-    along, across = F.cos(d) * F.sin(C("elevation")) * F.cos(gamma) - F.cos(C("elevation")) * F.sin(gamma), -F.sin(d) * F.cos(gamma)
+    along, across = E.cos(d) * E.sin(C("elevation")) * E.cos(gamma) - E.cos(C("elevation")) * E.sin(gamma), -E.sin(d) * E.cos(gamma)
     # a zero denominator is a right angle; the sign of the angle falls out of all that follows
-    beta = F.when(along == 0, F.lit(math.pi / 2)).otherwise(F.atan(across / F.when(along == 0, F.lit(1.0)).otherwise(along))) - C("polarization")
+    beta = E.choose(along == 0, E.lit(math.pi / 2), E.atan(across / E.choose(along == 0, E.lit(1.0), along))) - C("polarization")
     return 1 / (1 + fsh * double), (1 + fsv) / ((1 + fsh) * (1 + fsv * (2 * double * double - 1))), beta
 
 
 def shear_arrival(fsh: Column, fsv: Column, velocity: Column) -> Column:
     one, two, beta = shear(fsh, fsv)
-    return (F.sin(beta) * F.sin(beta) * one + F.cos(beta) * F.cos(beta) * two) / velocity
+    return (E.sin(beta) * E.sin(beta) * one + E.cos(beta) * E.cos(beta) * two) / velocity
 
 
 #: Fixed ratios of S to P anisotropy, and of vertical to horizontal S anisotropy.
@@ -125,19 +126,19 @@ def s_of_p() -> Column:
     return shear_arrival(fsh, fsh * SV_OF_SH, C("vp1d") * (1 + C("dlnVs")) / C("Vp2Vs"))
 
 
-register("tt_S_dlnVs_fsh_psi_gamma", "dlnVs", "fsh", "psi", "gamma")(lambda: shear_arrival(C("fsh"), F.lit(0.0), vs_reference()))
+register("tt_S_dlnVs_fsh_psi_gamma", "dlnVs", "fsh", "psi", "gamma")(lambda: shear_arrival(C("fsh"), E.lit(0.0), vs_reference()))
 
 
 @register("si_S_dlnVs_fsh_psi_gamma", "dlnVs", "fsh", "psi", "gamma")
 def shear_splitting() -> Column:
-    one, two, beta = shear(C("fsh"), F.lit(0.0))
-    return 0.5 * F.sin(2 * beta) * (one - two) / vs_reference()
+    one, two, beta = shear(C("fsh"), E.lit(0.0))
+    return 0.5 * E.sin(2 * beta) * (one - two) / vs_reference()
 
 
 @register("tt_S_dlnVs_fsh_psi_gamma_thomsen", "dlnVs", "fsh", "psi", "gamma")
 def s_elliptical() -> Column:
     """Thomsen gamma is -fsh; epsilon and delta are 0."""
-    zero = F.lit(0.0)
+    zero = E.lit(0.0)
     one, two = thomsen_s(vs_reference() * 1.8201, vs_reference(), zero, zero, -C("fsh"), ray_cosine(C("psi"), C("gamma")))
     return s_arrival(one, two, ray_twist(C("psi"), C("gamma")))
 
@@ -157,12 +158,18 @@ def scaled() -> tuple[Column, Column]:
 
 
 AXIS = "AniMag", "SymAzm"
-register("tt_S_dlnVs_AniMag_SymAzm_SymRad_Thomsen", "dlnVs", *AXIS, "SymRad")(lambda: s_magnitude(*scaled(), F.asin(C("SymRad")), s_arrival))
+register("tt_S_dlnVs_AniMag_SymAzm_SymRad_Thomsen", "dlnVs", *AXIS, "SymRad")(lambda: s_magnitude(*scaled(), E.asin(C("SymRad")), s_arrival))
 register("tt_S_dlnVs_AniMag_SymAzm_SymElv_Thomsen", "dlnVs", *AXIS, "SymElv")(lambda: s_magnitude(*scaled(), C("SymElv"), s_arrival))
-register("tt_S_dlnVp_dlnVp2Vs_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "dlnVp2Vs", *AXIS, "SymRad")(lambda: s_magnitude(*joint(), F.asin(C("SymRad")), s_arrival))
-register("si_S_AniMag_SymAzm_SymRad_Thomsen", *AXIS, "SymRad")(lambda: s_magnitude(C("vp1d"), C("vs1d"), F.asin(C("SymRad")), splitting))
+register("tt_S_dlnVp_dlnVp2Vs_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "dlnVp2Vs", *AXIS, "SymRad")(lambda: s_magnitude(*joint(), E.asin(C("SymRad")), s_arrival))
+register("si_S_AniMag_SymAzm_SymRad_Thomsen", *AXIS, "SymRad")(lambda: s_magnitude(C("vp1d"), C("vs1d"), E.asin(C("SymRad")), splitting))
 register("si_S_AniMag_SymAzm_SymElv_Thomsen", *AXIS, "SymElv")(lambda: s_magnitude(C("vp1d"), C("vs1d"), C("SymElv"), splitting))
-register("si_S_dlnVp_dlnVp2Vs_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "dlnVp2Vs", *AXIS, "SymRad")(lambda: s_magnitude(*joint(), F.asin(C("SymRad")), splitting))
+register("si_S_dlnVp_dlnVp2Vs_AniMag_SymAzm_SymRad_Thomsen", "dlnVp", "dlnVp2Vs", *AXIS, "SymRad")(lambda: s_magnitude(*joint(), E.asin(C("SymRad")), splitting))
+
+
+def slowness(name: str, columns: dict):
+    """The nodal slowness (or splitting intensity) of a forward function for numpy arrays by column, as a plan computes it for Columns."""
+    with E.arrays(columns):
+        return REGISTRY[name].slowness()
 
 
 def predicted(nodes: DataFrame, name: str, references: DataFrame | None = None) -> DataFrame:
@@ -175,13 +182,13 @@ def predicted(nodes: DataFrame, name: str, references: DataFrame | None = None)
     along = Window.partitionBy("ray_id").orderBy("node_ix")
     u = nodes.select("ray_id", "node_ix", "seg_len", f.slowness().alias("u"))
     # a segment's slowness is the mean of its ends
-    segments = u.withColumn("mean_u", (C("u") + F.lead("u").over(along)) / 2)
-    out = segments.groupBy("ray_id").agg(F.coalesce(F.sum(C("seg_len") * C("mean_u")), F.lit(0.0)).alias("predicted"))
+    segments = u.withColumn("mean_u", (F.col("u") + F.lead("u").over(along)) / 2)
+    out = segments.groupBy("ray_id").agg(F.coalesce(F.sum(F.col("seg_len") * F.col("mean_u")), F.lit(0.0)).alias("predicted"))
     if f.intensity or references is None:
         return out
-    return out.join(references, "ray_id").select("ray_id", (C("predicted") - C("ref_t")).alias("predicted"))
+    return out.join(references, "ray_id").select("ray_id", (F.col("predicted") - F.col("ref_t")).alias("predicted"))
 
 
 def with_outside(nodes: DataFrame, field: str, first: Column, last: Column, reference: float) -> DataFrame:
     """The field's value replaced by its reference value on nodes first .. last (outside its domain); an empty range replaces nothing."""
-    return nodes.withColumn(field, F.when(C("node_ix").between(first, last), F.lit(reference)).otherwise(C(field)))
+    return nodes.withColumn(field, F.when(F.col("node_ix").between(first, last), F.lit(reference)).otherwise(F.col(field)))

@@ -47,7 +47,14 @@ def tracing_grid(spark: SparkSession, lat, lon, r, places: DataFrame | None = No
 
 def with_frames(grid: DataFrame, frames: DataFrame) -> DataFrame:
     """Every node in every time frame (a short table)."""
-    return grid.join(F.broadcast(frames), F.lit(True))
+    from stratum.operators.select import short
+
+    return grid.join(F.broadcast(short(frames)), F.lit(True))
+
+
+def time_limits(events: DataFrame, time: str = "t0") -> tuple[float, float]:
+    """Least and greatest event time, between which frames lie."""
+    return tuple(events.agg(F.min(time), F.max(time)).first())
 
 
 def frames(spark: SparkSession, low: float, high: float, count: int = 50) -> DataFrame:

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def intervals(knots: DataFrame, radius: str, values: list[str]) -> DataFrame:
-    """Intervals between neighbouring knots, radius descending: _hi, _lo and the values at both ends."""
-    w = Window.orderBy(F.col(radius).desc())
-    cols = [F.col(radius).alias("_hi"), F.lead(radius).over(w).alias("_lo")]
-    for v in values:
-        cols += [F.col(v).alias(f"_{v}_hi"), F.lead(v).over(w).alias(f"_{v}_lo")]
-    return knots.select(*cols).where("_lo IS NOT NULL")
+from stratum.operators.select import fresh, short
 
 
 def reference_values(points: DataFrame, knots: DataFrame, at: str, radius: str, values: list[str]) -> DataFrame:
     """points with values of a one-dimensional model at radius `at`: linear between knots, held at both ends. The model is a short table: its knots travel as one broadcast array, and points are neither shuffled nor multiplied."""
-    row = knots.agg(F.array_sort(F.collect_list(F.struct(F.col(radius).alias("r"), *values))).alias("_k"))
+    row = short(knots).agg(F.array_sort(F.collect_list(F.struct(F.col(radius).alias("r"), *values))).alias("_k"))
     p = points.join(F.broadcast(row), F.lit(True))
     r = F.col(at)
     higher, lower = F.filter("_k", lambda k: k["r"] > r), F.filter("_k", lambda k: k["r"] <= r)
@@ -66,7 +59,8 @@ def last_repeated(value: Column, ray: str, order: str) -> Column:
 def demeaned(rows: DataFrame, group: list[str], value: str, name: str = "demeaned") -> DataFrame:
     """Value less the mean of its group (NaN values don't count in the mean). The means are a small aggregate that joins back, so a large group is never held by one task."""
     means = group_means(rows, group, value)
-    return rows.join(means.select(*group, F.col("mean").alias("_m")), group).withColumn(name, F.col(value) - F.col("_m")).drop("_m")
+    m = fresh(rows, "_m")
+    return rows.join(means.select(*group, F.col("mean").alias(m)), group).withColumn(name, F.col(value) - F.col(m)).drop(m)
 
 
 def group_means(rows: DataFrame, group: list[str], value: str) -> DataFrame:

@@ -4,55 +4,137 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def squared(a: list[Column], b: list[Column]) -> Column:
-    return reduce(lambda s, t: s + t, [(x - y) * (x - y) for x, y in zip(a, b, strict=True)])
-
-
-def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], point: str = "point_ix", nucleus: str = "nucleus_ix", value: str = "v", cell: float | None = None) -> DataFrame:
+from stratum.operators.select import short
+from stratum.session import ship
+
+
+#: Nuclei of a group of models that a task holds, points that meet it there, and points compared at once.
+MODELS, POINTS, AT_ONCE = 200_000, 200_000, 4096
+#: Nuclei in a leaf of a model's tree.
+LEAF = 32
+
+
+class Tree:
+    """Nuclei of one model in boxes: halves along the widest side until LEAF are left. The nearest one of many points at once, exactly; of equally near ones that with the lowest number."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.leaves, rest = x, [], [np.arange(len(x))]
+        while rest:
+            own = rest.pop()
+            if len(own) <= LEAF:
+                self.leaves.append(np.sort(own))
+                continue
+            side = np.ptp(x[own], axis=0).argmax()
+            order = own[np.argsort(x[own, side], kind="stable")]
+            rest += [order[: len(own) // 2], order[len(own) // 2 :]]
+        self.low = np.stack([x[i].min(0) for i in self.leaves])
+        self.high = np.stack([x[i].max(0) for i in self.leaves])
+
+    def distances(self, p: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Squared, summed coordinate by coordinate."""
+        out = np.zeros((len(p), len(own)))
+        for k in range(p.shape[1]):
+            d = p[:, k, None] - self.x[own, k]
+            out += d * d
+        return out
+
+    def nearest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, d2 = np.full(len(p), len(self.x)), np.full(len(p), np.inf)
+        gap = np.zeros((len(p), len(self.leaves)))
+        for k in range(p.shape[1]):
+            out = np.maximum(0.0, np.maximum(self.low[:, k] - p[:, k, None], p[:, k, None] - self.high[:, k]))
+            gap += out * out
+        own_leaf = gap.argmin(1)
+        for leaf, own in enumerate(self.leaves):  # first each point's own leaf, so that most others are out of reach
+            self.meet(p, best, d2, (own_leaf == leaf).nonzero()[0], own)
+        for leaf, own in enumerate(self.leaves):
+            self.meet(p, best, d2, ((own_leaf != leaf) & (gap[:, leaf] <= d2 * (1 + 1e-12))).nonzero()[0], own)
+        return best, d2
+
+    def meet(self, p, best, d2, some, own) -> None:
+        if len(some):
+            d = self.distances(p[some], own)
+            i = d.argmin(1)
+            now, which = d[np.arange(len(some)), i], own[i]
+            better = (now < d2[some]) | (now == d2[some]) & (which < best[some])
+            best[some[better]], d2[some[better]] = which[better], now[better]
+
+
+def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], point: str = "point_ix", nucleus: str = "nucleus_ix", value: str = "v") -> DataFrame:
     """(point, model..., nucleus, v, d2): the nearest nucleus of every model (chain, iteration, field) to every point; of equally near ones the lowest index.
 
-    Without cell every point meets every nucleus of a model: right for the tens of nuclei a model has by default.
-    With cell, space is cut into cubes of that edge: a point first meets the nuclei of its own and adjacent cubes,
-    and only points whose best is farther than one edge (so that a nearer one may lie beyond) meet all.
+    Models are dealt to groups of about MODELS nuclei and points to blocks of about POINTS; a task holds a group and
+    streams a block past a tree of each model. So a nucleus travels once for each block, a point once for each group
+    (which gives at least a row for each model of it), and no row meets all nuclei. A model goes whole to a task: one
+    of n nuclei takes about 8 n (coordinates + 2) bytes there. Rows with a null coordinate have no distance and are left out.
     """
-    n, p = nuclei.alias("n"), points.alias("p")
-    d2 = squared([F.col(f"p.{c}") for c in coords], [F.col(f"n.{c}") for c in coords])
-    best = F.min(F.struct(d2.alias("d2"), F.col(f"n.{nucleus}").alias(nucleus), F.col(f"n.{value}").alias(value))).alias("best")
-    keys = [F.col(f"p.{point}"), *(F.col(f"n.{m}") for m in model)]
-    whole = lambda some: some.alias("p").join(n, F.lit(True)).groupBy(*keys).agg(best)
-    if cell is None:
-        found = whole(points)
-    else:
-        cube = lambda c: F.floor(F.col(c) / cell).cast("long")
-        offsets = [F.array(*(F.lit(k) for k in (-1, 0, 1)))] * len(coords)
-        near = points
-        for i, c in enumerate(coords):
-            near = near.withColumn(f"_c{i}", cube(c)).withColumn(f"_o{i}", F.explode(offsets[i])).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col(f"_o{i}")).drop(f"_o{i}")
-        own = nuclei
-        for i, c in enumerate(coords):
-            own = own.withColumn(f"_c{i}", cube(c))
-        on = reduce(lambda a, b: a & b, [F.col(f"p._c{i}") == F.col(f"n._c{i}") for i in range(len(coords))])
-        close = near.alias("p").join(own.alias("n"), on).groupBy(*keys).agg(best).where(F.col("best.d2") <= cell * cell)
-        models = nuclei.select(*model).distinct()
-        rest = points.select(point, *coords).join(models, F.lit(True)).join(close, [point, *model], "left_anti")
-        again = rest.alias("p").join(n, [F.col(f"p.{m}") == F.col(f"n.{m}") for m in model]) if model else rest.alias("p").join(n, F.lit(True))
-        found = close.unionByName(again.groupBy(*keys).agg(best))
-    return found.select(point, *model, f"best.{nucleus}", f"best.{value}", "best.d2")
+    ship(points.sparkSession)
+    full = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in coords]))
+    xs = F.array(*(F.col(f"`{c}`").cast("double") for c in coords))
+    own = full(nuclei).select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{m}`") for m in model)).alias("model"), F.col(f"`{nucleus}`").alias("nucleus"), F.col(f"`{value}`").alias("value"), xs.alias("x"))
+    spots = full(points).select(F.col(f"`{point}`").alias("point"), xs.alias("x"))
+    groups, blocks = max(1, -(-own.count() // MODELS)), max(1, -(-spots.count() // POINTS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
+    a = own.select(F.pmod(F.xxhash64("model"), F.lit(groups)).cast("int").alias("group"), every(blocks).alias("block"), F.lit(0).alias("kind"), "model", "nucleus", "value", none("point", spots), "x")
+    b = spots.select(every(groups).alias("group"), F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), none("model", own), none("nucleus", own), none("value", own), "point", "x")
+    rows = a.unionByName(b).repartition(max(1, min(groups * blocks, 20_000)), "group", "block").sortWithinPartitions("group", "block", "kind", "model", "nucleus")
+
+    def run(batches):
+        at, heads, trees = None, [], None
+        joined = lambda k: pa.concat_arrays([h.column(k) for h in heads])
+        matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(coords))
+
+        def planted():
+            models, nuclei_, values, x = joined(3), joined(4), joined(5), matrix(joined(7))
+            keys = models.to_pylist()
+            first = [i for i in range(len(keys)) if i == 0 or keys[i] != keys[i - 1]]
+            return [(models.slice(i, 1), nuclei_.slice(i, j - i), values.slice(i, j - i), Tree(x[i:j])) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
+
+        for batch in batches:
+            key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            edges = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
+            for i, j in zip(edges, [*edges[1:], len(key)], strict=True):
+                part = batch.slice(i, j - i)
+                if key[i] != at:
+                    at, heads, trees = key[i], [], None
+                kinds = part.column(2).to_numpy(zero_copy_only=False)
+                cut = int(np.searchsorted(kinds, 1))
+                if cut:
+                    heads.append(part.slice(0, cut))
+                if cut == len(kinds) or not heads and trees is None:
+                    continue
+                if trees is None:
+                    trees, heads = planted(), []
+                for k in range(cut, len(kinds), AT_ONCE):
+                    some = part.slice(k, AT_ONCE)
+                    p = matrix(some.column(7))
+                    for name, nuclei_, values, tree in trees:
+                        best, d2 = tree.nearest(p)
+                        best = pa.array(best)
+                        same = pa.array(np.zeros(len(p), np.int64))
+                        yield pa.RecordBatch.from_arrays([some.column(6), name.take(same), nuclei_.take(best), values.take(best), pa.array(d2)], names=["point", "model", "nucleus", "value", "d2"])
+
+    kind = lambda name: rows.schema[name].dataType.simpleString()
+    found = rows.mapInArrow(run, f"point {kind('point')}, model {kind('model')}, nucleus {kind('nucleus')}, value {kind('value')}, d2 double")
+    return found.select(F.col("point").alias(point), *(F.col(f"model.`{m}`").alias(m) for m in model), F.col("nucleus").alias(nucleus), F.col("value").alias(value), "d2")
 
 
 def nearest_value(queries: DataFrame, axis: DataFrame, query: str, position: str, index: str) -> DataFrame:
-    """Each query with the index of the nearest value of a short axis (broadcast; lowest index of equally near ones)."""
-    joined = queries.join(F.broadcast(axis), F.lit(True))
-    return joined.groupBy(*queries.columns).agg(F.min(F.struct(F.abs(F.col(position) - F.col(query)).alias("d"), F.col(index).alias("i"))).alias("b")).select(*queries.columns, F.col("b.i").alias(index))
+    """Each query with the index of the nearest value of a short axis (one array; lowest index of equally near ones), so that queries aren't shuffled or multiplied."""
+    row = short(axis).agg(F.collect_list(F.struct(F.col(position).alias("p"), F.col(index).alias("i"))).alias("_axis"))
+    pick = F.array_min(F.transform("_axis", lambda x: F.struct(F.abs(x["p"] - F.col(query)).alias("d"), x["i"].alias("i"))))["i"]
+    return queries.join(F.broadcast(row), F.lit(True)).withColumn(index, pick).drop("_axis")
 
 
 def nearest_in_time(events: DataFrame, frames: DataFrame, time: str, frame_time: str, frame: str) -> DataFrame:
     """Each event with the frame nearest in time: an as-of join in both directions. frames is a short table, carried as one sorted array, so that events aren't shuffled or multiplied."""
-    row = frames.agg(F.sort_array(F.collect_list(F.struct(F.col(frame_time).alias("t"), F.col(frame).alias("f")))).alias("_f"))
+    row = short(frames).agg(F.sort_array(F.collect_list(F.struct(F.col(frame_time).alias("t"), F.col(frame).alias("f")))).alias("_f"))
     pick = F.array_min(F.transform("_f", lambda x: F.struct(F.abs(x["t"] - F.col(time)).alias("d"), x["f"].alias("f"))))["f"]
     return events.join(F.broadcast(row), F.lit(True)).withColumn(frame, pick).drop("_f")
 

@@ -52,12 +52,24 @@ def freedman_diaconis(s: Column) -> Column:
     return F.round(2 * (high - low) / F.cbrt(F.size(s).cast("double")), 9)
 
 
+def mode(s: Column, width: Column | None = None) -> Column:
+    """binned_mode() of a sorted array in one pass: equal bins are neighbours, so a fold keeps the bin it is in and the fullest one so far."""
+    w = freedman_diaconis(s) if width is None else width
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(None).cast("double").alias("bin"), zero.alias("c"), F.lit(None).cast("double").alias("top"), zero.alias("most"))
+
+    def step(acc, x):
+        b = F.rint(x / w)
+        c = F.when(acc["bin"] == b, acc["c"] + 1).otherwise(F.lit(1).cast("long"))
+        more = c > acc["most"]
+        return F.struct(b.alias("bin"), c.alias("c"), F.when(more, b).otherwise(acc["top"]).alias("top"), F.when(more, c).otherwise(acc["most"]).alias("most"))
+
+    return F.when(w > 0, F.aggregate(s, start, step, lambda acc: acc["top"]) * w).otherwise(quantile(s, 0.5))
+
+
 def binned_mode(sorted_: DataFrame, keys: list[str], width: Column | None = None) -> DataFrame:
     """(keys, mode): centre of the fullest bin of multiples of the width (Freedman-Diaconis by default), values rounded half to even; of equally full bins the lowest. The median where the width is 0."""
-    s = F.col("s")
-    w = sorted_.select(*keys, "s", (freedman_diaconis(s) if width is None else width).alias("w"), quantile(s, 0.5).alias("median"))
-    bins = w.select(*keys, "w", "median", F.explode("s").alias("x")).groupBy(*keys, "w", "median", F.when(F.col("w") > 0, F.rint(F.col("x") / F.col("w"))).alias("bin")).agg(F.count("*").alias("c"))
-    return bins.groupBy(*keys).agg(F.min_by(F.coalesce(F.col("bin") * F.col("w"), F.col("median")), F.struct(-F.col("c"), F.col("bin"))).alias("mode"))
+    return sorted_.select(*keys, mode(F.col("s"), width).alias("mode"))
 
 
 def hellinger_uniform(s: Column, low: Column | float, high: Column | float) -> Column:
@@ -80,8 +92,12 @@ def hellinger(s: Column, cdf, width: Column | None = None) -> Column:
     low = F.get(s, 0)
     at = F.transform(s, lambda x: F.greatest(F.ceil((x - low) / w) - 1, F.lit(0).cast("long")))
     share = lambda b: cdf(low + (b + 1) * w) - cdf(low + b * w)
-    counts = F.transform(F.array_distinct(at), lambda b: F.sqrt(F.greatest(F.lit(0.0), share(b)) * F.size(F.filter(at, lambda c: c == b)) / F.size(s)))
-    total = F.aggregate(counts, F.lit(0.0), lambda acc, x: acc + x)
+    # equal bins are neighbours in a sorted array: a fold adds a bin's part when the next begins
+    part = lambda acc: F.when(acc["c"] > 0, F.sqrt(F.greatest(F.lit(0.0), share(acc["bin"])) * acc["c"] / F.size(s))).otherwise(0.0)
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(-1).cast("long").alias("bin"), zero.alias("c"), F.lit(0.0).alias("sum"))
+    step = lambda acc, b: F.struct(b.alias("bin"), F.when(acc["bin"] == b, acc["c"] + 1).otherwise(F.lit(1).cast("long")).alias("c"), F.when(acc["bin"] == b, acc["sum"]).otherwise(acc["sum"] + part(acc)).alias("sum"))
+    total = F.aggregate(at, start, step, lambda acc: acc["sum"] + part(acc))
     return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - total)))
 
 
@@ -105,7 +121,7 @@ def tendencies(samples: DataFrame, keys: list[str], value: Column, low: float, h
     s = F.col("s")
     (mi1, mi2), (lh1, lh2), (hd1, hd2) = median_interval(s, level), low_high_interval(s, level), densest_interval(s, level)
     cols = [F.col("mean"), quantile(s, 0.5).alias("median"), *(quantile(s, q).alias(f"q{i}") for i, q in enumerate(quantiles, 1)), mi1.alias("mi_lo"), mi2.alias("mi_hi"), lh1.alias("lhi_a"), lh2.alias("lhi_b"), hd1.alias("hdi_lo"), hd2.alias("hdi_hi"), hellinger_uniform(s, low, high).alias("hval"), *(["ndist"] if extra else [])]
-    return g.select(*keys, *cols).join(binned_mode(g.select(*keys, "s"), keys), keys)
+    return g.select(*keys, *cols, mode(s).alias("mode"))
 
 
 def pivoted(long: DataFrame, point: str, field: str, fields: list[str], stats: list[str]) -> DataFrame:

@@ -6,18 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.functions.geo import to_geographic
+from stratum.store import stored
+
+
+def fresh(table: DataFrame, name: str) -> str:
+    """name, with underscores before it until no column of the table has it."""
+    while name.lower() in {c.lower() for c in table.columns}:
+        name = "_" + name
+    return name
+
+
+#: Most rows of a table that travels as one array to every task.
+SHORT = 100_000
+
+
+def short(table: DataFrame) -> DataFrame:
+    """The table, if a count shows it to be short enough to travel whole; else an error."""
+    if table.limit(SHORT + 1).count() > SHORT:
+        raise ValueError(f"a table of more than {SHORT} rows can't travel as one array")
+    return table
 
 
 def drop_burn_in(models: DataFrame, chain: list[str], order: list[str], num_burn: int) -> DataFrame:
     """Each chain without its first num_burn saved models (the start model counts)."""
     w = Window.partitionBy(*chain).orderBy(*order)
-    return models.withColumn("_n", F.row_number().over(w)).where(F.col("_n") > num_burn).drop("_n")
+    n = fresh(models, "_n")
+    return models.withColumn(n, F.row_number().over(w)).where(F.col(n) > num_burn).drop(n)
 
 
 def trailing(models: DataFrame, chain: list[str], order: list[str], count: int) -> DataFrame:
     """The last count saved models of each chain."""
     w = Window.partitionBy(*chain).orderBy(*(F.col(c).desc() for c in order))
-    return models.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= count).drop("_n")
+    n = fresh(models, "_n")
+    return models.withColumn(n, F.row_number().over(w)).where(F.col(n) <= count).drop(n)
 
 
 def cold(models: DataFrame, temperature: str = "temperature") -> DataFrame:
@@ -58,12 +79,14 @@ def positioned(table: DataFrame, order: list[str], position: str = "position") -
     """table with positions 1 .. n in the given order. Counts of range partitions are summed on the driver (a number for each partition), so no task takes all rows."""
     if not table.columns:
         return table
+    part, row, low, before = (fresh(table, x) for x in ("_part", "_row", "_low", "_before"))
     ranged = table.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    first = ranged.groupBy("_part").agg(F.count("*").alias("_c"), F.min("_row").alias("_low"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offset = first.select("_part", "_low", F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(offset), "_part").withColumn(position, F.col("_row") - F.col("_low") + F.col("_before") + 1).drop("_part", "_row", "_low", "_before")
+    # stored, as ranges are sampled: numbers and counts must come from one and the same partitioning
+    ranged = stored(ranged.withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id()))
+    first = ranged.groupBy(part).agg(F.count("*").alias("_c"), F.min(row).alias(low))
+    w = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offset = first.select(part, low, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias(before))
+    return ranged.join(F.broadcast(offset), part).withColumn(position, F.col(row) - F.col(low) + F.col(before) + 1).drop(part, row, low, before)
 
 
 def active_fields(fields: DataFrame) -> DataFrame:

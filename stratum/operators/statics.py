@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 TIE = 1e6
 #: Most statics solved for at once on the driver (a dense normal matrix of 8 n^2 bytes).
 MOST = 5_000
+#: Most pairs of event and station whose weights come to the driver.
+MOST_PAIRS = 1_000_000
 
 
 def event_statics(residuals: DataFrame) -> DataFrame:
@@ -31,7 +33,10 @@ def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float,
     if diagonal.limit(MOST + 1).count() > MOST:
         raise ValueError(f"more than {MOST} statics: solve for fewer at once, or for event statics alone")
     rows = [tuple(x) for x in diagonal.orderBy("obs_name", "kind", "id").collect()]
-    cross = r.groupBy("obs_name", "event_id", "station_id").agg(F.sum("w").alias("w")).collect()
+    pairs = r.groupBy("obs_name", "event_id", "station_id").agg(F.sum("w").alias("w"))
+    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
+        raise ValueError(f"more than {MOST_PAIRS} pairs of event and station: solve for fewer at once")
+    cross = pairs.collect()
     at = {x[:3]: i for i, x in enumerate(rows)}
     g = np.diag([x[3] + ((sigma[x[0]] / damping) ** 2 if x[1] == "station" else 0.0) for x in rows])
     for obs, e, s, weight in cross:

@@ -57,16 +57,9 @@ def straight_distance(spark, sf_dir):
     return s.select("s_suppkey", r6(d).alias("distance"))
 
 
-@query(SUP + ", c AS (SELECT *, sin(0.2) * sin(lat) + cos(0.2) * cos(lat) * cos(lon - 0.1) AS k FROM s WHERE abs(lon) < 1 AND abs(lat) < 1) SELECT s_suppkey, round(6371 * cos(lat) * sin(lon - 0.1) / k, 6) AS x, round(6371 * (cos(0.2) * sin(lat) - sin(0.2) * cos(lat) * cos(lon - 0.1)) / k, 6) AS y FROM c")
-def gnomonic_plane(spark, sf_dir):
-    s = supplier(spark, sf_dir).where("abs(lon) < 1 AND abs(lat) < 1")
-    x, y = geo.gnomonic(F.col("lat"), F.col("lon"), F.lit(0.2), F.lit(0.1))
-    return rounded(s.select("s_suppkey", x.alias("x"), y.alias("y")), [])
-
-
 @query(SUP + ", c AS (SELECT *, sin(0.2) * sin(lat) + cos(0.2) * cos(lat) * cos(lon - 0.1) AS k FROM s) SELECT s_suppkey, CASE WHEN k > 0 THEN round(6371 * cos(lat) * sin(lon - 0.1) / k, 6) END AS x, CASE WHEN k > 0 THEN round(6371 * (cos(0.2) * sin(lat) - sin(0.2) * cos(lat) * cos(lon - 0.1)) / k, 6) END AS y FROM c")
 def gnomonic_plane_all(spark, sf_dir):
-    """gnomonic_plane for every supplier; null where the projection isn't defined, a quarter of the circle or more from its centre."""
+    """Null where the projection isn't defined, a quarter of the circle or more from its centre."""
     x, y = geo.gnomonic(F.col("lat"), F.col("lon"), F.lit(0.2), F.lit(0.1))
     ahead = F.sin(F.lit(0.2)) * F.sin("lat") + F.cos(F.lit(0.2)) * F.cos("lat") * F.cos(F.col("lon") - 0.1) > 0
     return rounded(supplier(spark, sf_dir).select("s_suppkey", F.when(ahead, x).alias("x"), F.when(ahead, y).alias("y")), [])

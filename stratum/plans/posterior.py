@@ -199,39 +199,26 @@ def weighted_tendencies(spark, sf_dir):
 COORDS = [f"c{i}" for i in range(1, 5)]
 CELLS = """
 WITH v AS (SELECT vec_id, label, embedding[1]::DOUBLE AS c1, embedding[2]::DOUBLE AS c2, embedding[3]::DOUBLE AS c3, embedding[4]::DOUBLE AS c4 FROM embeddings),
-n AS (SELECT vec_id % 3 AS chain, vec_id AS nucleus_ix, label::DOUBLE AS v, c1, c2, c3, c4 FROM v WHERE vec_id < 48),
+n AS (SELECT vec_id % 3 AS chain, vec_id AS nucleus_ix, label::DOUBLE AS v, c1, c2, c3, c4 FROM v),
 d AS (SELECT v.vec_id, n.chain, n.nucleus_ix, n.v, (v.c1 - n.c1) * (v.c1 - n.c1) + (v.c2 - n.c2) * (v.c2 - n.c2) + (v.c3 - n.c3) * (v.c3 - n.c3) + (v.c4 - n.c4) * (v.c4 - n.c4) AS d2 FROM v, n),
 b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id, chain ORDER BY d2, nucleus_ix) = 1)
 """
 
 
-def cells(spark, sf_dir, cell=None):
-    """The first 48 vectors are the nuclei of three models; every vector is a point."""
+def cells(spark, sf_dir):
+    """Every vector is a nucleus of one of three models, and every vector is a point."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COORDS)))
-    n = v.where("vec_id < 48").select((F.col("vec_id") % 3).alias("chain"), F.col("vec_id").alias("nucleus_ix"), F.col("label").cast("double").alias("v"), *COORDS)
-    return nearest.nearest_cells(v.select("vec_id", *COORDS), n, ["chain"], COORDS, point="vec_id", cell=cell)
-
-
-@query(CELLS + "SELECT vec_id, chain, nucleus_ix, v, round(d2, 6) AS d2 FROM b")
-def nearest_cell(spark, sf_dir):
-    return rounded(cells(spark, sf_dir), ["v"])
+    n = v.select((F.col("vec_id") % 3).alias("chain"), F.col("vec_id").alias("nucleus_ix"), F.col("label").cast("double").alias("v"), *COORDS)
+    return nearest.nearest_cells(v.select("vec_id", *COORDS), n, ["chain"], COORDS, point="vec_id")
 
 
 @query(CELLS + "SELECT vec_id, chain, nucleus_ix, v, round(d2, 6) AS d2 FROM b")
-def nearest_cell_by_cubes(spark, sf_dir):
-    return rounded(cells(spark, sf_dir, cell=0.15), ["v"])
-
-
-@query()
 def nearest_cell_all_nuclei(spark, sf_dir):
-    """Every vector is a nucleus of one of three models, and every vector is a point."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COORDS)))
-    n = v.select((F.col("vec_id") % 3).alias("chain"), F.col("vec_id").alias("nucleus_ix"), F.col("label").cast("double").alias("v"), *COORDS)
-    return rounded(nearest.nearest_cells(v.select("vec_id", *COORDS), n, ["chain"], COORDS, point="vec_id", cell=0.15), ["v"])
+    return rounded(cells(spark, sf_dir), ["v"])
 
 
 @query(CELLS + ", s AS (SELECT vec_id, count(*) AS n, sum(v) AS s1, sum(v^2) AS s2 FROM (SELECT vec_id, CASE WHEN d2 <= 0.1 THEN v ELSE 4.5 END AS v FROM b) GROUP BY ALL) SELECT vec_id, n, round(s1 / n, 6) AS mean, round(sqrt(greatest(0, s2 / n - (s1 / n) ^ 2)), 6) AS sd FROM s")
-def nearest_cell_moments(spark, sf_dir):
+def nearest_cell_moments_all(spark, sf_dir):
     v = moments.squeezed(F.col("v"), F.col("d2") <= 0.1, 4.5)
     return rounded(moments.moments(cells(spark, sf_dir).withColumn("x", v), ["vec_id"], F.col("x")).drop("skewness"), [])
 

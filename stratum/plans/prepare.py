@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from stratum.operators import index, interpolate, nearest, residuals, select
 from stratum.plans.registry import query, rounded, table
 from stratum.sources import text
+from stratum.store import folder
 
 
 def observations(spark, sf_dir):
@@ -88,15 +87,8 @@ def source_receiver_pairs(spark, sf_dir):
     return index.pairs_to_rays(rays, from_events=False).select(F.col("source_id").alias("l_suppkey"), F.col("receiver_id").alias("part"), "phase")
 
 
-@query("WITH s AS (SELECT DISTINCT event_type AS obs_name, user_id AS id FROM events WHERE user_id < 20) SELECT a.id, a.obs_name AS obs_a, b.obs_name AS obs_b FROM s a JOIN s b ON a.id = b.id AND a.obs_name < b.obs_name")
-def shared_statics(spark, sf_dir):
-    s = table(spark, sf_dir, "events").where("user_id < 20").select(F.col("event_type").alias("obs_name"), F.lit(1).alias("group_id"), F.col("user_id").alias("id")).distinct()
-    return index.shared_statics(s).drop("group_id")
-
-
 @query("WITH s AS (SELECT DISTINCT event_type AS obs_name, user_id AS id FROM events) SELECT a.id, a.obs_name AS obs_a, b.obs_name AS obs_b FROM s a JOIN s b ON a.id = b.id AND a.obs_name < b.obs_name")
 def shared_statics_all(spark, sf_dir):
-    """shared_statics over every id, not the first 20."""
     s = table(spark, sf_dir, "events").select(F.col("event_type").alias("obs_name"), F.lit(1).alias("group_id"), F.col("user_id").alias("id")).distinct()
     return index.shared_statics(s).drop("group_id")
 
@@ -264,15 +256,7 @@ def acquisition_round_trip(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     depth, lat, lon = (F.format_string("%.5f", c) for c in (F.col("s_nationkey") / F.lit(7.0), F.col("s_acctbal") / 100, F.col("s_acctbal") / 77))
     line = F.when(F.col("s_suppkey") % 10 == 3, F.concat_ws(" ", depth, lat)).otherwise(F.concat_ws("   ", depth, lat, lon, F.col("s_suppkey").cast("string")))
-    path = shared_folder(spark) + "/acquisition"
+    path = folder(spark) + "/acquisition"
     s.select(line.alias("line")).write.mode("overwrite").text(path)
     good, _ = text.read_acquisition(spark, path, "long", order=(4, 2, 3, 1), depth=True)
     return good
-
-
-def shared_folder(spark) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, or a temporary one on a local master without it."""
-    import uuid
-
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{named.rstrip('/')}/stratum/{uuid.uuid4().hex}" if named else tempfile.mkdtemp(prefix="stratum-text-")

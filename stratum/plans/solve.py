@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratum.operators import graph, grid, index, locate, residuals, sampler, statics
+from stratum.operators import forward, graph, grid, index, inversion, locate, residuals, sampler, statics
 from stratum.plans.registry import query, r6, rounded, table
+from stratum.sources import config
 
 
 @query("SELECT l_returnflag AS obs, round(sum((l_quantity - 25) ^ 2), 6) AS total, round(sqrt(avg((l_quantity - 25) ^ 2)), 6) AS rms, round(sum((l_quantity - 25) ^ 2 / (1 + l_linenumber) ^ 2), 6) AS misfit FROM lineitem GROUP BY ALL")
@@ -112,23 +113,12 @@ def tempering_ladder(spark, sf_dir):
     return rounded(spark.createDataFrame(list(enumerate(sampler.ladder(8, 2, 20.0), 1)), "i long, temperature double"), [])
 
 
-@query("""WITH c AS (SELECT event_id, value AS m1, lead(value) OVER (ORDER BY event_id) AS m2, 1 + event_id % 3 AS t1, 1 + event_id % 4 AS t2, (event_id % 10 + 1) / 12 AS u FROM events)
-SELECT event_id, ln(u) < (1 / t1 - 1 / t2) * (m1 - m2) / 2 AS swapped FROM c WHERE m2 IS NOT NULL AND event_id < 1000""")
-def tempering_swap(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("event_id", "value").where("event_id <= 1000")
-    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("m2"))
-    c = e.join(after, "event_id")
-    t1, t2, u = 1 + F.col("event_id") % 3, 1 + F.col("event_id") % 4, (F.col("event_id") % 10 + 1) / 12
-    return c.where("event_id < 1000").select("event_id", (F.log(u) < (1 / t1 - 1 / t2) * (F.col("value") - F.col("m2")) / 2).alias("swapped"))
-
-
 @query("""WITH c AS (SELECT event_id, value AS m1, lead(value) OVER (ORDER BY event_id) AS m2, 1 + event_id % 3 AS t1, 1 + event_id % 4 AS t2, (event_id % 10 + 1) / 12 AS u FROM events)
 SELECT event_id, ln(u) < (1 / t1 - 1 / t2) * (m1 - m2) / 2 AS swapped FROM c WHERE m2 IS NOT NULL""")
 def tempering_swap_all(spark, sf_dir):
-    """tempering_swap for every row that has one after it, not for the first 1,000 ids."""
     c = index.followed(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", "value", "m2").where("m2 IS NOT NULL")
     t1, t2, u = 1 + F.col("event_id") % 3, 1 + F.col("event_id") % 4, (F.col("event_id") % 10 + 1) / 12
-    return c.select("event_id", (F.log(u) < (1 / t1 - 1 / t2) * (F.col("value") - F.col("m2")) / 2).alias("swapped"))
+    return c.select("event_id", sampler.swap_accepted(F.col("value"), F.col("m2"), t1, t2, F.log(u)).alias("swapped"))
 
 
 SMALL = ((-0.02, 0.02, 4), (0.0, 0.03, 3), (6300.0, 6371.0, 3))
@@ -161,6 +151,17 @@ def shortest_time_trees(spark, sf_dir):
     return rounded(t.select(F.col("node_ix").alias("node"), "time"), [])
 
 
+@query(TRAVEL + """, b AS (SELECT node, min(time) AS time FROM t GROUP BY node),
+back AS (SELECT e.b AS node, arg_min(e.a, (round(b.time + e.w, 9), e.a)) AS prev FROM b JOIN e ON e.a = b.node WHERE e.b <> 1 GROUP BY e.b),
+w AS (SELECT x AS receiver, 0::BIGINT AS seq, x AS node_ix FROM (SELECT s_suppkey % 36 + 1 AS x FROM supplier GROUP BY ALL) UNION ALL SELECT w.receiver, w.seq + 1, back.prev FROM w JOIN back ON back.node = w.node_ix)
+SELECT 1::BIGINT AS source, 'P' AS phase, receiver, seq, node_ix FROM w""")
+def ray_paths_of_suppliers(spark, sf_dir):
+    """Paths from node 1 of the small lattice to the node that each supplier's key names. The SQL takes the lowest node of equal times; on this lattice the trees do too."""
+    g = small_grid(spark)
+    receivers = table(spark, sf_dir, "supplier").select(F.lit(1).cast("long").alias("source"), F.lit("P").alias("phase"), (F.col("s_suppkey") % 36 + 1).cast("long").alias("receiver")).distinct()
+    return graph.paths(graph.trees(g, spark.createDataFrame([(1,)], "source long"), (4, 3, 3), {"P": "v"}), receivers)
+
+
 @query()
 def ray_paths(spark, sf_dir):
     g = small_grid(spark)
@@ -196,6 +197,49 @@ def rjmcmc_prior_only(spark, sf_dir):
     return rounded(models_, [])
 
 
+RUN = """
+out_directory = "runs"
+run_id = "suppliers"
+[[DataFields]]
+name = "delays"
+file = "-"
+forward_name = "tt_P_dlnVp"
+noise_guess = 0.05
+[[ParameterFields]]
+name = "dlnVp"
+prior = "uniform"
+vlims = [-0.05, 0.05]
+theta_lims = [-90.0, 90.0]
+phi_lims = [-180.0, 180.0]
+r_lims = [-300.0, 0.0]
+[MonteCarloSolver]
+num_iterations = 1000
+num_chains = 4
+save_interval = 100
+init_dim = 10
+max_dim = 100
+tf_hierarchical = true
+"""
+
+
+def supplier_rays(spark, sf_dir):
+    """A straight ray of 20 nodes below each supplier (places from its keys), and its observed delay."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ray_id"), F.radians((F.col("s_suppkey") * 37 % 160 - 80).cast("double")).alias("lat"), F.radians((F.col("s_suppkey") * 61 % 340 - 170).cast("double")).alias("lon"), (F.col("s_acctbal") / 1e5).alias("value"), F.col("s_nationkey").alias("event_id"))
+    n = s.select("ray_id", "lat", "lon", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("node_ix")).withColumn("r", 6071 + 15 * F.col("node_ix").cast("double"))
+    one = F.lit(0.0)
+    nodes = n.withColumns({"vp1d": 8.0 - (F.col("r") - 6071) / 300, "vs1d": F.lit(4.5), "azimuth": one, "elevation": one + 1.5, "polarization": one, "seg_len": F.when(F.col("node_ix") < 20, 15.0)})
+    integral = forward.predicted(nodes.withColumn("dlnVp", one), "tt_P_dlnVp").withColumnRenamed("predicted", "ref_t")
+    return nodes, s.select(F.lit("delays").alias("obs_name"), "ray_id", "event_id", F.col("ray_id").alias("station_id"), "value"), integral
+
+
+@query()
+def rjmcmc_rays(spark, sf_dir):
+    """A whole run: parameters, node table and observations to saved models; random, so without SQL."""
+    nodes, observations, references = supplier_rays(spark, sf_dir)
+    models_, _ = inversion.run(spark, config.parse(RUN), nodes, observations, references, seed=5)
+    return models_.select("chain", "iteration", "temperature", "accepted", r6(F.col("misfit")).alias("misfit"), r6(F.col("noise")[0]).alias("noise"))
+
+
 @query()
 def rjmcmc_tempered(spark, sf_dir):
     f = sampler.Field("dlnVp", -0.1, 0.1, (-0.1, 0.1), (0.0, 0.2), (6000.0, 6371.0), prior="normal", sd=0.03)

@@ -15,6 +15,18 @@ def save(tables: dict[str, DataFrame], path: str, mode: str = "errorifexists") -
         (writer.partitionBy("chain") if "chain" in df.columns else writer).parquet(f"{path}/{name}")
 
 
+def save_model_grid(grid: DataFrame, path: str, iteration: int) -> None:
+    """A snapshot of the lattice that rays were traced in, under path/grid/iteration=<n>."""
+    grid.write.mode("errorifexists").parquet(f"{path}/grid/iteration={iteration}")
+
+
+def load_metrics(spark: SparkSession, path: str, num_burn: int = 0) -> DataFrame:
+    """(chain, iteration, misfit, temperature, accepted, noise, nuclei): the metrics of every saved model, with its number of nuclei."""
+    models = load(spark, path, "models", num_burn)
+    counts = spark.read.parquet(f"{path}/cells").groupBy("chain", "iteration").agg(F.count("*").alias("nuclei"))
+    return models.join(counts, ["chain", "iteration"])
+
+
 def chain_number(chains: int, chunk: int, chain: int) -> int:
     """Number of a chain of a chunk (both from 1) among all chunks."""
     return chains * (chunk - 1) + chain

@@ -46,6 +46,15 @@ def record(cls, values: dict):
     return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in names})
 
 
+#: Fixed names: keys of parameter files, and the fields they fill.
+OBSERVABLE_KEYS = {"type": "name", "forward_function": "forward_name", "data_uncertainty": "noise_guess", "tf_event_demean": "demean", "tf_event_statics": "event_statics_id", "tf_station_statics": "station_statics_id"}
+PARAMETER_KEYS = {"field": "name", "pdf_parameters": "vlims", "lat_lims": "theta_lims", "lon_lims": "phi_lims", "elv_lims": "r_lims", "extrap_value": "extrapolation"}
+
+
+def renamed(values: dict, keys: dict[str, str]) -> dict:
+    return {keys.get(k, k): v for k, v in values.items()}
+
+
 def parse(text: str) -> Config:
     """A parameter file: two top-level names, [[DataFields]], [[ParameterFields]] and further sections as they are."""
     raw = tomllib.loads(text)
@@ -53,8 +62,8 @@ def parse(text: str) -> Config:
     missing = [k for k in ("out_directory", "run_id") if k not in raw]
     if missing:
         raise ValueError(f"the parameters lack {missing}")
-    observables = tuple(record(Observable, x) for x in raw.get("DataFields", []))
-    parameters = tuple(record(Parameter, x) for x in raw.get("ParameterFields", []))
+    observables = tuple(record(Observable, renamed(x, OBSERVABLE_KEYS)) for x in raw.get("DataFields", []))
+    parameters = tuple(record(Parameter, renamed(x, PARAMETER_KEYS)) for x in raw.get("ParameterFields", []))
     return Config(raw["out_directory"], raw["run_id"], observables, parameters, {k: v for k, v in raw.items() if isinstance(v, dict) and k not in lists})
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.operators.index import dimension
 from stratum.operators.select import positioned
 
 
@@ -93,10 +94,10 @@ def observation_lines(observations: DataFrame, events: DataFrame | None = None,
     """(line): with tables of positions (id, position) ids become positions, else they stay."""
     event, station = F.col("event_id").cast("string"), F.col("station_id").cast("string")
     if events is not None:
-        observations = observations.join(F.broadcast(events.select(F.col("id").alias("event_id"), F.col("position").alias("_e"))), "event_id")
+        observations = observations.join(dimension(events.select(F.col("id").alias("event_id"), F.col("position").alias("_e"))), "event_id")
         event = F.col("_e").cast("string")
     if stations is not None:
-        observations = observations.join(F.broadcast(stations.select(F.col("id").alias("station_id"), F.col("position").alias("_s"))), "station_id")
+        observations = observations.join(dimension(stations.select(F.col("id").alias("station_id"), F.col("position").alias("_s"))), "station_id")
         station = F.col("_s").cast("string")
     return observations.select(F.format_string("%6s  %6s  %11.5f  %s", event, station, F.col("observation"), F.col("phase")).alias("line"))
 

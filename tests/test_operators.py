@@ -91,16 +91,26 @@ def test_reference_values(spark):
 def test_nearest_takes_the_lowest_index(spark):
     p = spark.createDataFrame([(1, 0.0)], "point_ix int, x double")
     n = spark.createDataFrame([(1, -1.0, 10.0), (2, 1.0, 20.0)], "nucleus_ix int, x double, v double")
-    for cell in (None, 0.5, 3.0):
-        assert nearest.nearest_cells(p, n, [], ["x"], cell=cell).first()["nucleus_ix"] == 1
+    assert nearest.nearest_cells(p, n, [], ["x"]).first()["nucleus_ix"] == 1
 
 
-def test_nearest_by_cubes_equals_all_pairs(spark):
+@pytest.mark.parametrize("models,points", [(200_000, 200_000), (30, 17)])
+def test_nearest_equals_all_pairs(spark, monkeypatch, models, points):
+    monkeypatch.setattr(nearest, "MODELS", models)
+    monkeypatch.setattr(nearest, "POINTS", points)
     rng = np.random.default_rng(0)
-    p = spark.createDataFrame([(i, *map(float, rng.random(3))) for i in range(60)], "point_ix int, x double, y double, z double")
-    n = spark.createDataFrame([(i % 2, i, *map(float, rng.random(3)), float(i)) for i in range(40)], "chain int, nucleus_ix int, x double, y double, z double, v double")
-    a, b = (sorted(nearest.nearest_cells(p, n, ["chain"], ["x", "y", "z"], cell=c).select("point_ix", "chain", "nucleus_ix").collect()) for c in (None, 0.2))
-    assert a == b and len(a) == 120
+    at = np.round(rng.random((60, 3)), 1)  # places that are equally near, and equal ones
+    cells = np.round(rng.random((300, 3)), 1)
+    p = spark.createDataFrame([(i, *map(float, x), "mine") for i, x in enumerate(at)] + [(99, None, 0.0, 0.0, "mine")], "point_ix int, x double, y double, z double, model string")
+    n = spark.createDataFrame([("ab"[i % 2], i % 3, i, *map(float, x), f"v{i}") for i, x in enumerate(cells)], "chain string, iteration int, nucleus_ix int, x double, y double, z double, v string")
+    got = {(r["point_ix"], r["chain"], r["iteration"]): r for r in nearest.nearest_cells(p, n, ["chain", "iteration"], ["x", "y", "z"]).collect()}
+    assert len(got) == 60 * 6
+    for (i, chain, iteration), r in got.items():
+        own = [k for k in range(300) if "ab"[k % 2] == chain and k % 3 == iteration]
+        d2 = [float((at[i, 0] - c[0]) * (at[i, 0] - c[0]) + (at[i, 1] - c[1]) * (at[i, 1] - c[1]) + (at[i, 2] - c[2]) * (at[i, 2] - c[2])) for c in cells[own]]
+        k = own[int(np.argmin(d2))]
+        assert (r["nucleus_ix"], r["v"], r["d2"]) == (k, f"v{k}", min(d2))
+    assert nearest.nearest_cells(p.limit(0), n, ["chain"], ["x"]).count() == nearest.nearest_cells(p, n.limit(0), ["chain"], ["x"]).count() == 0
 
 
 def test_geodesics(spark):
@@ -189,6 +199,160 @@ def test_rays_are_fitted(spark):
     assert models.where("iteration >= 1000").agg(F.avg("misfit")).first()[0] < 20
 
 
+def test_local_updates_equal_whole_predictions():
+    rng = np.random.default_rng(2)
+    n_rays, size = 60, rng.integers(2, 30, 60)
+    n = int(size.sum())
+    cols = {"lat": rng.uniform(-0.3, 0.3, n), "lon": rng.uniform(0, 0.5, n), "r": rng.uniform(5900, 6371, n), "seg_len": rng.uniform(1, 50, n), "vp1d": np.full(n, 6.0)}
+    p, d = (lambda v, c: 1 / ((1 + v["a"]) * c["vp1d"])), (lambda v, c: 1 / ((1 + v["a"] * 0.5 + v["b"]) * c["vp1d"]))
+    rays = sampler.Rays(cols, np.cumsum(size) - size, rng.uniform(10, 100, n_rays), (p, d), rng.integers(0, 2, n_rays), rng.integers(0, 7, n_rays), rng.integers(0, 5, n_rays))
+    fields = (sampler.Field("a", -0.1, 0.1, (-0.2, 0.2), (0.1, 0.4), (6000.0, 6371.0), outside=0.0), sampler.Field("b", -0.1, 0.1, (0.0, 0.0), (0.0, 0.0), (5900.0, 6371.0)))
+    for damping, rescale in ((None, None), (2.0, 4.0)):
+        s = sampler.Settings(iterations=1000, save_every=100, step=0.3, nuclei=(4, 30), noise_guess=(8.0, 9.0), sample_noise=True, rays=rays, fields=fields, rescale=rescale, statics=(200, 150, damping), hot_steps=True)
+        c = sampler.Chain(1, s, 1.5, 3)
+        actions = set()
+        for _ in range(1000):
+            before = c.accepted
+            c.iterate(s)
+            actions.add(len(c.values[0]) - len(c.values[1]))
+            if c.accepted > before or c.iteration % 100 == 0:
+                assert c.misfit == pytest.approx(c.misfit_of(s), rel=1e-12)
+        near, far, at, u, predicted = c.whole(s)
+        assert all(np.array_equal(x, y) for x, y in zip(near + far + at, c.near + c.far + c.at)) and np.allclose(u, c.u) and np.allclose(predicted, c.predicted)
+        assert c.accepted > 50 and len(actions) > 2 and c.static.any() and len(c.noise) == 2
+
+
+def test_influenced_nodes_only(monkeypatch):
+    """A proposal asks for the slowness of nodes whose nucleus or value changes, and of no others."""
+    asked = []
+    cols = {"lat": np.zeros(100), "lon": np.zeros(100), "r": np.linspace(6000, 6371, 100), "seg_len": np.ones(100), "vp1d": np.full(100, 5.0)}
+    rays = sampler.Rays(cols, np.arange(0, 100, 10), np.ones(10), lambda v, c: asked.append(len(v["a"])) or 1 / c["vp1d"] / (1 + v["a"]))
+    s = sampler.Settings(iterations=50, save_every=10, nuclei=(10, 12), rays=rays, fields=(sampler.Field("a", -0.1, 0.1, (0.0, 0.0), (0.0, 0.0), (6000.0, 6371.0)),))
+    c = sampler.Chain(1, s, 1.0, 1)
+    asked.clear()
+    for _ in range(50):
+        c.iterate(s)
+    assert asked and np.mean(asked) < 40 and max(asked) < 100
+
+
+def test_forward_functions_of_arrays_equal_plans(spark):
+    rng = np.random.default_rng(4)
+    names = sorted({f for x in forward.REGISTRY.values() for f in x.fields} - {"r"}) + ["azimuth", "elevation", "polarization"]
+    rows = [{c: float(v) for c, v in zip(names, rng.uniform(0.01, 0.2, len(names)))} | {"Vp": 6.0 + i, "Vs": 3.0, "Vp2Vs": 1.7, "vp1d": 6.5, "vs1d": 3.6, "r": 6300.0, "n": i} for i in range(6)]
+    df = spark.createDataFrame(rows).orderBy("n")
+    cols = {c: np.array([r[c] for r in rows]) for c in rows[0]}
+    got = df.select(*(x.slowness().cast("double").alias(name) for name, x in forward.REGISTRY.items())).toPandas()
+    assert len(got.columns) == 29
+    for name in forward.REGISTRY:
+        assert np.allclose(got[name], forward.slowness(name, cols), rtol=1e-12), name
+
+
+def test_whole_run(spark, tmp_path):
+    from stratum.operators import inversion
+    from stratum.plans import solve
+
+    sf = "/root/testdata/sf0.001"
+    nodes, observations, references = solve.supplier_rays(spark, sf)
+    text = solve.RUN.replace('name = "delays"', 'type = "delays"').replace("forward_name", "forward_function").replace("noise_guess", "tf_event_demean = true\ntf_event_statics = true\ndata_uncertainty").replace('name = "dlnVp"', 'field = "dlnVp"')
+    for a, b in (("vlims", "pdf_parameters"), ("theta_lims", "lat_lims"), ("phi_lims", "lon_lims"), ("r_lims", "elv_lims"), ("num_iterations = 1000", "num_iterations = 200\ntf_squeeze = true"), ("save_interval = 100", "save_interval = 50"), ("num_chains = 4", "num_chains = 2")):
+        text = text.replace(a, b)
+    text += "[StaticCorrections]\nstatic_start = 50\nstatic_interval = 50\n[ParallelTempering]\ntf_parallel_tempering = true\nnum_cold = 1\nmax_temp = 3.0\nswap_interval = 100\n[DelayedRejection]\ntf_delayed_rejection = true\n"
+    c = config.parse(text)
+    path = str(tmp_path / "run")
+    for chunk in (1, 2):
+        models, cells = inversion.run(spark, c, nodes, observations, references, path, chunk)
+    saved = chains.load(spark, path, "models")
+    assert saved.groupBy("chain").count().orderBy("chain").collect() == [(i, 5) for i in (1, 2, 3, 4)]
+    metrics = chains.load_metrics(spark, path, 1).collect()
+    assert len(metrics) == 16 and all(m["nuclei"] >= 4 for m in metrics)
+    g = grid.lattice(spark, (-0.2, 0.2, 3), (0.0, 0.3, 2), (5900.0, 6371.0, 2))
+    e = inversion.ensemble(saved, chains.load(spark, path, "cells"), g, c, 1, squeeze=True).collect()
+    assert len(e) == 12 and all(r["n"] == 16 and -0.05 <= r["mean"] <= 0.05 for r in e) and all(r["mean"] == r["sd"] == 0 for r in e if r["node_ix"] <= 6)
+    chains.save_model_grid(g, path, 100)
+    assert spark.read.parquet(f"{path}/grid").count() == 12 and "tt_P_dlnVp" in "".join(r["value"] for r in spark.read.text(f"{path}/config").collect())
+    full = inversion.build_rays(nodes, observations, {"delays": "tt_P_dlnVp"}, references)
+    less = inversion.demeaned(full, inversion.build_fields(c), [0])
+    assert len(full.first) == observations.count()
+    predicted = observations.select("obs_name", "ray_id").withColumn("predicted", F.lit(0.0))
+    by_plan = inversion.demeaned_residuals(observations, predicted).orderBy("event_id", "station_id").toPandas()["value"]
+    shift = full.observed - observations.orderBy("event_id", "station_id").toPandas()["value"]
+    assert np.allclose(less.observed - shift, by_plan)
+
+
+def test_long_paths_double(spark):
+    n = 200
+    tree = spark.createDataFrame([(s, "P", i, i - 1) for s in (1, 2) for i in range(1, n + 1)], "source long, phase string, node_ix long, prev long")
+    receivers = spark.createDataFrame([(1, "P", n), (2, "P", n), (2, "P", 77), (2, "P", 1)], "source long, phase string, receiver long")
+    got = {}
+    for r in graph.paths(tree, receivers).collect():
+        got.setdefault((r["source"], r["receiver"]), {})[r["seq"]] = r["node_ix"]
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {(s, r): list(range(r, 0, -1)) for s, r in ((1, n), (2, n), (2, 77), (2, 1))}
+
+
+def test_traced_paths_equal_those_of_trees(spark):
+    g = grid.lattice(spark, (-0.02, 0.02, 4), (0.0, 0.03, 3), (6300.0, 6371.0, 3)).withColumn("v", 5 + F.col("node_ix") % 4)
+    receivers = spark.createDataFrame([(s, "P", r) for s in (1, 30) for r in range(1, 37)], "source long, phase string, receiver long")
+    t = graph.trees(g, spark.createDataFrame([(1,), (30,)], "source long"), (4, 3, 3), {"P": "v"})
+    want = sorted(tuple(r) for r in graph.paths(t, receivers).collect())
+    assert sorted(tuple(r) for r in graph.traced(g, receivers, (4, 3, 3), {"P": "v"}, share=5).collect()) == want
+
+
+def test_columns_of_any_name_stay(spark):
+    m = spark.createDataFrame([(1, i, 10 * i, "x", 2.5) for i in range(5)], "chain int, iteration int, _n int, _part string, _m double")
+    assert sorted(r["_n"] for r in select.drop_burn_in(m, ["chain"], ["iteration"], 2).collect()) == [20, 30, 40]
+    assert sorted(r["_n"] for r in select.trailing(m, ["chain"], ["iteration"], 2).collect()) == [30, 40]
+    p = select.positioned(m, ["iteration"]).orderBy("position").collect()
+    assert [(r["_n"], r["_part"], r["position"]) for r in p] == [(10 * i, "x", i + 1) for i in range(5)]
+    assert all(r["_m"] == 2.5 for r in interpolate.demeaned(m, ["chain"], "_n").collect())
+
+
+def test_short_tables_are_checked(spark, monkeypatch):
+    monkeypatch.setattr(select, "SHORT", 3)
+    with pytest.raises(ValueError):
+        select.short(spark.range(4))
+    assert select.short(spark.range(3)).count() == 3
+
+
+def test_readers_of_stations_and_observations(spark, tmp_path):
+    (tmp_path / "sta").write_text("7 45.0 -120.0 1.5\n\n 8  46.0 -121.0 0.0\n9 1.0\n")
+    (tmp_path / "obs").write_text("1 7 0.25 P\n2 8 -0.5 S\n")
+    s = text.read_stations(spark, str(tmp_path / "sta")).orderBy("station_id").collect()
+    assert [(r["station_id"], r["elevation"]) for r in s] == [(7, 1.5), (8, 0.0)] and s[0]["latitude"] == pytest.approx(math.pi / 4)
+    o = text.read_observations(spark, {"a": str(tmp_path / "obs"), "b": str(tmp_path / "obs")}).orderBy("obs_name", "event_id").collect()
+    assert [tuple(r) for r in o] == [(n, *x) for n in "ab" for x in ((1, 7, 0.25, "P"), (2, 8, -0.5, "S"))]
+
+
+def test_small_selections(spark):
+    m = spark.createDataFrame([(1, 1.0), (2, 3.0)], "chain int, temperature double")
+    assert [r["chain"] for r in select.cold(m).collect()] == [1]
+    assert select.is_radial({"lat": (0, 0), "lon": (1, 1)}) and not select.is_radial({"lat": (0, 1), "lon": (1, 1)})
+    v = spark.createDataFrame([(1, 8.0), (2, 0.0)], "node_ix int, vp double")
+    assert [r["node_ix"] for r in select.without_air(v).collect()] == [1]
+    xyz = spark.createDataFrame([(6371.0, 0.0, 0.0), (0.0, 6371.0, 0.0)], "x double, y double, z double")
+    limits = {"lat": (-0.1, 0.1), "lon": (-0.1, 0.1), "r": (6000.0, 6400.0)}
+    assert [r["x"] for r in xyz.where(select.in_cartesian_box(F.col("x"), F.col("y"), F.col("z"), limits)).collect()] == [6371.0]
+    plain = {"lat": (0.0, 7000.0), "lon": (0.0, 0.0), "r": (-1.0, 1.0)}
+    assert xyz.where(select.in_cartesian_box(F.col("x"), F.col("y"), F.col("z"), plain, geographic=False)).count() == 2
+    assert grid.upscaled((3, 4, 1), 2) == (5, 7, 1)
+    assert [locate.due(i, True, 10, 5) for i in (0, 5, 10, 12, 15)] == [True, False, True, False, True] and not locate.due(0, False, 10, 5)
+    events = spark.createDataFrame([(1, 5.0), (2, -3.0)], "event_id int, t0 double")
+    assert grid.time_limits(events) == (-3.0, 5.0)
+
+
+def test_tracing_grid(spark):
+    places = spark.createDataFrame([(0.0, 0.1, 6371.0), (0.0, 0.1, 6371.0), (0.01, 0.1, 6300.0)], "lat double, lon double, r double")
+    plain = grid.lattice(spark, (-0.1, 0.1, 4), (0.0, 0.2, 4), (6000.0, 6371.0, 4)).orderBy("node_ix").collect()
+    made = grid.tracing_grid(spark, (-0.1, 0.1, 4), (0.0, 0.2, 4), (6000.0, 6371.0, 4), places, jitter=0.5).orderBy("node_ix").collect()
+    assert len(made) == 66 and [r["node_ix"] for r in made] == list(range(1, 67)) and all(r["i"] == r["j"] == r["k"] == 0 for r in made[64:])
+    moved = [abs(a["lat"] - b["lat"]) for a, b in zip(plain, made)]
+    assert max(moved) <= 0.25 * 0.2 / 3 + 1e-12 and any(moved) and all(m == 0 for m, a in zip(moved, plain) if a["i"] in (1, 4))
+
+
+def test_which_ends_are_sources():
+    assert index.sources_are_events(3, 5, False, False) and not index.sources_are_events(5, 3, False, False)
+    assert not index.sources_are_events(3, 5, True, False) and index.sources_are_events(5, 3, True, True)
+
+
 def test_shortest_times_agree(spark):
     g = grid.lattice(spark, (-0.02, 0.02, 4), (0.0, 0.03, 3), (6300.0, 6371.0, 3)).withColumn("v", 5 + F.col("node_ix") % 4)
     e = graph.edges(g, grid.neighbours(g, 4, 3, 3))
@@ -216,25 +380,6 @@ def test_location(spark):
     assert shifted.agg(F.max(F.abs(F.col("observed")))).first()[0] <= 23
 
 
-def test_every_vector_is_a_nucleus(spark):
-    import numpy as np
-
-    from stratum.plans import catalogue
-
-    sf = "/root/testdata/sf0.001"
-    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
-    x = np.array([list(map(float, r["embedding"][:4])) for r in rows])
-    ix = np.array([r["vec_id"] for r in rows])
-    got = {(r["vec_id"], r["chain"]): r for r in catalogue.QUERIES["nearest_cell_all_nuclei"](spark, sf).collect()}
-    assert len(got) == 3 * len(rows)
-    for chain in range(3):
-        some = np.flatnonzero(ix % 3 == chain)
-        for i, p in zip(ix.tolist(), x):
-            d2 = ((p - x[some]) ** 2).sum(1)
-            k, r = some[d2.argmin()], got[i, chain]
-            assert abs(r["d2"] - d2.min()) < 2e-6 and (r["nucleus_ix"] == ix[k] or np.sort(d2)[1] - d2.min() < 1e-12)
-
-
 def test_long_paths_are_an_error(spark):
     tree = spark.createDataFrame([(1, "P", i, i - 1) for i in range(1, 6)], "source long, phase string, node_ix long, prev long")
     receiver = spark.createDataFrame([(1, "P", 5)], "source long, phase string, receiver long")
