@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.geo import direction
 from stratum.operators.moments import ratio
 from stratum.session import ship
+from stratum.sources import vtk
+from stratum.store import stored
 
 PARTS = ("t11", "t12", "t13", "t22", "t23", "t33")
 
@@ -86,6 +88,21 @@ def directional_moments(samples: DataFrame, keys: list[str], f: Column, azimuth:
     return g.select(*keys, *out).join(axes.select(*keys, "bias"), keys)
 
 
+def prior_moments(spark: SparkSession, strength: tuple[float, float], azimuth: tuple[float, float], elevation: tuple[float, float], n: int = 100_000, sine: bool = False, seed: int = 1) -> DataFrame:
+    """directional_moments() of n samples of uniform priors: what the data must move an ensemble away from. sine: the limits of elevation are of its sine."""
+    draw = lambda limits, k: limits[0] + (limits[1] - limits[0]) * F.rand(seed + k)
+    e = draw(elevation, 2)
+    s = spark.range(n).select(F.lit(0).alias("prior"), draw(strength, 0).alias("f"), draw(azimuth, 1).alias("azimuth"), (F.asin(e) if sine else e).alias("elevation"))
+    return directional_moments(stored(s), ["prior"], F.col("f"), F.col("azimuth"), F.col("elevation"))
+
+
+def write_directional(axes: DataFrame, places: DataFrame, path: str, dims: tuple[int, int, int], point: str = "node_ix") -> None:
+    """A VTK file of with_axes() at every point of a lattice: directional_bias, the eigenvalues, and symmetry_axis (the main axis times the root of its eigenvalue) as a vector. places: (point, x, y, z)."""
+    size = F.sqrt(F.abs(F.col("lambda3")))
+    table = axes.join(places.select(point, "x", "y", "z"), point).select(point, "x", "y", "z", F.col("bias").alias("directional_bias"), "lambda1", "lambda2", "lambda3", *((F.col(f"{c}3") * size).alias(f"axis_{c}") for c in "xyz"))
+    vtk.write(table, path, dims, point, vectors={"symmetry_axis": ["axis_x", "axis_y", "axis_z"]})
+
+
 def directional_tendencies(samples: DataFrame, keys: list[str], f: Column, azimuth: Column, elevation: Column, limits: dict[str, tuple[float, float]], level: float = 0.9) -> DataFrame:
     """Tendencies of strength, projection and angle (long in field), limits giving each one's prior range, with the strength-weighted mean and median of the angle; each weight stays with its sample."""
     from stratum.operators import order_stats

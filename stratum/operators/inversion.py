@@ -13,13 +13,18 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.functions.geo import EARTH_RADIUS, to_geographic
-from stratum.operators import forward, sampler
+from stratum.functions.anisotropy import tracing_velocity
+from stratum.functions.geo import EARTH_RADIUS, to_cartesian, to_geographic
+from stratum.operators import forward, graph, sampler
+from stratum.operators import rays as ray_nodes
+from stratum.operators.index import dimension
+from stratum.operators.interpolate import reference_values
 from stratum.operators.moments import moments, squeezed
 from stratum.operators.nearest import nearest_cells
-from stratum.operators.select import in_box
+from stratum.operators.select import cold, drop_burn_in, in_box
 from stratum.sources import chains as saved
 from stratum.sources.config import Config, check, to_json
+from stratum.store import stored
 
 #: Most nodes of all rays together that a run gathers (about 100 bytes each).
 MOST_NODES = 20_000_000
@@ -141,14 +146,61 @@ def run(spark: SparkSession, config: Config, nodes: DataFrame, observations: Dat
     return models, cells
 
 
+def trace(grid: DataFrame, counts: tuple[int, int, int], velocities: dict[str, str], rays: DataFrame, events: DataFrame, stations: DataFrame, from_events: bool, knots: DataFrame, reach: int = 1, carve_about: tuple[float, float] | None = None, spacing: float | None = None) -> DataFrame:
+    """Node table (see rays.build) of rays (ray_id, event_id, station_id, phase) traced through a lattice. events, stations: (id, node_ix, lat, lon) with their nodes; trees grow from one kind of them. carve_about: only nodes in the hull of all events and stations, in the gnomonic plane about this place, let rays through."""
+    if carve_about is not None:
+        places = events.select("lat", "lon").unionByName(stations.select("lat", "lon"))
+        grid = graph.carved(grid, places, *carve_about)
+        grid = grid.withColumns({c: F.when(F.col("inside"), F.col(c)).otherwise(0.0) for c in set(velocities.values())})
+    ends = {"event_id": events, "station_id": stations}
+    own = rays.select("ray_id", "phase", "event_id", "station_id")
+    for name, table in ends.items():
+        own = own.join(dimension(table.select(F.col("id").alias(name), F.col("node_ix").alias(f"{name}_node"))), name)
+    source, receiver = ("event_id_node", "station_id_node") if from_events else ("station_id_node", "event_id_node")
+    pairs = own.select(F.col(source).cast("long").alias("source"), "phase", F.col(receiver).cast("long").alias("receiver"))
+    paths = graph.traced(grid, pairs.distinct(), counts, velocities, reach)
+    last = paths.groupBy("source", "phase", "receiver").agg(F.max("seq").alias("last"))
+    # rays run from event to station: paths lead from a receiver back to its source
+    order = F.col("last") - F.col("seq") if from_events else F.col("seq")
+    keyed = own.select("ray_id", "phase", F.col(source).cast("long").alias("source"), F.col(receiver).cast("long").alias("receiver"))
+    nodes = paths.join(last, ["source", "phase", "receiver"]).withColumn("at", order).join(keyed, ["source", "phase", "receiver"])
+    nodes = nodes.join(grid.select("node_ix", "x", "y", "z"), "node_ix").select("ray_id", F.col("at").alias("node_ix"), "x", "y", "z", F.lit(0.0).alias("t"))
+    return ray_nodes.build(nodes, knots, spacing)
+
+
+def ensemble_velocities(models: DataFrame, cells: DataFrame, grid: DataFrame, config: Config, knots: DataFrame, num_burn: int = 0) -> DataFrame:
+    """grid with vp and vs: harmonic means over the saved models of cold chains, from the reference velocities (knots: radius, vp, vs) and the sampled fields at each node."""
+    kept = drop_burn_in(cold(models).select("chain", "iteration"), ["chain"], ["iteration"], num_burn)
+    c = with_places(cells.join(kept, ["chain", "iteration"], "left_semi"))
+    fields = build_fields(config)
+    wide = None
+    for f in fields:
+        coords = ["r"] if f.radial else ["x", "y", "z"]
+        near = nearest_cells(grid.select("node_ix", *coords), c.where(F.col("field") == f.name), ["chain", "iteration"], coords, point="node_ix").select("node_ix", "chain", "iteration", F.col("v").alias(f.name))
+        wide = near if wide is None else wide.join(near, ["node_ix", "chain", "iteration"])
+    reference = reference_values(grid, knots, "r", "radius", ["vp", "vs"])
+    samples = wide.join(reference.select("node_ix", "vp", "vs"), "node_ix")
+    p, s = tracing_velocity({f.name for f in fields}, F.col("vp"), F.col("vs"))
+    samples = samples.select("node_ix", p.alias("p"), s.alias("s"))
+    means = samples.groupBy("node_ix").agg((1 / F.avg(1 / F.col("p"))).alias("vp"), (1 / F.avg(1 / F.col("s"))).alias("vs"))
+    return grid.join(means, "node_ix")
+
+
+def retrace(models: DataFrame, cells: DataFrame, grid: DataFrame, counts: tuple[int, int, int], config: Config, knots: DataFrame, rays: DataFrame, events: DataFrame, stations: DataFrame, from_events: bool, num_burn: int = 0, **more) -> DataFrame:
+    """Node table of rays traced anew in the velocities of the ensemble so far; a run goes on with it."""
+    now = stored(ensemble_velocities(models, cells, grid, config, knots, num_burn))
+    return trace(now, counts, {"P": "vp", "S": "vs"}, rays, events, stations, from_events, knots, **more)
+
+
+def with_places(cells: DataFrame) -> DataFrame:
+    """Nuclei with Cartesian coordinates."""
+    return cells.withColumns(dict(zip("xyz", to_cartesian(F.col("lat"), F.col("lon"), F.col("r")), strict=True)))
+
+
 def ensemble(models: DataFrame, cells: DataFrame, grid: DataFrame, config: Config, num_burn: int = 0, squeeze: bool = False) -> DataFrame:
     """(node_ix, field, n, mean, sd, skewness): moments at every node of a lattice over all saved models after burn-in. Outside a field's limits squeezed values are its extrapolation value."""
-    from stratum.operators.select import drop_burn_in
-
     kept = drop_burn_in(models.select("chain", "iteration"), ["chain"], ["iteration"], num_burn)
-    c = cells.join(kept, ["chain", "iteration"], "left_semi")
-    x, y, z = (F.col("r") * F.cos("lat") * F.cos("lon"), F.col("r") * F.cos("lat") * F.sin("lon"), F.col("r") * F.sin("lat"))
-    c = c.withColumns({"x": x, "y": y, "z": z})
+    c = with_places(cells.join(kept, ["chain", "iteration"], "left_semi"))
     out = None
     for f in build_fields(config, squeeze):
         own = c.where(F.col("field") == f.name)

@@ -146,6 +146,14 @@ def regular_frames(values: DataFrame, value: str, low: float, step: float, count
     return values.withColumn(index, F.least(F.lit(count).cast("long"), F.greatest(F.lit(1).cast("long"), regular_index(F.col(value), low, step))))
 
 
+def velocity_view(nodes: DataFrame, values: DataFrame, lows: list[float], steps: list[float], counts: list[int], coords: list[str], time: float, frames: DataFrame, fields: list[str]) -> DataFrame:
+    """nodes with the fields of another lattice's nearest nodes in the frame nearest in time. values: (node_ix, frame, fields); frames: (frame, t), a short table."""
+    frame = short(frames).orderBy(F.abs(F.col("t") - time), "frame").limit(1).select("frame")
+    mapped = grid_map(nodes, lows, steps, counts, coords, "_other")
+    own = values.join(F.broadcast(frame), "frame", "left_semi").select(F.col("node_ix").alias("_other"), *fields)
+    return mapped.join(own, "_other", "left").drop("_other")
+
+
 def grid_map(nodes: DataFrame, lows: list[float], steps: list[float], counts: list[int], coords: list[str], index: str = "other_ix") -> DataFrame:
     """Nodes with the index of the nearest node of another regular lattice: each axis on its own, then the linear index."""
     from stratum.functions.geo import linear_index, regular_index

@@ -170,7 +170,17 @@ def ray_paths(spark, sf_dir):
     return graph.paths(t, receivers)
 
 
-@query()
+CARVED = TRAVEL.split("e AS (")[0].rstrip().removesuffix(",") + """,
+gn AS (SELECT node_ix, sin(0.0) * sin(lat) + cos(0.0) * cos(lat) * cos(lon - 0.015) AS c, cos(lat) * sin(lon - 0.015) AS u, cos(0.0) * sin(lat) - sin(0.0) * cos(lat) * cos(lon - 0.015) AS v FROM q),
+nodes AS (SELECT node_ix, 6371 * u / c AS x, 6371 * v / c AS y FROM gn),
+places AS (SELECT 6371 * cos(lat) * sin(lon - 0.015) / (cos(lat) * cos(lon - 0.015)) AS x, 6371 * sin(lat) / (cos(lat) * cos(lon - 0.015)) AS y FROM (VALUES (-0.01::DOUBLE, 0.01::DOUBLE), (0.012, 0.004), (0.0, 0.02)) t(lat, lon)),
+ring AS (SELECT row_number() OVER () AS n, x + 3 * cos(pi() * a / 4) AS x, y + 3 * sin(pi() * a / 4) AS y FROM places, (SELECT range AS a FROM range(8))),
+triangles AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", c.x AS cx, c.y AS cy FROM ring a, ring b, ring c WHERE a.n <> b.n AND b.n <> c.n AND a.n <> c.n)
+SELECT node_ix, bool_or((bx - ax) * (y - ay) - ("by" - ay) * (x - ax) >= 0 AND (cx - bx) * (y - "by") - (cy - "by") * (x - bx) >= 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0) AS inside
+FROM nodes, triangles GROUP BY ALL"""
+
+
+@query(CARVED)
 def carved_grid(spark, sf_dir):
     places = spark.createDataFrame([(-0.01, 0.01), (0.012, 0.004), (0.0, 0.02)], "lat double, lon double")
     return graph.carved(small_grid(spark), places, 0.0, 0.015).select("node_ix", "inside")

@@ -487,3 +487,53 @@ def test_neighbours_in_radius(spark):
     c = spark.createDataFrame([(1, 5.0), (2, 3.0), (3, 9.0)], "nucleus_ix int, r double").withColumn("m", F.lit(1))
     got = {r["nucleus_ix"]: (r["below"], r["above"]) for r in rays.radial_neighbours(c, ["m"]).collect()}
     assert got == {2: (None, 1), 1: (2, 3), 3: (1, None)}
+
+
+def lattice_with_places(spark):
+    g = grid.lattice(spark, (-0.05, 0.05, 5), (0.0, 0.1, 5), (6171.0, 6371.0, 5))
+    rows = {r["node_ix"]: r for r in g.collect()}
+    spots = lambda nodes: spark.createDataFrame([(i, n, rows[n]["lat"], rows[n]["lon"]) for i, n in enumerate(nodes, 1)], "id long, node_ix long, lat double, lon double")
+    return g, rows, spots
+
+
+def test_rays_are_traced_and_traced_again(spark):
+    from stratum.operators import inversion
+
+    g, rows, spots = lattice_with_places(spark)
+    events, stations = spots([1, 13]), spots([101, 125, 113])
+    knots = spark.createDataFrame([(6371.0, 6.0, 3.5), (6000.0, 8.0, 4.5)], "radius double, vp double, vs double")
+    rays = spark.createDataFrame([(i + 1, 1 + i % 2, 1 + i % 3, "PS"[i // 6]) for i in range(12)], "ray_id long, event_id long, station_id long, phase string")
+    flat = g.withColumns({"vp": F.lit(7.0), "vs": F.lit(4.0)})
+    for from_events in (True, False):
+        n = inversion.trace(flat, (5, 5, 5), {"P": "vp", "S": "vs"}, rays, events, stations, from_events, knots).toPandas().sort_values(["ray_id", "node_ix"])
+        assert n["ray_id"].nunique() == 12
+        for ray, own in n.groupby("ray_id"):
+            first, last = (np.array([rows[k][c] for c in "xyz"]) for k in ([1, 13][(ray - 1) % 2], [101, 125, 113][(ray - 1) % 3]))
+            assert np.allclose(own[["x", "y", "z"]].iloc[0], first) and np.allclose(own[["x", "y", "z"]].iloc[-1], last)
+    c = config.parse('out_directory="o"\nrun_id="r"\n[[DataFields]]\nname="a"\nfile="f"\nforward_name="tt_P_dlnVp"\n[[ParameterFields]]\nname="dlnVp"\nprior="uniform"\nvlims=[-0.1,0.1]\nr_lims=[-200.0,0.0]\n')
+    models = spark.createDataFrame([(1, i, t) for i in (1, 2) for t in (1.0,)] + [(2, 1, 3.0)], "chain int, iteration int, temperature double")
+    cells = spark.createDataFrame([(1, i, "dlnVp", k, 0.0, 0.02 * k, 6300.0, v) for i, v in ((1, 0.1), (2, -0.1)) for k in (1, 2)] + [(2, 1, "dlnVp", 1, 0.0, 0.0, 6300.0, 99.0)], "chain int, iteration int, field string, nucleus_ix int, lat double, lon double, r double, v double")
+    v = inversion.ensemble_velocities(models, cells, g, c, knots).orderBy("node_ix").collect()
+    reference = interpolate.reference_values(g, knots, "r", "radius", ["vp"]).orderBy("node_ix").collect()
+    assert len(v) == 125 and all(a["vp"] == pytest.approx(b["vp"] / ((1 / 1.1 + 1 / 0.9) / 2)) for a, b in zip(v, reference))
+    again = inversion.retrace(models, cells, g, (5, 5, 5), c, knots, rays, events, stations, True, carve_about=(0.0, 0.05))
+    assert again.select("ray_id").distinct().count() == 12 and {"vp1d", "seg_len", "azimuth"} <= set(again.columns)
+
+
+def test_prior_and_directional_file(spark, tmp_path):
+    p = directional.prior_moments(spark, (0.0, 0.1), (0.0, math.pi), (-1.0, 1.0), 20_000, sine=True).first()
+    assert p["bias"] < 0.1 and 0.045 < p["strength_mean"] < 0.055
+    g = grid.lattice(spark, (-0.1, 0.1, 2), (0.0, 0.1, 2), (6300.0, 6371.0, 2))
+    t = g.select("node_ix", *(F.lit(x).alias(n) for n, x in zip(directional.PARTS, (4.0, 0.0, 0.0, 1.0, 0.0, 0.25))))
+    directional.write_directional(directional.with_axes(t), g, str(tmp_path / "a.vts"), (2, 2, 2))
+    back, dims = vtk.read(spark, str(tmp_path / "a.vts"))
+    r = back.first()
+    assert dims == (2, 2, 2) and r["symmetry_axis_1"] == pytest.approx(2.0) and r["lambda3"] == pytest.approx(4.0) and r["directional_bias"] > 0
+
+
+def test_velocity_view(spark):
+    nodes = spark.createDataFrame([(1, 0.1, 0.0, 0.0), (2, 1.9, 0.0, 0.0)], "n int, x double, y double, z double")
+    values = spark.createDataFrame([(i, f, 10.0 * f + i) for i in (1, 2, 3) for f in (1, 2)], "node_ix long, frame int, v double")
+    frames = spark.createDataFrame([(1, 0.0), (2, 5.0)], "frame int, t double")
+    got = nearest.velocity_view(nodes, values, [0.0, 0.0, 0.0], [1.0, 1.0, 1.0], [3, 1, 1], ["x", "y", "z"], 4.0, frames, ["v"])
+    assert sorted((r["n"], r["v"]) for r in got.collect()) == [(1, 21.0), (2, 23.0)]
