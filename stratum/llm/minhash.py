@@ -293,8 +293,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """(doc_id, n_shingles, component_id, kept) of each row of df. Rows of one doc_id with different texts link with whatever any of them links with."""
     docs = keyed_bytes(df, key, text)
     sig = cut(signed(docs), "minhash-signed")
-    whole = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    twice = whole.groupBy("doc_id").agg(F.min("set_key").alias("p"), F.max("set_key").alias("q")).where("p <> q")
+    sets = sig.where("doc_id IS NOT NULL").groupBy("doc_id").agg(*(f(F.coalesce("set_key", F.lit(b""))).alias(n) for f, n in ((F.min, "p"), (F.max, "q"))))
+    twice = sets.where("p <> q")  # the empty set counts, lest its text stand for the id's other one
     if twice.isEmpty():
         return grouped(docs, sig)
     # an id that stands for several texts can't name a set: rows are numbered, and their groups taken back to ids

@@ -211,11 +211,15 @@ def near_by_ids(rows):
 
 def test_ids_of_several_texts(spark):
     a, b = (" ".join(f"{x}{random.randrange(99)}" for _ in range(40)) for x in "ab")
-    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "other"), (4, a), (4, None), (7, "alone"), (7, ""), (None, a), (9, b), (9, b)]
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "other"), (4, a), (4, None), (7, "alone"), (7, ""), (None, a), (9, b), (9, b), (10, ""), (10, b), (10, None)]
     df = spark.createDataFrame([(*r, "mine") for r in rows], "doc_id long, text string, _stratum_id string")
     assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == near_by_ids(rows)
     kept = minhash.distinct(df).collect()
     assert sorted(((r["doc_id"]) for r in kept), key=str) == [1, 7, None] and {r["_stratum_id"] for r in kept} == {"mine"}
+    rows = [(1, ""), (1, a), (1, None), (2, None), (2, a + " more")]  # an empty text beside a whole one
+    for order in rows, rows[::-1]:
+        df = spark.createDataFrame(order, "doc_id long, text string")
+        assert sorted((tuple(r) for r in minhash.near_duplicates(df).collect()), key=repr) == near_by_ids(rows)
     rows = near_table()
     rows = [(i // 2 * (i % 3 > 0), t) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
