@@ -2,7 +2,8 @@
 
 A word of up to 16 bytes is its width, first and last 8 bytes, so no word is made a Python object unless it is new;
 a hash of the three only finds it in sorted arrays (of about 40 bytes a word), and the three confirm it. Longer
-words, and those whose hash another word has, are looked up by their bytes. All is emptied beyond a limit.
+words, and those whose hash another word has, are looked up by their bytes. All is emptied beyond a number of words,
+and beyond a number of bytes of ids and of such longer words.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from stratum.llm.suffix_order import lengths, ranges, runs
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Most bytes of a word that its first and last 8 bytes give whole.
 SHORT = 16
+#: Bytes of ids and longer words that a table keeps from one call to the next.
+HELD = 1 << 26
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,7 +37,7 @@ class WordTable:
         self.key, self.head, self.tail, self.width = *(np.empty(0, np.uint64) for _ in range(3)), np.empty(0, np.uint8)
         self.at, self.count, self.flag = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, bool)
         self.by_bytes: dict[bytes, tuple[int, int, bool]] = {}
-        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+        self.ids, self.used, self.held = np.empty(1 << 16, np.uint32), 0, 0
 
     def hashes(self, head: np.ndarray, tail: np.ndarray, width: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -57,6 +60,7 @@ class WordTable:
         known = self.by_bytes
         new = [w for w in dict.fromkeys(words) if w not in known]
         if new:
+            self.held += sum(map(len, new))
             known.update(zip(new, zip(*(x.tolist() for x in self.learned(new)), strict=True), strict=True))
         return tuple(zip(*map(known.__getitem__, words), strict=True))
 
@@ -64,7 +68,7 @@ class WordTable:
         """Ids of all words joined[start[i]:end[i]] one after another, the number of ids of each word, and its flag."""
         if not len(start):
             return np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, bool)
-        if len(self.key) + len(self.by_bytes) > self.limit:
+        if len(self.key) + len(self.by_bytes) > self.limit or self.held + 4 * self.used > HELD:
             self.clear()
         padded = np.frombuffer(b"".join([bytes(8), joined, bytes(8)]), np.uint8)
         windows = np.lib.stride_tricks.sliding_window_view(padded, 8)

@@ -4,7 +4,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from stratum.llm import packing, sentence_pieces, token_counts  # noqa: E402
+from stratum.llm import packing, sentence_pieces, token_counts, word_table  # noqa: E402
 
 random.seed(6)
 BYTE, WORD, PIECE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -68,9 +68,11 @@ def test_decomposed_capitals_equal_the_library():
     assert ids.tolist() == [i for t in fixed for i in w.library.encode(t, add_special_tokens=False).ids]
 
 
-def test_word_table_empties_itself():
+@pytest.mark.parametrize("limit, held", [(5, 1 << 26), (1 << 20, 60)])
+def test_word_table_empties_itself(monkeypatch, limit, held):
+    monkeypatch.setattr(word_table, "HELD", held)
     w = packing.WordIds(WORD)
-    w.words.limit = 5
+    w.words.limit = limit
     for _ in range(20):
         some = texts(5)
         ids, count = w([t.encode() for t in some])
