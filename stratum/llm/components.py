@@ -25,15 +25,18 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a < b").distinct()
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(node, component): the smallest node of each connected component, for the nodes that have a link to another node. edges: columns a, b (longs)."""
-    now = cut(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+def components(edges: DataFrame, name: str = "components", roots: bool = True) -> DataFrame:
+    """(node, component): the smallest node of each connected component, for the nodes that have a link to another node; without roots, for those of them that aren't that smallest node. edges: columns a, b (longs)."""
+    now, written = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), None
     while True:
-        n, ends = now.agg(F.count("*"), F.countDistinct("b")).first()
+        now = cut(star(star(now, True), False), name)
+        if written is not None:
+            drop_cut(written)
+        written = now
         # done when every node is either a root or points to one root only
-        if n == ends and now.join(now.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+        sides = now.select(F.col("b").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(now.select(F.col("a").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        open_ = sides.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1")
+        if not open_.agg(F.count("*")).first()[0]:
             break
-        after = cut(star(star(now, True), False), name)
-        drop_cut(now)
-        now = after
-    return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+    out = now.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    return out.unionAll(now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()) if roots else out

@@ -261,7 +261,7 @@ def block_links(state: DataFrame, signatures: DataFrame, docs: DataFrame) -> Dat
 
 
 def linked(members: DataFrame, docs: DataFrame, signatures: DataFrame) -> DataFrame | None:
-    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component), or None without any bucket. signatures: (doc_id, low, bands)."""
+    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component) of those that aren't their component's smallest, or None without any bucket. signatures: (doc_id, low, bands)."""
     if members.isEmpty():
         return None
     sizes = members.groupBy("key").agg((F.count("*") - 1).alias("others"))
@@ -284,7 +284,7 @@ def linked(members: DataFrame, docs: DataFrame, signatures: DataFrame) -> DataFr
         else:
             new = cut(block_links(mixed_.select("key", "doc_id", "component"), signatures, docs), "minhash-links")
         links = new if links is None else links.unionAll(new)
-        comps = cut(components(links), "minhash-components")
+        comps = components(links, "minhash-components", roots=False)
         state = ranked.join(comps, ranked.doc_id == comps.node, "left").select("key", "doc_id", "order", F.coalesce("component", "doc_id").alias("component"))
     return comps
 
