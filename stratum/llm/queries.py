@@ -77,13 +77,31 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import spelling
+
+    return spelling.variants(table(spark, sf_dir, "documents"), noise=31)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import licenses
+
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from stratum.llm import whitening
+
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op3_multi_index, op4_suffix_dedup, op5_packing, op6_quality, op7_sentence_pieces, op8_token_counts, op9_warc, op10_minhash, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_ogg_media, op3_multi_index, op4_suffix_dedup, op5_packing, op6_quality, op7_sentence_pieces, op8_token_counts, op9_warc, op10_minhash, op11_spelling, op12_licenses, op13_whitening, pipeline)}
 #: Smallest id that links (a, b), either way round, lead to.
 REACH = """reach AS (
   SELECT id AS node, id AS m FROM ids
@@ -146,4 +164,27 @@ SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS
 FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_suffix_dedup": OP4, "op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}
+#: crc32 by its table, which is made from the polynomial; near words by equal deletions at a place (replaced) or a deletion that is a word.
+OP11 = """
+WITH RECURSIVE t AS (SELECT list(list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY b) AS t FROM (SELECT unnest(range(256)) AS b)),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+u AS (SELECT id, run, count(*) AS n, hex(encode(id || ':' || run)) AS h FROM r WHERE length(run) >= 7 GROUP BY ALL),
+c AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, t.t[1 + (xor(c, x) % 256)]))) AS crc FROM u, t),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, 2 + crc % length(run)) ELSE run END AS word, n FROM c) WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS less FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+e AS (SELECT a.word AS a, b.word AS b, b.n FROM k a JOIN k b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT k.less, k.word, k.n FROM k JOIN w ON w.word = k.less UNION SELECT k.word, w.word, w.n FROM k JOIN w ON w.word = k.less),
+g AS (SELECT word, w.n, count(b) AS n_near, min({'m': -e.n, 'b': b}) AS best FROM w LEFT JOIN e ON e.a = word GROUP BY ALL),
+f AS (SELECT word, n, n_near, CASE WHEN -best.m >= 10 * n THEN best.b END AS form, CASE WHEN -best.m >= 10 * n THEN -best.m END AS form_n FROM g),
+q AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT q.word, q.next, f.form FROM q JOIN f ON f.word = q.next)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN q USING (word) WHERE q.next IS NULL
+"""
+
+
+def op12() -> str:
+    from stratum.llm import licenses
+
+    return licenses.sql()
+
+
+ORACLE_SQL: dict[str, str] = {"op11_spelling": OP11, "op12_licenses": op12(), "op4_suffix_dedup": OP4, "op3_multi_index": OP3, "op9_warc": OP9, "op10_minhash": OP10}
