@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum.functions.geo import direction
+from stratum.functions.let import let
 from stratum.operators.moments import ratio
-from stratum.session import ship
+from stratum.operators.select import fresh
 from stratum.sources import vtk
 from stratum.store import stored
 
@@ -35,28 +34,52 @@ def bias(t: dict[str, Column] | None = None) -> Column:
     return ratio(F.sqrt(F.lit(0.5)) * F.sqrt(F.greatest(F.lit(0.0), 3 * square - trace * trace)), F.sqrt(square))
 
 
-AXES = "lambda1 double, lambda2 double, lambda3 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double, x3 double, y3 double, z3 double"
+AXES = [f"{name}{k}" for name in ("lambda", "x", "y", "z") for k in (1, 2, 3)]
+#: Sweeps of three rotations; off-diagonal parts shrink by their square with each, so a handful reaches the last bit.
+SWEEPS = 8
+VECTORS = tuple(f"v{i}{j}" for i in range(1, 4) for j in range(1, 4))
 
 
-def principal_axes(t11: pd.Series, t12: pd.Series, t13: pd.Series, t22: pd.Series, t23: pd.Series, t33: pd.Series) -> pd.DataFrame:
-    """Eigenvalues in ascending order of size, and unit eigenvectors whose largest component is positive; one batched solve for each Arrow batch."""
-    a, b, c, d, e, f = (s.to_numpy(float) for s in (t11, t12, t13, t22, t23, t33))
-    values, vectors = np.linalg.eigh(np.stack([np.stack([a, b, c], -1), np.stack([b, d, e], -1), np.stack([c, e, f], -1)], -2)) if len(a) else (np.empty((0, 3)), np.empty((0, 3, 3)))
-    order = np.argsort(np.abs(values), axis=1, kind="stable")
-    values = np.take_along_axis(values, order, 1)
-    vectors = np.take_along_axis(vectors, order[:, None, :], 2)
-    largest = np.take_along_axis(vectors, np.abs(vectors).argmax(1)[:, None, :], 1)
-    vectors = vectors * np.where(largest < 0, -1.0, 1.0)
-    out = {f"lambda{k + 1}": values[:, k] for k in range(3)}
-    for k in range(3):
-        out |= {f"{axis}{k + 1}": vectors[:, i, k] for i, axis in enumerate("xyz")}
-    return pd.DataFrame(out)
+def rotated(m: Column) -> Column:
+    """One Jacobi rotation that clears element (1, 2) of a symmetric matrix (struct of t11 .. t33 and of the axes v11 .. v33 so far), after which axes 2, 3, 1 become 1, 2, 3: the next rotation is of the next pair."""
+    tau = (m["t22"] - m["t11"]) / (2 * m["t12"])
+    t = F.when(m["t12"] == 0, 0.0).otherwise(F.when(tau >= 0, 1.0).otherwise(-1.0) / (F.abs(tau) + F.sqrt(1 + tau * tau)))
+
+    def turned(k: Column) -> Column:
+        t, c = k["t"], k["c"]
+        s = t * c
+        out = {"t11": m["t22"] + t * m["t12"], "t22": m["t33"], "t33": m["t11"] - t * m["t12"], "t12": s * m["t13"] + c * m["t23"], "t13": F.lit(0.0), "t23": c * m["t13"] - s * m["t23"]}
+        for i in range(1, 4):
+            out |= {f"v1{i}": s * m[f"v1{i}"] + c * m[f"v2{i}"], f"v2{i}": m[f"v3{i}"], f"v3{i}": c * m[f"v1{i}"] - s * m[f"v2{i}"]}
+        return F.struct(*(out[name].alias(name) for name in (*PARTS, *VECTORS)))
+
+    return let(let(t, lambda t: F.struct(t.alias("t"), (1 / F.sqrt(1 + t * t)).alias("c"))), turned)
+
+
+def principal_axes(t: dict[str, Column] | None = None) -> Column:
+    """Array of three structs (size, axis, lambda, x, y, z) in ascending order of |lambda|: eigenvalues and unit eigenvectors, whose largest component is positive, by cyclic Jacobi rotations."""
+    t = t or {p: F.col(p) for p in PARTS}
+    start = F.struct(*(t[p].cast("double").alias(p) for p in PARTS), *(F.lit(float(v[1] == v[2])).alias(v) for v in VECTORS))
+    whole = F.lit(True)
+    for p in PARTS:
+        whole = whole & t[p].isNotNull() & ~F.isnan(t[p])
+
+    def axis(m: Column, k: int) -> Column:
+        v = [m[f"v{k}{i}"] for i in range(1, 4)]
+        x, y, z = (F.abs(c) for c in v)
+        sign = F.when(F.when((x >= y) & (x >= z), v[0]).when(y >= z, v[1]).otherwise(v[2]) < 0, -1.0).otherwise(1.0)
+        return F.struct(F.abs(m[f"t{k}{k}"]).alias("size"), F.lit(k).alias("axis"), m[f"t{k}{k}"].alias("lambda"), *((c * sign).alias(n) for c, n in zip(v, "xyz", strict=True)))
+
+    # a multiple of three rotations: axes are where they were
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(3 * SWEEPS)), start, lambda m, _: rotated(m))
+    return F.when(whole, let(end, lambda m: F.array_sort(F.array(*(axis(m, k) for k in (1, 2, 3))))))
 
 
 def with_axes(tensors: DataFrame) -> DataFrame:
-    """Tensors with their principal axes (columns of AXES) and directional bias."""
-    ship(tensors.sparkSession)
-    return tensors.withColumn("_a", F.pandas_udf(principal_axes, AXES)(*PARTS)).select(*tensors.columns, "_a.*", bias().alias("bias"))
+    """Tensors with their principal axes (columns of AXES: eigenvalues ascending in size, unit eigenvectors) and directional bias; null axes for a tensor with a null or NaN part."""
+    a = fresh(tensors, "_axes")
+    columns = [F.col(a)[int(name[-1]) - 1][name[:-1]].alias(name) for name in AXES]
+    return tensors.withColumn(a, principal_axes()).select(*tensors.columns, *columns, bias().alias("bias"))
 
 
 def deviations(samples: DataFrame, axes: DataFrame, keys: list[str], f: Column, azimuth: Column, elevation: Column) -> DataFrame:

@@ -5,90 +5,135 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.select import short
+from stratum.operators.select import positioned, short
 from stratum.session import ship
+from stratum.store import drop_stored, stored
 
 
 #: Nuclei of a group of models that a task holds, points that meet it there, and points compared at once.
-MODELS, POINTS, AT_ONCE = 200_000, 200_000, 4096
-#: Nuclei in a leaf of a model's tree.
-LEAF = 32
+MODELS, POINTS, AT_ONCE = 100_000, 8192, 4096
+#: Nuclei of a model beyond which it is dealt to tasks in parts, each of at most so many; most parts in all (their boxes are broadcast).
+PART, MOST_PARTS = 16_384, 200_000
+#: Nuclei in a leaf of a tree, pairs of point and leaf compared at once, and bits of a place's number on each axis.
+LEAF, PAIRS, BITS = 32, 1 << 14, 12
+#: Squares are sums of rounded products: boxes this much further than the best one are opened as well.
+SLACK = 1 + 1e-12
+
+
+class Boxes:
+    """Boxes in an order in which neighbours are near each other, and above them the boxes of two, of four and so on up to one."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        self.levels = [(low, high)]
+        while len(low) > 1:
+            pairs = np.arange(0, len(low), 2)
+            low, high = np.minimum.reduceat(low, pairs), np.maximum.reduceat(high, pairs)
+            self.levels.append((low, high))
+
+    def gaps(self, level: int, p: np.ndarray, i: np.ndarray, middle: bool = False) -> np.ndarray:
+        """Squared distances of points from boxes i of a level, or from their middles."""
+        low, high = self.levels[level]
+        out = np.zeros(len(p))
+        for k in range(p.shape[1]):
+            d = p[:, k] - (low[i, k] + high[i, k]) / 2 if middle else np.maximum(0.0, np.maximum(low[i, k] - p[:, k], p[:, k] - high[i, k]))
+            out += d * d
+        return out
+
+    def nearest(self, p: np.ndarray) -> np.ndarray:
+        """The box that each point comes to by taking the nearer half at every level: near, not always nearest."""
+        i = np.zeros(len(p), np.int64)
+        for level in range(len(self.levels) - 2, -1, -1):
+            a, b = 2 * i, np.minimum(2 * i + 1, len(self.levels[level][0]) - 1)
+            ga, gb = self.gaps(level, p, a), self.gaps(level, p, b)
+            i = np.where((gb < ga) | (gb == ga) & (self.gaps(level, p, b, True) < self.gaps(level, p, a, True)), b, a)
+        return i
+
+    def within(self, p: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (point, box), by point, no further apart than the point's reach (squared). Halves out of reach are not opened."""
+        reach = reach * SLACK
+        who, i = np.arange(len(p)), np.zeros(len(p), np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            if level < len(self.levels) - 1:
+                who, i = np.repeat(who, 2), (2 * i[:, None] + np.arange(2)).ravel()
+            some = np.flatnonzero(i < len(self.levels[level][0]))
+            some = some[self.gaps(level, p[who[some]], i[some]) <= reach[who[some]]]
+            who, i = who[some], i[some]
+        return who, i
 
 
 class Tree:
-    """Nuclei of one model in boxes: halves along the widest side until LEAF are left. The nearest one of many points at once, exactly; of equally near ones that with the lowest number."""
+    """Nuclei of one model (or a part of it), halved along the widest side until LEAF are left. The nearest one of many points at once, exactly; of equally near ones that with the lowest number."""
 
     def __init__(self, x: np.ndarray):
-        self.x, self.leaves, rest = x, [], [np.arange(len(x))]
+        rest, leaves = [(np.arange(len(x)), max(0, int(np.ceil(np.log2(max(1, len(x)) / LEAF)))))], []
         while rest:
-            own = rest.pop()
-            if len(own) <= LEAF:
-                self.leaves.append(np.sort(own))
+            own, depth = rest.pop()
+            if not depth:
+                leaves.append(np.sort(own))
                 continue
             side = np.ptp(x[own], axis=0).argmax()
-            order = own[np.argsort(x[own, side], kind="stable")]
-            rest += [order[: len(own) // 2], order[len(own) // 2 :]]
-        self.low = np.stack([x[i].min(0) for i in self.leaves])
-        self.high = np.stack([x[i].max(0) for i in self.leaves])
-
-    def distances(self, p: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """Squared, summed coordinate by coordinate."""
-        out = np.zeros((len(p), len(own)))
+            order = own[np.argpartition(x[own, side], len(own) // 2)]
+            rest += [(order[len(own) // 2 :], depth - 1), (order[: len(own) // 2], depth - 1)]
+        self.own = np.full((len(leaves), max(map(len, leaves))), len(x))
+        for row, leaf in zip(self.own, leaves, strict=True):
+            row[: len(leaf)] = leaf
+        self.x = np.vstack([x, np.full(x.shape[1], np.inf)])  # the last one fills short leaves
+        self.boxes = Boxes(np.stack([x[i].min(0) for i in leaves]), np.stack([x[i].max(0) for i in leaves]))
+
+    def meet(self, p: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest nucleus of a leaf to each point, and its squared distance, summed coordinate by coordinate."""
+        own = self.own[leaf]
+        d2 = np.zeros(own.shape)
         for k in range(p.shape[1]):
             d = p[:, k, None] - self.x[own, k]
-            out += d * d
-        return out
+            d2 += d * d
+        i = d2.argmin(1)
+        n = np.arange(len(p))
+        return own[n, i], d2[n, i]
 
     def nearest(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        best, d2 = np.full(len(p), len(self.x)), np.full(len(p), np.inf)
-        gap = np.zeros((len(p), len(self.leaves)))
-        for k in range(p.shape[1]):
-            out = np.maximum(0.0, np.maximum(self.low[:, k] - p[:, k, None], p[:, k, None] - self.high[:, k]))
-            gap += out * out
-        own_leaf = gap.argmin(1)
-        for leaf, own in enumerate(self.leaves):  # first each point's own leaf, so that most others are out of reach
-            self.meet(p, best, d2, (own_leaf == leaf).nonzero()[0], own)
-        for leaf, own in enumerate(self.leaves):
-            self.meet(p, best, d2, ((own_leaf != leaf) & (gap[:, leaf] <= d2 * (1 + 1e-12))).nonzero()[0], own)
+        home = self.boxes.nearest(p)
+        best, d2 = self.meet(p, home)
+        who, leaf = self.boxes.within(p, d2)
+        other = leaf != home[who]
+        who, leaf = who[other], leaf[other]
+        for at in range(0, len(who), PAIRS):
+            w = who[at : at + PAIRS]
+            which, now = self.meet(p[w], leaf[at : at + PAIRS])
+            first = np.flatnonzero(np.r_[True, w[1:] != w[:-1]]) if len(w) else np.zeros(0, np.int64)
+            least = np.minimum.reduceat(now, first)
+            group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(w)]))
+            lowest = np.minimum.reduceat(np.where(now == least[group], which, len(self.x)), first)
+            some = w[first]
+            better = (least < d2[some]) | (least == d2[some]) & (lowest < best[some])
+            best[some[better]], d2[some[better]] = lowest[better], least[better]
         return best, d2
 
-    def meet(self, p, best, d2, some, own) -> None:
-        if len(some):
-            d = self.distances(p[some], own)
-            i = d.argmin(1)
-            now, which = d[np.arange(len(some)), i], own[i]
-            better = (now < d2[some]) | (now == d2[some]) & (which < best[some])
-            best[some[better]], d2[some[better]] = which[better], now[better]
 
+def met(nuclei: DataFrame, points: DataFrame, blocks: DataFrame | int, dims: int, tasks: int, report: str, make) -> DataFrame:
+    """Each point of a unit with each model of that unit. nuclei: (unit, model, nucleus, value, x); points: (unit, point, x), point of any type.
 
-def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], point: str = "point_ix", nucleus: str = "nucleus_ix", value: str = "v") -> DataFrame:
-    """(point, model..., nucleus, v, d2): the nearest nucleus of every model (chain, iteration, field) to every point; of equally near ones the lowest index.
-
-    Models are dealt to groups of about MODELS nuclei and points to blocks of about POINTS; a task holds a group and
-    streams a block past a tree of each model. So a nucleus travels once for each block, a point once for each group
-    (which gives at least a row for each model of it), and no row meets all nuclei. A model goes whole to a task: one
-    of n nuclei takes about 8 n (coordinates + 2) bytes there. Rows with a null coordinate have no distance and are left out.
+    blocks: how many blocks the points of a unit are dealt to, each of which gets the unit's nuclei: a number, or a table (unit, blocks). A task
+    holds one unit and streams a block past a tree of each model. make(models): a function of (points, models' trees) that yields Arrow batches of `report`.
     """
-    ship(points.sparkSession)
-    full = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in coords]))
-    xs = F.array(*(F.col(f"`{c}`").cast("double") for c in coords))
-    own = full(nuclei).select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{m}`") for m in model)).alias("model"), F.col(f"`{nucleus}`").alias("nucleus"), F.col(f"`{value}`").alias("value"), xs.alias("x"))
-    spots = full(points).select(F.col(f"`{point}`").alias("point"), xs.alias("x"))
-    groups, blocks = max(1, -(-own.count() // MODELS)), max(1, -(-spots.count() // POINTS))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = lambda name, df: F.lit(None).cast(df.schema[name].dataType).alias(name)
-    a = own.select(F.pmod(F.xxhash64("model"), F.lit(groups)).cast("int").alias("group"), every(blocks).alias("block"), F.lit(0).alias("kind"), "model", "nucleus", "value", none("point", spots), "x")
-    b = spots.select(every(groups).alias("group"), F.pmod(F.xxhash64("point"), F.lit(blocks)).cast("int").alias("block"), F.lit(1).alias("kind"), none("model", own), none("nucleus", own), none("value", own), "point", "x")
-    rows = a.unionByName(b).repartition(max(1, min(groups * blocks, 20_000)), "group", "block").sortWithinPartitions("group", "block", "kind", "model", "nucleus")
+    if isinstance(blocks, int):
+        nuclei, points = (df.withColumn("blocks", F.lit(blocks)) for df in (nuclei, points))
+    else:
+        nuclei, points = (df.join(blocks, "unit") for df in (nuclei, points))
+    a = nuclei.select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), "model", "nucleus", "value", none("point", points), "x")
+    b = points.select("unit", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int").alias("block"), F.lit(1).alias("kind"), none("model", nuclei), none("nucleus", nuclei), none("value", nuclei), "point", "x")
+    rows = a.unionByName(b).repartition(tasks, "unit", "block").sortWithinPartitions("unit", "block", "kind", "model", "nucleus")
+    matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
     def run(batches):
-        at, heads, trees = None, [], None
+        at, heads, trees, found = None, [], None, None
         joined = lambda k: pa.concat_arrays([h.column(k) for h in heads])
-        matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(coords))
 
         def planted():
             models, nuclei_, values, x = joined(3), joined(4), joined(5), matrix(joined(7))
@@ -97,12 +142,12 @@ def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords
             return [(models.slice(i, 1), nuclei_.slice(i, j - i), values.slice(i, j - i), Tree(x[i:j])) for i, j in zip(first, [*first[1:], len(keys)], strict=True)]
 
         for batch in batches:
-            key = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            edges = [i for i in range(len(key)) if i == 0 or key[i] != key[i - 1]]
-            for i, j in zip(edges, [*edges[1:], len(key)], strict=True):
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+            edges = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0)]) if len(batch) else []
+            for i, j in zip(edges, [*edges[1:], len(batch)], strict=True):
                 part = batch.slice(i, j - i)
-                if key[i] != at:
-                    at, heads, trees = key[i], [], None
+                if tuple(key[:, i]) != at:
+                    at, heads, trees = tuple(key[:, i]), [], None
                 kinds = part.column(2).to_numpy(zero_copy_only=False)
                 cut = int(np.searchsorted(kinds, 1))
                 if cut:
@@ -111,18 +156,200 @@ def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords
                     continue
                 if trees is None:
                     trees, heads = planted(), []
+                    found = make([t[0] for t in trees])
                 for k in range(cut, len(kinds), AT_ONCE):
                     some = part.slice(k, AT_ONCE)
-                    p = matrix(some.column(7))
-                    for name, nuclei_, values, tree in trees:
-                        best, d2 = tree.nearest(p)
-                        best = pa.array(best)
-                        same = pa.array(np.zeros(len(p), np.int64))
-                        yield pa.RecordBatch.from_arrays([some.column(6), name.take(same), nuclei_.take(best), values.take(best), pa.array(d2)], names=["point", "model", "nucleus", "value", "d2"])
-
-    kind = lambda name: rows.schema[name].dataType.simpleString()
-    found = rows.mapInArrow(run, f"point {kind('point')}, model {kind('model')}, nucleus {kind('nucleus')}, value {kind('value')}, d2 double")
-    return found.select(F.col("point").alias(point), *(F.col(f"model.`{m}`").alias(m) for m in model), F.col("nucleus").alias(nucleus), F.col("value").alias(value), "d2")
+                    yield from found(some, matrix(some.column(7)), trees)
+
+    return rows.mapInArrow(run, report)
+
+
+class Ensemble:
+    """Points and models made ready to meet: small models in groups, large ones in parts of space."""
+
+    def __init__(self, points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], point: str, nucleus: str, value: str):
+        self.spark, self.model, self.names, self.dims = points.sparkSession, model, (point, nucleus, value), len(coords)
+        ship(self.spark)
+        full = lambda df: df.where(reduce(lambda a, b: a & b, [F.col(f"`{c}`").isNotNull() for c in coords]))
+        xs = F.array(*(F.col(f"`{c}`").cast("double") for c in coords))
+        own = full(nuclei).select(F.struct(F.lit(0).alias("_"), *(F.col(f"`{m}`") for m in model)).alias("model"), F.col(f"`{nucleus}`").alias("nucleus"), F.col(f"`{value}`").alias("value"), xs.alias("x"))
+        self.points = full(points).select(F.col(f"`{point}`").alias("point"), xs.alias("x"))
+        sizes = stored(own.groupBy("model").agg(F.count("*").alias("size")))
+        large = F.col("size") > PART
+        kept = sizes.agg(F.coalesce(F.sum(F.when(~large, F.col("size"))), F.lit(0)).alias("few"), F.count(F.when(large, 1)).alias("many")).first()
+        self.few, self.many = kept["few"], kept["many"]
+        big = sizes.where(large).select("model")
+        self.small = own.join(big, "model", "left_anti") if self.many else own
+        self.large = own.join(big, "model", "left_semi") if self.many else None
+        self.kinds = {f.name: f.dataType.simpleString() for f in [*own.schema.fields, *self.points.schema.fields]}
+
+    def tasks(self, rows: int) -> int:
+        return max(1, min(rows, 20_000))
+
+    def small_met(self, report: str, make) -> DataFrame:
+        """Small models are dealt to groups of about MODELS nuclei, points to blocks of about POINTS: a nucleus travels once for each block, a point once for each group (which has at least a row for each model of it to give)."""
+        groups, blocks = max(1, -(-self.few // MODELS)), max(1, -(-self.points.count() // POINTS))
+        nuclei = self.small.withColumn("unit", F.pmod(F.xxhash64("model"), F.lit(groups)))
+        points = self.points.withColumn("unit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        return met(nuclei, points, blocks, self.dims, self.tasks(4 * groups * blocks), report, make)
+
+    def parts(self) -> tuple[DataFrame, list, list[tuple[int, Boxes]]]:
+        """The nuclei of large models with their unit, the models, and for each model its first unit and the boxes of its units.
+
+        Of nuclei at one place of a model only the lowest can be nearest, so the others go first. A model's nuclei are then numbered along a curve through
+        space (bits of the axes in turn), and every PART of them are a unit.
+        """
+        best = F.min(F.struct("nucleus", "value")).alias("best")
+        alone = stored(self.large.groupBy("model", "x").agg(best).select("model", "x", "best.nucleus", "best.value"))
+        sizes = alone.groupBy("model").agg(F.count("*").alias("size")).orderBy("model").collect()  # at most one for PART nuclei
+        ends = [F.min(F.col("x")[k]) for k in range(self.dims)] + [F.max(F.col("x")[k]) for k in range(self.dims)]
+        span = alone.agg(*(e.alias(f"e{i}") for i, e in enumerate(ends))).first()
+        step = [(span[self.dims + k] - span[k]) / (1 << BITS) for k in range(self.dims)]
+        bits = min(BITS, 62 // self.dims)
+        cell = [F.least(F.lit((1 << BITS) - 1), ((F.col("x")[k] - span[k]) / step[k]).cast("int")) if step[k] > 0 else F.lit(0) for k in range(self.dims)]
+        curve = reduce(lambda a, b: a + b, [F.shiftleft(F.shiftright(c, BITS - 1 - b).bitwiseAND(1).cast("long"), (bits - 1 - b) * self.dims + k) for k, c in enumerate(cell) for b in range(bits)])
+        units = [max(1, -(-s["size"] // PART)) for s in sizes]
+        if sum(units) > MOST_PARTS:
+            raise ValueError(f"more than {MOST_PARTS} parts of {PART} nuclei: their boxes would not fit in a broadcast")
+        first, base = np.r_[0, np.cumsum([s["size"] for s in sizes])], np.r_[0, np.cumsum(units)]
+        kind = f"model {self.kinds['model']}, first long, base long, number int"
+        table = self.spark.createDataFrame([(s["model"], int(f), int(b), i) for i, (s, f, b) in enumerate(zip(sizes, first[:-1], base[:-1], strict=True))], kind)
+        counted = positioned(alone.withColumn("curve", curve), ["model", "curve", "nucleus"], "position").join(F.broadcast(table), "model")
+        nuclei = stored(counted.select((F.col("base") + F.floor((F.col("position") - 1 - F.col("first")) / PART)).alias("unit"), "model", "number", "nucleus", "value", "x"))
+        edge = [f(F.col("x")[k]).alias(f"{f.__name__}{k}") for f in (F.min, F.max) for k in range(self.dims)]
+        boxes = np.array([tuple(r)[1:] for r in nuclei.groupBy("unit").agg(*edge).orderBy("unit").collect()])
+        return nuclei, table, [(int(b), Boxes(boxes[b:e, : self.dims], boxes[b:e, self.dims :])) for b, e in zip(base[:-1], base[1:], strict=True)]
+
+    def large_met(self) -> DataFrame:
+        """(point, model, nucleus, value, d2) of large models in two passes: a point meets the part whose box it is in or nearest to, then only the parts that its distance so far reaches."""
+        nuclei, models, boxes = self.parts()
+        shared = self.spark.sparkContext.broadcast(boxes)
+        dims = self.dims
+        spots = stored(self.points.withColumn("row", F.monotonically_increasing_id()))
+        matrix = lambda column: column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dims)
+        batch_of = lambda unit, row, number, x: pa.RecordBatch.from_arrays([pa.array(unit, pa.int64()), row, pa.array(np.full(len(row), number), pa.int32()), x], names=["unit", "row", "number", "x"])
+
+        def homes(batches):
+            for b in batches:
+                p = matrix(b.column(1))
+                for number, (base, model_boxes) in enumerate(shared.value):
+                    yield batch_of(base + model_boxes.nearest(p), b.column(0), number, b.column(1))
+
+        def reached(batches):
+            for b in batches:
+                p, d2, unit, numbers = matrix(b.column(1)), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_numpy()
+                for number in np.unique(numbers):
+                    base, model_boxes = shared.value[number]
+                    own = np.flatnonzero(numbers == number)
+                    who, i = model_boxes.within(p[own], d2[own])
+                    who, i = own[who], base + i
+                    other = i != unit[who]
+                    who = pa.array(who[other])
+                    yield batch_of(i[other], b.column(0).take(who), number, b.column(1).take(who))
+
+        kinds = self.kinds
+        report = f"point struct<row:bigint,number:int>, x array<double>, unit long, nucleus {kinds['nucleus']}, value {kinds['value']}, d2 double"
+
+        def make(_):
+            def found(some, p, trees):
+                (_, nuclei_, values, tree), = trees
+                best, d2 = tree.nearest(p)
+                best = pa.array(best)
+                yield pa.RecordBatch.from_arrays([some.column(6), some.column(7), some.column(0), nuclei_.take(best), values.take(best), pa.array(d2)], names=["point", "x", "unit", "nucleus", "value", "d2"])
+
+            return found
+
+        def passed(routed: DataFrame) -> DataFrame:
+            routed = stored(routed)
+            blocks = stored(routed.groupBy("unit").agg(F.ceil(F.count("*") / POINTS).cast("int").alias("blocks")))
+            tasks = blocks.agg(F.sum("blocks")).first()[0] or 1
+            own = nuclei.select("unit", F.col("number").alias("model"), "nucleus", "value", "x")
+            out = stored(met(own, routed.select("unit", F.struct("row", "number").alias("point"), "x"), F.broadcast(blocks), dims, self.tasks(4 * tasks), report, make))
+            drop_stored(routed)
+            return out
+
+        kind = "unit long, row long, number int, x array<double>"
+        one = passed(spots.select("row", "x").mapInArrow(homes, kind))
+        two = passed(one.select("point.row", "x", "d2", "unit", "point.number").mapInArrow(reached, kind))
+        best = F.min(F.struct("d2", "nucleus", "value")).alias("best")
+        all_ = one.unionAll(two).groupBy("point.row", "point.number").agg(best)
+        return all_.join(spots.select("row", "point"), "row").join(F.broadcast(models.select("number", "model")), "number").select("point", "model", "best.nucleus", "best.value", "best.d2")
+
+
+def nearest_cells(points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], point: str = "point_ix", nucleus: str = "nucleus_ix", value: str = "v") -> DataFrame:
+    """(point, model..., nucleus, v, d2): the nearest nucleus of every model (chain, iteration, field) to every point; of equally near ones the lowest index.
+
+    Models of up to PART nuclei are searched whole, in groups; larger ones in parts of PART, where a point meets its own part and those that its
+    distance reaches. In a task a point tests the boxes of a tree from the top, and opens those within its distance. No task holds more than a group or a
+    part, and no row meets all nuclei. Rows with a null coordinate have no distance and are left out.
+    """
+    e = Ensemble(points, nuclei, model, coords, point, nucleus, value)
+    kinds = e.kinds
+
+    def make(_):
+        def found(some, p, trees):
+            for name, nuclei_, values, tree in trees:
+                best, d2 = tree.nearest(p)
+                best, same = pa.array(best), pa.array(np.zeros(len(p), np.int64))
+                yield pa.RecordBatch.from_arrays([some.column(6), name.take(same), nuclei_.take(best), values.take(best), pa.array(d2)], names=["point", "model", "nucleus", "value", "d2"])
+
+        return found
+
+    rows = e.small_met(f"point {kinds['point']}, model {kinds['model']}, nucleus {kinds['nucleus']}, value {kinds['value']}, d2 double", make)
+    if e.many:
+        rows = rows.unionByName(e.large_met())
+    return rows.select(F.col("point").alias(point), *(F.col(f"model.`{m}`").alias(m) for m in model), F.col("nucleus").alias(nucleus), F.col("value").alias(value), "d2")
+
+
+def nearest_cell_sums(points: DataFrame, nuclei: DataFrame, model: list[str], coords: list[str], by: list[str], sample=None, order: int = 3, point: str = "point_ix", nucleus: str = "nucleus_ix", value: str = "v") -> DataFrame:
+    """(point, by..., n, s1 .. s<order>): power sums, over all models that agree in `by` (some of `model`), of the values of the nearest nuclei: moments.finished() makes moments of them.
+
+    Sums are made where points and models meet, so a row for each point, group of models and `by` leaves a task, not one for each model. sample: a function of numpy arrays
+    (value, d2) that gives the number to be summed (the value by default). Points of equal ids count as one point. A null value is left out.
+    """
+    e = Ensemble(points, nuclei.withColumn(value, F.col(f"`{value}`").cast("double")), model, coords, point, nucleus, value)
+    places = [model.index(b) for b in by]
+    kind = e.kinds["point"]
+    key = "struct<" + ",".join(["_:int", *(f"`{b}`:{nuclei.schema[b].dataType.simpleString()}" for b in by)]) + ">"
+    powers = [f"s{i}" for i in range(1, order + 1)]
+
+    def make(models):
+        key_of = [tuple(list(m[0].as_py().values())[1 + k] for k in places) for m in models]
+
+        def found(some, p, trees):
+            sums: dict[tuple, np.ndarray] = {}
+            for own, (_, _, values, tree) in zip(key_of, trees, strict=True):
+                best, d2 = tree.nearest(p)
+                v = values.to_numpy(zero_copy_only=False).astype(float)[best]
+                missing = np.asarray(values.is_null())[best]
+                v = v if sample is None else sample(v, d2)
+                to = sums.setdefault(own, np.zeros((order + 1, len(p))))
+                power = np.where(missing, 0.0, 1.0)
+                for row in to:
+                    row += power
+                    power = power * np.where(missing, 0.0, v)
+            for own, to in sums.items():
+                names = pa.array([dict(zip(["_", *by], (0, *own), strict=True))] * len(p), key_type)
+                yield pa.RecordBatch.from_arrays([some.column(6), names, pa.array(to[0].astype(np.int64)), *map(pa.array, to[1:])], names=["point", "key", "n", *powers])
+
+        return found
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    report = f"point {kind}, key {key}, n long, " + ", ".join(f"{s} double" for s in powers)
+    key_type = to_arrow_type(e.spark.createDataFrame([], report).schema["key"].dataType)
+    rows = e.small_met(report, make)
+    if e.many:
+        # of large models a point's rows come from several tasks: sums begin where they are brought together
+        far = e.large_met()
+        v = F.col("value")
+        if sample is not None:
+            picked = F.pandas_udf(lambda v, d2: pd.Series(sample(v.to_numpy(float), d2.to_numpy(float))), "double")
+            v = F.when(v.isNotNull(), picked("value", "d2"))
+        far = far.select("point", F.struct(F.lit(0).alias("_"), *(F.col(f"model.`{b}`").alias(b) for b in by)).alias("key"), v.alias("v"))
+        rows = rows.unionByName(far.select("point", "key", F.col("v").isNotNull().cast("long").alias("n"), *(F.coalesce(F.pow("v", F.lit(i)), F.lit(0.0)).alias(s) for i, s in enumerate(powers, 1))))
+    total = rows.groupBy("point", "key").agg(*(F.sum(c).alias(c) for c in ["n", *powers]))
+    return total.select(F.col("point").alias(point), *(F.col(f"key.`{b}`").alias(b) for b in by), "n", *powers)
 
 
 def nearest_value(queries: DataFrame, axis: DataFrame, query: str, position: str, index: str) -> DataFrame:

@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratum.functions.let import let
 from stratum.operators.moments import ratio
 
 
@@ -54,17 +55,15 @@ def freedman_diaconis(s: Column) -> Column:
 
 def mode(s: Column, width: Column | None = None) -> Column:
     """binned_mode() of a sorted array in one pass: equal bins are neighbours, so a fold keeps the bin it is in and the fullest one so far."""
-    w = freedman_diaconis(s) if width is None else width
     zero = F.lit(0).cast("long")
     start = F.struct(F.lit(None).cast("double").alias("bin"), zero.alias("c"), F.lit(None).cast("double").alias("top"), zero.alias("most"))
 
-    def step(acc, x):
-        b = F.rint(x / w)
+    def step(acc, b):
         c = F.when(acc["bin"] == b, acc["c"] + 1).otherwise(F.lit(1).cast("long"))
-        more = c > acc["most"]
-        return F.struct(b.alias("bin"), c.alias("c"), F.when(more, b).otherwise(acc["top"]).alias("top"), F.when(more, c).otherwise(acc["most"]).alias("most"))
+        return let(c, lambda c: F.struct(b.alias("bin"), c.alias("c"), F.when(c > acc["most"], b).otherwise(acc["top"]).alias("top"), F.greatest(c, acc["most"]).alias("most")))
 
-    return F.when(w > 0, F.aggregate(s, start, step, lambda acc: acc["top"]) * w).otherwise(quantile(s, 0.5))
+    fullest = lambda w: F.aggregate(F.transform(s, lambda x: F.rint(x / w)), start, step, lambda acc: acc["top"]) * w
+    return let(freedman_diaconis(s) if width is None else width, lambda w: F.when(w > 0, fullest(w)).otherwise(quantile(s, 0.5)))
 
 
 def binned_mode(sorted_: DataFrame, keys: list[str], width: Column | None = None) -> DataFrame:
@@ -87,18 +86,20 @@ def hellinger_uniform(s: Column, low: Column | float, high: Column | float) -> C
 
 
 def hellinger(s: Column, cdf, width: Column | None = None) -> Column:
-    """Distance from a prior given by its distribution function (Column to Column): bins from the smallest sample on."""
-    w = freedman_diaconis(s) if width is None else width
-    low = F.get(s, 0)
-    at = F.transform(s, lambda x: F.greatest(F.ceil((x - low) / w) - 1, F.lit(0).cast("long")))
-    share = lambda b: cdf(low + (b + 1) * w) - cdf(low + b * w)
-    # equal bins are neighbours in a sorted array: a fold adds a bin's part when the next begins
-    part = lambda acc: F.when(acc["c"] > 0, F.sqrt(F.greatest(F.lit(0.0), share(acc["bin"])) * acc["c"] / F.size(s))).otherwise(0.0)
+    """Distance from a prior given by its distribution function (Column to Column): bins from the smallest sample on; null without spread (a width of 0)."""
     zero = F.lit(0).cast("long")
     start = F.struct(F.lit(-1).cast("long").alias("bin"), zero.alias("c"), F.lit(0.0).alias("sum"))
-    step = lambda acc, b: F.struct(b.alias("bin"), F.when(acc["bin"] == b, acc["c"] + 1).otherwise(F.lit(1).cast("long")).alias("c"), F.when(acc["bin"] == b, acc["sum"]).otherwise(acc["sum"] + part(acc)).alias("sum"))
-    total = F.aggregate(at, start, step, lambda acc: acc["sum"] + part(acc))
-    return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - total)))
+
+    def distance(low, w):
+        at = F.transform(s, lambda x: F.greatest(F.ceil((x - low) / w) - 1, F.lit(0).cast("long")))
+        share = lambda b: cdf(low + (b + 1) * w) - cdf(low + b * w)
+        # equal bins are neighbours in a sorted array: a fold adds a bin's part when the next begins
+        part = lambda acc: F.when(acc["c"] > 0, F.sqrt(F.greatest(F.lit(0.0), share(acc["bin"])) * acc["c"] / F.size(s))).otherwise(0.0)
+        step = lambda acc, b: F.struct(b.alias("bin"), F.when(acc["bin"] == b, acc["c"] + 1).otherwise(F.lit(1).cast("long")).alias("c"), F.when(acc["bin"] == b, acc["sum"]).otherwise(acc["sum"] + part(acc)).alias("sum"))
+        return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.aggregate(at, start, step, lambda acc: acc["sum"] + part(acc)))))
+
+    width = freedman_diaconis(s) if width is None else width
+    return let(F.struct(F.get(s, 0).alias("low"), width.alias("w")), lambda k: F.when(k["w"] > 0, distance(k["low"], k["w"])))
 
 
 def hellinger_uniform_normal(low: float, high: float, sd: float) -> float:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratum.store import drop_stored, stored
+
 #: Weight of the rows that hold shared statics equal: 1 / 0.001^2.
 TIE = 1e6
-#: Most statics solved for at once on the driver (a dense normal matrix of 8 n^2 bytes).
-MOST = 5_000
-#: Most pairs of event and station whose weights come to the driver.
-MOST_PAIRS = 1_000_000
+#: Most steps of the solver, and the share of the first residual at which it ends.
+STEPS, TOLERANCE = 200, 1e-10
 
 
 def event_statics(residuals: DataFrame) -> DataFrame:
@@ -19,37 +18,96 @@ def event_statics(residuals: DataFrame) -> DataFrame:
     return residuals.groupBy("obs_name", "event_id").agg(F.avg("r").alias("value"))
 
 
-def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None) -> DataFrame:
-    """residuals: (obs_name, event_id, station_id, r). (obs_name, kind, id, value): event and station statics of all observables at once.
+def tied_groups(ties: DataFrame, names: int) -> DataFrame:
+    """(obs_name, id, root): the first name that ties of its id lead to. ties: (id, a, b); names: how many names there are, which bounds the rounds."""
+    both = ties.select("id", "a", "b").unionAll(ties.select("id", F.col("b").alias("a"), F.col("a").alias("b")))
+    now = both.groupBy("id", F.col("a").alias("obs_name")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
+    for _ in range(max(0, names - 2)):
+        further = both.join(now.select("id", F.col("obs_name").alias("b"), F.col("root").alias("far")), ["id", "b"]).groupBy("id", F.col("a").alias("obs_name")).agg(F.min("far").alias("far"))
+        now = now.join(further, ["id", "obs_name"]).select("id", "obs_name", F.least("root", "far").alias("root"))
+    return now
+
 
-    The normal equations are built by aggregation; only their distinct entries, counted first, come to the driver.
-    Station statics are damped by (sigma / damping)^2. ties: (id, obs_a, obs_b): event statics to be held equal.
+def normal_equations(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tables of the normal equations: diagonal (u, group, root, plain, tied, b) and others (u, to, w), an entry of the matrix each. u: struct (obs_name, kind, id) of an unknown.
+
+    plain: the diagonal without ties, tied: what ties add to it; group: unknowns that ties hold together, root: whether u is the first of them.
     """
     spark = residuals.sparkSession
-    w = F.create_map(*[F.lit(x) for k, s in sigma.items() for x in (k, 1 / s**2)])[F.col("obs_name")]
-    r = residuals.withColumn("w", w)
-    event, station = r.select("obs_name", F.lit("event").alias("kind"), F.col("event_id").alias("id"), "w", "r"), r.select("obs_name", F.lit("station").alias("kind"), F.col("station_id").alias("id"), "w", "r")
-    diagonal = event.unionAll(station).groupBy("obs_name", "kind", "id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"))
-    if diagonal.limit(MOST + 1).count() > MOST:
-        raise ValueError(f"more than {MOST} statics: solve for fewer at once, or for event statics alone")
-    rows = [tuple(x) for x in diagonal.orderBy("obs_name", "kind", "id").collect()]
-    pairs = r.groupBy("obs_name", "event_id", "station_id").agg(F.sum("w").alias("w"))
-    if pairs.limit(MOST_PAIRS + 1).count() > MOST_PAIRS:
-        raise ValueError(f"more than {MOST_PAIRS} pairs of event and station: solve for fewer at once")
-    cross = pairs.collect()
-    at = {x[:3]: i for i, x in enumerate(rows)}
-    g = np.diag([x[3] + ((sigma[x[0]] / damping) ** 2 if x[1] == "station" else 0.0) for x in rows])
-    for obs, e, s, weight in cross:
-        i, j = at[obs, "event", e], at[obs, "station", s]
-        g[i, j] += weight
-        g[j, i] += weight
-    for key, a, b in ties.select("id", "obs_a", "obs_b").collect() if ties is not None else ():
-        i, j = at.get((a, "event", key)), at.get((b, "event", key))
-        if i is None or j is None:
-            continue  # one of the observables has no such event
-        g[i, i] += TIE
-        g[j, j] += TIE
-        g[i, j] -= TIE
-        g[j, i] -= TIE
-    m = np.linalg.solve(g, np.array([x[4] for x in rows])) if rows else []
-    return spark.createDataFrame([(*x[:3], float(v)) for x, v in zip(rows, m, strict=True)], "obs_name string, kind string, id long, value double")
+    of = lambda values: F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])[F.col("obs_name")]
+    r = residuals.select("obs_name", "event_id", "station_id", of({k: 1 / s**2 for k, s in sigma.items()}).alias("w"), "r").where("r IS NOT NULL AND NOT isnan(r) AND event_id IS NOT NULL AND station_id IS NOT NULL")
+    unknown = lambda kind, column, obs="obs_name": F.struct(F.col(obs).alias("obs_name"), F.lit(kind).alias("kind"), F.col(column).cast("long").alias("id"))
+    # rays of one event and station are summed before they are shuffled, so a hot pair, event or station is a row a task
+    pairs = stored(r.groupBy("obs_name", "event_id", "station_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr")))
+    e, s = pairs.select(unknown("event", "event_id").alias("u"), unknown("station", "station_id").alias("to"), "w", "wr"), pairs.select(unknown("station", "station_id").alias("u"), unknown("event", "event_id").alias("to"), "w", "wr")
+    both = e.unionAll(s)
+    diagonal = both.groupBy("u").agg(F.sum("w").alias("plain"), F.sum("wr").alias("b"))
+    damped = of({k: (v / damping) ** 2 for k, v in sigma.items()})
+    diagonal = diagonal.select("u", F.col("u.obs_name").alias("obs_name"), (F.col("plain") + F.when(F.col("u.kind") == "station", damped).otherwise(0.0)).alias("plain"), "b")
+    others = both.select("u", "to", "w")
+    if ties is None:
+        ties = spark.createDataFrame([], "id long, obs_a string, obs_b string")
+    known = diagonal.where("u.kind = 'event'").select(F.col("u.id").alias("id"), "obs_name")
+    t = ties.select("id", F.col("obs_a").alias("a"), F.col("obs_b").alias("b")).where("a <> b")
+    for name in ("a", "b"):  # a tie of an event that one of the observables lacks holds nothing
+        t = t.join(known.withColumnRenamed("obs_name", name), ["id", name], "left_semi")
+    t = stored(t)
+    ends = t.select(unknown("event", "id", "a").alias("u"), unknown("event", "id", "b").alias("to"))
+    ends = ends.unionAll(ends.select(F.col("to").alias("u"), F.col("u").alias("to")))
+    groups = tied_groups(t, len(sigma)).select(unknown("event", "id").alias("u"), F.struct(F.col("root").alias("obs_name"), F.lit("event").alias("kind"), "id").alias("group"))
+    own = ends.groupBy("u").agg((F.count("*") * F.lit(TIE)).alias("tied"))
+    diagonal = diagonal.join(own, "u", "left").join(groups, "u", "left").select("u", F.coalesce("group", "u").alias("group"), (F.coalesce("group", "u") == F.col("u")).alias("root"), "plain", F.coalesce("tied", F.lit(0.0)).alias("tied"), "b")
+    return diagonal, others.unionAll(ends.select("u", "to", F.lit(-TIE).alias("w")))
+
+
+def conjugate_gradients(diagonal: DataFrame, others: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(u, value): the solution of normal_equations(), by preconditioned conjugate gradients.
+
+    The vectors are columns of a table with a row for each unknown; a step is a join of the entries with one of them, an aggregation, and one pass for the two
+    numbers that the driver sees. The preconditioner takes the unknowns of a tied group as their common value and departures from it, so stiff ties cost no steps.
+    Ends after `steps`, or when the residual's size is `tolerance` of the first one's.
+    """
+    # tasks of one step read the diagonal and entries as they are stored; only the vectors are written anew
+    fixed, entries = stored(diagonal), stored(others)
+    whole = Window.partitionBy("group")
+
+    def preconditioned(rows: DataFrame) -> DataFrame:
+        common = F.sum("r").over(whole) / F.sum("plain").over(whole)
+        return rows.withColumn("z", F.when(F.col("root"), common).otherwise(common + F.col("r") / (F.col("plain") + F.col("tied"))))
+
+    def with_product(rows: DataFrame) -> DataFrame:
+        """rows with az: the matrix times z."""
+        part = entries.join(rows.select(F.col("u").alias("to"), "z"), "to").groupBy("u").agg(F.sum(F.col("w") * F.col("z")).alias("sum"))
+        return rows.join(part, "u", "left").withColumn("az", (F.col("plain") + F.col("tied")) * F.col("z") + F.coalesce("sum", F.lit(0.0))).drop("sum")
+
+    zero = F.lit(0.0)
+    now = stored(preconditioned(fixed.select("u", "group", "root", "plain", "tied", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("ap"))))
+    before, alpha, first = None, None, None
+    for step in range(steps):
+        wide = stored(with_product(now))
+        drop_stored(now)
+        k = wide.agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sum(F.col("z") * F.col("az")).alias("zaz")).first()
+        rz, zaz = k["rz"] or 0.0, k["zaz"] or 0.0
+        first = rz if first is None else first
+        if rz <= 0 or rz <= tolerance**2 * first:
+            now = wide
+            break
+        beta = 0.0 if before is None else rz / before
+        alpha = rz / (zaz - (beta * rz / alpha if before is not None else 0.0))
+        before = rz
+        moved = wide.withColumns({"p": F.col("z") + beta * F.col("p"), "ap": F.col("az") + beta * F.col("ap")})
+        moved = moved.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
+        now = stored(preconditioned(moved.drop("z", "az")))
+        drop_stored(wide)
+    drop_stored(fixed)
+    drop_stored(entries)
+    return now.select("u", F.col("x").alias("value"))
+
+
+def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """residuals: (obs_name, event_id, station_id, r). (obs_name, kind, id, value): event and station statics of all observables at once, however many.
+
+    Station statics are damped by (sigma / damping)^2. ties: (id, obs_a, obs_b): event statics to be held equal. Null and NaN residuals, and those of no event or station, are left out.
+    """
+    value = conjugate_gradients(*normal_equations(residuals, sigma, damping, ties), steps, tolerance)
+    return value.select("u.obs_name", "u.kind", "u.id", "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from stratum.operators import moments, nearest, order_stats
@@ -205,22 +206,23 @@ b AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id, chain ORDE
 """
 
 
-def cells(spark, sf_dir):
+def vectors(spark, sf_dir):
     """Every vector is a nucleus of one of three models, and every vector is a point."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(COORDS)))
     n = v.select((F.col("vec_id") % 3).alias("chain"), F.col("vec_id").alias("nucleus_ix"), F.col("label").cast("double").alias("v"), *COORDS)
-    return nearest.nearest_cells(v.select("vec_id", *COORDS), n, ["chain"], COORDS, point="vec_id")
+    return v.select("vec_id", *COORDS), n
 
 
 @query(CELLS + "SELECT vec_id, chain, nucleus_ix, v, round(d2, 6) AS d2 FROM b")
 def nearest_cell_all_nuclei(spark, sf_dir):
-    return rounded(cells(spark, sf_dir), ["v"])
+    return rounded(nearest.nearest_cells(*vectors(spark, sf_dir), ["chain"], COORDS, point="vec_id"), ["v"])
 
 
 @query(CELLS + ", s AS (SELECT vec_id, count(*) AS n, sum(v) AS s1, sum(v^2) AS s2 FROM (SELECT vec_id, CASE WHEN d2 <= 0.1 THEN v ELSE 4.5 END AS v FROM b) GROUP BY ALL) SELECT vec_id, n, round(s1 / n, 6) AS mean, round(sqrt(greatest(0, s2 / n - (s1 / n) ^ 2)), 6) AS sd FROM s")
 def nearest_cell_moments_all(spark, sf_dir):
-    v = moments.squeezed(F.col("v"), F.col("d2") <= 0.1, 4.5)
-    return rounded(moments.moments(cells(spark, sf_dir).withColumn("x", v), ["vec_id"], F.col("x")).drop("skewness"), [])
+    """Values further than the root of 0.1 from their nucleus are replaced by 4.5."""
+    sums = nearest.nearest_cell_sums(*vectors(spark, sf_dir), ["chain"], COORDS, [], lambda v, d2: np.where(d2 <= 0.1, v, 4.5), point="vec_id")
+    return rounded(moments.finished(sums, ["vec_id"]).drop("skewness"), [])
 
 
 @query("""
