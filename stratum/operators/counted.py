@@ -15,6 +15,16 @@ from stratum.operators.select import fresh
 from stratum.store import stored
 
 
+def equal_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join with a table of a row for each group, null keys alike."""
+    if not keys:
+        return a.join(b, F.lit(True), how)
+    on, names = F.lit(True), {k: f"_r_{k}" for k in keys}
+    for k, name in names.items():
+        on = on & F.col(f"`{k}`").eqNullSafe(F.col(f"`{name}`"))
+    return a.join(b.withColumnsRenamed(names), on, how).drop(*names.values())
+
+
 def running(rows: DataFrame, order: list[str], count: str, name: str) -> DataFrame:
     """rows with the sum of count over all rows before, in the given order. Sums of range partitions (a row each) are summed on one task; no task takes all rows."""
     part, low = fresh(rows, "_part"), fresh(rows, "_low")
@@ -30,9 +40,7 @@ def runs(samples: DataFrame, keys: list[str], value: Column) -> DataFrame:
     counts = samples.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").withColumn("v", F.col("v") + 0.0).groupBy(*keys, "v").agg(F.count("*").alias("c"))
     at = stored(running(counts, [*keys, "v"], "c", "_at"))
     groups = at.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("_at").alias("first"))
-    same = [at[k].eqNullSafe(groups[k]) for k in keys]
-    joined = at.join(groups, same) if keys else at.join(groups, F.lit(True))
-    return stored(joined.select(*(at[k] for k in keys), "v", "c", (F.col("_at") - F.col("first")).alias("at"), "n", "first"))
+    return stored(equal_join(at, groups, keys).select(*keys, "v", "c", (F.col("_at") - F.col("first")).alias("at"), "n", "first"))
 
 
 def at_positions(run: DataFrame, asked: DataFrame, position: str, name: str) -> DataFrame:
@@ -78,17 +86,6 @@ def widths(run: DataFrame, keys: list[str]) -> DataFrame:
     return equal_join(g, q, keys).select(*keys, F.round(2 * (F.col("q75") - F.col("q25")) / F.cbrt(F.col("_n").cast("double")), 9).alias("w"), "q50")
 
 
-def equal_join(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Join of two tables of a row for each group, null keys alike."""
-    if not keys:
-        return a.join(b, F.lit(True))
-    renamed = b.withColumnsRenamed({k: f"_r_{k}" for k in keys})
-    on = F.lit(True)
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return a.join(renamed, on).drop(*(f"_r_{k}" for k in keys))
-
-
 def binned_mode(run: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, mode): centre of the fullest bin; of equally full ones the lowest; the median without a width."""
     binned = equal_join(run, widths(run, keys), keys).withColumn("_bin", F.when(F.col("w") > 0, F.rint(F.col("v") / F.when(F.col("w") > 0, F.col("w")))))
@@ -130,6 +127,5 @@ def either(samples: DataFrame, keys: list[str], value: Column, low: float, high:
     large = sizes.where(F.col("_size") > most).drop("_size")
     if large.isEmpty():
         return order_stats.tendencies(samples, keys, value, low, high, level)
-    on = lambda other: [samples[k].eqNullSafe(other[k]) for k in keys]
-    small = order_stats.tendencies(samples.join(large, on(large), "left_anti"), keys, value, low, high, level)
-    return small.unionByName(tendencies(samples.join(large, on(large), "left_semi"), keys, value, low, high, level))
+    small = order_stats.tendencies(equal_join(samples, large, keys, "left_anti"), keys, value, low, high, level)
+    return small.unionByName(tendencies(equal_join(samples, large, keys, "left_semi"), keys, value, low, high, level))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratum.functions.anisotropy import delta_of_epsilon
 from stratum.functions.geo import direction
 from stratum.functions.let import let
 from stratum.operators.moments import ratio
@@ -87,7 +88,7 @@ def deviations(samples: DataFrame, axes: DataFrame, keys: list[str], f: Column,
     u = [f * c for c in direction(azimuth, elevation)]
     v = [F.col("lambda3") * F.col(c) for c in ("x3", "y3", "z3")]
     dot = F.abs(u[0] * v[0] + u[1] * v[1] + u[2] * v[2])
-    nu, nv = (F.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2]) for a in (u, v))
+    nu, nv = F.abs(f), F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])  # directions are of unit length
     cosine = ratio(dot, nu * nv)
     angle = F.when(nu * nv == 0, 0.0).otherwise(0.5 * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * cosine * cosine - 1))))
     return samples.join(axes.select(*keys, "lambda3", "x3", "y3", "z3"), keys).withColumns({"strength": nu, "prj": F.when(nv == 0, 0.0).otherwise(dot / nv), "angle": angle}).drop("lambda3", "x3", "y3", "z3")
@@ -111,6 +112,16 @@ def directional_moments(samples: DataFrame, keys: list[str], f: Column, azimuth:
     return g.select(*keys, *out).join(axes.select(*keys, "bias"), keys)
 
 
+def tracing_anisotropy(samples: DataFrame, keys: list[str], strength: Column, epsilon: Column, azimuth: Column, elevation: Column, least_bias: float = 0.75) -> DataFrame:
+    """(keys, n1, n2, n3, epsilon, delta) for graph.directed_edges(): the main axis of the mean tensor of `strength`, the mean of epsilon projected on it, and delta of cracks of that epsilon. Where directions agree too little (bias under least_bias) both parameters are 0."""
+    axes = with_axes(mean_tensor(samples, keys, strength, azimuth, elevation))
+    n = direction(azimuth, elevation)
+    onto = epsilon * F.abs(n[0] * F.col("x3") + n[1] * F.col("y3") + n[2] * F.col("z3"))
+    mean = samples.join(axes.select(*keys, "x3", "y3", "z3", "bias"), keys).groupBy(*keys, "x3", "y3", "z3", "bias").agg(F.avg(onto).alias("_e"))
+    e = F.when(F.col("bias") > least_bias, F.col("_e")).otherwise(0.0)
+    return mean.select(*keys, F.col("x3").alias("n1"), F.col("y3").alias("n2"), F.col("z3").alias("n3"), e.alias("epsilon"), delta_of_epsilon(e).alias("delta"))
+
+
 def prior_moments(spark: SparkSession, strength: tuple[float, float], azimuth: tuple[float, float], elevation: tuple[float, float], n: int = 100_000, sine: bool = False, seed: int = 1) -> DataFrame:
     """directional_moments() of n samples of uniform priors: what the data must move an ensemble away from. sine: the limits of elevation are of its sine."""
     draw = lambda limits, k: limits[0] + (limits[1] - limits[0]) * F.rand(seed + k)

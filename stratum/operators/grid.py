@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratum.functions.geo import EARTH_RADIUS, linear_index, to_cartesian
+from stratum.functions.geo import EARTH_RADIUS, linear_index, regular_index, to_cartesian
 
 
 def axis(name: str, low: float, high: float, n: int):
@@ -71,6 +71,42 @@ def neighbours(grid: DataFrame, nx: int, ny: int, nz: int, reach: int = 1) -> Da
     return out.where(inside).select("node_ix", linear_index(F.col("i"), F.col("j"), F.col("k"), nx, ny).cast("long").alias("neighbour_ix"))
 
 
+def place_links(places: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], r: tuple[float, float, int], reach: int = 1) -> DataFrame:
+    """(node_ix, neighbour_ix), each way round, of places off a lattice (node_ix, lat, lon, r): a place's neighbours are its nearest lattice node and those within reach of that along every axis. Offsets are made within each row: no join. For edges together with neighbours()."""
+    near = nearest_node(places, lat, lon, r)
+    steps = F.sequence(F.lit(-reach), F.lit(reach))
+    out = near.select("node_ix", "i", "j", "k").withColumn("di", F.explode(steps)).withColumn("dj", F.explode(steps)).withColumn("dk", F.explode(steps))
+    out = out.select("node_ix", *((F.col(c) + F.col(f"d{c}")).alias(c) for c in "ijk"))
+    inside = F.col("i").between(1, lat[2]) & F.col("j").between(1, lon[2]) & F.col("k").between(1, r[2])
+    one = out.where(inside).select("node_ix", linear_index(F.col("i"), F.col("j"), F.col("k"), lat[2], lon[2]).cast("long").alias("neighbour_ix"))
+    return one.unionAll(one.select(F.col("neighbour_ix").alias("node_ix"), F.col("node_ix").alias("neighbour_ix")))
+
+
+def nearest_node(places: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], r: tuple[float, float, int]) -> DataFrame:
+    """places with i, j, k of the nearest node of a lattice along each axis (held within it)."""
+    for name, column, (low, high, n) in zip("ijk", ("lat", "lon", "r"), (lat, lon, r), strict=True):
+        step = (high - low) / max(1, n - 1) or 1.0
+        places = places.withColumn(name, F.least(F.lit(n).cast("long"), F.greatest(F.lit(1).cast("long"), regular_index(F.col(column), low, step))))
+    return places
+
+
+def with_places(grid: DataFrame, places: DataFrame, lat: tuple[float, float, int], lon: tuple[float, float, int], r: tuple[float, float, int], values: list[str]) -> DataFrame:
+    """grid (a lattice with columns `values`, velocities say) and places off it (node_ix, lat, lon, r), which take the values of their nearest node: the nodes that edges() of neighbours() and place_links() need."""
+    at = linear_index(F.col("i"), F.col("j"), F.col("k"), lat[2], lon[2]).cast("long")
+    own = nearest_node(places, lat, lon, r).withColumn("_at", at).drop("i", "j", "k")
+    own = own.join(grid.select(F.col("node_ix").alias("_at"), *values), "_at")
+    x, y, z = to_cartesian(F.col("lat"), F.col("lon"), F.col("r"))
+    columns = ["node_ix", "lat", "lon", "r", "x", "y", "z", *values]
+    return grid.select(*columns).unionByName(own.withColumns({"x": x, "y": y, "z": z}).select(*columns))
+
+
+def blocks_of(grid: DataFrame, counts: tuple[int, int, int], side: int) -> DataFrame:
+    """(node, block): nodes of a lattice by blocks of side x side x side places, for graph.relaxed()."""
+    nx, ny = (-(-n // side) for n in counts[:2])
+    at = [F.floor((F.col(c) - 1) / side) for c in "ijk"]
+    return grid.select(F.col("node_ix").alias("node"), (at[0] + nx * (at[1] + ny * at[2])).cast("long").alias("block"))
+
+
 def upscaled(counts: tuple[int, int, int], factor: int) -> tuple[int, int, int]:
     """Counts of a lattice with factor - 1 further nodes between neighbours."""
     return tuple((n - 1) * factor + 1 for n in counts)
@@ -79,9 +115,13 @@ def upscaled(counts: tuple[int, int, int], factor: int) -> tuple[int, int, int]:
 def topography(grid: DataFrame, scatter: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """grid with the elevation of the nearest of scattered points (lat, lon, elevation; radians), compared on the sphere."""
     from stratum.operators.nearest import nearest_cells
+    from stratum.operators.select import fresh
 
     cart = lambda df, la, lo: df.withColumns(dict(zip(("sx", "sy", "sz"), to_cartesian(F.col(la), F.col(lo), F.lit(EARTH_RADIUS)), strict=True)))
-    spots = grid.select(lat, lon).distinct().withColumn("spot", F.xxhash64(lat, lon))
+    spots = grid.select(F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")).alias("spot")).distinct()
+    at = spots.select("spot", F.col("spot.lat").alias("lat"), F.col("spot.lon").alias("lon"))
     nuclei = cart(scatter, "lat", "lon").select("sx", "sy", "sz", F.col("elevation").alias("v"), F.struct("lat", "lon", "elevation").alias("nucleus_ix"))
-    near = nearest_cells(cart(spots, lat, lon).select("spot", "sx", "sy", "sz"), nuclei, [], ["sx", "sy", "sz"], point="spot")
-    return grid.withColumn("spot", F.xxhash64(lat, lon)).join(near.select("spot", F.col("v").alias("elevation")), "spot").drop("spot")
+    near = nearest_cells(cart(at, "lat", "lon").select("spot", "sx", "sy", "sz"), nuclei, [], ["sx", "sy", "sz"], point="spot")
+    la, lo = fresh(grid, "_lat"), fresh(grid, "_lon")
+    found = near.select(F.col("spot.lat").alias(la), F.col("spot.lon").alias(lo), F.col("v").alias("elevation"))
+    return grid.join(found, (F.col(lat) == F.col(la)) & (F.col(lon) == F.col(lo))).drop(la, lo)

@@ -352,6 +352,13 @@ def nearest_cell_sums(points: DataFrame, nuclei: DataFrame, model: list[str], co
     return total.select(F.col("point").alias(point), *(F.col(f"key.`{b}`").alias(b) for b in by), "n", *powers)
 
 
+def cell_neighbours(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, faces): cells that touch, each pair once (a < b), and how many pairs of neighbouring lattice nodes lie on their border. labels: (node_ix, nucleus_ix), the cell of each node of a lattice, by nearest_cells(); pairs: (node_ix, neighbour_ix), each way round. Cells are neighbours as far as the lattice resolves their border."""
+    other = labels.select(F.col("node_ix").alias("neighbour_ix"), F.col("nucleus_ix").alias("b"))
+    touching = pairs.join(labels.select("node_ix", F.col("nucleus_ix").alias("a")), "node_ix").join(other, "neighbour_ix").where("a < b")
+    return touching.groupBy("a", "b").agg(F.count("*").alias("faces"))
+
+
 def nearest_value(queries: DataFrame, axis: DataFrame, query: str, position: str, index: str) -> DataFrame:
     """Each query with the index of the nearest value of a short axis (one array; lowest index of equally near ones), so that queries aren't shuffled or multiplied."""
     row = short(axis).agg(F.collect_list(F.struct(F.col(position).alias("p"), F.col(index).alias("i"))).alias("_axis"))

@@ -110,4 +110,23 @@ def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float,
     Station statics are damped by (sigma / damping)^2. ties: (id, obs_a, obs_b): event statics to be held equal. Null and NaN residuals, and those of no event or station, are left out.
     """
     value = conjugate_gradients(*normal_equations(residuals, sigma, damping, ties), steps, tolerance)
-    return value.select("u.obs_name", "u.kind", "u.id", "value")
+    return centred(value.select("u.obs_name", "u.kind", "u.id", "value"), {k: (v / damping) ** 2 for k, v in sigma.items()}, ties)
+
+
+def centred(value: DataFrame, damped: dict[str, float], ties: DataFrame | None) -> DataFrame:
+    """Statics with the best common shift between events and stations of each set of tied observables: only damping tells it, so weakly that steps on residuals may end before it is found. At the solution the damped mean of a set's stations is 0."""
+    sets = {name: name for name in damped}
+    pairs = ties.select("obs_a", "obs_b").distinct().collect() if ties is not None else ()  # of observables, few
+    for a, b in pairs:
+        if a in sets and b in sets:
+            old, new = sets[a], sets[b]
+            sets = {k: new if v == old else v for k, v in sets.items()}
+    sums = {r["obs_name"]: (r["x"], r["n"]) for r in value.where("kind = 'station'").groupBy("obs_name").agg(F.sum("value").alias("x"), F.count("*").alias("n")).collect()}
+    shift = {}
+    for name in sums:
+        own = [k for k in sums if sets[k] == sets[name]]
+        shift[name] = sum(damped[k] * sums[k][0] for k in own) / sum(damped[k] * sums[k][1] for k in own)
+    if not shift:
+        return value
+    c = F.create_map(*(F.lit(x) for pair in shift.items() for x in pair))[F.col("obs_name")]
+    return value.withColumn("value", F.col("value") + F.when(F.col("kind") == "event", c).otherwise(-c))

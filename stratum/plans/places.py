@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from stratum.functions import anisotropy, geo
 from stratum.operators import directional, grid
-from stratum.plans.registry import query, r6, rounded, table
+from stratum.plans.registry import query, r6, rounded, table, tendencies_sql
 
 LAT, LON = "radians(s_suppkey * 7 % 170 - 85)", "radians(s_suppkey * 13 % 360 - 180)"
 
@@ -96,32 +96,42 @@ def clamped_subscripts(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", geo.clamped_index([6, 9], [F.col("p_size"), F.col("p_partkey") % 12]).alias("ix"))
 
 
-GRID = ((-0.1, 0.1, 5), (0.2, 0.5, 4), (6000.0, 6371.0, 3))
-GRID_SQL = """WITH g AS (SELECT range AS node_ix, (range - 1) % 5 + 1 AS i, (range - 1) // 5 % 4 + 1 AS j, (range - 1) // 20 + 1 AS k FROM range(1, 61)),
-p AS (SELECT *, -0.1 + 0.2 * (i - 1) / 4 AS lat, 0.2 + 0.3 * (j - 1) / 3 AS lon, 6000 + 371.0 * (k - 1) / 2 AS r FROM g)"""
+def limits(spark, sf_dir):
+    """A lattice over the places of all suppliers: five by four nodes, a layer for every ten suppliers and three more."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("lat", "lon", "r") for f in (F.min, F.max)]
+    k = supplier(spark, sf_dir).agg(F.count("*").alias("n"), *ends).first()
+    return tuple((k[f"min_{c}"], k[f"max_{c}"], n) for c, n in zip(("lat", "lon", "r"), (5, 4, 3 + k["n"] // 10), strict=True))
 
 
-@query(GRID_SQL + "SELECT node_ix, i, j, k, round(lat, 6) AS lat, round(lon, 6) AS lon, round(r, 6) AS r, round(r * cos(lat) * cos(lon), 6) AS x, round(r * cos(lat) * sin(lon), 6) AS y, round(r * sin(lat), 6) AS z FROM p")
+GRID_SQL = SUP + """, l AS (SELECT 3 + count(*) // 10 AS nz, min(lat) AS a0, max(lat) AS a1, min(lon) AS b0, max(lon) AS b1, min(r) AS r0, max(r) AS r1 FROM s),
+g AS (SELECT node_ix, (node_ix - 1) % 5 + 1 AS i, (node_ix - 1) // 5 % 4 + 1 AS j, (node_ix - 1) // 20 + 1 AS k FROM (SELECT unnest(range(1, 20 * nz + 1)) AS node_ix FROM l)),
+p AS (SELECT g.*, a0 + (a1 - a0) * (i - 1) / 4 AS lat, b0 + (b1 - b0) * (j - 1) / 3 AS lon, r0 + (r1 - r0) * (k - 1) / (nz - 1) AS r FROM g, l)"""
+
+
+@query(GRID_SQL + "SELECT node_ix, i, j, k, round(lat, 6) + 0.0 AS lat, round(lon, 6) + 0.0 AS lon, round(r, 6) AS r, round(r * cos(lat) * cos(lon), 6) + 0.0 AS x, round(r * cos(lat) * sin(lon), 6) + 0.0 AS y, round(r * sin(lat), 6) + 0.0 AS z FROM p")
 def geo_lattice(spark, sf_dir):
-    return rounded(grid.lattice(spark, *GRID), [])
+    return rounded(grid.lattice(spark, *limits(spark, sf_dir)), [])
 
 
 @query(GRID_SQL + "SELECT a.node_ix, b.node_ix AS neighbour_ix FROM g a, g b WHERE a.node_ix <> b.node_ix AND greatest(abs(a.i - b.i), abs(a.j - b.j), abs(a.k - b.k)) <= 1")
 def lattice_neighbours(spark, sf_dir):
-    return grid.neighbours(grid.lattice(spark, *GRID), 5, 4, 3)
+    lat, lon, r = limits(spark, sf_dir)
+    return grid.neighbours(grid.lattice(spark, lat, lon, r), lat[2], lon[2], r[2])
 
 
-@query(GRID_SQL + ", f AS (SELECT range AS frame, 10 + 20.0 * (range - 1) / 4 AS t FROM range(1, 6)) SELECT node_ix, frame, round(t, 6) AS t FROM g, f")
+@query(GRID_SQL + ", f AS (SELECT range AS frame, low + (high - low) * (range - 1) / 4 AS t FROM range(1, 6), (SELECT min(value) AS low, max(value) AS high FROM events)) SELECT node_ix, frame, round(t, 6) AS t FROM g, f")
 def lattice_frames(spark, sf_dir):
-    return rounded(grid.with_frames(grid.lattice(spark, *GRID).select("node_ix"), grid.frames(spark, 10.0, 30.0, 5)), [])
+    low, high = grid.time_limits(table(spark, sf_dir, "events"), "value")
+    return rounded(grid.with_frames(grid.lattice(spark, *limits(spark, sf_dir)).select("node_ix"), grid.frames(spark, low, high, 5)), [])
 
 
-@query(GRID_SQL + ", q AS (SELECT node_ix, least(3, greatest(1, floor((lat + 0.1) / 0.11 + 0.5) + 1)) AS i, least(2, greatest(1, floor((lon - 0.2) / 0.31 + 0.5) + 1)) AS j, least(3, greatest(1, floor((r - 6000) / 180 + 0.5) + 1)) AS k FROM p) SELECT node_ix, ((k - 1) * 6 + (j - 1) * 3 + i)::BIGINT AS other_ix FROM q")
+@query(GRID_SQL + ", q AS (SELECT node_ix, least(3, greatest(1, floor((lat - a0) / ((a1 - a0) / 1.9) + 0.5) + 1)) AS i, least(2, greatest(1, floor((lon - b0) / ((b1 - b0) / 0.97) + 0.5) + 1)) AS j, least(3, greatest(1, floor((r - r0) / ((r1 - r0) / 2.3) + 0.5) + 1)) AS k FROM p, l) SELECT node_ix, ((k - 1) * 6 + (j - 1) * 3 + i)::BIGINT AS other_ix FROM q")
 def lattice_map(spark, sf_dir):
     from stratum.operators.nearest import grid_map
 
-    g = grid.lattice(spark, *GRID)
-    return grid_map(g, [-0.1, 0.2, 6000.0], [0.11, 0.31, 180.0], [3, 2, 3], ["lat", "lon", "r"]).select("node_ix", "other_ix")
+    ends = limits(spark, sf_dir)
+    steps = [(high - low) / n for (low, high, _), n in zip(ends, (1.9, 0.97, 2.3), strict=True)]
+    return grid_map(grid.lattice(spark, *ends), [e[0] for e in ends], steps, [3, 2, 3], ["lat", "lon", "r"]).select("node_ix", "other_ix")
 
 
 F_, AZ, EL = "l_quantity", "radians(l_partkey % 360)", "radians(l_orderkey % 120 - 60)"
@@ -148,12 +158,35 @@ def directional_bias(spark, sf_dir):
     return t.select("l_suppkey", r6(directional.bias()).alias("bias"))
 
 
-@query()
+def axes_sql(sweeps: int = directional.SWEEPS) -> str:
+    """The tensors and their axes by the same rotations: a row each, lambda and the components of the axes by rising size."""
+    turned = "t22 + t * t12 AS t11, s * t13 + c * t23 AS t12, 0.0 AS t13, t33 AS t22, c * t13 - s * t23 AS t23, t11 - t * t12 AS t33, " + ", ".join(f"s * v1{i} + c * v2{i} AS v1{i}" for i in (1, 2, 3)) + ", " + ", ".join(f"v3{i} AS v2{i}" for i in (1, 2, 3)) + ", " + ", ".join(f"c * v1{i} - s * v2{i} AS v3{i}" for i in (1, 2, 3))
+    start = ", ".join(f"{float(i == j)}::DOUBLE AS v{i}{j}" for i in (1, 2, 3) for j in (1, 2, 3))
+    structs = ", ".join(f"{{'size': abs(t{k}{k}), 'axis': {k}, 'l': t{k}{k}, 'x': v{k}1, 'y': v{k}2, 'z': v{k}3}}" for k in (1, 2, 3))
+    big = "CASE WHEN abs(a.x) >= abs(a.y) AND abs(a.x) >= abs(a.z) THEN a.x WHEN abs(a.y) >= abs(a.z) THEN a.y ELSE a.z END"
+    picked = ", ".join(f"max(CASE WHEN n = {k} THEN {value} END) AS {name}{k}" for k in (1, 2, 3) for name, value in (("lambda", "a.l"), ("x", "sign * a.x"), ("y", "sign * a.y"), ("z", "sign * a.z")))
+    return TENSOR.replace("WITH", "WITH RECURSIVE", 1) + f""",
+j AS (SELECT l_suppkey, 0 AS step, t11, t12, t13, t22, t23, t33, {start} FROM t
+  UNION ALL SELECT l_suppkey, step + 1, {turned} FROM (SELECT *, t * c AS s FROM (SELECT *, 1 / sqrt(1 + t * t) AS c FROM (SELECT *, CASE WHEN t12 = 0 THEN 0 ELSE CASE WHEN tau >= 0 THEN 1 ELSE -1 END / (abs(tau) + sqrt(1 + tau * tau)) END AS t FROM (SELECT *, CASE WHEN t12 <> 0 THEN (t22 - t11) / (2 * t12) END AS tau FROM j WHERE step < {3 * sweeps}))))),
+ax AS (SELECT l_suppkey, a, CASE WHEN {big} < 0 THEN -1 ELSE 1 END AS sign, row_number() OVER (PARTITION BY l_suppkey ORDER BY a.size, a.axis) AS n FROM (SELECT l_suppkey, unnest([{structs}]) AS a FROM j WHERE step = {3 * sweeps})),
+axes AS (SELECT l_suppkey, {picked} FROM ax GROUP BY l_suppkey),
+i AS (SELECT t.*, sqrt(0.5) * sqrt(greatest(0, 3 * (t11 ^ 2 + t22 ^ 2 + t33 ^ 2 + 2 * (t12 ^ 2 + t13 ^ 2 + t23 ^ 2)) - (t11 + t22 + t33) ^ 2)) / sqrt(t11 ^ 2 + t22 ^ 2 + t33 ^ 2 + 2 * (t12 ^ 2 + t13 ^ 2 + t23 ^ 2)) AS bias FROM t),
+dv AS (SELECT n.*, abs(f) AS strength, abs(f * a * lambda3 * x3 + f * b * lambda3 * y3 + f * c * lambda3 * z3) AS dot, sqrt((lambda3 * x3) ^ 2 + (lambda3 * y3) ^ 2 + (lambda3 * z3) ^ 2) AS nv FROM n JOIN axes USING (l_suppkey)),
+dev AS (SELECT *, CASE WHEN nv = 0 THEN 0 ELSE dot / nv END AS prj, CASE WHEN strength * nv = 0 THEN 0 ELSE 0.5 * acos(greatest(-1, least(1, 2 * (dot / (strength * nv)) ^ 2 - 1))) END AS angle FROM dv)"""
+
+
+@query(axes_sql() + " SELECT l_suppkey, " + ", ".join(f"round({c}, 6) AS {c}" for c in (*directional.PARTS, *directional.AXES, "bias")) + " FROM i JOIN axes USING (l_suppkey)")
 def principal_axes(spark, sf_dir):
     return rounded(directional.with_axes(directional.mean_tensor(directions(spark, sf_dir), ["l_suppkey"], *args())), [])
 
 
-@query()
+SD = "sqrt(greatest(0, {q} - {m} * {m}))"
+
+
+@query(axes_sql() + f""",
+g AS (SELECT l_suppkey, avg(strength) AS m1, avg(strength ^ 2) AS q1, avg(prj) AS m2, avg(prj ^ 2) AS q2, sum(strength) AS sw, sum(strength * angle) AS swx, sum(strength * angle * angle) AS swxx, avg(l_discount) AS m3, avg(l_discount ^ 2) AS q3, avg(l_discount * prj) AS m23 FROM dev GROUP BY ALL)
+SELECT l_suppkey, round(m1, 6) AS strength_mean, round({SD.format(q="q1", m="m1")}, 6) AS strength_sd, round(m2, 6) AS prj_mean, round({SD.format(q="q2", m="m2")}, 6) AS prj_sd, round(swx / sw, 6) AS angle_mean, round({SD.format(q="swxx / sw", m="(swx / sw)")}, 6) AS angle_sd,
+  round((m23 - m2 * m3) / ({SD.format(q="q2", m="m2")} * {SD.format(q="q3", m="m3")}), 6) AS pcc_l_discount_prj, round(bias, 6) AS bias FROM g JOIN i USING (l_suppkey)""")
 def directional_moments(spark, sf_dir):
     return rounded(directional.directional_moments(directions(spark, sf_dir), ["l_suppkey"], *args(), field="l_discount"), [])
 
@@ -184,7 +217,16 @@ def tracing_velocities(spark, sf_dir):
     return n.select("l_orderkey", "l_linenumber", "l_partkey", r6(vp).alias("vp"), r6(vs).alias("vs"))
 
 
-@query()
+TENDENCIES = ["mean", "median", "q1", "q2", "mi_lo", "mi_hi", "lhi_a", "lhi_b", "hdi_lo", "hdi_hi", "hval", "mode"]
+
+
+@query(axes_sql() + f""",
+long AS (SELECT l_suppkey, 'strength' AS field, strength AS x, 50.0::DOUBLE AS top FROM dev UNION ALL SELECT l_suppkey, 'prj', prj, 50.0 FROM dev UNION ALL SELECT l_suppkey, 'angle', angle, pi() / 2 FROM dev),
+{tendencies_sql("long", "l_suppkey, field", "0", "any_value(top)").replace("any_value(top)", "top")},
+wr AS (SELECT l_suppkey, angle AS x, sum(strength) OVER (PARTITION BY l_suppkey ORDER BY angle, strength ROWS UNBOUNDED PRECEDING) AS run, sum(strength) OVER (PARTITION BY l_suppkey) AS total FROM dev),
+wm AS (SELECT l_suppkey, min(x) AS weighted_median FROM wr WHERE run >= total / 2 GROUP BY ALL), wa AS (SELECT l_suppkey, sum(angle * strength) / sum(strength) AS weighted_mean FROM dev GROUP BY ALL)
+SELECT l_suppkey, field, {", ".join(f"round({c}, 6) AS {c}" for c in TENDENCIES)}, CASE WHEN field = 'angle' THEN round(weighted_mean, 6) END AS weighted_mean, CASE WHEN field = 'angle' THEN round(weighted_median, 6) END AS weighted_median
+FROM t_all JOIN wm USING (l_suppkey) JOIN wa USING (l_suppkey)""")
 def directional_tendencies(spark, sf_dir):
     limits = {"strength": (0.0, 50.0), "prj": (0.0, 50.0), "angle": (0.0, math.pi / 2)}
     return rounded(directional.directional_tendencies(directions(spark, sf_dir), ["l_suppkey"], *args(), limits), [])
@@ -212,9 +254,9 @@ def radial_neighbours(spark, sf_dir):
     return rays.radial_neighbours(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), ["user_id"], "event_id", "value").select("event_id", "user_id", "below", "above")
 
 
-@query(GRID_SQL + f""", t AS (SELECT radians(s_suppkey * 7 % 13 - 6) AS la, radians(s_suppkey * 11 % 29 + 5) AS lo, s_acctbal AS elevation FROM supplier),
+@query(GRID_SQL + """, t AS (SELECT radians(s_suppkey * 7 % 13 - 6) AS la, radians(s_suppkey * 11 % 29 + 5) AS lo, s_acctbal AS elevation FROM supplier),
 n AS (SELECT node_ix, elevation, (cos(lat) * cos(lon) - cos(la) * cos(lo)) ^ 2 + (cos(lat) * sin(lon) - cos(la) * sin(lo)) ^ 2 + (sin(lat) - sin(la)) ^ 2 AS d, la, lo FROM p, t)
 SELECT node_ix, elevation FROM n QUALIFY row_number() OVER (PARTITION BY node_ix ORDER BY round(d, 12), la, lo, elevation) = 1""")
 def topography_grid(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.expr("radians(s_suppkey * 7 % 13 - 6)").alias("lat"), F.expr("radians(s_suppkey * 11 % 29 + 5)").alias("lon"), F.col("s_acctbal").alias("elevation"))
-    return grid.topography(grid.lattice(spark, *GRID), s).select("node_ix", "elevation")
+    return grid.topography(grid.lattice(spark, *limits(spark, sf_dir)), s).select("node_ix", "elevation")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from stratum.operators import moments, nearest, order_stats
+from stratum.functions import special
+from stratum.operators import counted, moments, nearest, order_stats
 from stratum.operators.select import in_box
-from stratum.plans.registry import query, rounded, table
+from stratum.plans.registry import query, rounded, table, tendencies_sql
 
 KEYS = ["l_suppkey", "l_returnflag"]
 
@@ -163,6 +164,22 @@ def hellinger_prior_function(spark, sf_dir):
     return rounded(sorted_(spark, sf_dir).select(*KEYS, order_stats.hellinger(F.col("s"), cdf, F.lit(5.0)).alias("hval")), KEYS)
 
 
+#: The error function by its series, whose terms x^(2n+1) / gamma(n + 3/2) are all positive.
+ERF = "(CASE WHEN abs({x}) > 5.9 THEN sign({x}) ELSE sign({x}) * exp(-({x}) * ({x})) * list_sum(list_transform(range(0, 110), lambda k: abs({x}) ^ (2 * k + 1) / gamma(k + 1.5))) END)"
+
+
+@query(f"""
+WITH m AS (SELECT l_suppkey, l_returnflag, count(*) AS n, min(l_quantity) AS low, round(2 * (quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25)) / cbrt(count(*)), 9) AS w FROM lineitem GROUP BY ALL),
+c AS (SELECT l_suppkey, l_returnflag, n, low, w, greatest(ceil((l_quantity - low) / w) - 1, 0) AS bin, count(*) AS c FROM lineitem JOIN m USING (l_suppkey, l_returnflag) WHERE w > 0 GROUP BY ALL),
+e AS (SELECT *, (low + (bin + 1) * w - 25) / (15 * sqrt(2.0)) AS b, (low + bin * w - 25) / (15 * sqrt(2.0)) AS a FROM c),
+h AS (SELECT l_suppkey, l_returnflag, sqrt(least(1, greatest(0, 1 - sum(sqrt(c / n * greatest(0, ({ERF.format(x="b")} - {ERF.format(x="a")}) / 2)))))) AS hval FROM e GROUP BY ALL)
+SELECT l_suppkey, l_returnflag, round(hval, 6) AS hval FROM m LEFT JOIN h USING (l_suppkey, l_returnflag)
+""")
+def hellinger_prior_normal(spark, sf_dir):
+    """Distance of each point's samples from a normal prior of mean 25 and deviation 15."""
+    return rounded(sorted_(spark, sf_dir).select(*KEYS, order_stats.hellinger(F.col("s"), lambda x: special.normal_cdf(x, 25.0, 15.0)).alias("hval")), KEYS)
+
+
 @query("""
 WITH r AS (SELECT l_suppkey, l_returnflag, l_quantity / 50 AS u, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_quantity) AS i, count(*) OVER (PARTITION BY l_suppkey, l_returnflag) AS n FROM lineitem)
 SELECT l_suppkey, l_returnflag, round(max(greatest(abs((i - 1) / n - u), abs(i / n - u))), 6) AS ks FROM r GROUP BY ALL
@@ -186,6 +203,20 @@ def posterior_tendencies(spark, sf_dir):
     return order_stats.pivoted(rounded(long, KEYS), "l_suppkey", "l_returnflag", ["A", "N", "R"], STATS)
 
 
+@query("WITH all_ AS (SELECT 1 AS grp, l_extendedprice AS x FROM lineitem)," + tendencies_sql("all_", "grp", "0", "120000") + " SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in STATS) + " FROM t_all")
+def pooled_tendencies(spark, sf_dir):
+    """The samples of all points as one group, which no task holds."""
+    return rounded(counted.tendencies(samples(spark, sf_dir), [], F.col("l_extendedprice"), 0.0, 120_000.0), [])
+
+
+@query("WITH all_ AS (SELECT l_returnflag, l_extendedprice AS x FROM lineitem), r AS (SELECT l_returnflag, x / 120000 AS u, row_number() OVER (PARTITION BY l_returnflag ORDER BY x) AS i, count(*) OVER (PARTITION BY l_returnflag) AS n FROM all_), s AS (SELECT l_returnflag, round(max(greatest(abs((i - 1) / n - u), abs(i / n - u))), 6) AS ks FROM r GROUP BY ALL)," + tendencies_sql("all_", "l_returnflag", "0", "120000") + " SELECT l_returnflag, " + ", ".join(f"round({c}, 6) AS {c}" for c in STATS) + ", ks FROM t_all JOIN s USING (l_returnflag)")
+def field_tendencies(spark, sf_dir):
+    """Each field over all points: groups of a third of all samples, by counts."""
+    s = samples(spark, sf_dir)
+    ks = counted.kolmogorov_uniform(counted.runs(s, ["l_returnflag"], F.col("l_extendedprice")), ["l_returnflag"], 0.0, 120_000.0)
+    return rounded(counted.equal_join(counted.tendencies(s, ["l_returnflag"], F.col("l_extendedprice"), 0.0, 120_000.0), ks, ["l_returnflag"]), [])
+
+
 @query("""
 WITH r AS (SELECT l_suppkey, l_quantity AS x, l_extendedprice AS w, sum(l_extendedprice) OVER (PARTITION BY l_suppkey ORDER BY l_quantity, l_extendedprice ROWS UNBOUNDED PRECEDING) AS run, sum(l_extendedprice) OVER (PARTITION BY l_suppkey) AS total FROM lineitem),
 a AS (SELECT l_suppkey, min(x) AS weighted_median FROM r WHERE run >= total / 2 GROUP BY ALL), b AS (SELECT l_suppkey, sum(l_quantity * l_extendedprice) / sum(l_extendedprice) AS weighted_mean FROM lineitem GROUP BY ALL)

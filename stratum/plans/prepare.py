@@ -212,6 +212,33 @@ def resample_polyline(spark, sf_dir):
     return rounded(interpolate.resampled(polylines(spark, sf_dir), "user_id", "event_id", ["x", "y"], 37.0), [], 5)
 
 
+SPLINE = f"""WITH RECURSIVE p AS ({POLY}), d AS (SELECT *, sqrt((x - lag(x) OVER w) ^ 2 + (y - lag(y) OVER w) ^ 2) AS step FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+a AS (SELECT *, sum(coalesce(step, 0)) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS along FROM d),
+k AS (SELECT user_id, along, x, y, row_number() OVER (PARTITION BY user_id ORDER BY along) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM a WHERE step IS NULL OR step > 0),
+g AS (SELECT *, along - lag(along) OVER w AS h0, lead(along) OVER w - along AS h1, (x - lag(x) OVER w) / (along - lag(along) OVER w) AS x0, (lead(x) OVER w - x) / (lead(along) OVER w - along) AS x1, (y - lag(y) OVER w) / (along - lag(along) OVER w) AS y0, (lead(y) OVER w - y) / (lead(along) OVER w - along) AS y1 FROM k WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+e AS (SELECT *, CASE WHEN i = 1 THEN 0 WHEN i = n - 2 THEN h0 - h1 * h1 / h0 ELSE h0 END AS below, CASE WHEN i = n - 2 THEN 0 WHEN i = 1 THEN h1 - h0 * h0 / h1 ELSE h1 END AS above,
+  2 * (h0 + h1) + CASE WHEN i = 1 THEN h0 + h0 * h0 / h1 ELSE 0 END + CASE WHEN i = n - 2 THEN h1 + h1 * h1 / h0 ELSE 0 END AS diag, 6 * (x1 - x0) AS rx, 6 * (y1 - y0) AS ry FROM g WHERE n >= 4 AND i BETWEEN 1 AND n - 2),
+f AS (SELECT user_id, i, n, above / diag AS u, rx / diag AS dx, ry / diag AS dy FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.n, above / (diag - below * u), (rx - below * dx) / (diag - below * u), (ry - below * dy) / (diag - below * u) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1),
+b AS (SELECT user_id, i, n, dx AS mx, dy AS my FROM f WHERE i = n - 2 UNION ALL SELECT f.user_id, f.i, f.n, dx - u * mx, dy - u * my FROM b JOIN f ON f.user_id = b.user_id AND f.i = b.i - 1),
+m AS (SELECT user_id, i, mx, my FROM b
+  UNION ALL SELECT g.user_id, 0, s.mx + (s.mx - t.mx) * h0 / h1, s.my + (s.my - t.my) * h0 / h1 FROM g JOIN b s ON s.user_id = g.user_id AND s.i = 1 JOIN b t ON t.user_id = g.user_id AND t.i = 2 WHERE g.i = 1 AND g.n >= 4
+  UNION ALL SELECT g.user_id, g.n - 1, s.mx + (s.mx - t.mx) * h1 / h0, s.my + (s.my - t.my) * h1 / h0 FROM g JOIN b s ON s.user_id = g.user_id AND s.i = g.n - 2 JOIN b t ON t.user_id = g.user_id AND t.i = g.n - 3 WHERE g.i = g.n - 2 AND g.n >= 4
+  UNION ALL SELECT user_id, unnest([0, 1, 2]), 2 * (x1 - x0) / (h0 + h1), 2 * (y1 - y0) / (h0 + h1) FROM g WHERE n = 3 AND i = 1
+  UNION ALL SELECT user_id, i, 0.0, 0.0 FROM g WHERE n < 3),
+s AS (SELECT user_id, i, along, x, y, mx, my, lead(along) OVER w AS nxt, lead(x) OVER w AS xb, lead(y) OVER w AS yb, lead(mx) OVER w AS mxb, lead(my) OVER w AS myb, max(along) OVER (PARTITION BY user_id) AS total FROM k JOIN m USING (user_id, i) WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+q AS (SELECT user_id, n, total, unnest(range(0, n + 1))::INT AS seq FROM (SELECT DISTINCT user_id, total, floor(total / 37.0)::INT AS n FROM s) WHERE n > 0),
+j AS (SELECT q.user_id, q.seq, s.* EXCLUDE (user_id), nxt - along AS h, q.seq * (q.total / q.n) - along AS u FROM q JOIN s ON s.user_id = q.user_id AND nxt > along AND q.seq * (q.total / q.n) >= along - 1e-9 AND (q.seq * (q.total / q.n) < nxt - 1e-9 OR nxt >= s.total))
+SELECT user_id, seq, round((mx * (h - u) ^ 3 + mxb * u ^ 3) / (6 * h) + (x / h - mx * h / 6) * (h - u) + (xb / h - mxb * h / 6) * u, 5) AS x, round((my * (h - u) ^ 3 + myb * u ^ 3) / (6 * h) + (y / h - my * h / 6) * (h - u) + (yb / h - myb * h / 6) * u, 5) AS y
+FROM j QUALIFY row_number() OVER (PARTITION BY user_id, seq ORDER BY along DESC) = 1
+UNION ALL SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT, round(x, 5), round(y, 5) FROM (SELECT *, max(along) OVER (PARTITION BY user_id) AS total FROM a) WHERE total < 37"""
+
+
+@query(SPLINE)
+def spline_polyline(spark, sf_dir):
+    return rounded(interpolate.splined(polylines(spark, sf_dir), "user_id", "event_id", ["x", "y"], 37.0), [], 5)
+
+
 @query("""WITH p AS (SELECT user_id AS ray_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id)::INT AS node_ix, value, event_id / 10.0::DOUBLE AS t FROM events),
 s AS (SELECT ray_id, coalesce(min(node_ix) FILTER (value > 300), max(node_ix)) AS start FROM p GROUP BY ALL), k AS (SELECT p.* FROM p JOIN s USING (ray_id) WHERE node_ix >= start)
 SELECT ray_id, node_ix, round(max(t) OVER (PARTITION BY ray_id) - min(t) OVER (PARTITION BY ray_id), 6) AS elapsed FROM k""")

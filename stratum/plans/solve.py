@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from stratum.operators import forward, graph, grid, index, inversion, locate, residuals, sampler, statics
+from stratum.operators import forward, graph, grid, index, inversion, locate, nearest, residuals, sampler, statics, tempering
+from stratum.operators.select import positioned
 from stratum.plans.registry import query, r6, rounded, table
 from stratum.sources import config
 
@@ -101,16 +102,33 @@ def event_statics(spark, sf_dir):
     return rounded(statics.event_statics(r), [])
 
 
-@query()
+#: Conjugate gradients with the same preconditioner, by recursion; a fixed number of steps, far more than the solver needs.
+STATICS = """WITH RECURSIVE g(obs, sigma) AS (VALUES ('A', 0.5), ('N', 0.4), ('R', 0.3)),
+p AS (SELECT obs, sigma, l_suppkey AS e, l_partkey AS s, sum(1 / sigma ^ 2) AS w, sum((l_quantity / 25 - 1) / sigma ^ 2) AS wr FROM lineitem JOIN g ON obs = l_returnflag GROUP BY ALL),
+a AS (SELECT obs, 'event' AS kind, e AS id, sum(w) AS plain, sum(wr) AS b FROM p GROUP BY ALL UNION ALL SELECT obs, 'station', s, sum(w) + any_value((sigma / 0.1) ^ 2), sum(wr) FROM p GROUP BY obs, s),
+tie AS (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey IN (SELECT e FROM p WHERE obs = 'A') AND s_suppkey IN (SELECT e FROM p WHERE obs = 'N')),
+d AS (SELECT obs, kind, id, kind || obs || id AS u, CASE WHEN kind = 'event' AND obs = 'N' AND id IN (FROM tie) THEN 'eventA' || id ELSE kind || obs || id END AS grp, CASE WHEN kind = 'event' AND obs <> 'R' AND id IN (FROM tie) THEN 1e6 ELSE 0 END::DOUBLE AS tied, plain, b FROM a),
+o AS (SELECT 'event' || obs || e AS u, 'station' || obs || s AS t, w FROM p UNION ALL SELECT 'station' || obs || s, 'event' || obs || e, w FROM p UNION ALL SELECT 'eventA' || id, 'eventN' || id, -1e6 FROM tie UNION ALL SELECT 'eventN' || id, 'eventA' || id, -1e6 FROM tie),
+c AS (SELECT 0 AS step, u, grp, plain, tied, 0.0::DOUBLE AS x, b AS r, z, z AS p FROM (SELECT *, cm + CASE WHEN u = grp THEN 0 ELSE b / (plain + tied) END AS z FROM (SELECT *, sum(b) OVER q / sum(plain) OVER q AS cm FROM d WINDOW q AS (PARTITION BY grp)))
+  UNION ALL SELECT step + 1, u, grp, plain, tied, x2, r2, z2, z2 + p * (sum(r2 * z2) OVER () / rz) FROM (SELECT *, cm + CASE WHEN u = grp THEN 0 ELSE r2 / (plain + tied) END AS z2 FROM (SELECT *, sum(r2) OVER q / sum(plain) OVER q AS cm
+    FROM (SELECT *, x + alpha * p AS x2, r - alpha * ap AS r2 FROM (SELECT *, rz / sum(p * ap) OVER () AS alpha FROM (SELECT c.*, sum(r * z) OVER () AS rz, (plain + tied) * p + coalesce(sum, 0) AS ap FROM c LEFT JOIN (SELECT o.u, sum(o.w * c.p) AS sum FROM o JOIN c ON c.u = o.t GROUP BY o.u) m USING (u) WHERE step < 40))) WINDOW q AS (PARTITION BY grp))))
+SELECT obs AS obs_name, kind, id, round(x, 6) AS value FROM c JOIN d USING (u) WHERE step = 40"""
+
+
+@query(STATICS)
 def joint_statics(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("obs_name"), (F.col("l_suppkey") % 40).alias("event_id"), (F.col("l_partkey") % 25).alias("station_id"), (F.col("l_quantity") / 25 - 1).alias("r"))
-    ties = spark.createDataFrame([(i, "A", "N") for i in range(40)], "id long, obs_a string, obs_b string")
+    """Every supplier is an event and every part a station; the events of two observables are held equal."""
+    r = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("obs_name"), F.col("l_suppkey").alias("event_id"), F.col("l_partkey").alias("station_id"), (F.col("l_quantity") / 25 - 1).alias("r"))
+    ties = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("A").alias("obs_a"), F.lit("N").alias("obs_b"))
     return rounded(statics.joint_statics(r, {"A": 0.5, "N": 0.4, "R": 0.3}, 0.1, ties), [])
 
 
-@query("SELECT i, round(CASE WHEN i <= 2 THEN 1 ELSE 10 ^ (log10(20) * (i - 2) / 6) END, 6) AS temperature FROM (SELECT range AS i FROM range(1, 9))")
+@query("WITH c AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS i, count(*) OVER () AS n FROM customer) SELECT c_custkey, round(CASE WHEN i <= 20 THEN 1 ELSE 20 ^ ((i - 20) / (n - 20)) END, 6) AS temperature FROM c")
 def tempering_ladder(spark, sf_dir):
-    return rounded(spark.createDataFrame(list(enumerate(sampler.ladder(8, 2, 20.0), 1)), "i long, temperature double"), [])
+    """A chain for each customer, twenty of them cold."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    t = tempering.temperature(F.col("position"), c.count(), 20, 20.0)
+    return rounded(positioned(c, ["c_custkey"]).select("c_custkey", t.alias("temperature")), [])
 
 
 @query("""WITH c AS (SELECT event_id, value AS m1, lead(value) OVER (ORDER BY event_id) AS m2, 1 + event_id % 3 AS t1, 1 + event_id % 4 AS t2, (event_id % 10 + 1) / 12 AS u FROM events)
@@ -121,69 +139,172 @@ def tempering_swap_all(spark, sf_dir):
     return c.select("event_id", sampler.swap_accepted(F.col("value"), F.col("m2"), t1, t2, F.log(u)).alias("swapped"))
 
 
-SMALL = ((-0.02, 0.02, 4), (0.0, 0.03, 3), (6300.0, 6371.0, 3))
+def part_lattice(spark, sf_dir):
+    """A lattice with a node for each part: ten by ten places, as many layers as there are hundreds of parts. Its limits are those of suppliers and part sizes, its velocities come from part sizes."""
+    p = table(spark, sf_dir, "part")
+    k = p.agg(F.count("*").alias("n"), F.max("p_size").alias("deep"), F.min("p_size").alias("shallow")).first()
+    s = table(spark, sf_dir, "supplier").agg((F.count("*") / 1000).alias("top"), (F.max("s_nationkey") / 100).alias("side")).first()
+    spec = (0.0, s["top"], 10), (0.0, s["side"], 10), (6371.0 - k["deep"], 6371.0 - k["shallow"], k["n"] // 100)
+    own = p.select((F.col("p_partkey") + 1).alias("node_ix"), (5 + F.col("p_size") / 25).alias("v"), "p_size")
+    return grid.lattice(spark, *spec).join(own, "node_ix"), spec
 
 
-def small_grid(spark):
-    return grid.lattice(spark, *SMALL).withColumn("v", 5 + F.col("node_ix") % 4)
+def nation_sources(spark, sf_dir, n):
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("source"), (1 + F.col("n_nationkey") * 37 % n).cast("long").alias("node"))
 
 
-TRAVEL = """WITH RECURSIVE g AS (SELECT range AS node_ix, (range - 1) % 4 + 1 AS i, (range - 1) // 4 % 3 + 1 AS j, (range - 1) // 12 + 1 AS k, (5 + range % 4)::DOUBLE AS v FROM range(1, 37)),
-q AS (SELECT *, -0.02 + 0.04 * (i - 1) / 3 AS lat, 0.03 * (j - 1) / 2 AS lon, 6300 + 71.0 * (k - 1) / 2 AS r FROM g), p AS (SELECT *, r * cos(lat) * cos(lon) AS x, r * cos(lat) * sin(lon) AS y, r * sin(lat) AS z FROM q),
-e AS (SELECT a.node_ix AS a, b.node_ix AS b, sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2) * 0.5 * (1 / a.v + 1 / b.v) AS w FROM p a, p b WHERE a.node_ix <> b.node_ix AND greatest(abs(a.i - b.i), abs(a.j - b.j), abs(a.k - b.k)) <= 1),
-t AS (SELECT 0 AS n, 1::BIGINT AS node, 0.0::DOUBLE AS time UNION ALL SELECT n + 1, node, min(time) FROM (SELECT t.n, e.b AS node, t.time + e.w AS time FROM t JOIN e ON e.a = t.node UNION ALL SELECT n, node, time FROM t) WHERE n < 6 GROUP BY n, node)
-"""
+LATTICE = """WITH RECURSIVE dims AS (SELECT count(*) AS n, count(*) // 100 AS nz, max(p_size)::DOUBLE AS deep, min(p_size)::DOUBLE AS shallow FROM part), sup AS (SELECT count(*) / 1000 AS top, max(s_nationkey) / 100 AS side FROM supplier),
+g AS (SELECT p_partkey + 1 AS node_ix, p_partkey % 10 + 1 AS i, p_partkey // 10 % 10 + 1 AS j, p_partkey // 100 + 1 AS k, 5 + p_size / 25 AS v, p_size FROM part),
+q AS (SELECT g.*, top * (i - 1) / 9 AS lat, side * (j - 1) / 9 AS lon, 6371 - deep + (deep - shallow) * (k - 1) / greatest(1, nz - 1) AS r FROM g, dims, sup),
+p AS (SELECT *, r * cos(lat) * cos(lon) AS x, r * cos(lat) * sin(lon) AS y, r * sin(lat) AS z FROM q),
+pairs AS (SELECT a.node_ix AS a, b.node_ix AS b FROM g a JOIN g b ON b.k BETWEEN a.k - 1 AND a.k + 1 AND b.i BETWEEN a.i - 1 AND a.i + 1 AND b.j BETWEEN a.j - 1 AND a.j + 1 AND a.node_ix <> b.node_ix)"""
+LENGTH = "sqrt((a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 + (a.z - b.z) ^ 2)"
+SLOW, FAST = f"{LENGTH} * 0.5 * (1 / a.v + 1 / b.v)", f"2 * {LENGTH} / (a.v + b.v)"
+SOURCES = "SELECT n_nationkey::BIGINT AS source, 1 + n_nationkey * 37 % n AS node FROM nation, dims"
 
 
-@query(TRAVEL + "SELECT node, round(min(time), 6) AS time FROM t GROUP BY node")
+def travel_sql(weight: str = SLOW, sources: str = SOURCES, more: str = "") -> str:
+    """Table best (source, node, time). Rounds: two for every layer and place, more than any path here has nodes."""
+    return LATTICE + f""",{more}
+e AS MATERIALIZED (SELECT pairs.a, pairs.b, {weight} AS w FROM pairs JOIN {"p" if not more else "nodes"} a ON a.node_ix = pairs.a JOIN {"p" if not more else "nodes"} b ON b.node_ix = pairs.b),
+t AS (SELECT 0 AS n, source, node, 0.0::DOUBLE AS time FROM ({sources})
+  UNION ALL SELECT n + 1, source, node, min(time) FROM (SELECT t.n, source, e.b AS node, time + e.w AS time FROM t JOIN e ON e.a = t.node UNION ALL SELECT n, source, node, time FROM t) WHERE n < (SELECT 40 + 2 * nz FROM dims) GROUP BY n, source, node),
+best AS MATERIALIZED (SELECT source, node, min(time) AS time FROM t GROUP BY source, node)"""
+
+
+@query(travel_sql() + " SELECT source, node, round(time, 6) AS time FROM best")
 def shortest_time_grid(spark, sf_dir):
-    g = small_grid(spark)
-    e = graph.edges(g, grid.neighbours(g, 4, 3, 3))
-    source = spark.createDataFrame([(1, 1)], "source long, node long")
-    return rounded(graph.shortest_times(e, source, rounds=6).select("node", "time"), [])
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    counts = lat[2], lon[2], r[2]
+    e = graph.edges(g, grid.neighbours(g, *counts))
+    return rounded(graph.relaxed(e, grid.blocks_of(g, counts, 5), nation_sources(spark, sf_dir, counts[0] * counts[1] * counts[2])), [])
+
 
+@query(travel_sql(FAST) + " SELECT source, node, round(time, 6) AS time FROM best")
+def shortest_time_mean_velocity(spark, sf_dir):
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    counts = lat[2], lon[2], r[2]
+    e = graph.edges(g, grid.neighbours(g, *counts), slowness_mean=False)
+    return rounded(graph.relaxed(e, grid.blocks_of(g, counts, 5), nation_sources(spark, sf_dir, counts[0] * counts[1] * counts[2])), [])
 
-@query(TRAVEL + "SELECT node, round(min(time), 6) AS time FROM t GROUP BY node")
+
+BACK = """,
+back AS MATERIALIZED (SELECT x.source, e.b AS node, arg_min(e.a, (round(x.time + e.w, 9), e.a)) AS prev FROM best x JOIN e ON e.a = x.node JOIN best y ON y.source = x.source AND y.node = e.b WHERE y.time > 0 GROUP BY ALL)"""
+NODE_SOURCES = "SELECT DISTINCT 1 + n_nationkey * 37 % n AS source, 1 + n_nationkey * 37 % n AS node FROM nation, dims"
+
+
+def nation_trees(spark, sf_dir):
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    n = lat[2] * lon[2] * r[2]
+    return graph.trees(g, nation_sources(spark, sf_dir, n).select(F.col("node").alias("source")).distinct(), (lat[2], lon[2], r[2]), {"P": "v"}), n
+
+
+@query(travel_sql(sources=NODE_SOURCES) + BACK + " SELECT best.source, best.node AS node_ix, coalesce(prev, 0) AS prev, round(time, 6) AS time FROM best LEFT JOIN back USING (source, node)")
 def shortest_time_trees(spark, sf_dir):
-    g = small_grid(spark)
-    source = spark.createDataFrame([(1,)], "source long")
-    t = graph.trees(g, source, (4, 3, 3), {"P": "v"})
-    return rounded(t.select(F.col("node_ix").alias("node"), "time"), [])
+    return rounded(nation_trees(spark, sf_dir)[0].drop("phase"), [])
 
 
-@query(TRAVEL + """, b AS (SELECT node, min(time) AS time FROM t GROUP BY node),
-back AS (SELECT e.b AS node, arg_min(e.a, (round(b.time + e.w, 9), e.a)) AS prev FROM b JOIN e ON e.a = b.node WHERE e.b <> 1 GROUP BY e.b),
-w AS (SELECT x AS receiver, 0::BIGINT AS seq, x AS node_ix FROM (SELECT s_suppkey % 36 + 1 AS x FROM supplier GROUP BY ALL) UNION ALL SELECT w.receiver, w.seq + 1, back.prev FROM w JOIN back ON back.node = w.node_ix)
-SELECT 1::BIGINT AS source, 'P' AS phase, receiver, seq, node_ix FROM w""")
-def ray_paths_of_suppliers(spark, sf_dir):
-    """Paths from node 1 of the small lattice to the node that each supplier's key names. The SQL takes the lowest node of equal times; on this lattice the trees do too."""
-    g = small_grid(spark)
-    receivers = table(spark, sf_dir, "supplier").select(F.lit(1).cast("long").alias("source"), F.lit("P").alias("phase"), (F.col("s_suppkey") % 36 + 1).cast("long").alias("receiver")).distinct()
-    return graph.paths(graph.trees(g, spark.createDataFrame([(1,)], "source long"), (4, 3, 3), {"P": "v"}), receivers)
+def paths_sql(receivers: str) -> str:
+    return travel_sql(sources=NODE_SOURCES) + BACK + f""",
+w AS (SELECT source, receiver, 0::BIGINT AS seq, receiver AS node_ix FROM ({receivers}) UNION ALL SELECT w.source, w.receiver, w.seq + 1, back.prev FROM w JOIN back ON back.source = w.source AND back.node = w.node_ix)
+SELECT source, 'P' AS phase, receiver, seq, node_ix FROM w"""
 
 
-@query()
-def ray_paths(spark, sf_dir):
-    g = small_grid(spark)
-    t = graph.trees(g, spark.createDataFrame([(1,), (36,)], "source long"), (4, 3, 3), {"P": "v"})
-    receivers = spark.createDataFrame([(s, "P", r) for s in (1, 36) for r in (12, 20, 33)], "source long, phase string, receiver long")
-    return graph.paths(t, receivers)
+@query(paths_sql("SELECT DISTINCT 1 + s_nationkey * 37 % n AS source, 1 + s_suppkey * 13 % n AS receiver FROM supplier, dims"))
+def ray_paths_of_suppliers(spark, sf_dir):
+    """Paths from each supplier's node to the node of its nation."""
+    tree, n = nation_trees(spark, sf_dir)
+    own = table(spark, sf_dir, "supplier").select((1 + F.col("s_nationkey") * 37 % n).cast("long").alias("source"), F.lit("P").alias("phase"), (1 + F.col("s_suppkey") * 13 % n).cast("long").alias("receiver")).distinct()
+    return graph.paths(tree, own)
 
 
-CARVED = TRAVEL.split("e AS (")[0].rstrip().removesuffix(",") + """,
-gn AS (SELECT node_ix, sin(0.0) * sin(lat) + cos(0.0) * cos(lat) * cos(lon - 0.015) AS c, cos(lat) * sin(lon - 0.015) AS u, cos(0.0) * sin(lat) - sin(0.0) * cos(lat) * cos(lon - 0.015) AS v FROM q),
+@query(paths_sql("SELECT DISTINCT 1 + c_nationkey * 37 % n AS source, 1 + c_custkey * 29 % n AS receiver FROM customer, dims"))
+def ray_paths(spark, sf_dir):
+    """Paths from each customer's node to the node of its nation, traced in one call."""
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    n = lat[2] * lon[2] * r[2]
+    own = table(spark, sf_dir, "customer").select((1 + F.col("c_nationkey") * 37 % n).cast("long").alias("source"), F.lit("P").alias("phase"), (1 + F.col("c_custkey") * 29 % n).cast("long").alias("receiver")).distinct()
+    return graph.traced(g, own, (lat[2], lon[2], r[2]), {"P": "v"}, side=5)
+
+
+PLACES = """
+s AS (SELECT n + 1 + s_suppkey AS node_ix, top * (s_suppkey * 7 % 100 / 103) AS lat, side * (s_suppkey * 3 % 100 / 103) AS lon, 6371 - deep + (deep - shallow) * (s_suppkey * 11 % 100 / 103) AS r FROM supplier, dims, sup
+  UNION ALL SELECT n + 1000000 + r_regionkey, top * (r_regionkey + 1) / 7, side * (r_regionkey + 1) / 8, 6371 - deep / (r_regionkey + 1) FROM region, dims, sup),
+near AS (SELECT s.*, greatest(1, least(10, floor(lat / (top / 9) + 0.5) + 1)) AS i, greatest(1, least(10, floor(lon / (side / 9) + 0.5) + 1)) AS j, greatest(1, least(nz, floor((r - (6371 - deep)) / ((deep - shallow) / greatest(1, nz - 1)) + 0.5) + 1)) AS k FROM s, dims, sup),
+links AS (SELECT near.node_ix AS a, g.node_ix AS b FROM near JOIN g ON abs(g.i - near.i) <= 1 AND abs(g.j - near.j) <= 1 AND abs(g.k - near.k) <= 1),
+nodes AS (SELECT node_ix, x, y, z, v FROM p UNION ALL SELECT near.node_ix, near.r * cos(near.lat) * cos(near.lon), near.r * cos(near.lat) * sin(near.lon), near.r * sin(near.lat), g.v FROM near JOIN g ON g.i = near.i AND g.j = near.j AND g.k = near.k),
+lattice_pairs AS (SELECT a, b FROM pairs UNION ALL SELECT a, b FROM links UNION ALL SELECT b, a FROM links),"""
+
+
+@query(travel_sql(sources="SELECT r_regionkey::BIGINT AS source, n + 1000000 + r_regionkey AS node FROM region, dims", more=PLACES).replace("FROM pairs JOIN nodes a ON a.node_ix = pairs.a JOIN nodes b ON b.node_ix = pairs.b", "FROM lattice_pairs pairs JOIN nodes a ON a.node_ix = pairs.a JOIN nodes b ON b.node_ix = pairs.b") + " SELECT source, node - n - 1 AS s_suppkey, round(time, 6) AS time FROM best, dims WHERE node BETWEEN n + 1 AND n + 999999")
+def place_times(spark, sf_dir):
+    """Times from each region's own place to each supplier's own place, both off the lattice."""
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    counts = lat[2], lon[2], r[2]
+    n = counts[0] * counts[1] * counts[2]
+    share = lambda k: F.col("s_suppkey") * k % 100 / 103
+    s = table(spark, sf_dir, "supplier").select((n + 1 + F.col("s_suppkey")).cast("long").alias("node_ix"), (lat[1] * share(7)).alias("lat"), (lon[1] * share(3)).alias("lon"), (r[0] + (r[1] - r[0]) * share(11)).alias("r"))
+    region = F.col("r_regionkey") + 1
+    own = table(spark, sf_dir, "region").select((n + 1_000_000 + F.col("r_regionkey")).cast("long").alias("node_ix"), (lat[1] * region / 7).alias("lat"), (lon[1] * region / 8).alias("lon"), (6371 - (6371 - r[0]) / region).alias("r"))
+    places = s.unionByName(own)
+    whole = grid.with_places(g, places, lat, lon, r, ["v"])
+    e = graph.edges(whole, grid.neighbours(g, *counts).unionByName(grid.place_links(places, lat, lon, r)))
+    blocks = grid.blocks_of(g, counts, 5).unionByName(grid.blocks_of(grid.nearest_node(places, lat, lon, r), counts, 5))
+    sources = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("source"), (n + 1_000_000 + F.col("r_regionkey")).cast("long").alias("node"))
+    times = graph.relaxed(e, blocks, sources).where(F.col("node").between(n + 1, n + 999_999))
+    return rounded(times.select("source", (F.col("node") - n - 1).alias("s_suppkey"), "time"), [])
+
+
+SPEED = "v{e} / sqrt(1 + 16 * e{e} / 15 + 4 * d{e} / 15) * sqrt(1 + 2 * d{e} * (1 - c{e}) * c{e} + 2 * e{e} * (1 - c{e}) ^ 2)"
+
+
+@query(LATTICE + f""", m AS (SELECT *, cos(node_ix / 10) AS n1, sin(node_ix / 10) AS n2, p_size % 7 / 50 AS eps, p_size % 3 / 60 AS dlt FROM p),
+c AS (SELECT pairs.a, pairs.b, {LENGTH} AS d, a.v AS va, a.eps AS ea, a.dlt AS da, b.v AS vb, b.eps AS eb, b.dlt AS db, (((b.x - a.x) * a.n1 + (b.y - a.y) * a.n2) / {LENGTH}) ^ 2 AS ca, (((b.x - a.x) * b.n1 + (b.y - a.y) * b.n2) / {LENGTH}) ^ 2 AS cb FROM pairs JOIN m a ON a.node_ix = pairs.a JOIN m b ON b.node_ix = pairs.b)
+SELECT a, b, round(d * 0.5 * (1 / ({SPEED.format(e="a")}) + 1 / ({SPEED.format(e="b")})), 6) AS time FROM c""")
+def directed_edge_times(spark, sf_dir):
+    """Times between neighbours where every node has a symmetry axis of its own."""
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    at = F.col("node_ix") / 10
+    m = g.withColumns({"n1": F.cos(at), "n2": F.sin(at), "n3": F.lit(0.0), "epsilon": F.col("p_size") % 7 / 50, "delta": F.col("p_size") % 3 / 60})
+    return rounded(graph.directed_edges(m, grid.neighbours(g, lat[2], lon[2], r[2])), [])
+
+
+CARVED = LATTICE + """,
+gn AS (SELECT node_ix, sin(0.0) * sin(lat) + cos(0.0) * cos(lat) * cos(lon - 0.01) AS c, cos(lat) * sin(lon - 0.01) AS u, cos(0.0) * sin(lat) - sin(0.0) * cos(lat) * cos(lon - 0.01) AS v FROM q),
 nodes AS (SELECT node_ix, 6371 * u / c AS x, 6371 * v / c AS y FROM gn),
-places AS (SELECT 6371 * cos(lat) * sin(lon - 0.015) / (cos(lat) * cos(lon - 0.015)) AS x, 6371 * sin(lat) / (cos(lat) * cos(lon - 0.015)) AS y FROM (VALUES (-0.01::DOUBLE, 0.01::DOUBLE), (0.012, 0.004), (0.0, 0.02)) t(lat, lon)),
+spots AS (SELECT DISTINCT top * (s_suppkey % 7 + 1) / 10 AS lat, side * (s_suppkey % 5 + 2) / 11 AS lon FROM supplier, sup),
+places AS (SELECT 6371 * cos(lat) * sin(lon - 0.01) / (cos(lat) * cos(lon - 0.01)) AS x, 6371 * sin(lat) / (cos(lat) * cos(lon - 0.01)) AS y FROM spots),
 ring AS (SELECT row_number() OVER () AS n, x + 3 * cos(pi() * a / 4) AS x, y + 3 * sin(pi() * a / 4) AS y FROM places, (SELECT range AS a FROM range(8))),
-triangles AS (SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS "by", c.x AS cx, c.y AS cy FROM ring a, ring b, ring c WHERE a.n <> b.n AND b.n <> c.n AND a.n <> c.n)
-SELECT node_ix, bool_or((bx - ax) * (y - ay) - ("by" - ay) * (x - ax) >= 0 AND (cx - bx) * (y - "by") - (cy - "by") * (x - bx) >= 0 AND (ax - cx) * (y - cy) - (ay - cy) * (x - cx) >= 0) AS inside
-FROM nodes, triangles GROUP BY ALL"""
+sides AS (SELECT a.n, b.n AS m, any_value(a.x) AS ax, any_value(a.y) AS ay, any_value(b.x) AS bx, any_value(b.y) AS by_ FROM ring a, ring b, ring c WHERE a.n <> b.n AND c.n <> a.n AND c.n <> b.n GROUP BY a.n, b.n HAVING min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) >= -1e-9)
+SELECT node_ix, bool_and((bx - ax) * (y - ay) - (by_ - ay) * (x - ax) >= 0) AS inside FROM nodes, sides GROUP BY node_ix"""
 
 
 @query(CARVED)
 def carved_grid(spark, sf_dir):
-    places = spark.createDataFrame([(-0.01, 0.01), (0.012, 0.004), (0.0, 0.02)], "lat double, lon double")
-    return graph.carved(small_grid(spark), places, 0.0, 0.015).select("node_ix", "inside")
+    """Nodes in the hull of circles about suppliers."""
+    g, (lat, lon, _) = part_lattice(spark, sf_dir)
+    key = F.col("s_suppkey")
+    places = table(spark, sf_dir, "supplier").select((lat[1] * (key % 7 + 1) / 10).alias("lat"), (lon[1] * (key % 5 + 2) / 11).alias("lon"))
+    return graph.carved(g, places, 0.0, 0.01).select("node_ix", "inside")
+
+
+CELL_SIDES = """WITH v AS (SELECT vec_id, embedding[1]::DOUBLE AS c1, embedding[2]::DOUBLE AS c2, embedding[3]::DOUBLE AS c3 FROM embeddings),
+l AS (SELECT 8 + count(*) // 250 AS n, min(c1) AS a0, max(c1) AS a1, min(c2) AS b0, max(c2) AS b1, min(c3) AS d0, max(c3) AS d1 FROM v),
+g AS (SELECT i, j, k, a0 + (a1 - a0) * (i - 1) / (n - 1) AS c1, b0 + (b1 - b0) * (j - 1) / (n - 1) AS c2, d0 + (d1 - d0) * (k - 1) / (n - 1) AS c3 FROM l, (SELECT unnest(range(1, n + 1)) AS i FROM l), (SELECT unnest(range(1, n + 1)) AS j FROM l), (SELECT unnest(range(1, n + 1)) AS k FROM l)),
+c AS (SELECT i, j, k, arg_min(vec_id, ((g.c1 - v.c1) * (g.c1 - v.c1) + (g.c2 - v.c2) * (g.c2 - v.c2) + (g.c3 - v.c3) * (g.c3 - v.c3), vec_id)) AS cell FROM g, v GROUP BY i, j, k)
+SELECT x.cell AS a, y.cell AS b, count(*) AS faces FROM c x JOIN c y ON abs(x.i - y.i) <= 1 AND abs(x.j - y.j) <= 1 AND abs(x.k - y.k) <= 1 AND x.cell < y.cell GROUP BY ALL"""
+
+
+@query(CELL_SIDES)
+def cell_neighbours(spark, sf_dir):
+    """Neighbours in space of the cells of all vectors, as a lattice resolves them."""
+    names = ["c1", "c2", "c3"]
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0.0).alias("v"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
+    k = v.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max))).first()
+    n = 8 + k["n"] // 250
+    g = grid.lattice(spark, *((k[f"min_{c}"], k[f"max_{c}"], n) for c in names)).select("node_ix", "i", "j", "k", F.col("lat").alias("c1"), F.col("lon").alias("c2"), F.col("r").alias("c3"))
+    labels = nearest.nearest_cells(g.select("node_ix", *names), v, [], names, point="node_ix", nucleus="vec_id").select("node_ix", F.col("vec_id").alias("nucleus_ix"))
+    return nearest.cell_neighbours(labels, grid.neighbours(g, n, n, n))
 
 
 @query("""WITH a AS (SELECT l_orderkey % 30 AS event_id, l_suppkey AS station_id, l_quantity AS observed, 1.0 + l_linenumber / 10 AS sigma FROM lineitem), n AS (SELECT range AS node_ix FROM range(1, 21)),
@@ -199,14 +320,6 @@ def relocate(spark, sf_dir):
     return best.select("event_id", "node_ix", r6(F.col("shift")).alias("shift"), F.round("misfit", 5).alias("misfit"))
 
 
-@query()
-def rjmcmc_prior_only(spark, sf_dir):
-    f = sampler.Field("dlnVp", -0.1, 0.1, (-0.1, 0.1), (0.0, 0.2), (6000.0, 6371.0))
-    s = sampler.Settings(iterations=400, save_every=100, nuclei=(5, 20), fields=(f,))
-    models_, _ = sampler.run(spark, s, chains=4, seed=11)
-    return rounded(models_, [])
-
-
 RUN = """
 out_directory = "runs"
 run_id = "suppliers"
@@ -248,11 +361,3 @@ def rjmcmc_rays(spark, sf_dir):
     nodes, observations, references = supplier_rays(spark, sf_dir)
     models_, _ = inversion.run(spark, config.parse(RUN), nodes, observations, references, seed=5)
     return models_.select("chain", "iteration", "temperature", "accepted", r6(F.col("misfit")).alias("misfit"), r6(F.col("noise")[0]).alias("noise"))
-
-
-@query()
-def rjmcmc_tempered(spark, sf_dir):
-    f = sampler.Field("dlnVp", -0.1, 0.1, (-0.1, 0.1), (0.0, 0.2), (6000.0, 6371.0), prior="normal", sd=0.03)
-    s = sampler.Settings(iterations=200, save_every=50, nuclei=(5, 20), log_uniform_count=True, fields=(f,), rescale=4.0)
-    _, cells = sampler.run(spark, s, chains=4, seed=12, cold=2, hottest=5.0, swap_every=50)
-    return rounded(cells, [])

@@ -294,7 +294,7 @@ def test_traced_paths_equal_those_of_trees(spark):
     receivers = spark.createDataFrame([(s, "P", r) for s in (1, 30) for r in range(1, 37)], "source long, phase string, receiver long")
     t = graph.trees(g, spark.createDataFrame([(1,), (30,)], "source long"), (4, 3, 3), {"P": "v"})
     want = sorted(tuple(r) for r in graph.paths(t, receivers).collect())
-    assert sorted(tuple(r) for r in graph.traced(g, receivers, (4, 3, 3), {"P": "v"}, share=5).collect()) == want
+    assert sorted(tuple(r) for r in graph.traced(g, receivers, (4, 3, 3), {"P": "v"}, side=2).collect()) == want
 
 
 def test_columns_of_any_name_stay(spark):
