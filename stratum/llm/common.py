@@ -19,8 +19,8 @@ from stratum import session
 BROADCAST_ROWS = 500_000
 
 
-#: Rows in an Arrow batch, in place of Spark's default of 10,000: rows here are whole documents.
-BATCH_ROWS = 2_000
+#: Rows and bytes in an Arrow batch, in place of Spark's defaults of 10,000 and 64 MB: rows here are whole documents.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -28,6 +28,9 @@ def ship(spark: SparkSession) -> None:
     session.ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    most = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(most, None) in ("67108864b", "64MB"):  # Spark's own value; its versions without the setting have none
+        spark.conf.set(most, str(BATCH_BYTES))
 
 
 def lean(run: Callable) -> Callable:

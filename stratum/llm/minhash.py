@@ -39,8 +39,8 @@ BANDS = 2 * HASHES // ROWS
 #: Words remembered by a worker, between two emptyings.
 REMEMBERED = 200_000
 PIVOT_ROUNDS = 2
-#: Members of a bucket compared with each other in one matrix, and the share of the signature two must agree in.
-BLOCK, AGREE = 512, 0.5
+#: Members of a bucket compared with each other in one matrix, shingles of all of them together (a block's sets, of 8 bytes each, are held at once), and the share of the signature two must agree in.
+BLOCK, BLOCK_SHINGLES, AGREE = 512, 1 << 20, 0.5
 #: Members confirmed against one pivot in a group of rows; a pivot with more of them is repeated.
 GROUP = 512
 
@@ -224,7 +224,7 @@ def with_candidates(key, i, j, members):
 
 def links_of(key, i, j, members):
     """Links (a, b) that join a block's members, as few as do; members' last column is the text."""
-    sets, made, root = Shingles(), {}, {}
+    sets, made, root, held = Shingles(), {}, {}, 0
 
     def top(x):
         while root.setdefault(x, x) != x:
@@ -233,8 +233,13 @@ def links_of(key, i, j, members):
         return x
 
     def own(m):
+        nonlocal held
         if m not in made:
+            if held > 4 * BLOCK_SHINGLES:  # more than a block is meant to hold: sets are made again when asked for
+                made.clear()
+                held = 0
             made[m] = sets(members[m][5])
+            held += len(made[m])
         return made[m]
 
     out = []
@@ -247,8 +252,9 @@ def links_of(key, i, j, members):
 
 
 def block_links(state: DataFrame, signatures: DataFrame, docs: DataFrame) -> DataFrame:
-    """state: (key, doc_id, component) of buckets with different components; signatures: (doc_id, low, bands). (a, b): links that join what the buckets' links join."""
-    parts = state.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    """state: (key, doc_id, component) of buckets with different components; signatures: (doc_id, low, bands, n_shingles). (a, b): links that join what the buckets' links join."""
+    load = F.greatest(F.count("*") / BLOCK, F.sum("n_shingles") / BLOCK_SHINGLES)
+    parts = state.join(signatures.select("doc_id", "n_shingles"), "doc_id").groupBy("key").agg(F.ceil(load).cast("int").alias("parts"))
     rows = state.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("doc_id"), "parts").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # a block meets each other block once, and itself
@@ -261,7 +267,7 @@ def block_links(state: DataFrame, signatures: DataFrame, docs: DataFrame) -> Dat
 
 
 def linked(members: DataFrame, docs: DataFrame, signatures: DataFrame) -> DataFrame | None:
-    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component) of those that aren't their component's smallest, or None without any bucket. signatures: (doc_id, low, bands)."""
+    """Components of the documents in members (key, doc_id: places in buckets of two or more): (node, component) of those that aren't their component's smallest, or None without any bucket. signatures: (doc_id, low, bands, n_shingles)."""
     if members.isEmpty():
         return None
     sizes = members.groupBy("key").agg((F.count("*") - 1).alias("others"))
@@ -314,11 +320,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def grouped(docs: DataFrame, sig: DataFrame) -> DataFrame:
     """near_duplicates() of (doc_id, data), whose signatures are sig: an id has one text, if perhaps several rows."""
     whole = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = cut(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low")), "minhash-classes")
+    classes = cut(whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_shingles").alias("n_shingles")), "minhash-classes")
     placed = classes.select(F.col("rep").alias("doc_id"), F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = cut(placed.join(shared, "key").select("key", "doc_id").distinct(), "minhash-buckets")
-    comps = linked(members, docs, classes.select(F.col("rep").alias("doc_id"), "low", "bands"))
+    comps = linked(members, docs, classes.select(F.col("rep").alias("doc_id"), "low", "bands", "n_shingles"))
     reps = classes.select("set_key", "rep")
     if comps is not None:
         reps = reps.join(comps, reps.rep == comps.node, "left").select("set_key", F.coalesce("component", "rep").alias("rep"))

@@ -7,10 +7,11 @@ cell can hold a vector within reach: the bounds come from the planes between cod
 is missed. A smaller target stops at that share of the reach that the sample shows to be enough. Each visited
 cell is verified in double precision.
 
-Equal vectors of a label are one class before any of it. Codebooks grow with the square root of a label's vectors
-(up to MOST_WORDS), so a cell's size doesn't follow the table's. The index vectors of a cell are cut into blocks of
-BLOCK_BYTES, each sent once (again for every MOST_QUERIES queries of the cell); the queries stream past it in matrix
-products, and of the links found only a count for each query and a spanning forest leave the task. What a query costs
+Equal vectors of a label are one class before any of it. Codebooks of 2, 4, 8 ... words are fitted, up to the square
+root of the largest label's vectors over PER_CELL (and MOST_WORDS); each label takes, by its size, the one whose cells cost least
+on the sample. Neighbouring cells make a group of about BLOCK_BYTES, and a crowded group is cut into blocks of that; a
+vector is sent once to each block of the groups that its cells lie in (its list of cells travels without it), the queries
+stream past the index in matrix products, and of the links found only a count for each query and a spanning forest leave the task. What a query costs
 is the share of cells that can hold a link: small for vectors in clusters, large for vectors without any (of 51,282
 random ones in 64 dimensions, 64 words leave 12 percent of all pairs to verify, 2 words 84 percent).
 
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratum.llm.common import cut, lean, ship
@@ -38,6 +39,10 @@ SAMPLE, MOST_WORDS, PER_CELL = 8192, 1024, 4096
 #: Bytes of an index block, queries that meet it in one product, and queries that meet one copy of it.
 BLOCK_BYTES, QUERIES, MOST_QUERIES = 1 << 23, 256, 1 << 16
 SLACK = 1e-9
+#: Vectors of the sample that measure a grid, and what a visited cell and a vector met in it cost (microseconds, of which only the ratio counts).
+PROBES, STEP_COST, VECTOR_COST = 64, 2.0, 0.02
+#: Lengths of vectors that have grids, the commonest; others have one cell.
+MOST_LENGTHS = 16
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -115,6 +120,40 @@ class Grid:
         return [bounds(h, w) for h, w in zip(self.halves(x), self.words, strict=True)]
 
 
+class Grids:
+    """Grids of 2, 4, 8 ... codewords for one length of vectors, of which a label takes the one that suits its size.
+
+    Costs are measured on the sample: cells visited, each a step of the traversal, against vectors met in them. Vectors without clusters visit the same share of any
+    number of cells, so more cells cost them more; with clusters the share falls.
+    """
+
+    def __init__(self, sample: np.ndarray, largest: int, cosine: float, target: float):
+        most = int(min(MOST_WORDS, max(2, (largest / PER_CELL) ** 0.5)))
+        words = [2]
+        while words[-1] * 2 <= most:
+            words.append(words[-1] * 2)
+        self.grids = [Grid(sample, k, cosine, target) for k in words]
+        x = unit(sample[:PROBES])
+        # for each grid, cells visited and the share of all vectors that lie in them
+        self.visited = np.array([self.probe(g, x, unit(sample)) for g in self.grids])
+
+    def probe(self, grid: Grid, x: np.ndarray, sample: np.ndarray) -> tuple[float, float]:
+        one, two = grid.bounds(x)
+        own = grid.cells(sample)
+        held = np.zeros((len(grid.words[0]), len(grid.words[1])))
+        np.add.at(held, (own[:, 0], own[:, 1]), 1 / len(sample))
+        seen = []
+        for p, q in zip(one, two, strict=True):  # one vector at a time: a grid may have a million cells
+            open_ = p[:, None] + q[None, :] <= grid.reach
+            seen.append((open_.sum(), held[open_].sum()))
+        return tuple(np.mean(seen, axis=0).tolist())
+
+    def levels(self, size: np.ndarray) -> np.ndarray:
+        """The grid for labels of these sizes."""
+        cost = self.visited[:, 0] * STEP_COST + self.visited[:, 1] * size[:, None] * VECTOR_COST
+        return cost.argmin(1)
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return np.stack([np.frombuffer(v.as_buffer(), np.float64) for v in column])
 
@@ -212,45 +251,57 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     names = F.when(F.col("sound"), F.xxhash64("label", "x")), F.when(F.col("sound"), F.xxhash64(F.lit(1), "x", "label"))
     base = base.select("vec_id", "x", F.col("label").cast("string").alias("label"), "sound", names[0].alias("k1"), names[1].alias("k2"))
     classes = base.where("sound").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("n"), F.first("label").alias("label"), F.first("x").alias("x"))
-    classes = cut(classes.select("k1", "k2", "id", "n", "label", F.size("x").alias("dim"), packed("x").alias("v")), "index-classes")
-    total, labels = classes.agg(F.count("*"), F.approx_count_distinct("label")).first()
+    classes = cut(classes.select("k1", "k2", "id", "n", "label", F.size("x").alias("dim"), packed("x").alias("v"), F.monotonically_increasing_id().alias("uid")), "index-classes")
     result = lambda found: base.join(found, ["k1", "k2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"), (F.coalesce("component", "vec_id") == F.col("vec_id")).alias("kept"))
-    if not total:
+    sizes = cut(classes.groupBy("label", "dim").agg(F.count("*").alias("size")), "index-labels")
+    largest = sizes.groupBy("dim").agg(F.max("size").alias("size")).orderBy(F.desc("size")).limit(MOST_LENGTHS).collect()
+    if not largest:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    k = int(min(MOST_WORDS, max(2, round((total / max(1, labels) / PER_CELL) ** 0.5))))
     sample = classes.orderBy(F.xxhash64("id", "k1"), "id").limit(SAMPLE).select("dim", "v").collect()
-    grids = {d: Grid(np.stack([np.frombuffer(r["v"], np.float64) for r in sample if r["dim"] == d]), k, cosine, target) for d in sorted({r["dim"] for r in sample})}
+    known = {d: np.stack([np.frombuffer(r["v"], np.float64) for r in sample if r["dim"] == d]) for d in sorted({r["dim"] for r in sample})}
+    shared = df.sparkSession.sparkContext.broadcast({r["dim"]: Grids(known[r["dim"]], r["size"], cosine, target) for r in largest if r["dim"] in known})
 
     def place(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            dims = np.array(b.column("dim"))
-            row, cell, home = [], [], []
+            dims, size = np.array(b.column("dim")), np.array(b.column("size"))
+            row, cells, home = [], [], []
             for d in np.unique(dims).tolist():
-                mine = np.flatnonzero(dims == d)
-                if d not in grids:  # a length that the sample lacks is a grid of one cell
-                    row, cell, home = row + mine.tolist(), cell + [f"{d} 0 0"] * len(mine), home + [True] * len(mine)
-                    continue
-                x = unit(matrix(b.column("v").take(pa.array(mine))))
-                own, (one, two) = grids[d].cells(x), grids[d].bounds(x)
-                for r, o, p, q in zip(mine.tolist(), own.tolist(), one, two, strict=True):
-                    for i, j in {(o[0], o[1]), *visits(p, q, grids[d].reach)}:
-                        row.append(r)
-                        cell.append(f"{d} {i} {j}")
-                        home.append([i, j] == o)
+                grids = shared.value.get(d)
+                levels = grids.levels(size) if grids else np.zeros(len(size), np.int64)
+                for level in np.unique(levels[dims == d]).tolist():
+                    mine = np.flatnonzero((dims == d) & (levels == level))
+                    if grids is None:  # a length that the sample lacks has one cell
+                        row, cells, home = row + mine.tolist(), cells + [0] * len(mine), home + [True] * len(mine)
+                        continue
+                    grid = grids.grids[level]
+                    x = unit(matrix(b.column("v").take(pa.array(mine))))
+                    own, (one, two) = grid.cells(x), grid.bounds(x)
+                    for r, o, p, q in zip(mine.tolist(), own.tolist(), one, two, strict=True):
+                        for i, j in {(o[0], o[1]), *visits(p, q, grid.reach)}:
+                            row.append(r)
+                            cells.append(i * MOST_WORDS + j)
+                            home.append([i, j] == o)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("n").take(at), b.column("label").take(at), pa.array(cell, pa.string()), pa.array(home, pa.bool_()), b.column("v").take(at)], names=["id", "n", "label", "cell", "home", "v"])
-
-    placed = cut(classes.select("id", "n", "label", "dim", "v").mapInArrow(lean(place), "id long, n long, label string, cell string, home boolean, v binary"), "index-places")
-    blocks = F.ceil(F.sum(F.when(F.col("home"), F.octet_length("v"))) / BLOCK_BYTES).cast("int")
-    sizes = placed.groupBy("label", "cell").agg(blocks.alias("blocks"), F.ceil(F.count("*") / MOST_QUERIES).cast("int").alias("parts")).where("blocks > 0")
-    dealt = placed.join(sizes, ["label", "cell"])
+            yield pa.RecordBatch.from_arrays([b.column("uid").take(at), b.column("label").take(at), b.column("dim").take(at), pa.array(cells, pa.int64()), pa.array(home, pa.bool_())], names=["uid", "label", "dim", "cell", "home"])
+
+    sized = classes.join(sizes, ["label", "dim"]).select("uid", "label", "dim", "size", "v")
+    placed = cut(sized.mapInArrow(lean(place), "uid long, label string, dim int, cell long, home boolean"), "index-places")
+    # neighbouring cells of a label, of at most MOST_WORDS^2, make a group of about a block; a vector is sent once to each group that holds a cell it visits
+    homes = placed.where("home").groupBy("label", "dim", "cell").agg((F.count("*") * F.col("dim") * 8).alias("bytes"))
+    before = F.coalesce(F.sum("bytes").over(Window.partitionBy("label", "dim").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = cut(homes.select("label", "dim", "cell", "bytes", F.floor(before / BLOCK_BYTES).alias("group")), "index-cells")
+    visited = placed.join(cells, ["label", "dim", "cell"]).groupBy("uid", "label", "dim", "group").agg(F.max("home").alias("home"))
+    visited = cut(visited, "index-visits")
+    blocks = cells.groupBy("label", "dim", "group").agg(F.ceil(F.sum("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    groups = blocks.join(visited.groupBy("label", "dim", "group").agg(F.ceil(F.count("*") / MOST_QUERIES).cast("int").alias("parts")), ["label", "dim", "group"])
+    dealt = visited.join(groups, ["label", "dim", "group"]).join(classes.select("uid", "id", "n", "v"), "uid")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = F.pmod(F.xxhash64("id"), F.lit(2**31)).cast("long")
-    index = dealt.where("home").select("label", "cell", F.pmod(own, "blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("kind"), "id", "n", "v")
-    query = dealt.select("label", "cell", F.pmod(own, "parts").alias("part"), every("blocks").alias("block"), F.lit(1).alias("kind"), "id", "n", "v")
-    rows = index.unionByName(query).select(F.concat_ws(" ", "label", "cell", "block", "part").alias("at"), "kind", "id", "n", "v")
+    own = F.pmod(F.xxhash64("uid"), F.lit(2**31)).cast("long")
+    index = dealt.where("home").select("label", "dim", "group", F.pmod(own, "blocks").alias("block"), every("parts").alias("part"), F.lit(0).alias("kind"), "id", "n", "v")
+    query = dealt.select("label", "dim", "group", F.pmod(own, "parts").alias("part"), every("blocks").alias("block"), F.lit(1).alias("kind"), "id", "n", "v")
+    rows = index.unionByName(query).select(F.concat_ws(" ", "label", "dim", "group", "block", "part").alias("at"), "kind", "id", "n", "v")
     found = cut(matched(rows.repartition("at").sortWithinPartitions("at", "kind"), cosine), "index-links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg((F.sum("n") - 1).alias("n_links"))
     comps = components(found.where("b IS NOT NULL").select("a", "b"), "index-components")

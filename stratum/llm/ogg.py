@@ -6,7 +6,8 @@ sequence number, joins packets from lacing values, parts the streams by serial n
 granule positions (SAMPLE_RATE samples a second).
 
 Cases: a null or empty text is stored as 576 bytes of 255; equal texts give equal streams; long texts span
-pages; a damaged stream raises OggError. Extra columns are ignored; repeated rows each give a row.
+pages; a damaged stream raises OggError. Extra columns are ignored; repeated rows and rows with a null id each give
+a row; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from stratum.llm.common import keyed_bytes, per_document
 
@@ -134,14 +136,21 @@ def read(stream: bytes) -> dict[int, list[tuple[bytes, int]]]:
 
 
 def timestamps(packets: list[tuple[bytes, int]]) -> list[float]:
-    """End time of each data packet in seconds: page granules where given, the packets between by their own samples."""
-    out, now = [], 0
-    for data, granule in packets:
-        now += len(data)
-        if granule >= 0 and granule != now:
-            raise OggError(f"granule position {granule} where {now} samples have passed")
-        out.append(now / SAMPLE_RATE)
-    return out
+    """End time of each data packet in seconds, from granule positions: a packet that ends a page ends at the page's granule, those before it in the page earlier by the samples behind them. A stream may start at any granule; from page to page granules must advance by the samples between."""
+    out: list[float] = []
+    last, behind = None, 0
+    for data, granule in reversed(packets):
+        if granule >= 0:
+            if last is not None and last - behind != granule:
+                raise OggError(f"granule position {granule} where samples begin at {last - behind}")
+            last, behind = granule, 0
+        elif last is None:
+            raise OggError("the last packet has no granule position")
+        if last < behind + len(data):
+            raise OggError("samples before the position 0")
+        out.append((last - behind) / SAMPLE_RATE)
+        behind += len(data)
+    return out[::-1]
 
 
 def decode(stream: bytes) -> tuple[bytes, int, list[float]]:
@@ -168,12 +177,16 @@ def store(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return per_document(keyed_bytes(df, key, text), lambda: lambda data: (write(data),), "media binary")
 
 
-def described(data: bytes) -> tuple:
-    stream = write(data)
+def described(stream: bytes) -> tuple:
     payload, n, times = decode(stream)
     return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), features(payload, times, stream.count(b"OggS\0"))
 
 
+def describe(df: DataFrame, key: str = "doc_id", media: str = "media") -> DataFrame:
+    """What store() stored, read back: a row for each (doc_id, media) row."""
+    return per_document(df.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{media}`").alias("data")), lambda: described, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+
+
 def media(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text, read the stored bytes back and describe them. The stream itself is not carried on; store() gives it."""
-    return per_document(keyed_bytes(df, key, text), lambda: described, "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    """Store each text as a column of streams, read that column back and describe it. The streams are not carried on; store() gives them."""
+    return describe(store(df, key, text))

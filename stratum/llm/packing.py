@@ -7,9 +7,10 @@ word's ids (as the library gives them) in a sorted table of hashes and encodes o
 a special token, and all texts by other files, are encoded whole.
 
 Packing: pieces are dealt by hash to problems of about PROBLEM pieces, so the work of a task does not grow with
-the input. ISLANDS populations of each problem evolve apart for GENERATIONS, then send their best plan to the
+the input. ISLANDS populations of each problem, begun from plans in random order, evolve apart for GENERATIONS, then send their best plan to the
 next island (a ring) and go on. A crossover injects whole well-filled bins of one parent into the other, removes
-the bins that hold a piece twice, and best-fits the displaced pieces. The best plan of a problem stands; pieces
+the bins that hold a piece twice, and best-fits the displaced pieces. The best plan of a problem stands (but for best-fit decreasing, if
+that should take fewer bins); pieces
 of its badly filled bins are dealt to fewer new problems and packed again, and the better of the two packings
 of all of them is kept.
 
@@ -35,7 +36,7 @@ from stratum.llm.common import cut, keyed_bytes, lean, ship
 from stratum.llm.word_table import WordTable
 
 SIZE, END = 2048, 0
-PROBLEM, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 4, 4, 2
+PROBLEM, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 4, 12, 2
 #: A bin this full is well filled; emptier ones are packed again at the end.
 WELL = 0.97
 #: Words a worker's table holds (about 60 bytes each, kept from task to task), and bytes of text whose words are looked up together.
@@ -203,50 +204,54 @@ def fitness(plan: Plan, lengths: list[int], size: int) -> float:
     return sum((sum(lengths[i] for i in b) / size) ** 2 for b in plan) / max(1, len(plan))
 
 
-def crossover(to: Plan, of: Plan, lengths: list[int], size: int, rng: random.Random) -> Plan:
-    """Inject a random half of of's well-filled bins into to."""
-    good = [b for b in of if sum(lengths[i] for i in b) >= WELL * size]
+def fills(plan: Plan, lengths: list[int]) -> list[int]:
+    return [sum(lengths[i] for i in b) for b in plan]
+
+
+def dismantled(kept: Plan, lengths: list[int], share: float) -> tuple[Plan, list[int]]:
+    """kept without that share of its bins, the worst filled ones, and the pieces those held."""
+    order = sorted(range(len(kept)), key=lambda k, f=fills(kept, lengths): -f[k])
+    n = len(kept) - int(share * len(kept))
+    return [kept[k] for k in order[:n]], [i for k in order[n:] for i in kept[k]]
+
+
+def crossover(to: Plan, of: Plan, lengths: list[int], size: int, rng: random.Random, share: float = 0.0) -> Plan:
+    """Inject a random half of of's well-filled bins into to, remove the bins of to that hold one of their pieces, and best-fit the displaced pieces, longest first. share: of the bins left, that many of the worst are emptied as well (mutation)."""
+    good = [b for b, f in zip(of, fills(of, lengths), strict=True) if f >= WELL * size]
     chosen = [b for b in (good or of) if rng.random() < 0.5]
     injected = {i for b in chosen for i in b}
-    kept, displaced = chosen, []
+    kept, displaced = list(chosen), []
     for b in to:
         if injected.isdisjoint(b):
             kept.append(b)
         else:
             displaced += [i for i in b if i not in injected]
-    displaced.sort(key=lambda i: -lengths[i])
-    return packed(lengths, displaced, size, kept)
+    kept, more = dismantled(kept, lengths, share)
+    return packed(lengths, sorted(displaced + more, key=lambda i: -lengths[i]), size, kept)
 
 
 def mutated(plan: Plan, lengths: list[int], size: int, rng: random.Random) -> Plan:
-    """Empty the worst bins and some at random, and best-fit their pieces in a nearly descending order."""
-    ranked = sorted(plan, key=lambda b: sum(lengths[i] for i in b))
-    n = max(1, len(plan) // 20)
-    again, kept = ranked[:n], []
-    for b in ranked[n:]:
-        (again if rng.random() < 0.02 else kept).append(b)
-    order = sorted((i for b in again for i in b), key=lambda i: -lengths[i] * rng.uniform(0.9, 1))
-    return packed(lengths, order, size, kept)
-
-
-def evolve(lengths: list[int], population: list[Plan], generations: int, rng: random.Random, size: int = SIZE) -> list[Plan]:
-    """POPULATION plans, best first."""
+    """Empty some of the bins, the worst filled ones, and best-fit their pieces, longest first."""
+    kept, displaced = dismantled(plan, lengths, rng.random())
+    return packed(lengths, sorted(displaced, key=lambda i: -lengths[i]), size, kept)
+
+
+def evolve(lengths: list[int], population: list[Plan], generations: int, rng: random.Random, size: int = SIZE, history: list[int] | None = None) -> list[Plan]:
+    """POPULATION plans, best first. New plans take pieces in random order, so that what is gained comes from crossovers. history: takes the least number of bins before and after each generation."""
     least = -(-sum(lengths) // size)
     while len(population) < POPULATION:
-        noise = 0.15 * len(population)
-        population.append(packed(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i] * rng.uniform(1 - noise, 1)), size))
-        if len(population[-1]) == least:
-            break
-    rated = sorted(((fitness(p, lengths, size), k, p) for k, p in enumerate(population)), key=lambda x: (len(x[2]), -x[0], x[1]))
-    for k in range(generations):
-        if len(rated[0][2]) == least:
+        population.append(packed(lengths, rng.sample(range(len(lengths)), len(lengths)), size))
+    rank = lambda p: (len(p), -fitness(p, lengths, size))
+    rated = sorted(((rank(p), k, p) for k, p in enumerate(population)), key=lambda x: x[:2])
+    for k in range(generations + 1):
+        if history is not None:
+            history.append(rated[0][0][0])
+        if rated[0][0][0] == least or k == generations:
             break  # no plan has fewer bins
-        a, b = rng.sample(rated, 2) if len(rated) > 1 else (rated[0], rated[0])
-        child = crossover(a[2], b[2], lengths, size, rng)
-        if rng.random() < 0.5:
-            child = mutated(child, lengths, size, rng)
-        rated.append((fitness(child, lengths, size), POPULATION + k, child))
-        rated = sorted(rated, key=lambda x: (len(x[2]), -x[0], x[1]))[:POPULATION]
+        a, b = rng.sample(rated, 2)
+        child = crossover(a[2], b[2], lengths, size, rng, rng.random())
+        rated.append((rank(child), len(population) + k, child))
+        rated = sorted(rated, key=lambda x: x[:2])[:POPULATION]
     return [p for _, _, p in rated[:POPULATION]]
 
 
@@ -301,6 +306,9 @@ def solved(items: DataFrame, problems: int, name: str, size: int) -> DataFrame:
             for i in range(b.num_rows):
                 problem, items, lengths, plan = (b.column(k)[i].as_py() for k in range(4))
                 bins = np.frombuffer(plan, np.int32)
+                bound = packed(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), size)
+                if len(bound) <= bins.max():  # best-fit decreasing is the most bins that a plan may take
+                    bins = np.frombuffer(coded(bound, len(lengths)), np.int32)
                 fill = np.bincount(bins, weights=lengths).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(lengths, pa.int32()), pa.array([problem] * len(items), pa.int64()), pa.array(bins, pa.int32()), pa.array(fill[bins], pa.int64())], names=["item", "length", "problem", "bin", "fill"])
 

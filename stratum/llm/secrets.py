@@ -1,7 +1,7 @@
 """Secret scans: Aho-Corasick keywords first, anchored expressions only at their hits, then embedded checksums.
 
-Cases: a null or empty text has no span and the hash of the empty string; repeated rows each give a row;
-long texts are scanned whole; extra columns are ignored. Spans are in code points, end exclusive.
+Cases: a null or empty text has no span and the hash of the empty string; repeated rows and rows with a null id each
+give a row; long texts are scanned whole; an empty table gives no rows; extra columns are ignored. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -110,10 +110,12 @@ def find(data: bytes) -> list[tuple[int, int, str]]:
             last[kind] = m.end()
             if ok:
                 out.append((start, m.end(), kind))
-    at = (digits := data.translate(HEX_MAP)).find(HEX_RUN)
+    at, byte, place = (digits := data.translate(HEX_MAP)).find(HEX_RUN), 0, 0
     while at >= 0:
         m = HEX.match(data, at)
-        start = at if text.isascii() else len(data[:at].decode("utf-8", "replace"))
+        # code points are counted from one span to the next; both begin at a digit, so no character is cut
+        byte, place = at, place + (at - byte if text.isascii() else len(data[byte:at].decode("utf-8", "replace")))
+        start = place
         out.append((start, start + m.end() - at, "hex"))
         at = digits.find(HEX_RUN, m.end())
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))

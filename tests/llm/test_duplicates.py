@@ -284,6 +284,35 @@ def test_recall_of_a_lower_target(spark, monkeypatch):
     assert 0.9 * want <= got <= want
 
 
+def test_one_label_with_nearly_all_rows(spark, monkeypatch):
+    """95 percent of the rows have one label, the rest a label each: cells, groups and blocks stay bounded, and no link is missed."""
+    monkeypatch.setattr(multi_index, "PER_CELL", 4)
+    monkeypatch.setattr(multi_index, "BLOCK_BYTES", 40 * 64)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 8))
+    rows = [(i, [float(x) for x in base[rng.integers(60)] + rng.normal(size=8) * rng.choice([0, 0.03, 0.08])], 0 if i % 20 else i) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    tables, kept = {}, multi_index.cut
+    monkeypatch.setattr(multi_index, "cut", lambda t, name: tables.setdefault(name, kept(t, name)))
+    assert sorted((tuple(r) for r in multi_index.near_duplicates(df).collect()), key=repr) == vectors_by_brute_force(rows, 0.98)
+    cells = tables["index-cells"].where("label = '0'")
+    assert cells.count() > 8 and cells.groupBy("group").agg({"bytes": "sum"}).count() > 4
+    most = cells.agg({"bytes": "max"}).first()[0]
+    assert cells.groupBy("group").agg({"bytes": "sum"}).agg({"sum(bytes)": "max"}).first()[0] <= multi_index.BLOCK_BYTES + most
+    assert tables["index-visits"].where("label <> '0'").count() == 44
+
+
+def test_grids_by_size():
+    rng = np.random.default_rng(2)
+    tight = rng.normal(size=(40, 16))[rng.integers(40, size=2000)] + rng.normal(size=(2000, 16)) * 0.01
+    grids = multi_index.Grids(tight, 4_000_000, 0.98, 1.0)
+    words = [len(g.words[0]) for g in grids.grids]
+    small, large = grids.levels(np.array([10, 4_000_000])).tolist()
+    assert words == sorted(words) and words[small] <= words[large] and words[large] >= 8  # clusters: more cells for more vectors
+    loose = multi_index.Grids(rng.normal(size=(2000, 64)), 4_000_000, 0.98, 1.0)
+    assert (loose.visited[:, 1] > 0).all()
+
+
 def test_multi_sequence_order():
     rng = np.random.default_rng(1)
     one, two = rng.random(6), rng.random(5)

@@ -134,3 +134,87 @@ def test_pipeline(spark, tmp_path):
         assert shared[200:300] not in texts[10_003] + texts[10_004]
     if 10_005 in clean:
         assert "abcdefgh12345678" not in clean[10_005]
+
+
+def plain_passages(text):
+    """Features of each passage of one text, word by word and byte by byte."""
+    words = text.split()
+    n = max(1, -(-len(words) // quality.PASSAGE))
+    out = np.zeros((n, quality.N_FEATURES))
+    counts = [[0] * quality.N_KINDS for _ in range(n)]
+    begun, inside = 0, False
+    for byte in text + b" ":
+        space = byte in b" \t\n\x0b\x0c\r"
+        begun += not space and not inside
+        inside = not space
+        counts[max(0, begun - 1) // quality.PASSAGE][byte if byte < 128 else 128 + (byte >> 4 & 7)] += 1
+    for k in range(n):
+        own = words[k * quality.PASSAGE : (k + 1) * quality.PASSAGE]
+        out[k, : quality.N_KINDS] = [(c / max(1, sum(counts[k]))) ** 0.5 for c in counts[k]]
+        some, widths = max(1, len(own)), [len(w) for w in own]
+        mean = sum(widths) / some
+        again = sum(a == b for a, b in zip(own, own[1:]))
+        spread = max(0, sum(w * w for w in widths) / some - mean**2) ** 0.5
+        out[k, quality.N_KINDS :] = [len(set(own)) / some, max([own.count(w) for w in own], default=0) / some, again / some, mean / 10, spread / 10, sum(w > 20 for w in widths) / some, sum(w <= 1 for w in widths) / some, np.log1p(len(own)) / 5]
+    return out
+
+
+def plain_bag(m, x):
+    """Score of one bag and the gradient of its log loss by the score's logit, passage by passage."""
+    squash = lambda v: 1 / (1 + np.exp(-v))
+    rows = [(row - m["mean"]) / m["spread"] for row in x]
+    hidden = [np.tanh(z @ m["w"] + m["b"]) for z in rows]
+    gates = [(np.tanh(h @ m["v"]), squash(h @ m["u"])) for h in hidden]
+    e = [float((t * g) @ m["a"]) for t, g in gates]
+    total = sum(np.exp(v - max(e)) for v in e)
+    weight = [np.exp(v - max(e)) / total for v in e]
+    bag = sum(w * h for w, h in zip(weight, hidden))
+    grad = {k: np.zeros_like(m[k]) for k in "wbvuac"}
+    grad["c"] = bag.copy()
+    for z, h, (t, g), w in zip(rows, hidden, gates, weight):
+        de = w * float((h - bag) @ m["c"])
+        dt, dg = de * m["a"] * g * (1 - t**2), de * m["a"] * t * g * (1 - g)
+        dz = (w * m["c"] + m["v"] @ dt + m["u"] @ dg) * (1 - h**2)
+        for k, part in (("w", np.outer(z, dz)), ("b", dz), ("v", np.outer(h, dt)), ("u", np.outer(h, dg)), ("a", de * t * g)):
+            grad[k] = grad[k] + part
+    grad["d"] = 1.0
+    return float(squash(bag @ m["c"] + m["d"])), grad
+
+
+TEXTS = [b"", b" \n ", b"one two two three", b"Word word " * 70, "é ü 日本 a".encode() * 40, b"### $$$ " * 100, b"aaaaaaaaaaaaaaaaaaaaaaaaaa b " * 90]
+
+
+def test_passages_equal_a_plain_version():
+    for t in TEXTS:
+        x, first = quality.passages([t])
+        assert first.tolist() == [0] and np.allclose(x, plain_passages(t), atol=1e-5), t
+
+
+def test_training_and_scores_equal_a_plain_version(monkeypatch):
+    monkeypatch.setattr(quality, "EPOCHS", 3)
+    rng = random.Random(3)
+    bags = [plain_passages(b" ".join(rng.choice(TEXTS).split()[: rng.randrange(200)]) or b"x") for _ in range(150)]
+    y = np.array([float(i % 3 > 0) for i in range(150)])
+    sizes = np.array([len(b) for b in bags])
+    x, first = np.concatenate(bags), np.cumsum(sizes) - sizes
+    got = quality.trained(x, first, y)
+    start = np.random.default_rng(quality.SEED)
+    m = {"mean": x.mean(0), "spread": x.std(0) + 0.02, "w": start.normal(0, x.shape[1] ** -0.5, (x.shape[1], quality.HIDDEN)), "b": np.zeros(quality.HIDDEN), "v": start.normal(0, quality.HIDDEN**-0.5, (quality.HIDDEN, quality.ATTENTION)), "u": start.normal(0, quality.HIDDEN**-0.5, (quality.HIDDEN, quality.ATTENTION)), "a": np.zeros(quality.ATTENTION), "c": start.normal(0, 0.1, quality.HIDDEN), "d": np.log(y.mean() / (1 - y.mean()))}
+    one, two, step = {k: 0.0 for k in "wbvuacd"}, {k: 0.0 for k in "wbvuacd"}, 0
+    for _ in range(3):
+        order = start.permutation(len(y))
+        for at in range(0, len(order), 128):
+            chosen, step = order[at : at + 128], step + 1
+            total = {k: 0.0 for k in one}
+            for i in chosen:
+                score, grad = plain_bag(m, bags[i])
+                for k in total:
+                    total[k] = total[k] + (score - y[i]) / len(chosen) * grad[k]
+            for k in one:
+                g = total[k] + quality.DECAY * m[k] * (k not in "bd")
+                one[k], two[k] = 0.9 * one[k] + 0.1 * g, 0.999 * two[k] + 0.001 * g * g
+                m[k] = m[k] - quality.RATE * (one[k] / (1 - 0.9**step)) / (np.sqrt(two[k] / (1 - 0.999**step)) + 1e-8)
+    for k in m:
+        assert np.allclose(got[k], m[k], atol=2e-4), k
+    scores = quality.scores(got, TEXTS)
+    assert np.allclose(scores, [plain_bag({k: np.asarray(v, float) for k, v in got.items()}, plain_passages(t))[0] for t in TEXTS], atol=1e-4)

@@ -147,3 +147,53 @@ def test_warc_damage():
     for hurt in (raw.replace(b"payload", b"payloae", 1), raw[:-1], raw.replace(b"WARC/1.1", b"WARC/9.9")):
         with pytest.raises(warc.WarcError):
             warc.parse(hurt)
+
+
+def plain_pages(stream):
+    """(serial, kind, granule, lacing values) of each page, read without the operator."""
+    out, at = [], 0
+    while at < len(stream):
+        n = stream[at + 26]
+        lacing = list(stream[at + 27 : at + 27 + n])
+        out.append((int.from_bytes(stream[at + 14 : at + 18], "little"), stream[at + 5], int.from_bytes(stream[at + 6 : at + 14], "little", signed=True), lacing))
+        at += 27 + n + sum(lacing)
+    return out
+
+
+@pytest.mark.parametrize("size", [0, 1, 575, 576, 5000, 200_000])
+def test_granules_and_features_equal_an_independent_reader(spark, size):
+    text = "".join(random.choice("abcdefé\n") for _ in range(size))
+    row = ogg.media(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    data = text.encode()
+    payload = data + b"\xff" * (-len(data) % 576 if data else 576)
+    stream = ogg.write(data)
+    pages = plain_pages(stream)
+    packets = len(payload) // 576
+    x = [b - 128 for b in payload]
+    turns = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:]))
+    want = f"packets={packets};pages={len(pages)};seconds={len(payload) / 48000:.6f};mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};turns={turns}"
+    assert row["feature"] == want and row["media_bytes"] == len(stream) and row["media_sha256"] == hashlib.sha256(stream).hexdigest()
+    ends = [g for serial, _, g, _ in pages if serial == ogg.SAMPLES][1:]
+    assert [g for g in ends if g >= 0][-1] == len(payload)
+    assert [round(t * 48000) for t in ogg.decode(stream)[2]] == [576 * (i + 1) for i in range(packets)]
+
+
+def test_granules_of_a_stream_that_starts_late():
+    sound = ogg.Writer(7)
+    pages = sound.packet(b"head", 0, flush=True)
+    for k in range(4):  # two packets a page; the stream was cut from a longer one at sample 9000
+        pages += sound.packet(bytes(100), 9000 + 100 * (k + 1), flush=k % 2 == 1)
+    pages.append(sound.page(last=True))
+    packets = ogg.read(b"".join(pages))[7]
+    assert ogg.timestamps(packets[1:]) == [(9000 + 100 * (k + 1)) / 48000 for k in range(4)]
+    broken = [*packets[1:3], (packets[3][0], -1), (packets[4][0], 9500)]
+    with pytest.raises(ogg.OggError):  # samples are missing between two pages
+        ogg.timestamps(broken)
+    with pytest.raises(ogg.OggError):
+        ogg.timestamps([(bytes(10), -1)])
+
+
+def test_hexadecimal_spans_of_a_long_text_beyond_ascii():
+    text = "ünï " + " é".join(["deadbeef" * 4] * 6000) + " ß" + "0123456789abcdef" * 3
+    found = [s for s in secrets.find(text.encode()) if s[2] in secrets.BASE_KINDS]
+    assert found == brute(text) and len(found) == 6001

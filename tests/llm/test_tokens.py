@@ -230,3 +230,29 @@ def test_genetic_operators_keep_every_piece():
     for child in (packing.crossover(a, b, lengths, 2048, rng), packing.mutated(a, lengths, 2048, rng), *packing.evolve(lengths, [a], 5, rng)):
         assert sorted(i for x in child for i in x) == list(range(400)) and all(sum(lengths[i] for i in x) <= 2048 for x in child)
     assert packing.decoded(packing.coded(a, 400)) and len(packing.evolve(lengths, [a], 8, rng)[0]) <= len(b)
+
+
+def test_crossovers_lower_the_count_of_random_plans():
+    """No plan begins sorted; the least number of bins falls by crossovers, and an island gains by the elite of another."""
+    rng = random.Random(4)
+    lengths = [rng.randrange(1, 1200) for _ in range(2000)]
+    history = []
+    best = packing.evolve(lengths, [], 30, rng, history=history)
+    bound = len(packing.packed(lengths, sorted(range(2000), key=lambda i: -lengths[i]), 2048))
+    assert history[0] > history[-1] == len(best[0]) and history == sorted(history, reverse=True)
+    assert history[0] - history[-1] >= 3 and len(best[0]) <= bound
+    assert sorted(i for b in best[0] for i in b) == list(range(2000)) and max(packing.fills(best[0], lengths)) <= 2048
+    other = []
+    packing.evolve(lengths, [best[0]], 0, random.Random(5), history=other)  # an island that has only taken in the elite
+    alone = []
+    packing.evolve(lengths, [], 0, random.Random(5), history=alone)
+    assert other[0] == len(best[0]) < alone[0]
+
+
+def test_no_more_bins_than_best_fit_decreasing(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GENERATIONS", 0)
+    rng = random.Random(6)
+    lengths = [rng.randrange(1, 900) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(lengths)), "item long, length int")
+    plan = packing.solved(rows, 1, "test-plan", 2048).collect()
+    assert len({r["bin"] for r in plan}) == len(packing.packed(lengths, sorted(range(300), key=lambda i: -lengths[i]), 2048))
