@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratum.operators.select import positioned
+from stratum.operators.select import fresh, positioned
 
 #: Most rows of a dimension that a join may broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
-#: Width of the ranges of an id in which rows find the one after them.
-RANGE = 10_000
 
 
 def dimension(table: DataFrame) -> DataFrame:
@@ -46,13 +44,11 @@ def dense_index(observations: DataFrame, group: list[str], ids: dict[str, str])
 
 
 def followed(rows: DataFrame, order: str, value: str, name: str) -> DataFrame:
-    """Each row that has one after it by a whole-number id (gaps are allowed), with that one's value. Rows meet in ranges of the id; the last of a range takes the first of the next range that has rows, from a table of one row a range."""
-    own = rows.withColumn("_range", F.floor(F.col(order) / RANGE))
-    first = own.groupBy("_range").agg(F.min_by(F.struct(F.col(value).alias("v")), order).alias("_first"))
-    after = first.select("_range", F.lead("_first").over(Window.orderBy("_range")).alias("_after"))
-    inside = F.lead(F.struct(F.col(value).alias("v"))).over(Window.partitionBy("_range").orderBy(order))
-    out = own.withColumn("_inside", inside).join(after, "_range").withColumn("_next", F.coalesce("_inside", "_after"))
-    return out.where("_next IS NOT NULL").withColumn(name, F.col("_next.v")).drop("_range", "_inside", "_after", "_next")
+    """Each row that has one after it in the given order, with that one's value. Rows are numbered over range partitions and meet by number: no task takes all rows."""
+    at, after = fresh(rows, "_position"), fresh(rows, "_after")
+    numbered = positioned(rows, [order], at)
+    following = numbered.select((F.col(at) - 1).alias(at), F.struct(F.col(value).alias("v")).alias(after))
+    return numbered.join(following, at).withColumn(name, F.col(after)["v"]).drop(at, after)
 
 
 def phase_codes(observations: DataFrame, phase: str = "phase") -> DataFrame:
@@ -100,7 +96,7 @@ def outside_range(nodes: DataFrame, inside: Column) -> DataFrame:
 
 def trimmed(nodes: DataFrame, inside: Column) -> DataFrame:
     """Each ray from its first node in the domain on (its last node alone, if it has none there), and elapsed: time from there to the end."""
-    ray = Window.partitionBy("ray_id")
+    ray, first = Window.partitionBy("ray_id"), fresh(nodes, "_start")
     start = F.coalesce(F.min(F.when(inside, F.col("node_ix"))).over(ray), F.max("node_ix").over(ray))
-    kept = nodes.withColumn("_start", start).where("node_ix >= _start").drop("_start")
+    kept = nodes.withColumn(first, start).where(F.col("node_ix") >= F.col(first)).drop(first)
     return kept.withColumn("elapsed", F.max_by("t", "node_ix").over(ray) - F.min_by("t", "node_ix").over(ray))

@@ -11,16 +11,17 @@ from stratum.operators.select import fresh, short
 
 def reference_values(points: DataFrame, knots: DataFrame, at: str, radius: str, values: list[str]) -> DataFrame:
     """points with values of a one-dimensional model at radius `at`: linear between knots, held at both ends. The model is a short table: its knots travel as one broadcast array, and points are neither shuffled nor multiplied."""
-    row = short(knots).agg(F.array_sort(F.collect_list(F.struct(F.col(radius).alias("r"), *values))).alias("_k"))
+    held, above, below = (fresh(points, x) for x in ("_knots", "_above", "_below"))
+    row = short(knots).agg(F.array_sort(F.collect_list(F.struct(F.col(radius).alias("r"), *values))).alias(held))
     p = points.join(F.broadcast(row), F.lit(True))
     r = F.col(at)
-    higher, lower = F.filter("_k", lambda k: k["r"] > r), F.filter("_k", lambda k: k["r"] <= r)
-    p = p.withColumn("_a", F.get(higher, 0)).withColumn("_b", F.try_element_at(lower, F.lit(-1))).drop("_k")
-    a, b = F.coalesce("_a", "_b"), F.coalesce("_b", "_a")
+    higher, lower = F.filter(held, lambda k: k["r"] > r), F.filter(held, lambda k: k["r"] <= r)
+    p = p.withColumn(above, F.get(higher, 0)).withColumn(below, F.try_element_at(lower, F.lit(-1))).drop(held)
+    a, b = F.coalesce(above, below), F.coalesce(below, above)
     share = F.when(a["r"] > b["r"], (r - b["r"]) / (a["r"] - b["r"])).otherwise(0.0)
     for v in values:
         p = p.withColumn(v, b[v] + (a[v] - b[v]) * share)
-    return p.drop("_a", "_b")
+    return p.drop(above, below)
 
 
 def path_lengths(nodes: DataFrame, ray: str, order: str, coords: list[str]) -> DataFrame:

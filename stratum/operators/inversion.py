@@ -19,8 +19,8 @@ from stratum.operators import forward, graph, sampler
 from stratum.operators import rays as ray_nodes
 from stratum.operators.index import dimension
 from stratum.operators.interpolate import reference_values
-from stratum.operators.moments import moments, squeezed
-from stratum.operators.nearest import nearest_cells
+from stratum.operators.moments import finished
+from stratum.operators.nearest import nearest_cell_sums, nearest_cells
 from stratum.operators.select import cold, drop_burn_in, in_box
 from stratum.sources import chains as saved
 from stratum.sources.config import Config, check, to_json
@@ -205,11 +205,10 @@ def ensemble(models: DataFrame, cells: DataFrame, grid: DataFrame, config: Confi
     for f in build_fields(config, squeeze):
         own = c.where(F.col("field") == f.name)
         coords = ["r"] if f.radial else ["x", "y", "z"]
-        near = nearest_cells(grid.select("node_ix", *coords), own, ["chain", "iteration"], coords, point="node_ix")
-        v = F.col("v")
-        if f.outside is not None:
-            near = near.join(grid.select("node_ix", "lat", "lon", "r"), "node_ix")
-            v = squeezed(v, in_box(F.col("lat"), F.col("lon"), F.col("r"), {"lat": f.lat, "lon": f.lon, "r": f.r}), f.outside)
-        one = moments(near.withColumn("sample", v), ["node_ix"], F.col("sample")).withColumn("field", F.lit(f.name))
+        sums = nearest_cell_sums(grid.select("node_ix", *coords), own, ["chain", "iteration"], coords, [], point="node_ix")
+        if f.outside is not None:  # all samples of a node outside the field's limits are the same
+            inside = in_box(F.col("lat"), F.col("lon"), F.col("r"), {"lat": f.lat, "lon": f.lon, "r": f.r})
+            sums = sums.join(grid.select("node_ix", "lat", "lon", "r"), "node_ix").withColumns({f"s{i}": F.when(inside, F.col(f"s{i}")).otherwise(F.col("n") * float(f.outside) ** i) for i in (1, 2, 3)})
+        one = finished(sums, ["node_ix"]).withColumn("field", F.lit(f.name))
         out = one if out is None else out.unionByName(one)
     return out

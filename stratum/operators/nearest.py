@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.operators.select import positioned, short
+from stratum.operators.select import fresh, positioned, short
 from stratum.session import ship
 from stratum.store import drop_stored, stored
 
@@ -361,16 +361,18 @@ def cell_neighbours(labels: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def nearest_value(queries: DataFrame, axis: DataFrame, query: str, position: str, index: str) -> DataFrame:
     """Each query with the index of the nearest value of a short axis (one array; lowest index of equally near ones), so that queries aren't shuffled or multiplied."""
-    row = short(axis).agg(F.collect_list(F.struct(F.col(position).alias("p"), F.col(index).alias("i"))).alias("_axis"))
-    pick = F.array_min(F.transform("_axis", lambda x: F.struct(F.abs(x["p"] - F.col(query)).alias("d"), x["i"].alias("i"))))["i"]
-    return queries.join(F.broadcast(row), F.lit(True)).withColumn(index, pick).drop("_axis")
+    held = fresh(queries, "_axis")
+    row = short(axis).agg(F.collect_list(F.struct(F.col(position).alias("p"), F.col(index).alias("i"))).alias(held))
+    pick = F.array_min(F.transform(held, lambda x: F.struct(F.abs(x["p"] - F.col(query)).alias("d"), x["i"].alias("i"))))["i"]
+    return queries.join(F.broadcast(row), F.lit(True)).withColumn(index, pick).drop(held)
 
 
 def nearest_in_time(events: DataFrame, frames: DataFrame, time: str, frame_time: str, frame: str) -> DataFrame:
     """Each event with the frame nearest in time: an as-of join in both directions. frames is a short table, carried as one sorted array, so that events aren't shuffled or multiplied."""
-    row = short(frames).agg(F.sort_array(F.collect_list(F.struct(F.col(frame_time).alias("t"), F.col(frame).alias("f")))).alias("_f"))
-    pick = F.array_min(F.transform("_f", lambda x: F.struct(F.abs(x["t"] - F.col(time)).alias("d"), x["f"].alias("f"))))["f"]
-    return events.join(F.broadcast(row), F.lit(True)).withColumn(frame, pick).drop("_f")
+    held = fresh(events, "_frames")
+    row = short(frames).agg(F.sort_array(F.collect_list(F.struct(F.col(frame_time).alias("t"), F.col(frame).alias("f")))).alias(held))
+    pick = F.array_min(F.transform(held, lambda x: F.struct(F.abs(x["t"] - F.col(time)).alias("d"), x["f"].alias("f"))))["f"]
+    return events.join(F.broadcast(row), F.lit(True)).withColumn(frame, pick).drop(held)
 
 
 def regular_frames(values: DataFrame, value: str, low: float, step: float, count: int, index: str = "frame") -> DataFrame:

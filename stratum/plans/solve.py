@@ -307,17 +307,24 @@ def cell_neighbours(spark, sf_dir):
     return nearest.cell_neighbours(labels, grid.neighbours(g, n, n, n))
 
 
-@query("""WITH a AS (SELECT l_orderkey % 30 AS event_id, l_suppkey AS station_id, l_quantity AS observed, 1.0 + l_linenumber / 10 AS sigma FROM lineitem), n AS (SELECT range AS node_ix FROM range(1, 21)),
-r AS (SELECT event_id, node_ix, observed - ((station_id * 7 + node_ix * 13) % 50) AS r, sigma AS s FROM a, n),
-g AS (SELECT event_id, node_ix, sum(r / s ^ 2) / sum(1 / s ^ 2) AS shift, sum(r * r / s ^ 2) - (sum(r / s ^ 2)) ^ 2 / sum(1 / s ^ 2) AS misfit FROM r GROUP BY ALL)
-SELECT event_id, node_ix, round(shift, 6) AS shift, round(misfit, 5) AS misfit FROM g QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(misfit, 6), node_ix) = 1""")
+@query(travel_sql() + """,
+a AS (SELECT l_orderkey % 30 AS event_id, l_suppkey % 25 AS source, l_quantity AS observed, 1.0 + l_linenumber / 10 AS sigma FROM lineitem),
+ev AS (SELECT event_id, event_id % 10 + 1 AS i, event_id * 3 % 10 + 1 AS j, event_id % 2 + 1 AS k FROM (SELECT DISTINCT event_id FROM a)),
+near AS MATERIALIZED (SELECT event_id, node_ix FROM ev JOIN g ON abs(g.i - ev.i) <= 1 AND abs(g.j - ev.j) <= 1 AND abs(g.k - ev.k) <= 1),
+r AS (SELECT event_id, node_ix, observed - time AS r, sigma AS s FROM a JOIN near USING (event_id) JOIN best ON best.source = a.source AND best.node = node_ix),
+m AS (SELECT event_id, node_ix, sum(r / s ^ 2) / sum(1 / s ^ 2) AS shift, sum(r * r / s ^ 2) - (sum(r / s ^ 2)) ^ 2 / sum(1 / s ^ 2) AS misfit FROM r GROUP BY ALL)
+SELECT event_id, node_ix, round(shift, 6) AS shift, round(misfit, 4) AS misfit FROM m QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY round(misfit, 6), node_ix) = 1""")
 def relocate(spark, sf_dir):
-    a = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 30).alias("event_id"), F.col("l_suppkey").alias("station_id"), F.lit("P").alias("phase"), F.col("l_quantity").alias("observed"), (1.0 + F.col("l_linenumber") / 10).alias("sigma"))
-    nodes = spark.range(1, 21).select(F.col("id").alias("node_ix"))
-    times = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("station_id"), F.lit("P").alias("phase")).join(nodes, F.lit(True)).withColumn("time", ((F.col("station_id") * 7 + F.col("node_ix") * 13) % 50).cast("double"))
-    near = a.select("event_id").distinct().join(nodes, F.lit(True))
-    best = locate.located(locate.scored(a, near, times))
-    return best.select("event_id", "node_ix", r6(F.col("shift")).alias("shift"), F.round("misfit", 5).alias("misfit"))
+    """Events move to the best node next to their own, by times from each nation's node through the lattice."""
+    g, (lat, lon, r) = part_lattice(spark, sf_dir)
+    counts = lat[2], lon[2], r[2]
+    a = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 30).alias("event_id"), (F.col("l_suppkey") % 25).alias("station_id"), F.lit("P").alias("phase"), F.col("l_quantity").alias("observed"), (1.0 + F.col("l_linenumber") / 10).alias("sigma"))
+    key = F.col("event_id")
+    own = a.select("event_id").distinct().select("event_id", (key % 10 + 1).alias("i"), (key * 3 % 10 + 1).alias("j"), (key % 2 + 1).alias("k"))
+    times = graph.relaxed(graph.edges(g, grid.neighbours(g, *counts)), grid.blocks_of(g, counts, 5), nation_sources(spark, sf_dir, counts[0] * counts[1] * counts[2]))
+    times = times.select(F.col("source").alias("station_id"), F.lit("P").alias("phase"), F.col("node").alias("node_ix"), "time")
+    best = locate.located(locate.scored(a, locate.candidates(own, g, 0), times))
+    return best.select("event_id", "node_ix", r6(F.col("shift")).alias("shift"), F.round("misfit", 4).alias("misfit"))
 
 
 RUN = """

@@ -9,19 +9,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession, name: str = "") -> str:
     """A new path under spark.checkpoint.dir; without that setting, under a temporary folder on a local master, and under the warehouse on any other."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         named = tempfile.mkdtemp(prefix="stratum-tables-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stratum_tables"
-    return f"{named.rstrip('/')}/stratum/{uuid.uuid4().hex}"
+    return f"{named.rstrip('/')}/stratum/{name}{'-' if name else ''}{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, name: str = "") -> DataFrame:
     """df as a table in the shared folder: computed once, read from there."""
-    path = folder(df.sparkSession)
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stratum_path = path

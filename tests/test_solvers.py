@@ -230,3 +230,11 @@ def test_temperatures(spark):
     t = [r[0] for r in spark.range(1, 9).select(tempering.temperature(F.col("id"), 8, 2, 20.0)).collect()]
     assert t[:2] == [1.0, 1.0] and abs(t[-1] - 20) < 1e-12 and np.allclose(np.diff(np.log(t[1:])), np.log(20) / 6)
     assert pd.notna(t).all()
+
+
+@pytest.mark.parametrize("low,high,sd", [(-1.0, 1.0, 0.3), (0.0, 2.0, 1.0), (-3.0, 0.5, 2.0)])
+def test_distance_of_uniform_and_normal(low, high, sd):
+    x = np.linspace(low, high, 200_001)
+    normal = np.exp(-(x**2) / (2 * sd * sd)) / (sd * math.sqrt(2 * math.pi))
+    overlap = np.trapezoid(np.sqrt(normal / (high - low)), x)
+    assert abs(order_stats.hellinger_uniform_normal(low, high, sd) - math.sqrt(1 - overlap)) < 1e-8
