@@ -32,7 +32,7 @@ def stations_file(spark, sf_dir):
     return rounded(text.read_stations(spark, path), [])
 
 
-@query("SELECT obs_name, l_orderkey AS event_id, l_suppkey AS station_id, sum(round(v, 5)) AS value, phase FROM (SELECT 'times' AS obs_name, l_orderkey, l_suppkey, l_quantity / 8 AS v, l_returnflag AS phase FROM lineitem UNION ALL SELECT 'delays', l_orderkey, l_suppkey, l_discount, l_returnflag FROM lineitem) GROUP BY ALL")
+@query("SELECT obs_name, l_orderkey AS event_id, l_suppkey AS station_id, round(sum(round(v, 5)), 6) AS value, phase FROM (SELECT 'times' AS obs_name, l_orderkey, l_suppkey, l_quantity / 8 AS v, l_returnflag AS phase FROM lineitem UNION ALL SELECT 'delays', l_orderkey, l_suppkey, l_discount, l_returnflag FROM lineitem) GROUP BY ALL")
 def observations_file(spark, sf_dir):
     """Files of two observables, read as one table."""
     paths = {}
@@ -41,7 +41,7 @@ def observations_file(spark, sf_dir):
         rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("event_id"), F.col("l_suppkey").alias("station_id"), value.alias("observation"), F.col("l_returnflag").alias("phase"))
         text.write_lines(text.observation_lines(rows), paths[name])
     read = text.read_observations(spark, paths)
-    return read.groupBy("obs_name", "event_id", "station_id", "phase").agg(F.sum("value").alias("value"))
+    return read.groupBy("obs_name", "event_id", "station_id", "phase").agg(F.round(F.sum("value"), 6).alias("value"))
 
 
 @query("SELECT 6371.0::DOUBLE - p_size AS radius, 5 + p_size / 16 AS vp, 3 + p_size / 32 AS vs FROM part GROUP BY p_size")

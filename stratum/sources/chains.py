@@ -34,12 +34,12 @@ def chain_number(chains: int, chunk: int, chain: int) -> int:
 
 def load(spark: SparkSession, path: str, name: str, num_burn: int = 0, fields: list[str] | None = None) -> DataFrame:
     """A saved table without each chain's first num_burn saved models, and of some fields only."""
-    df = spark.read.parquet(f"{path}/{name}")
-    if fields is not None:
-        df = df.where(F.col("field").isin(fields))
+    whole = spark.read.parquet(f"{path}/{name}")
+    df = whole if fields is None else whole.where(F.col("field").isin(fields))
     if not num_burn:
         return df
     if name == "models":
         return drop_burn_in(df, ["chain"], ["iteration"], num_burn)
-    saved = drop_burn_in(df.select("chain", "iteration").distinct(), ["chain"], ["iteration"], num_burn)
+    # models are counted whether or not they have rows of the chosen fields
+    saved = drop_burn_in(whole.select("chain", "iteration").distinct(), ["chain"], ["iteration"], num_burn)
     return df.join(saved, ["chain", "iteration"], "left_semi")
