@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratum import session
+from stratum.store import drop_stored, stored
 
 #: Most rows (each of a few longs) that any operator here lets Spark broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
@@ -33,6 +32,14 @@ def ship(spark: SparkSession) -> None:
         spark.conf.set(most, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """run (batches to batches), whose task's memory goes back to the system when it ends: workers live on between tasks."""
 
@@ -40,45 +47,13 @@ def lean(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; on a local master without one, a temporary folder."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if named is None:
-        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            named = tempfile.mkdtemp(prefix="stratum-checkpoints-")
-        else:
-            named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stratum_checkpoints"
-        sc.setCheckpointDir(named)
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: lineage ends there and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stratum/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stratum_path = path
-    return out
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Delete a table that cut() wrote and nothing will read again."""
-    path = getattr(df, "_stratum_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: Write a table under a name in the shared folder and read it back (lineage ends there and any executor may be lost), and delete one that nothing will read again.
+cut, drop_cut = stored, drop_stored
 
 
 def keyed_bytes(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -8,7 +8,7 @@ bound: those whose ids hash lowest), of each TRAIN_PASSAGES passages at most (ev
 
 Cases: a null or empty text is one empty passage; without labels of both kinds every score is the mean label,
 or 0.5 without any; labels of a repeated doc_id are averaged; a null doc_id is never labelled nor held out;
-labels, lang, source and doc_id are no inputs; extra columns are ignored.
+labels, lang, source and doc_id are no inputs; repeated rows are scored alike; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratum.llm.common import lean, ship
+from stratum.llm.common import give_back, lean, ship
 from stratum.llm.suffix_order import runs
 
 PASSAGE, HIDDEN, ATTENTION = 64, 32, 16
@@ -171,8 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     if rows["y"].nunique() < 2:
         return float(rows["y"].mean()) if len(rows) else 0.5
     bags = [np.frombuffer(x, np.float32).reshape(-1, N_FEATURES) for x in rows["x"]]
-    sizes = np.array([len(b) for b in bags])
-    return trained(np.concatenate(bags), np.cumsum(sizes) - sizes, rows["y"].to_numpy(float))
+    sizes, y = np.array([len(b) for b in bags]), rows["y"].to_numpy(float)
+    x = np.concatenate(bags)
+    del rows, bags
+    model = trained(x, np.cumsum(sizes) - sizes, y)
+    del x
+    give_back()  # the driver goes on with the stages behind
+    return model
 
 
 def sampled(x: np.ndarray, most: int) -> np.ndarray:

@@ -11,7 +11,7 @@ verified for every unit (or text): the original library encodes it too, and a di
 the way back: a unit decoded from its ids is the unit, else round_trip is false.
 
 Cases: a null or empty text has no ids; user-defined and control pieces inside a text are ordinary text, as in the
-original; repeated rows each give a row; extra columns are ignored.
+original; repeated rows and rows with a null id each give a row; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ crosses, so nothing before it changes the tokens after it. If the overlap holds
 the rest of the text.
 
 Cases: a null or empty text has 0 tokens; text without any space is encoded whole after widening; special
-strings inside a text are handled as the library does by default; repeated rows each give a row.
+strings inside a text are handled as the library does by default; repeated rows and rows with a null id each give a row;
+an empty table gives none; extra columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ payload a smaller page_id has too become revisit records without the payload.
 
 Cases: a null payload is empty; a null url is written as urn:page:<id>; of repeated rows with the smallest
 page_id all are responses; a null page_id counts as larger than any, and revisits a response only if one has
-an id; a damaged archive raises WarcError. Extra columns are ignored.
+an id; a damaged archive raises WarcError. An empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
