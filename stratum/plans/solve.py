@@ -224,7 +224,7 @@ def ray_paths(spark, sf_dir):
     g, (lat, lon, r) = part_lattice(spark, sf_dir)
     n = lat[2] * lon[2] * r[2]
     own = table(spark, sf_dir, "customer").select((1 + F.col("c_nationkey") * 37 % n).cast("long").alias("source"), F.lit("P").alias("phase"), (1 + F.col("c_custkey") * 29 % n).cast("long").alias("receiver")).distinct()
-    return graph.traced(g, own, (lat[2], lon[2], r[2]), {"P": "v"}, side=5)
+    return graph.traced(g, own, (lat[2], lon[2], r[2]), {"P": "v"})
 
 
 PLACES = """
@@ -321,7 +321,7 @@ def relocate(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 30).alias("event_id"), (F.col("l_suppkey") % 25).alias("station_id"), F.lit("P").alias("phase"), F.col("l_quantity").alias("observed"), (1.0 + F.col("l_linenumber") / 10).alias("sigma"))
     key = F.col("event_id")
     own = a.select("event_id").distinct().select("event_id", (key % 10 + 1).alias("i"), (key * 3 % 10 + 1).alias("j"), (key % 2 + 1).alias("k"))
-    times = graph.relaxed(graph.edges(g, grid.neighbours(g, *counts)), grid.blocks_of(g, counts, 5), nation_sources(spark, sf_dir, counts[0] * counts[1] * counts[2]))
+    times = graph.relaxed(graph.edges(g, grid.neighbours(g, *counts)), grid.blocks_of(g, counts, graph.SIDE), nation_sources(spark, sf_dir, counts[0] * counts[1] * counts[2]))
     times = times.select(F.col("source").alias("station_id"), F.lit("P").alias("phase"), F.col("node").alias("node_ix"), "time")
     best = locate.located(locate.scored(a, locate.candidates(own, g, 0), times))
     return best.select("event_id", "node_ix", r6(F.col("shift")).alias("shift"), F.round("misfit", 4).alias("misfit"))
