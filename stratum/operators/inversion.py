@@ -19,7 +19,7 @@ from stratum.operators import forward, graph, sampler
 from stratum.operators import rays as ray_nodes
 from stratum.operators.index import dimension
 from stratum.operators.interpolate import reference_values
-from stratum.operators.moments import finished
+from stratum.operators.moments import finished, reciprocal
 from stratum.operators.nearest import nearest_cell_sums, nearest_cells
 from stratum.operators.select import cold, drop_burn_in, in_box
 from stratum.sources import chains as saved
@@ -182,7 +182,7 @@ def ensemble_velocities(models: DataFrame, cells: DataFrame, grid: DataFrame, co
     samples = wide.join(reference.select("node_ix", "vp", "vs"), "node_ix")
     p, s = tracing_velocity({f.name for f in fields}, F.col("vp"), F.col("vs"))
     samples = samples.select("node_ix", p.alias("p"), s.alias("s"))
-    means = samples.groupBy("node_ix").agg((1 / F.avg(1 / F.col("p"))).alias("vp"), (1 / F.avg(1 / F.col("s"))).alias("vs"))
+    means = samples.groupBy("node_ix").agg(*(reciprocal(F.avg(reciprocal(F.col(a)))).alias(b) for a, b in (("p", "vp"), ("s", "vs"))))
     return grid.join(means, "node_ix")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import special
-from stratum.operators import counted, directional, graph, grid, interpolate, nearest, order_stats, statics, tempering
+from stratum.operators import counted, directional, graph, grid, interpolate, moments, nearest, order_stats, statics, tempering
 
 
 def dense_statics(rows, sigma, damping, ties):
@@ -152,6 +152,12 @@ def test_splines_equal_a_dense_solution(spark):
                 assert np.allclose(own[c], not_a_knot(s, knots[:, k], at), atol=1e-8), ray
 
 
+def test_harmonic_mean_of_zero_velocity(spark):
+    df = spark.createDataFrame([(1, 0.0), (1, 2.0), (2, 2.0), (2, 4.0), (3, None)], "k long, v double")
+    got = {r["k"]: r["velocity"] for r in moments.harmonic_mean(df, ["k"], F.col("v")).collect()}
+    assert got[1] == 0.0 and abs(got[2] - 8 / 3) < 1e-12 and got[3] is None
+
+
 SPEC = (-0.05, 0.05, 6), (0.0, 0.08, 5), (6300.0, 6371.0, 4)
 
 
