@@ -20,9 +20,19 @@ def candidates(events: DataFrame, grid: DataFrame, half_width: int) -> DataFrame
 def scored(arrivals: DataFrame, nodes: DataFrame, times: DataFrame, sigma: Column | None = None) -> DataFrame:
     """(event_id, node_ix, shift, misfit, error): arrivals (event_id, station_id, phase, observed, sigma), candidate nodes, times (station_id, phase, node_ix, time). The shift of origin time is the weighted mean residual; misfit sums squared scaled residuals after it."""
     s = F.col("sigma") if sigma is None else sigma
-    r = arrivals.join(nodes, "event_id").join(times, ["station_id", "phase", "node_ix"]).select("event_id", "node_ix", (F.col("observed") - F.col("time")).alias("r"), s.alias("s"))
-    w = 1 / (F.col("s") * F.col("s"))
-    g = r.groupBy("event_id", "node_ix").agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * F.col("r")).alias("swr"), F.sum(w * F.col("r") * F.col("r")).alias("swrr"), F.sum("r").alias("sr"), F.sum(F.col("r") * F.col("r")).alias("srr"))
+    a = arrivals.select("event_id", "station_id", "phase", F.col("observed").alias("o"), (1 / (s * s)).alias("w"))
+    both = F.when(F.col("o").isNotNull(), F.col("w"))
+    # arrivals of one event, station and phase have one time at a node: their sums meet the nodes, not they; squares are about means, so that nothing cancels
+    sums = {"n": F.count("*"), "sw": F.sum("w"), "wo": F.sum(both), "swo": F.sum(F.col("w") * F.col("o")), "swoo": F.sum(F.col("w") * F.col("o") * F.col("o")), "no": F.count("o"), "so": F.sum("o"), "soo": F.sum(F.col("o") * F.col("o"))}
+    a = a.groupBy("event_id", "station_id", "phase").agg(*(c.alias(name) for name, c in sums.items()))
+    about = lambda square, total, number: F.greatest(F.lit(0.0), square - total * ratio(total, number))
+    r = a.join(nodes, "event_id").join(times, ["station_id", "phase", "node_ix"])
+    c, t = F.col, F.col("time")
+    wr, mean, plain = c("swo") - t * c("wo"), ratio(c("swo"), c("wo")) - t, ratio(c("so"), c("no")) - t
+    wrr = about(c("swoo"), c("swo"), c("wo")) + c("wo") * mean * mean
+    rr = about(c("soo"), c("so"), c("no")) + c("no") * plain * plain
+    r = r.select("event_id", "node_ix", "n", "sw", wr.alias("wr"), wrr.alias("wrr"), (c("so") - t * c("no")).alias("r"), F.when(c("no") > 0, rr).alias("rr"))
+    g = r.groupBy("event_id", "node_ix").agg(F.sum("n").alias("n"), F.sum("sw").alias("sw"), F.sum("wr").alias("swr"), F.sum("wrr").alias("swrr"), F.sum("r").alias("sr"), F.sum("rr").alias("srr"))
     shift = ratio(F.col("swr"), F.col("sw"))
     g = g.withColumn("shift", shift)
     misfit = F.greatest(F.lit(0.0), F.col("swrr") - F.col("shift") * F.col("swr"))
