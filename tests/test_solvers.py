@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratum.functions import special
-from stratum.operators import counted, directional, graph, grid, interpolate, moments, nearest, order_stats, statics, tempering
+from stratum.operators import counted, directional, graph, grid, interpolate, layers, locate, moments, nearest, order_stats, statics, tempering
 
 
 def dense_statics(rows, sigma, damping, ties):
@@ -177,6 +177,62 @@ def test_blocks_give_the_times_of_edge_by_edge_relaxation(spark, mean):
     assert graph.relaxed(e, grid.blocks_of(g, (6, 5, 4), 2), sources.limit(0)).count() == 0
 
 
+LONG = (-0.05, 0.05, 3), (0.0, 0.08, 2), (6300.0, 6371.0, 60)
+
+
+def test_layers_give_the_times_and_trees_of_blocks(spark, monkeypatch):
+    """A long lattice with nodes and whole layers left out, over slabs of 4 layers in groups of 3 and passes of 2 sources: trees of relaxed() and predecessors(), in jobs that don't follow its length."""
+    monkeypatch.setattr(layers, "LAYERS", 4)
+    monkeypatch.setattr(layers, "GROUP", 3)
+    monkeypatch.setattr(layers, "SOURCES", 2)
+    counts = 3, 2, 60
+    g = grid.lattice(spark, *LONG).withColumn("v", 5 + F.pmod(F.col("node_ix") * 7, F.lit(11)) / 3).where("node_ix % 13 <> 5 AND NOT k BETWEEN 45 AND 49")
+    pairs = grid.neighbours(g, *counts).join(g.select(F.col("node_ix").alias("neighbour_ix")), "neighbour_ix", "left_semi")
+    sources = spark.createDataFrame([(7, 1), (8, 120), (8, 60), (9, 355), (11, 217)], "source long, node long")
+    e = graph.edges(g, pairs)
+    want = graph.predecessors(graph.relaxed(e, grid.blocks_of(g, counts, 16), sources), e).collect()
+    want = {(r["source"], r["node_ix"]): (r["prev"], r["time"]) for r in want}
+    with_jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("layers", "layers")
+    rows = graph.lattice_trees(g, pairs, sources, counts).collect()
+    jobs = len(with_jobs.getJobIdsForGroup("layers"))
+    spark.sparkContext.setJobGroup("other", "other")
+    got = {(r["source"], r["node"]): (r["prev"], r["time"]) for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    assert {k[0] for k in got if k[1] > 300} == {9} and jobs < 120
+
+
+@pytest.mark.parametrize("wide", [0, 400])
+def test_paths_by_blocks_are_paths_by_nodes(spark, monkeypatch, wide):
+    monkeypatch.setattr(layers, "WIDE", wide)
+    monkeypatch.setattr(layers, "LAYERS", 4)
+    g = grid.lattice(spark, *LONG).withColumn("v", 5 + F.pmod(F.col("node_ix") * 7, F.lit(11)) / 3)
+    tree = graph.trees(g, spark.createDataFrame([(1,), (200,)], "source long"), (3, 2, 60), {"P": "v"})
+    receivers = spark.createDataFrame([(s, "P", n) for s in (1, 200) for n in (1, 2, 77, 200, 300, 360)], "source long, phase string, receiver long")
+    one = sorted(map(tuple, graph.paths(tree, receivers).collect()))
+    assert one == sorted(map(tuple, graph.paths(tree, receivers, counts=(3, 2, 60)).collect())) and len(one) > 300
+    with pytest.raises(ValueError):
+        graph.paths(tree, receivers, most=20, counts=(3, 2, 60))
+
+
+def test_scores_of_summed_arrivals(spark):
+    """Arrivals of one event, station and phase are summed before they meet the nodes; the misfit is that of each arrival."""
+    rng = np.random.default_rng(3)
+    rows = [(int(e), int(s), "P", float(o), float(w)) for e, s, o, w in zip(rng.integers(0, 2, 80), rng.integers(0, 3, 80), rng.uniform(1, 50, 80), rng.uniform(1, 2, 80))]
+    arrivals = spark.createDataFrame([*rows, (0, 1, "P", None, 1.0)], "event_id long, station_id long, phase string, observed double, sigma double")
+    nodes = spark.createDataFrame([(e, n) for e in (0, 1) for n in (1, 2)], "event_id long, node_ix long")
+    times = {(s, n): float(10 * s + n) for s in range(3) for n in (1, 2)}
+    t = spark.createDataFrame([(s, "P", n, x) for (s, n), x in times.items()], "station_id long, phase string, node_ix long, time double")
+    scored = locate.scored(arrivals, nodes, t)
+    for r in scored.where("event_id = 1").collect():
+        own = [(o - times[s, r["node_ix"]], 1 / w**2) for e, s, _, o, w in rows if e == 1]
+        x, w = map(np.array, zip(*own))
+        shift = (w * x).sum() / w.sum()
+        assert abs(r["shift"] - shift) < 1e-9 and abs(r["misfit"] - (w * (x - shift) ** 2).sum()) < 1e-6 and abs(r["error"] - np.sqrt(((x - shift) ** 2).mean())) < 1e-9
+    assert scored.where("event_id = 0 AND misfit IS NOT NULL").count() == 2
+
+
 def test_trees_leave_out_nodes_without_velocity(spark):
     g = nodes(spark).withColumn("v", F.when(F.col("k") == 3, 0.0).otherwise(F.col("v")))
     t = graph.trees(g, spark.createDataFrame([(1,)], "source long"), (6, 5, 4), {"P": "v"}, side=2).collect()
