@@ -67,8 +67,12 @@ def conjugate_gradients(diagonal: DataFrame, others: DataFrame, steps: int = STE
     numbers that the driver sees. The preconditioner takes the unknowns of a tied group as their common value and departures from it, so stiff ties cost no steps.
     Ends after `steps`, or when the residual's size is `tolerance` of the first one's.
     """
+    # unknowns are numbered once, so that steps move and compare numbers, not names
+    named = stored(diagonal.withColumn("n", F.monotonically_increasing_id()))
+    number = lambda u, n: named.select(F.col("u").alias(u), F.col("n").alias(n))
     # tasks of one step read the diagonal and entries as they are stored; only the vectors are written anew
-    fixed, entries = stored(diagonal), stored(others)
+    fixed = stored(named.join(number("group", "g"), "group", "left").select("n", F.coalesce("g", "n").alias("group"), "root", "plain", "tied", "b"))
+    entries = stored(others.join(number("u", "n"), "u").join(number("to", "m"), "to").select("n", "m", "w"))
     whole = Window.partitionBy("group")
 
     def preconditioned(rows: DataFrame) -> DataFrame:
@@ -77,11 +81,13 @@ def conjugate_gradients(diagonal: DataFrame, others: DataFrame, steps: int = STE
 
     def with_product(rows: DataFrame) -> DataFrame:
         """rows with az: the matrix times z."""
-        part = entries.join(rows.select(F.col("u").alias("to"), "z"), "to").groupBy("u").agg(F.sum(F.col("w") * F.col("z")).alias("sum"))
-        return rows.join(part, "u", "left").withColumn("az", (F.col("plain") + F.col("tied")) * F.col("z") + F.coalesce("sum", F.lit(0.0))).drop("sum")
+        # entries are passed by a hash of the vector's part, not sorted
+        vector = rows.select(F.col("n").alias("m"), "z").hint("shuffle_hash")
+        part = entries.join(vector, "m").groupBy("n").agg(F.sum(F.col("w") * F.col("z")).alias("sum"))
+        return rows.join(part, "n", "left").withColumn("az", (F.col("plain") + F.col("tied")) * F.col("z") + F.coalesce("sum", F.lit(0.0))).drop("sum")
 
     zero = F.lit(0.0)
-    now = stored(preconditioned(fixed.select("u", "group", "root", "plain", "tied", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("ap"))))
+    now = stored(preconditioned(fixed.select("n", "group", "root", "plain", "tied", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("ap"))))
     before, alpha, first = None, None, None
     for step in range(steps):
         wide = stored(with_product(now))
@@ -101,7 +107,7 @@ def conjugate_gradients(diagonal: DataFrame, others: DataFrame, steps: int = STE
         drop_stored(wide)
     drop_stored(fixed)
     drop_stored(entries)
-    return now.select("u", F.col("x").alias("value"))
+    return named.join(now.select("n", F.col("x").alias("value")), "n").select("u", "value")
 
 
 def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
