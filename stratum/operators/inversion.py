@@ -1,7 +1,7 @@
 """A run from parameters and tables to saved chains: the problem's assembly, the sampler, and what is kept of it.
 
-The node table of all rays, with the observations, is what every chain needs whole: it is counted, then brought to
-the driver once and broadcast. Chains are what Spark spreads; everything saved is tables.
+The node table of all rays, with the observations, is what every chain needs whole: it is counted, and goes from a
+table to each chain's task, not through the driver. Chains are what Spark spreads; everything saved is tables.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import math
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,8 @@ class Named:
         return forward.slowness(self.name, {**columns, **values})
 
 
-def build_rays(nodes: DataFrame, observations: DataFrame, forwards: dict[str, str], references: DataFrame | None = None) -> sampler.Rays:
-    """Rays of observations (obs_name, ray_id, event_id, station_id, value) over a node table (ray_id, node_ix, x, y, z, columns of NODE). forwards: the forward function of each observable. references: (ray_id, ref_t), which travel times are relative to. A ray of two observables counts for each; observations without nodes are left out."""
+def ray_rows(nodes: DataFrame, observations: DataFrame, forwards: dict[str, str], references: DataFrame | None = None) -> DataFrame:
+    """A row of numbers for each node of each observed ray: what rays_of() takes. Arguments as for build_rays()."""
     own = observations.where(F.col("obs_name").isin(list(forwards))).withColumn("value", F.col("value").cast("double"))
     if references is not None:
         own = own.join(references.select("ray_id", "ref_t"), "ray_id", "left").withColumn("ref_t", F.coalesce("ref_t", F.lit(0.0)))
@@ -51,22 +52,32 @@ def build_rays(nodes: DataFrame, observations: DataFrame, forwards: dict[str, st
     n = nodes
     if "lat" not in nodes.columns:
         n = n.withColumns(dict(zip(("lat", "lon", "r"), to_geographic(F.col("x"), F.col("y"), F.col("z")), strict=True)))
-    total = n.join(own.select("ray_id"), "ray_id").count()
+    number = F.create_map(*(F.lit(x) for pair in enumerate(forwards) for x in reversed(pair)))[F.col("obs_name")]
+    rows = own.join(n.select("ray_id", "node_ix", *NODE), "ray_id").withColumn("seg_len", F.coalesce("seg_len", F.lit(0.0)))
+    rows = stored(rows.select(number.cast("long").alias("observable"), "event_id", "station_id", "ray_id", "node_ix", "value", "ref_t", *NODE))
+    total = rows.count()
     if total > MOST_NODES:
         raise ValueError(f"{total} nodes: a run takes {MOST_NODES} at most")
-    rows = own.join(n.select("ray_id", "node_ix", *NODE), "ray_id").withColumn("seg_len", F.coalesce("seg_len", F.lit(0.0))).toPandas()
-    names = list(forwards)
-    rows["observable"] = rows["obs_name"].map(names.index)
+    return rows
+
+
+def rays_of(rows: pd.DataFrame, forwards: dict[str, str]) -> sampler.Rays:
+    """ray_rows() as arrays."""
     rows = rows.sort_values(["observable", "event_id", "station_id", "ray_id", "node_ix"], kind="stable").reset_index(drop=True)
     keys = rows[["observable", "event_id", "station_id", "ray_id"]]
     first = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
     head = rows.iloc[first]
-    timed = np.array([f.startswith("tt_") for f in forwards.values()])[head["observable"]]
+    timed = np.array([f.startswith("tt_") for f in forwards.values()])[head["observable"].to_numpy(np.int64)]
     observed = head["value"].to_numpy(float) + np.where(timed, head["ref_t"].to_numpy(float), 0.0)
     columns = {c: rows[c].to_numpy(float) for c in NODE}
     return sampler.Rays(columns, first, observed, tuple(map(Named, forwards.values())), head["observable"].to_numpy(np.int64), head["event_id"].to_numpy(), head["station_id"].to_numpy())
 
 
+def build_rays(nodes: DataFrame, observations: DataFrame, forwards: dict[str, str], references: DataFrame | None = None) -> sampler.Rays:
+    """Rays of observations (obs_name, ray_id, event_id, station_id, value) over a node table (ray_id, node_ix, x, y, z, columns of NODE). forwards: the forward function of each observable. references: (ray_id, ref_t), which travel times are relative to. A ray of two observables counts for each; observations without nodes are left out."""
+    return rays_of(ray_rows(nodes, observations, forwards, references).toPandas(), forwards)
+
+
 def build_fields(config: Config, squeeze: bool = False) -> tuple[sampler.Field, ...]:
     """Sampled fields of a configuration: angles in degrees and elevations in km become radians and radii. vlims: low and high, then mean and deviation of priors that have them."""
     out = []
@@ -132,10 +143,20 @@ def run(spark: SparkSession, config: Config, nodes: DataFrame, observations: Dat
     """(models, nuclei) of a chunk of chains, from a configuration, the node table of its rays and the observations; saved under path with the configuration, if given. Chains of further chunks get further numbers."""
     check(config, set(forward.REGISTRY))
     forwards = {o.name: o.forward_name for o in config.observables if o.forward_name}
-    rays = build_rays(nodes, observations, forwards, references)
+    rows = ray_rows(nodes, observations, forwards, references)
     wanted = [k for k, o in enumerate(o for o in config.observables if o.forward_name) if o.demean]
-    s, more = build_settings(config, demeaned(rays, build_fields(config), wanted) if wanted else rays)
-    models, cells = sampler.run(spark, s, seed=seed * 1000 + chunk, **more)
+    s, more = build_settings(config, None)
+    fields = build_fields(config)
+
+    def made(nodes_: pd.DataFrame) -> sampler.Rays:
+        rays = rays_of(nodes_, forwards)
+        return demeaned(rays, fields, wanted) if wanted else rays
+
+    def counts() -> np.ndarray:
+        own = rows.select("observable", "event_id", "station_id", "ray_id").distinct().groupBy("observable").count().collect()
+        return np.bincount([r["observable"] for r in own], [r["count"] for r in own], len(forwards))
+
+    models, cells = sampler.run(spark, s, seed=seed * 1000 + chunk, **more, rays=(rows, made, counts))
     number = F.col("chain") + more["chains"] * (chunk - 1)
     models, cells = models.withColumn("chain", number), cells.withColumn("chain", number)
     if path is not None:

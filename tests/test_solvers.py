@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -233,6 +234,22 @@ def test_scores_of_summed_arrivals(spark):
     assert scored.where("event_id = 0 AND misfit IS NOT NULL").count() == 2
 
 
+def test_rays_of_a_run_do_not_pass_through_the_driver(spark, monkeypatch):
+    from stratum.plans import solve
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    nodes_, observations, references = solve.supplier_rays(spark, sf)
+    whole = type(nodes_)
+
+    def refused(*_):
+        raise AssertionError("a table gathered on the driver")
+
+    monkeypatch.setattr(whole, "toPandas", refused)
+    assert solve.rjmcmc_rays(spark, sf).count() == 44
+
+
 def test_trees_leave_out_nodes_without_velocity(spark):
     g = nodes(spark).withColumn("v", F.when(F.col("k") == 3, 0.0).otherwise(F.col("v")))
     t = graph.trees(g, spark.createDataFrame([(1,)], "source long"), (6, 5, 4), {"P": "v"}, side=2).collect()
