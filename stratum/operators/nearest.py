@@ -21,6 +21,8 @@ MODELS, POINTS, AT_ONCE = 100_000, 8192, 4096
 PART, MOST_PARTS = 16_384, 200_000
 #: Nuclei in a leaf of a tree, pairs of point and leaf compared at once, and bits of a place's number on each axis.
 LEAF, PAIRS, BITS = 32, 1 << 14, 12
+#: Nodes on a side of a cube of a lattice, whose nuclei are picked together.
+CUBE = 8
 #: Squares are sums of rounded products: boxes this much further than the best one are opened as well.
 SLACK = 1 + 1e-12
 
@@ -359,6 +361,101 @@ def cell_neighbours(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     return touching.groupBy("a", "b").agg(F.count("*").alias("faces"))
 
 
+def distance2(x: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """Squared distances of all places of a small lattice (places of each axis) from nuclei x, summed coordinate by coordinate."""
+    a, b, c = (np.square(places[:, None] - x[:, k]) for k, places in enumerate(at))
+    return (a[:, None, None] + b[None, :, None]) + c[None, None, :]
+
+
+def lattice_labels(x: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
+    """The nearest of nuclei x to each place of a lattice (places of each axis); of equally near ones the first. The lattice is cut into cubes, which meet only the nuclei that can be nearest in them."""
+    out, tree = np.empty([len(a) for a in at], np.int64), None
+    for cube in np.ndindex(*(-(-len(a) // CUBE) for a in at)):
+        own = tuple(slice(c * CUBE, (c + 1) * CUBE) for c in cube)
+        some = [a[s] for a, s in zip(at, own, strict=True)]
+        least, most = np.zeros(len(x)), np.zeros(len(x))
+        for k, places in enumerate(some):
+            low, high = places[0] - x[:, k], x[:, k] - places[-1]
+            least += np.square(np.maximum(0.0, np.maximum(low, high)))
+            most += np.square(np.maximum(np.abs(low), np.abs(high)))
+        near = np.flatnonzero(least <= most.min() * SLACK)
+        if len(near) == 1:
+            out[own] = near[0]
+        elif len(near) <= AT_ONCE:
+            out[own] = near[distance2(x[near], some).argmin(-1)]
+        else:
+            tree = tree or Tree(x)
+            out[own] = tree.nearest(np.stack(np.meshgrid(*some, indexing="ij"), -1).reshape(-1, 3))[0].reshape(out[own].shape)
+    return out
+
+
+def borders(label: np.ndarray, own: list[int], of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, faces): labels (under `of`) of neighbouring nodes that differ, a < b. A pair is counted where its corner (the lower place on every axis) is among the `own` first places of each axis."""
+    codes = []
+    for step in np.ndindex(3, 3, 3):
+        step = [s - 1 for s in step]
+        if step <= [0, 0, 0]:
+            continue  # the other way round
+        one, two = [], []
+        for d, n, have in zip(step, own, label.shape, strict=True):
+            end = min(n, have - abs(d))
+            one.append(slice(d < 0, end + (d < 0)))
+            two.append(slice(d > 0, end + (d > 0)))
+        a, b = label[tuple(one)].ravel(), label[tuple(two)].ravel()
+        other = a != b
+        a, b = a[other], b[other]
+        codes.append(np.minimum(a, b) * of + np.maximum(a, b))
+    code, faces = np.unique(np.concatenate(codes), return_counts=True)
+    return code // of, code % of, faces
+
+
+def lattice_borders(nuclei: DataFrame, coords: list[str], axes: list[tuple[float, float, int]], nucleus: str = "nucleus_ix") -> DataFrame:
+    """cell_neighbours() of the nearest cells of a regular lattice (axes: least and greatest place and their number, for three coords), without a row for a node or a pair.
+
+    The lattice is dealt to tasks in blocks, which overlap by a node. A block gets the nuclei that can be nearest to one of its nodes: no further from its box than the nucleus
+    nearest to its middle is from the middle, and half its diagonal. Its nodes are made, labelled and counted there; only faces by pairs of cells leave it. A block has at least
+    as many nodes as there are nuclei, so at most a row for each node is shuffled, however the nuclei lie.
+    """
+    spark = nuclei.sparkSession
+    ship(spark)
+    xs = [F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(coords)]
+    # of nuclei at one place only the lowest can be nearest
+    own = stored(nuclei.select(F.col(f"`{nucleus}`").alias("nucleus"), *xs).where("x0 IS NOT NULL AND x1 IS NOT NULL AND x2 IS NOT NULL").groupBy("x0", "x1", "x2").agg(F.min("nucleus").alias("nucleus")))
+    count = own.count()
+    side = CUBE * max(3, -(-(round(count ** (1 / 3)) + 2) // CUBE)) - 1
+    blocks = [-(-n // side) for _, _, n in axes]
+    total = blocks[0] * blocks[1] * blocks[2]
+    number, step, boxes = F.col("block"), 1, spark.range(total).withColumnRenamed("id", "block")
+    for k, ((low, high, n), many) in enumerate(zip(axes, blocks, strict=True)):
+        first = F.pmod(F.floor(number / step), F.lit(many)) * side
+        place = lambda i, low=low, high=high, n=n: F.lit(low) + (high - low) * i / max(1, n - 1)
+        boxes = boxes.withColumns({f"low{k}": place(first), f"high{k}": place(F.least(first + side, F.lit(n - 1)))})
+        step *= many
+    middle = [((F.col(f"low{k}") + F.col(f"high{k}")) / 2).alias(f"x{k}") for k in range(3)]
+    near = nearest_cells(boxes.select("block", *middle), own.withColumn("v", F.lit(0.0)), [], ["x0", "x1", "x2"], point="block", nucleus="nucleus").select("block", "d2")
+    half = F.sqrt(sum((F.col(f"high{k}") - F.col(f"low{k}")) * (F.col(f"high{k}") - F.col(f"low{k}")) for k in range(3))) / 2
+    boxes = stored(boxes.join(near, "block").withColumn("reach", (F.sqrt("d2") + half) * (1 + 1e-9)))
+    gap = [F.greatest(F.lit(0.0), F.col(f"low{k}") - F.col(f"x{k}"), F.col(f"x{k}") - F.col(f"high{k}")) for k in range(3)]
+    spread = own.repartition(max(1, min(20_000, count * total // 1_000_000)), "nucleus")
+    met_ = spread.join(F.broadcast(boxes), sum(g * g for g in gap) <= F.col("reach") * F.col("reach")).select("block", "nucleus", "x0", "x1", "x2")
+
+    def found(key, t):
+        at, rest, mine = [], key[0].as_py(), []
+        for (low, high, n), many in zip(axes, blocks, strict=True):
+            first = rest % many * side
+            rest //= many
+            at.append(low + (high - low) * np.arange(first, min(n, first + side + 1)) / max(1, n - 1))
+            mine.append(min(side, n - first))
+        t = t.sort_by("nucleus")
+        a, b, faces = borders(lattice_labels(np.stack([t.column(f"x{k}").to_numpy() for k in range(3)], 1), at), mine, len(t))
+        name = t.column("nucleus").combine_chunks()
+        return pa.table({"a": name.take(pa.array(a)), "b": name.take(pa.array(b)), "faces": pa.array(faces, pa.int64())})
+
+    kind = own.schema["nucleus"].dataType.simpleString()
+    parts = met_.repartition(min(total, 20_000), "block").groupBy("block").applyInArrow(found, f"a {kind}, b {kind}, faces long")
+    return parts.groupBy("a", "b").agg(F.sum("faces").alias("faces"))
+
+
 def nearest_value(queries: DataFrame, axis: DataFrame, query: str, position: str, index: str) -> DataFrame:
     """Each query with the index of the nearest value of a short axis (one array; lowest index of equally near ones), so that queries aren't shuffled or multiplied."""
     held = fresh(queries, "_axis")

@@ -302,12 +302,11 @@ SELECT x.cell AS a, y.cell AS b, count(*) AS faces FROM c x JOIN c y ON abs(x.i
 def cell_neighbours(spark, sf_dir):
     """Neighbours in space of the cells of all vectors, as a lattice resolves them."""
     names = ["c1", "c2", "c3"]
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.lit(0.0).alias("v"), *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
+    v = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)))
     k = v.agg(F.count("*").alias("n"), *(f(c).alias(f"{f.__name__}_{c}") for c in names for f in (F.min, F.max))).first()
     n = 8 + k["n"] // 250
-    g = grid.lattice(spark, *((k[f"min_{c}"], k[f"max_{c}"], n) for c in names)).select("node_ix", "i", "j", "k", F.col("lat").alias("c1"), F.col("lon").alias("c2"), F.col("r").alias("c3"))
-    labels = nearest.nearest_cells(g.select("node_ix", *names), v, [], names, point="node_ix", nucleus="vec_id").select("node_ix", F.col("vec_id").alias("nucleus_ix"))
-    return nearest.cell_neighbours(labels, grid.neighbours(g, n, n, n))
+    axes = [(k[f"min_{c}"] or 0.0, k[f"max_{c}"] or 0.0, n) for c in names]
+    return nearest.lattice_borders(v, names, axes, "vec_id")
 
 
 @query(travel_sql() + """,

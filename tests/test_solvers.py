@@ -305,6 +305,47 @@ def test_cell_neighbours(spark):
     assert rows == want and set(rows) == {(1, 2), (1, 3), (2, 3)}
 
 
+@pytest.mark.parametrize("most", [nearest.AT_ONCE, 1])
+def test_borders_of_a_lattice_by_blocks(spark, monkeypatch, most):
+    monkeypatch.setattr(nearest, "AT_ONCE", most)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    x[50:] = x[:10]  # at one place the lowest counts
+    x[0] = 40.0  # most of the lattice is far from all but one
+    nuclei = spark.createDataFrame([(100 - i, *map(float, p)) for i, p in enumerate(x)], "id long, c1 double, c2 double, c3 double")
+    counts, low, high = (30, 7, 26), x.min(0), x.max(0)
+    for share in (1.0, 0.1):
+        axes = [(float(a), float(a + (b - a) * share), n) for a, b, n in zip(low, high, counts, strict=True)]
+        g = grid.lattice(spark, *axes).select("node_ix", F.col("lat").alias("c1"), F.col("lon").alias("c2"), F.col("r").alias("c3"))
+        at = g.orderBy("node_ix").toPandas()[["c1", "c2", "c3"]].to_numpy()
+        d2 = sum((at[:, None, k] - x[None, ::-1, k]) ** 2 for k in range(3))
+        label = (d2.argmin(1) + 41).reshape(counts[::-1])
+        want = {}
+        for k, j, i in np.ndindex(label.shape):
+            for near in label[max(0, k - 1) : k + 2, max(0, j - 1) : j + 2, max(0, i - 1) : i + 2].ravel():
+                if label[k, j, i] < near:
+                    want[label[k, j, i], near] = want.get((label[k, j, i], near), 0) + 1
+        got = nearest.lattice_borders(nuclei, ["c1", "c2", "c3"], axes, "id").collect()
+        assert len(want) > 20 and {(r["a"], r["b"]): r["faces"] for r in got} == want and len(got) == len(want)
+
+
+def test_pairs_of_nodes_are_no_rows(spark, monkeypatch, tmp_path):
+    """Pairs of neighbouring nodes grow with the cube of the vectors: no table holds them or the nodes."""
+    from stratum.plans import solve
+
+    spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * (k + 1) * 1.7).cast("float") for k in range(4))).alias("embedding")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = solve.cell_neighbours(spark, str(tmp_path)).collect()
+
+    def refused(*_):
+        raise AssertionError("rows for each node")
+
+    monkeypatch.setattr(grid, "lattice", refused)
+    monkeypatch.setattr(grid, "neighbours", refused)
+    assert sorted(solve.cell_neighbours(spark, str(tmp_path)).collect()) == sorted(want) and want
+    spark.range(0).select(F.col("id").alias("vec_id"), F.array().cast("array<float>").alias("embedding")).write.parquet(f"{tmp_path}/none/embeddings.parquet")
+    assert solve.cell_neighbours(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_temperatures(spark):
     t = [r[0] for r in spark.range(1, 9).select(tempering.temperature(F.col("id"), 8, 2, 20.0)).collect()]
     assert t[:2] == [1.0, 1.0] and abs(t[-1] - 20) < 1e-12 and np.allclose(np.diff(np.log(t[1:])), np.log(20) / 6)
