@@ -38,6 +38,8 @@ def bias(t: dict[str, Column] | None = None) -> Column:
 AXES = [f"{name}{k}" for name in ("lambda", "x", "y", "z") for k in (1, 2, 3)]
 #: Sweeps of three rotations; off-diagonal parts shrink by their square with each, so a handful reaches the last bit.
 SWEEPS = 8
+#: Samples whose arrays a task makes.
+TOGETHER = 200_000
 VECTORS = tuple(f"v{i}{j}" for i in range(1, 4) for j in range(1, 4))
 
 
@@ -141,12 +143,22 @@ def directional_tendencies(samples: DataFrame, keys: list[str], f: Column, azimu
     """Tendencies of strength, projection and angle (long in field), limits giving each one's prior range, with the strength-weighted mean and median of the angle; each weight stays with its sample."""
     from stratum.operators import order_stats
 
-    axes = with_axes(mean_tensor(samples, keys, f, azimuth, elevation))
-    d = deviations(samples, axes, keys, f, azimuth, elevation)
-    out = None
-    for name, (low, high) in limits.items():
-        one = order_stats.tendencies(d, keys, F.col(name), low, high, level).withColumn("field", F.lit(name))
-        out = one if out is None else out.unionByName(one)
+    fa, az, el = (fresh(samples, c) for c in ("_f", "_azimuth", "_elevation"))
+    samples = samples.select(*keys, f.alias(fa), azimuth.alias(az), elevation.alias(el))
+    columns = F.col(fa), F.col(az), F.col(el)
+    axes = with_axes(mean_tensor(samples, keys, *columns))
+    # whole groups, in as many tasks as samples ask for; both sides of the join are dealt alike, so one shuffle of samples serves it and the arrays
+    tasks = max(1, -(-samples.count() // TOGETHER))
+    d = deviations(samples.repartition(tasks, *keys), axes.repartition(tasks, *keys), keys, *columns)
     weight, angle = F.col("strength"), F.col("angle")
-    w = order_stats.weighted_mean(d, keys, angle, weight).join(order_stats.weighted_median(d, keys, angle, weight), keys)
-    return out.join(w, keys).withColumns({c: F.when(F.col("field") == "angle", F.col(c)) for c in ("weighted_mean", "weighted_median")})
+    pairs = F.array_sort(F.collect_list(F.struct(angle.alias("x"), weight.alias("w")))).alias("_pairs")
+    others = [name for name in limits if name != "angle"]
+    mean = ratio(F.sum(angle * weight), F.sum(weight)).alias("weighted_mean")
+    g = d.groupBy(*keys).agg(pairs, F.sum(weight).alias("_total"), mean, *(F.avg(n).alias(f"_mean_{n}") for n in limits), *(F.sort_array(F.collect_list(n)).alias(f"_s_{n}") for n in others))
+    # pairs are sorted by angle first
+    s = {name: F.transform("_pairs", lambda p: p["x"]) if name == "angle" else F.col(f"_s_{name}") for name in limits}
+    fields = F.array(*(F.struct(F.lit(name).alias("field"), F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"), F.col(f"_mean_{name}").alias("mean"), s[name].alias("s")) for name, (low, high) in limits.items()))
+    long = g.select(*keys, F.explode(fields).alias("_t"), "weighted_mean", order_stats.middle_weight(F.col("_pairs"), F.col("_total")).alias("weighted_median"))
+    t = F.col("_t")
+    own = [F.when(t["field"] == "angle", F.col(c)).alias(c) for c in ("weighted_mean", "weighted_median")]
+    return long.select(*keys, t["mean"].alias("mean"), *order_stats.statistics(t["s"], t["low"], t["high"], level), t["field"].alias("field"), *own)

@@ -115,14 +115,18 @@ def kolmogorov_uniform(s: Column, low: Column | float, high: Column | float) ->
     return F.array_max(gaps)
 
 
+def statistics(s: Column, low: Column | float, high: Column | float, level: float = 0.9, quantiles: tuple[float, ...] = (0.25, 0.75)) -> list[Column]:
+    """The columns of tendencies() from median to mode, of a sorted array."""
+    (mi1, mi2), (lh1, lh2), (hd1, hd2) = median_interval(s, level), low_high_interval(s, level), densest_interval(s, level)
+    return [quantile(s, 0.5).alias("median"), *(quantile(s, q).alias(f"q{i}") for i, q in enumerate(quantiles, 1)), mi1.alias("mi_lo"), mi2.alias("mi_hi"), lh1.alias("lhi_a"), lh2.alias("lhi_b"), hd1.alias("hdi_lo"), hd2.alias("hdi_hi"), hellinger_uniform(s, low, high).alias("hval"), mode(s).alias("mode")]
+
+
 def tendencies(samples: DataFrame, keys: list[str], value: Column, low: float, high: float, level: float = 0.9, quantiles: tuple[float, ...] = (0.25, 0.75), distance: Column | None = None) -> DataFrame:
     """Mean, median, quantiles, the three intervals, Hellinger distance from a uniform prior, binned mode and mean distance to the nearest nucleus."""
     extra = [] if distance is None else [F.avg(distance).alias("ndist")]
     g = samples.groupBy(*keys).agg(F.avg(value).alias("mean"), F.sort_array(F.collect_list(value)).alias("s"), *extra)
-    s = F.col("s")
-    (mi1, mi2), (lh1, lh2), (hd1, hd2) = median_interval(s, level), low_high_interval(s, level), densest_interval(s, level)
-    cols = [F.col("mean"), quantile(s, 0.5).alias("median"), *(quantile(s, q).alias(f"q{i}") for i, q in enumerate(quantiles, 1)), mi1.alias("mi_lo"), mi2.alias("mi_hi"), lh1.alias("lhi_a"), lh2.alias("lhi_b"), hd1.alias("hdi_lo"), hd2.alias("hdi_hi"), hellinger_uniform(s, low, high).alias("hval"), *(["ndist"] if extra else [])]
-    return g.select(*keys, *cols, mode(s).alias("mode"))
+    *cols, last = statistics(F.col("s"), low, high, level, quantiles)
+    return g.select(*keys, "mean", *cols, *(["ndist"] if extra else []), last)
 
 
 def pivoted(long: DataFrame, point: str, field: str, fields: list[str], stats: list[str]) -> DataFrame:
@@ -134,10 +138,14 @@ def pivoted(long: DataFrame, point: str, field: str, fields: list[str], stats: l
 def weighted_median(samples: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:
     """Lowest value at which the running weight reaches half of the whole; each weight stays with its value."""
     g = samples.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(value.alias("x"), weight.alias("w")))).alias("p"), F.sum(weight).alias("total"))
-    fold = F.aggregate(
-        "p", F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("x")), lambda acc, p: F.struct((acc["w"] + p["w"]).alias("w"), F.coalesce(acc["x"], F.when(acc["w"] + p["w"] >= F.col("total") / 2, p["x"])).alias("x")), lambda acc: acc["x"]
-    )
-    return g.select(*keys, fold.alias("weighted_median"))
+    return g.select(*keys, middle_weight(F.col("p"), F.col("total")).alias("weighted_median"))
+
+
+def middle_weight(p: Column, total: Column) -> Column:
+    """weighted_median() of a sorted array of structs (x, w) whose weights have this total."""
+    start = F.struct(F.lit(0.0).alias("w"), F.lit(None).cast("double").alias("x"))
+    step = lambda acc, p: F.struct((acc["w"] + p["w"]).alias("w"), F.coalesce(acc["x"], F.when(acc["w"] + p["w"] >= total / 2, p["x"])).alias("x"))
+    return F.aggregate(p, start, step, lambda acc: acc["x"])
 
 
 def weighted_mean(samples: DataFrame, keys: list[str], value: Column, weight: Column) -> DataFrame:

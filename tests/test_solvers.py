@@ -346,6 +346,23 @@ def test_pairs_of_nodes_are_no_rows(spark, monkeypatch, tmp_path):
     assert solve.cell_neighbours(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_directional_tendencies_deal_samples_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(int(k), *map(float, v)) for k, v in zip(rng.integers(0, 12, 900), rng.normal(size=(900, 3)), strict=True)]
+    df = spark.createDataFrame([*rows, (12, 1.0, 0.5, 0.5), (13, 0.0, 0.0, 0.0), (None, 1.0, 1.0, 1.0)], "k int, f double, az double, el double")
+    columns, limits = [F.col(c) for c in ("f", "az", "el")], {"strength": (0.0, 4.0), "prj": (0.0, 4.0), "angle": (0.0, math.pi / 2)}
+    monkeypatch.setattr(directional, "TOGETHER", 60)
+    got = directional.directional_tendencies(df, ["k"], *columns, limits)
+    assert got.rdd.getNumPartitions() >= len(rows) // 60  # was a fixed number, so a task's samples grew with the table
+    d = directional.deviations(df, directional.with_axes(directional.mean_tensor(df, ["k"], *columns)), ["k"], *columns)
+    text = lambda df: sorted(str([c if not isinstance(c, float) else f"{c:.9g}" for c in r]) for r in df.collect())
+    for name, (low, high) in limits.items():
+        assert text(got.where(F.col("field") == name).drop("field", "weighted_mean", "weighted_median")) == text(order_stats.tendencies(d, ["k"], F.col(name), low, high))
+    weighted = order_stats.weighted_mean(d, ["k"], F.col("angle"), F.col("strength")).join(order_stats.weighted_median(d, ["k"], F.col("angle"), F.col("strength")), "k")
+    assert text(got.where("field = 'angle'").select("k", "weighted_mean", "weighted_median")) == text(weighted)
+    assert got.count() == 3 * 14 and got.where("field <> 'angle' AND weighted_mean IS NOT NULL").count() == 0
+
+
 def test_temperatures(spark):
     t = [r[0] for r in spark.range(1, 9).select(tempering.temperature(F.col("id"), 8, 2, 20.0)).collect()]
     assert t[:2] == [1.0, 1.0] and abs(t[-1] - 20) < 1e-12 and np.allclose(np.diff(np.log(t[1:])), np.log(20) / 6)
