@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratum.operators import order_stats
 from stratum.operators.select import fresh
-from stratum.store import stored
+from stratum.store import drop_stored, stored
 
 
 def equal_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -25,22 +25,22 @@ def equal_join(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner")
     return a.join(b.withColumnsRenamed(names), on, how).drop(*names.values())
 
 
-def running(rows: DataFrame, order: list[str], count: str, name: str) -> DataFrame:
-    """rows with the sum of count over all rows before, in the given order. Sums of range partitions (a row each) are summed on one task; no task takes all rows."""
-    part, low = fresh(rows, "_part"), fresh(rows, "_low")
-    ranged = stored(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
-    inside = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    parts = ranged.groupBy(part).agg(F.sum(count).alias("_c"))
-    low_of = parts.select(part, F.coalesce(F.sum("_c").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(low))
-    return ranged.withColumn(name, F.coalesce(F.sum(count).over(inside), F.lit(0))).join(F.broadcast(low_of), part).withColumn(name, F.col(name) + F.col(low)).drop(part, low)
-
-
 def runs(samples: DataFrame, keys: list[str], value: Column) -> DataFrame:
     """(keys, v, c, at, n, first): each distinct value of a group with its count, the position (from 0) of its first sample in the group, the group's size, and where the group starts among all samples. Nulls and NaN are left out."""
     counts = samples.select(*keys, value.cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").withColumn("v", F.col("v") + 0.0).groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    at = stored(running(counts, [*keys, "v"], "c", "_at"))
-    groups = at.groupBy(*keys).agg(F.sum("c").alias("n"), F.min("_at").alias("first"))
-    return stored(equal_join(at, groups, keys).select(*keys, "v", "c", (F.col("_at") - F.col("first")).alias("at"), "n", "first"))
+    part, low, begin, here = (fresh(counts, x) for x in ("_part", "_low", "_begin", "_here"))
+    ranged = stored(counts.repartitionByRange(*keys, "v").withColumn(part, F.spark_partition_id()))
+    # of a group and a range a row: where groups start follows from these, without the values
+    pieces = stored(ranged.groupBy(part, *keys).agg(F.sum("c").alias("_c")))
+    before = lambda w: F.coalesce(F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    low_of = F.broadcast(pieces.groupBy(part).agg(F.sum("_c").alias("_c")).select(part, before(Window.orderBy(part)).alias(low)))
+    starts = pieces.withColumn(begin, before(Window.partitionBy(part).orderBy(*keys)) if keys else F.lit(0)).join(low_of, part).withColumn(begin, F.col(begin) + F.col(low))
+    groups = starts.groupBy(*keys).agg(F.sum("_c").alias("n"), F.min(begin).alias("first"))
+    inside = Window.partitionBy(part).orderBy(*keys, "v").rowsBetween(Window.unboundedPreceding, -1)
+    at = ranged.withColumn(here, F.coalesce(F.sum("c").over(inside), F.lit(0))).join(low_of, part).withColumn(here, F.col(here) + F.col(low))
+    out = stored(equal_join(at, groups, keys).select(*keys, "v", "c", (F.col(here) - F.col("first")).alias("at"), "n", "first"))
+    drop_stored(ranged)
+    return out
 
 
 def at_positions(run: DataFrame, asked: DataFrame, position: str, name: str) -> DataFrame:
@@ -56,8 +56,8 @@ def at_positions(run: DataFrame, asked: DataFrame, position: str, name: str) ->
     return found.select("_q.*", F.coalesce(own, carry)["v"].alias(name))
 
 
-def quantiles(run: DataFrame, keys: list[str], levels: dict[str, float]) -> DataFrame:
-    """(keys, a column for each level): linear interpolation between the order statistics."""
+def summary(run: DataFrame, keys: list[str], levels: dict[str, float], **more: Column) -> DataFrame:
+    """(keys, n, a column for each level, more): quantiles by linear interpolation between the order statistics, and further aggregates of the runs, in one pass."""
     n = F.col("n")
     h = lambda q: (n - 1) * F.lit(float(q))
     # a value answers the positions that lie in its own run: no search
@@ -66,29 +66,39 @@ def quantiles(run: DataFrame, keys: list[str], levels: dict[str, float]) -> Data
     aggs = []
     for name in levels:
         aggs += [F.max(F.when(inside(low[name]), F.col("v"))).alias(f"_a_{name}"), F.max(F.when(inside(F.least(low[name] + 1, n - 1)), F.col("v"))).alias(f"_b_{name}")]
-    g = run.groupBy(*keys).agg(F.max("n").alias("n"), *aggs)
-    return g.select(*keys, *((F.col(f"_a_{name}") + (h(q) - low[name]) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name) for name, q in levels.items()))
+    g = run.groupBy(*keys).agg(F.max("n").alias("n"), *aggs, *(c.alias(name) for name, c in more.items()))
+    return g.select(*keys, "n", *((F.col(f"_a_{name}") + (h(q) - low[name]) * (F.col(f"_b_{name}") - F.col(f"_a_{name}"))).alias(name) for name, q in levels.items()), *more)
+
+
+def quantiles(run: DataFrame, keys: list[str], levels: dict[str, float]) -> DataFrame:
+    """(keys, a column for each level): linear interpolation between the order statistics."""
+    return summary(run, keys, levels).drop("n")
 
 
 def densest_interval(run: DataFrame, keys: list[str], level: float, low: str = "hdi_lo", high: str = "hdi_hi") -> DataFrame:
     """(keys, low, high): the narrowest window with floor(level * n) samples; of equally narrow ones the first. Of windows that begin in one run of equal values the first is narrowest."""
     m = F.greatest(F.lit(1), F.floor(F.lit(level) * F.col("n")))
     starts = run.select(*keys, F.col("v").alias("_lo"), F.col("at").alias("_at"), (F.col("first") + F.col("at") + m - 1).alias("_end"), (F.col("at") + m <= F.col("n")).alias("_fits")).where("_fits").drop("_fits")
-    ends = at_positions(run, starts, "_end", "_hi")
+    # a window ends at place m - 1 or later: values before can't be asked for
+    ends = at_positions(run.where(F.col("at") + F.col("c") >= m), starts, "_end", "_hi")
     best = F.min(F.struct((F.col("_hi") - F.col("_lo")).alias("width"), F.col("_at"), F.col("_lo"), F.col("_hi"))).alias("_best")
     return ends.groupBy(*keys).agg(best).select(*keys, F.col("_best._lo").alias(low), F.col("_best._hi").alias(high))
 
 
+def width_of(q25: Column, q75: Column, n: Column) -> Column:
+    """Freedman-Diaconis width, to nine decimals."""
+    return F.round(2 * (q75 - q25) / F.cbrt(n.cast("double")), 9)
+
+
 def widths(run: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, w, q50): Freedman-Diaconis width, to nine decimals, and the median."""
-    g = run.groupBy(*keys).agg(F.max("n").alias("_n"))
-    q = quantiles(run, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
-    return equal_join(g, q, keys).select(*keys, F.round(2 * (F.col("q75") - F.col("q25")) / F.cbrt(F.col("_n").cast("double")), 9).alias("w"), "q50")
+    """(keys, w, q50): Freedman-Diaconis width and the median."""
+    q = summary(run, keys, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return q.select(*keys, width_of(F.col("q25"), F.col("q75"), F.col("n")).alias("w"), "q50")
 
 
-def binned_mode(run: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, mode): centre of the fullest bin; of equally full ones the lowest; the median without a width."""
-    binned = equal_join(run, widths(run, keys), keys).withColumn("_bin", F.when(F.col("w") > 0, F.rint(F.col("v") / F.when(F.col("w") > 0, F.col("w")))))
+def binned_mode(run: DataFrame, keys: list[str], width: DataFrame | None = None) -> DataFrame:
+    """(keys, mode): centre of the fullest bin; of equally full ones the lowest; the median without a width. width: widths() where they are known."""
+    binned = equal_join(run, widths(run, keys) if width is None else width, keys).withColumn("_bin", F.when(F.col("w") > 0, F.rint(F.col("v") / F.when(F.col("w") > 0, F.col("w")))))
     counts = binned.groupBy(*keys, "_bin").agg(F.sum("c").alias("_c"), F.max("w").alias("w"), F.max("q50").alias("q50"))
     best = counts.groupBy(*keys).agg(F.min(F.struct((-F.col("_c")).alias("c"), F.col("_bin").alias("bin"))).alias("_b"), F.max("w").alias("w"), F.max("q50").alias("q50"))
     return best.select(*keys, F.coalesce(F.col("_b.bin") * F.col("w"), F.col("q50")).alias("mode"))
@@ -103,22 +113,29 @@ def hellinger_uniform(run: DataFrame, keys: list[str], low: float, high: float)
     return c.groupBy(*keys, "n").agg(F.sum(F.sqrt(F.col("_c").cast("double"))).alias("_s")).select(*keys, F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - total))).alias("hval"))
 
 
-def kolmogorov_uniform(run: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
-    """(keys, ks): largest distance between the samples' distribution and a uniform one. In a run of equal values only its ends count."""
+def uniform_gap(low: float, high: float) -> Column:
+    """Largest distance of a run from a uniform distribution: of equal values only the ends count."""
     u = (F.col("v") - low) / (high - low)
-    gap = F.greatest(F.abs(F.col("at") / F.col("n") - u), F.abs((F.col("at") + F.col("c")) / F.col("n") - u))
-    return run.groupBy(*keys).agg(F.max(gap).alias("ks"))
+    return F.greatest(F.abs(F.col("at") / F.col("n") - u), F.abs((F.col("at") + F.col("c")) / F.col("n") - u))
 
 
-def tendencies(samples: DataFrame, keys: list[str], value: Column, low: float, high: float, level: float = 0.9, quantile_levels: tuple[float, ...] = (0.25, 0.75)) -> DataFrame:
-    """The columns of order_stats.tendencies (without distances) for groups of any size."""
+def kolmogorov_uniform(run: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
+    """(keys, ks): largest distance between the samples' distribution and a uniform one."""
+    return run.groupBy(*keys).agg(F.max(uniform_gap(low, high)).alias("ks"))
+
+
+def tendencies(samples: DataFrame, keys: list[str], value: Column, low: float, high: float, level: float = 0.9, quantile_levels: tuple[float, ...] = (0.25, 0.75), kolmogorov: bool = False) -> DataFrame:
+    """The columns of order_stats.tendencies (without distances) for groups of any size. kolmogorov: with kolmogorov_uniform() (ks) of the same runs."""
     run = runs(samples, keys, value)
     tail = (1 - level) / 2
     levels = {"median": 0.5, **{f"q{i}": q for i, q in enumerate(quantile_levels, 1)}, "mi_lo": tail, "mi_hi": 1 - tail, "lhi_a": level, "lhi_b": 1 - level}
-    out = samples.groupBy(*keys).agg(F.avg(F.when(~F.isnan(value), value)).alias("mean"))
-    for part in (quantiles(run, keys, levels), densest_interval(run, keys, level), hellinger_uniform(run, keys, low, high), binned_mode(run, keys)):
+    more = {"mean": F.sum(F.col("v") * F.col("c")) / F.sum("c")} | ({"ks": F.max(uniform_gap(low, high))} if kolmogorov else {})
+    found = stored(summary(run, keys, levels | {"_q25": 0.25, "_q75": 0.75}, **more))
+    width = found.select(*keys, width_of(F.col("_q25"), F.col("_q75"), F.col("n")).alias("w"), F.col("median").alias("q50"))
+    out = found.select(*keys, "mean", *levels)
+    for part in (densest_interval(run, keys, level), hellinger_uniform(run, keys, low, high), binned_mode(run, keys, width)):
         out = equal_join(out, part, keys)
-    return out
+    return equal_join(out, found.select(*keys, "ks"), keys) if kolmogorov else out
 
 
 def either(samples: DataFrame, keys: list[str], value: Column, low: float, high: float, level: float = 0.9, most: int = 200_000) -> DataFrame:

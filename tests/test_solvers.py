@@ -363,6 +363,28 @@ def test_directional_tendencies_deal_samples_to_as_many_tasks_as_they_ask_for(sp
     assert got.count() == 3 * 14 and got.where("field <> 'angle' AND weighted_mean IS NOT NULL").count() == 0
 
 
+def test_runs_of_a_statistic_are_made_once(spark, monkeypatch):
+    """The distance from a uniform distribution comes with the other statistics, and only values at which a window can end are searched."""
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(x)) for g, x in zip(rng.integers(0, 3, 600), rng.normal(2.0, 1.0, 600), strict=True)] + [(None, 1.0), (None, 2.0), (4, 3.0), (5, None), (5, float("nan"))]
+    df = spark.createDataFrame(rows, "k int, x double")
+    made, asked = [], []
+    whole, search = counted.runs, counted.at_positions
+    monkeypatch.setattr(counted, "runs", lambda *a: made.append(whole(*a)) or made[-1])
+    monkeypatch.setattr(counted, "at_positions", lambda run, *a: asked.append(run) or search(run, *a))
+    got = {r["k"]: r.asDict() for r in counted.tendencies(df, ["k"], F.col("x"), -5.0, 9.0, kolmogorov=True).collect()}
+    assert len(made) == 1 and asked[0].count() < 0.2 * made[0].count()
+    assert set(got) == {0, 1, 2, 4, None}
+    for k, r in got.items():
+        x = np.sort([x for g, x in rows if g == k])
+        u, n = (x + 5) / 14, len(x)
+        m = max(1, int(0.9 * n))
+        at = np.argmin(x[m - 1 :] - x[: n - m + 1])
+        assert r["mean"] == pytest.approx(x.mean()) and r["median"] == pytest.approx(np.median(x)) and r["q1"] == pytest.approx(np.quantile(x, 0.25))
+        assert (r["hdi_lo"], r["hdi_hi"]) == (x[at], x[at + m - 1])
+        assert r["ks"] == pytest.approx(max(np.abs(np.arange(n) / n - u).max(), np.abs(np.arange(1, n + 1) / n - u).max()))
+
+
 def test_temperatures(spark):
     t = [r[0] for r in spark.range(1, 9).select(tempering.temperature(F.col("id"), 8, 2, 20.0)).collect()]
     assert t[:2] == [1.0, 1.0] and abs(t[-1] - 20) < 1e-12 and np.allclose(np.diff(np.log(t[1:])), np.log(20) / 6)
