@@ -18,7 +18,7 @@ from stratum.functions.anisotropy import tracing_velocity
 from stratum.functions.geo import EARTH_RADIUS, to_cartesian, to_geographic
 from stratum.operators import forward, graph, sampler
 from stratum.operators import rays as ray_nodes
-from stratum.operators.index import dimension
+from stratum.operators.index import dimension, shuffled
 from stratum.operators.interpolate import reference_values
 from stratum.operators.moments import finished, reciprocal
 from stratum.operators.nearest import nearest_cell_sums, nearest_cells
@@ -184,8 +184,8 @@ def trace(grid: DataFrame, counts: tuple[int, int, int], velocities: dict[str, s
     # rays run from event to station: paths lead from a receiver back to its source
     order = F.col("last") - F.col("seq") if from_events else F.col("seq")
     keyed = own.select("ray_id", "phase", F.col(source).cast("long").alias("source"), F.col(receiver).cast("long").alias("receiver"))
-    nodes = paths.join(last, ["source", "phase", "receiver"]).withColumn("at", order).join(keyed, ["source", "phase", "receiver"])
-    nodes = nodes.join(grid.select("node_ix", "x", "y", "z"), "node_ix").select("ray_id", F.col("at").alias("node_ix"), "x", "y", "z", F.lit(0.0).alias("t"))
+    nodes = paths.join(shuffled(last), ["source", "phase", "receiver"]).withColumn("at", order).join(shuffled(keyed), ["source", "phase", "receiver"])
+    nodes = nodes.join(shuffled(grid.select("node_ix", "x", "y", "z")), "node_ix").select("ray_id", F.col("at").alias("node_ix"), "x", "y", "z", F.lit(0.0).alias("t"))
     return ray_nodes.build(nodes, knots, spacing)
 
 

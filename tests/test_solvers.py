@@ -217,6 +217,26 @@ def test_paths_by_blocks_are_paths_by_nodes(spark, monkeypatch, wide):
         graph.paths(tree, receivers, most=20, counts=(3, 2, 60))
 
 
+def recorded(monkeypatch, *modules):
+    """Plans of all tables that modules store from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, *more, write=module.stored: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *more))
+    return plans
+
+
+def test_no_table_of_a_lattice_passes_through_the_driver(spark, monkeypatch, tmp_path):
+    """However small Spark takes a table for, nothing of a lattice or its paths is broadcast."""
+    plans = recorded(monkeypatch, graph, layers)
+    spark.range(1, 361).select(F.col("id").alias("node_ix"), (5 + F.col("id") % 3).cast("double").alias("v")).write.parquet(str(tmp_path / "nodes"))
+    g = grid.placed(spark.read.parquet(str(tmp_path / "nodes")), *LONG)
+    receivers = spark.createDataFrame([(1, "P", 360), (200, "P", 2)], "source long, phase string, receiver long")
+    plans.append(graph.traced(g, receivers, (3, 2, 60), {"P": "v"})._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
+    want, got = grid.lattice(spark, *LONG), g.drop("v")
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_scores_of_summed_arrivals(spark):
     """Arrivals of one event, station and phase are summed before they meet the nodes; the misfit is that of each arrival."""
     rng = np.random.default_rng(3)
