@@ -29,6 +29,7 @@ from stratum.store import stored
 
 #: Most nodes of all rays together that a run gathers (about 100 bytes each).
 MOST_NODES = 20_000_000
+RAY = ["observable", "event_id", "station_id", "ray_id"]
 NODE = ("vp1d", "vs1d", "azimuth", "elevation", "polarization", "seg_len", "lat", "lon", "r")
 
 
@@ -43,19 +44,22 @@ class Named:
 
 
 def ray_rows(nodes: DataFrame, observations: DataFrame, forwards: dict[str, str], references: DataFrame | None = None) -> DataFrame:
-    """A row of numbers for each node of each observed ray: what rays_of() takes. Arguments as for build_rays()."""
+    """A row for each observed ray, with the numbers of its nodes in one array: what rays_of() takes. Arguments as for build_rays(). Neither nodes nor rays are broadcast."""
     own = observations.where(F.col("obs_name").isin(list(forwards))).withColumn("value", F.col("value").cast("double"))
     if references is not None:
-        own = own.join(references.select("ray_id", "ref_t"), "ray_id", "left").withColumn("ref_t", F.coalesce("ref_t", F.lit(0.0)))
+        own = own.join(shuffled(references.select("ray_id", "ref_t")), "ray_id", "left").withColumn("ref_t", F.coalesce("ref_t", F.lit(0.0)))
     else:
         own = own.withColumn("ref_t", F.lit(0.0))
     n = nodes
     if "lat" not in nodes.columns:
         n = n.withColumns(dict(zip(("lat", "lon", "r"), to_geographic(F.col("x"), F.col("y"), F.col("z")), strict=True)))
     number = F.create_map(*(F.lit(x) for pair in enumerate(forwards) for x in reversed(pair)))[F.col("obs_name")]
-    rows = own.join(n.select("ray_id", "node_ix", *NODE), "ray_id").withColumn("seg_len", F.coalesce("seg_len", F.lit(0.0)))
-    rows = stored(rows.select(number.cast("long").alias("observable"), "event_id", "station_id", "ray_id", "node_ix", "value", "ref_t", *NODE))
-    total = rows.count()
+    rows = own.withColumn("observable", number.cast("long")).join(shuffled(n.select("ray_id", "node_ix", *NODE)), "ray_id").withColumn("seg_len", F.coalesce("seg_len", F.lit(0.0)))
+    numbers = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(math.nan)) for c in NODE))
+    rows = rows.groupBy(*RAY).agg(F.min(F.struct("value", "ref_t")).alias("_head"), F.sort_array(F.collect_list(F.struct("node_ix", numbers.alias("numbers")))).alias("_nodes"))
+    rows = stored(rows.select(*RAY, "_head.*", F.flatten(F.transform("_nodes", lambda x: x["numbers"])).alias("nodes")))
+    total = rows.agg(F.sum(F.size("nodes"))).first()[0] or 0
+    total //= len(NODE)
     if total > MOST_NODES:
         raise ValueError(f"{total} nodes: a run takes {MOST_NODES} at most")
     return rows
@@ -63,13 +67,13 @@ def ray_rows(nodes: DataFrame, observations: DataFrame, forwards: dict[str, str]
 
 def rays_of(rows: pd.DataFrame, forwards: dict[str, str]) -> sampler.Rays:
     """ray_rows() as arrays."""
-    rows = rows.sort_values(["observable", "event_id", "station_id", "ray_id", "node_ix"], kind="stable").reset_index(drop=True)
-    keys = rows[["observable", "event_id", "station_id", "ray_id"]]
-    first = np.flatnonzero((keys != keys.shift()).any(axis=1).to_numpy())
-    head = rows.iloc[first]
+    head = rows.sort_values(RAY, kind="stable")
+    size = np.array([len(x) for x in head["nodes"]], np.int64) // len(NODE)
+    first = np.cumsum(size) - size
+    numbers = np.concatenate([np.empty(0), *head["nodes"]]).reshape(-1, len(NODE))
     timed = np.array([f.startswith("tt_") for f in forwards.values()])[head["observable"].to_numpy(np.int64)]
     observed = head["value"].to_numpy(float) + np.where(timed, head["ref_t"].to_numpy(float), 0.0)
-    columns = {c: rows[c].to_numpy(float) for c in NODE}
+    columns = {c: numbers[:, i].copy() for i, c in enumerate(NODE)}
     return sampler.Rays(columns, first, observed, tuple(map(Named, forwards.values())), head["observable"].to_numpy(np.int64), head["event_id"].to_numpy(), head["station_id"].to_numpy())
 
 
@@ -153,7 +157,7 @@ def run(spark: SparkSession, config: Config, nodes: DataFrame, observations: Dat
         return demeaned(rays, fields, wanted) if wanted else rays
 
     def counts() -> np.ndarray:
-        own = rows.select("observable", "event_id", "station_id", "ray_id").distinct().groupBy("observable").count().collect()
+        own = rows.groupBy("observable").count().collect()
         return np.bincount([r["observable"] for r in own], [r["count"] for r in own], len(forwards))
 
     models, cells = sampler.run(spark, s, seed=seed * 1000 + chunk, **more, rays=(rows, made, counts))

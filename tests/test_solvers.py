@@ -270,6 +270,49 @@ def test_rays_of_a_run_do_not_pass_through_the_driver(spark, monkeypatch):
     assert solve.rjmcmc_rays(spark, sf).count() == 44
 
 
+def test_rays_of_a_run_are_not_broadcast(spark, monkeypatch):
+    """Spark takes the nodes of rays, made from a small table, for few. They come as one row a ray, in order."""
+    from stratum.operators import inversion
+    from stratum.plans import solve
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    plans = recorded(monkeypatch, inversion)
+    tables = solve.supplier_rays(spark, sf)
+    rows = inversion.ray_rows(tables[0], tables[1], {"delays": "tt_P_dlnVp"}, tables[2])
+    assert len(plans) == 1 and "BroadcastExchange" not in plans[0]
+    n = tables[1].count()
+    rays = inversion.rays_of(rows.toPandas(), {"delays": "tt_P_dlnVp"})
+    assert rows.count() == n == len(rays.first) and (np.diff(rays.first) == 20).all()
+    assert np.array_equal(rays.columns["r"], np.tile(6071 + 15.0 * np.arange(1, 21), n))
+
+
+def test_a_state_does_not_grow_with_nodes(spark):
+    import pickle
+
+    from stratum.operators import inversion, sampler
+    from stratum.plans import solve
+    from stratum.sources import config
+
+    rng = np.random.default_rng(6)
+    n = 2000
+    columns = {c: np.ones(20 * n) for c in ("vp1d", "vs1d", "azimuth", "elevation", "polarization", "seg_len")} | {"lat": rng.uniform(-1, 1, 20 * n), "lon": rng.uniform(-3, 3, 20 * n), "r": rng.uniform(6071, 6371, 20 * n)}
+    rays = sampler.Rays(columns, 20 * np.arange(n), rng.normal(size=n), (inversion.Named("tt_P_dlnVp"),), np.zeros(n, np.int64), np.arange(n), np.arange(n))
+    s, _ = inversion.build_settings(config.parse(solve.RUN), rays)
+    one = sampler.Chain(1, s, 1.0, 1)
+    for _ in range(30):
+        one.iterate(s)
+    state = sampler.state_row(one)[1]
+    other = pickle.loads(state)
+    other.resume(s)
+    assert len(state) < 16 * n  # a number for each ray, none for nodes
+    for _ in range(30):
+        one.iterate(s)
+        other.iterate(s)
+    assert one.misfit == other.misfit and np.array_equal(one.near[0], other.near[0])
+
+
 def test_trees_leave_out_nodes_without_velocity(spark):
     g = nodes(spark).withColumn("v", F.when(F.col("k") == 3, 0.0).otherwise(F.col("v")))
     t = graph.trees(g, spark.createDataFrame([(1,)], "source long"), (6, 5, 4), {"P": "v"}, side=2).collect()
