@@ -1,16 +1,30 @@
-"""Static corrections by damped least squares."""
+"""Static corrections by damped least squares.
+
+Stations meet only events, so they are eliminated, and conjugate gradients solve for events alone. A block holds all entries of a range of stations as arrays, a chunk the vectors of some events; in a
+step a block gets the numbers of the events that it has, and gives back their sums. A task holds a block or a chunk.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pickle
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratum.session import ship
 from stratum.store import drop_stored, stored
 
 #: Weight of the rows that hold shared statics equal: 1 / 0.001^2.
 TIE = 1e6
 #: Most steps of the solver, and the share of the first residual at which it ends.
 STEPS, TOLERANCE = 200, 1e-10
+#: About how many residuals a block takes, and how many unknowns of events a chunk.
+BLOCK, CHUNK = 2_000_000, 32_768
+#: A row of blocks and chunks: arrays of a block (chunk null), of a chunk (block null), or of the events that a block has of a chunk.
+PIECE = "block long, chunk long, data binary"
 
 
 def event_statics(residuals: DataFrame) -> DataFrame:
@@ -18,105 +32,196 @@ def event_statics(residuals: DataFrame) -> DataFrame:
     return residuals.groupBy("obs_name", "event_id").agg(F.avg("r").alias("value"))
 
 
-def tied_groups(ties: DataFrame, names: int) -> DataFrame:
-    """(obs_name, id, root): the first name that ties of its id lead to. ties: (id, a, b); names: how many names there are, which bounds the rounds."""
-    both = ties.select("id", "a", "b").unionAll(ties.select("id", F.col("b").alias("a"), F.col("a").alias("b")))
-    now = both.groupBy("id", F.col("a").alias("obs_name")).agg(F.least(F.min("b"), F.min("a")).alias("root"))
-    for _ in range(max(0, names - 2)):
-        further = both.join(now.select("id", F.col("obs_name").alias("b"), F.col("root").alias("far")), ["id", "b"]).groupBy("id", F.col("a").alias("obs_name")).agg(F.min("far").alias("far"))
-        now = now.join(further, ["id", "obs_name"]).select("id", "obs_name", F.least("root", "far").alias("root"))
-    return now
-
-
-def normal_equations(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Tables of the normal equations: diagonal (u, group, root, plain, tied, b) and others (u, to, w), an entry of the matrix each. u: struct (obs_name, kind, id) of an unknown.
-
-    plain: the diagonal without ties, tied: what ties add to it; group: unknowns that ties hold together, root: whether u is the first of them.
-    """
+def block_of(rows: pd.DataFrame, block: int, chunks: int, damped: np.ndarray) -> pd.DataFrame:
+    """PIECE rows of a block and of its events. rows: (event, station, obs, w, wr), an entry each."""
+    rows = rows.sort_values(["station", "obs", "event"])
+    event, station, obs = (rows[c].to_numpy(np.int64) for c in ("event", "station", "obs"))
+    w, wr = rows["w"].to_numpy(float), rows["wr"].to_numpy(float)
+    start = np.flatnonzero(np.r_[True, (np.diff(station) != 0) | (np.diff(obs) != 0)])
+    order = np.lexsort((obs, event))
+    new = np.r_[True, (np.diff(event[order]) != 0) | (np.diff(obs[order]) != 0)]
+    at = np.empty(len(rows), np.int32)
+    at[order] = np.cumsum(new) - 1
+    known = order[new]
+    kind = obs[start]
+    data = {"at": at, "w": w, "start": start, "plain": np.add.reduceat(w, start) + damped[kind], "b": np.add.reduceat(wr, start), "station": station[start], "obs": kind, "events": len(known)}
+    out = [(block, None, pickle.dumps(data))]
+    ids, own, plain, b = event[known], obs[known], np.bincount(at, w), np.bincount(at, wr)
+    chunk = ids % chunks
+    for c in np.unique(chunk):
+        some = np.flatnonzero(chunk == c)
+        out.append((block, int(c), pickle.dumps({"at": some.astype(np.int32), "id": ids[some], "obs": own[some], "plain": plain[some], "b": b[some]})))
+    return pd.DataFrame(out, columns=["block", "chunk", "data"])
+
+
+def preconditioned(c: dict) -> np.ndarray:
+    """The common value of the tied group of each event, and its departure from that, for the residual r: so stiff ties cost no steps."""
+    n = len(c["r"])
+    common = (np.bincount(c["group"], c["r"], n) / np.maximum(np.bincount(c["group"], c["plain"], n), np.finfo(float).tiny))[c["group"]]
+    return np.where(c["group"] == np.arange(n), common, common + c["r"] / (c["plain"] + c["tied"]))
+
+
+def chunk_of(lists: pd.DataFrame, ties: pd.DataFrame, kinds: int) -> pd.DataFrame:
+    """PIECE rows of a chunk (vectors at the start) and of the events that blocks have of it, now by their places in the chunk. ties: (id, a, b), observables by number."""
+    if not len(lists):
+        return pd.DataFrame({"block": [], "chunk": [], "data": []})
+    parts, chunk = [pickle.loads(d) for d in lists["data"]], int(lists["chunk"].iloc[0])
+    ids, obs = (np.concatenate([p[k] for p in parts]) for k in ("id", "obs"))
+    names, number = np.unique(ids, return_inverse=True)
+    keys, place = np.unique(number * kinds + obs, return_inverse=True)
+    n = len(keys)
+    plain, b = (np.bincount(place, np.concatenate([p[k] for p in parts]), n) for k in ("plain", "b"))
+    # a tie of an event that one of the observables lacks holds nothing
+    t = ties[ties["id"].isin(names)]
+    ends = [np.searchsorted(names, t["id"].to_numpy(np.int64)) * kinds + t[k].to_numpy(np.int64) for k in "ab"]
+    held = np.isin(ends[0], keys) & np.isin(ends[1], keys)
+    ta, tb = (np.searchsorted(keys, e[held]) for e in ends)
+    group, before = np.arange(n), None
+    while before is None or (group != before).any():
+        before = group.copy()
+        np.minimum.at(group, ta, before[tb])
+        np.minimum.at(group, tb, before[ta])
+    tied = TIE * (np.bincount(ta, minlength=n) + np.bincount(tb, minlength=n))
+    zero = np.zeros(n)
+    state = {"id": names[keys // kinds], "obs": keys % kinds, "plain": plain, "tied": tied, "group": group, "ta": ta, "tb": tb, "x": zero, "r": b, "p": zero, "ap": zero, "z": zero, "az": zero}
+    out, k = [(None, chunk, pickle.dumps(state))], 0
+    for block, p in zip(lists["block"], parts, strict=True):
+        out.append((block, chunk, pickle.dumps({"at": p["at"], "place": place[k : k + len(p["at"])].astype(np.int32)})))
+        k += len(p["at"])
+    return pd.DataFrame(out, columns=["block", "chunk", "data"])
+
+
+def moved(c: dict, alpha: float | None, beta: float) -> dict:
+    """A chunk after a step of lengths alpha and beta; without alpha as it is. z: what the matrix is multiplied with next."""
+    if alpha is not None:
+        p, ap = c["z"] + beta * c["p"], c["az"] + beta * c["ap"]
+        c = c | {"p": p, "ap": ap, "x": c["x"] + alpha * p, "r": c["r"] - alpha * ap}
+    return c | {"z": preconditioned(c)}
+
+
+def sent(chunks: pd.DataFrame, lists: pd.DataFrame, vector: str, alpha: float | None, beta: float) -> pd.DataFrame:
+    """For each block, the numbers of a chunk's vector that it needs."""
+    if not len(chunks) or not len(lists):
+        return pd.DataFrame({"block": [], "chunk": [], "data": []})
+    c = pickle.loads(chunks["data"].iloc[0])
+    v = (moved(c, alpha, beta) if vector == "z" else c)[vector]
+    data = [pickle.dumps(p | {"v": v[p["place"]]}) for p in map(pickle.loads, lists["list"])]
+    return pd.DataFrame({"block": lists["block"].to_numpy(), "chunk": lists["of"].to_numpy(), "data": data})
+
+
+def met(blocks: pd.DataFrame, numbers: pd.DataFrame) -> tuple[dict, list[dict], np.ndarray]:
+    """A block, the numbers that it got, and the sum over each of its stations."""
+    b, got = pickle.loads(blocks["data"].iloc[0]), [pickle.loads(d) for d in numbers["data"]]
+    v = np.empty(b["events"])
+    for g in got:
+        v[g["at"]] = g["v"]
+    return b, got, np.add.reduceat(b["w"] * v[b["at"]], b["start"])
+
+
+def given_back(blocks: pd.DataFrame, numbers: pd.DataFrame, own: bool) -> pd.DataFrame:
+    """What elimination of a block's stations adds to its events, by chunks. own: of the right side, not of the numbers sent."""
+    if not len(blocks):
+        return pd.DataFrame({"block": [], "chunk": [], "data": []})
+    b, got, sums = met(blocks, numbers)
+    each = (b["b"] if own else sums) / b["plain"]
+    q = np.bincount(b["at"], b["w"] * np.repeat(each, np.diff(np.r_[b["start"], len(b["at"])])), b["events"])
+    return pd.DataFrame({"block": numbers["block"].to_numpy(), "chunk": numbers["chunk"].to_numpy(), "data": [pickle.dumps({"place": g["place"], "q": q[g["at"]]}) for g in got]})
+
+
+def stepped(chunks: pd.DataFrame, back: pd.DataFrame, own: bool, alpha: float | None, beta: float) -> pd.DataFrame:
+    """A chunk after a step with az, the matrix times z, and its shares of r z and z az. own: at the start, where the right side loses what stations take."""
+    if not len(chunks):
+        return pd.DataFrame({"chunk": [], "data": [], "rz": [], "zaz": []})
+    c = pickle.loads(chunks["data"].iloc[0])
+    q = np.zeros(len(c["x"]))
+    for g in map(pickle.loads, back["data"]):
+        q[g["place"]] += g["q"]
+    if own:
+        c = c | {"r": c["r"] - q}
+    else:
+        c = moved(c, alpha, beta)
+        az = (c["plain"] + c["tied"]) * c["z"] - q
+        np.subtract.at(az, c["ta"], TIE * c["z"][c["tb"]])
+        np.subtract.at(az, c["tb"], TIE * c["z"][c["ta"]])
+        c = c | {"az": az}
+    return pd.DataFrame({"chunk": chunks["chunk"], "data": [pickle.dumps(c)], "rz": [float(c["r"] @ c["z"])], "zaz": [float(c["z"] @ c["az"])]})
+
+
+def stations_of(blocks: pd.DataFrame, numbers: pd.DataFrame, names: list[str]) -> pd.DataFrame:
+    """Statics of a block's stations, from those of its events."""
+    if not len(blocks):
+        return pd.DataFrame({"obs_name": [], "kind": [], "id": [], "value": []})
+    b, _, sums = met(blocks, numbers)
+    return pd.DataFrame({"obs_name": np.array(names, object)[b["obs"]], "kind": "station", "id": b["station"], "value": (b["b"] - sums) / b["plain"]})
+
+
+VALUE = "obs_name string, kind string, id long, value double"
+
+
+def assembled(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, chunks, lists): PIECE rows of stations, of events, and of which events a block has."""
+    names = sorted(sigma)
+    code = lambda c: F.create_map(*(F.lit(x) for pair in enumerate(names) for x in reversed(pair)))[F.col(c)].cast("long")
+    weight = F.create_map(*(F.lit(x) for k, s in sigma.items() for x in (k, 1 / s**2)))[F.col("obs_name")]
+    r = residuals.where("r IS NOT NULL AND NOT isnan(r) AND event_id IS NOT NULL AND station_id IS NOT NULL").where(F.col("obs_name").isin(names))
+    r = r.select(F.col("event_id").cast("long").alias("event"), F.col("station_id").cast("long").alias("station"), code("obs_name").alias("obs"), weight.alias("w"), F.col("r").cast("double").alias("r"))
+    k = r.agg(F.count("*").alias("n"), F.approx_count_distinct("event").alias("events")).first()
+    blocks, chunks = max(1, -(-k["n"] // BLOCK)), -(-k["events"] * len(names) // CHUNK) | 1
+    damped = np.array([(sigma[n] / damping) ** 2 for n in names])
+    # rows of one event and station are summed before they are shuffled, so a hot pair is a row a task
+    entries = r.groupBy("station", "obs", "event").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr"))
+
+    def packed(batches):
+        rows = list(batches)
+        if sum(map(len, rows)):
+            yield block_of(pd.concat(rows), TaskContext.get().partitionId(), chunks, damped)
+
+    pieces = stored(entries.repartitionByRange(blocks, "station").mapInPandas(packed, PIECE))
     spark = residuals.sparkSession
-    of = lambda values: F.create_map(*[F.lit(x) for k, v in values.items() for x in (k, v)])[F.col("obs_name")]
-    r = residuals.select("obs_name", "event_id", "station_id", of({k: 1 / s**2 for k, s in sigma.items()}).alias("w"), "r").where("r IS NOT NULL AND NOT isnan(r) AND event_id IS NOT NULL AND station_id IS NOT NULL")
-    unknown = lambda kind, column, obs="obs_name": F.struct(F.col(obs).alias("obs_name"), F.lit(kind).alias("kind"), F.col(column).cast("long").alias("id"))
-    # rays of one event and station are summed before they are shuffled, so a hot pair, event or station is a row a task
-    pairs = stored(r.groupBy("obs_name", "event_id", "station_id").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("r")).alias("wr")))
-    e, s = pairs.select(unknown("event", "event_id").alias("u"), unknown("station", "station_id").alias("to"), "w", "wr"), pairs.select(unknown("station", "station_id").alias("u"), unknown("event", "event_id").alias("to"), "w", "wr")
-    both = e.unionAll(s)
-    diagonal = both.groupBy("u").agg(F.sum("w").alias("plain"), F.sum("wr").alias("b"))
-    damped = of({k: (v / damping) ** 2 for k, v in sigma.items()})
-    diagonal = diagonal.select("u", F.col("u.obs_name").alias("obs_name"), (F.col("plain") + F.when(F.col("u.kind") == "station", damped).otherwise(0.0)).alias("plain"), "b")
-    others = both.select("u", "to", "w")
     if ties is None:
         ties = spark.createDataFrame([], "id long, obs_a string, obs_b string")
-    known = diagonal.where("u.kind = 'event'").select(F.col("u.id").alias("id"), "obs_name")
-    t = ties.select("id", F.col("obs_a").alias("a"), F.col("obs_b").alias("b")).where("a <> b")
-    for name in ("a", "b"):  # a tie of an event that one of the observables lacks holds nothing
-        t = t.join(known.withColumnRenamed("obs_name", name), ["id", name], "left_semi")
-    t = stored(t)
-    ends = t.select(unknown("event", "id", "a").alias("u"), unknown("event", "id", "b").alias("to"))
-    ends = ends.unionAll(ends.select(F.col("to").alias("u"), F.col("u").alias("to")))
-    groups = tied_groups(t, len(sigma)).select(unknown("event", "id").alias("u"), F.struct(F.col("root").alias("obs_name"), F.lit("event").alias("kind"), "id").alias("group"))
-    own = ends.groupBy("u").agg((F.count("*") * F.lit(TIE)).alias("tied"))
-    diagonal = diagonal.join(own, "u", "left").join(groups, "u", "left").select("u", F.coalesce("group", "u").alias("group"), (F.coalesce("group", "u") == F.col("u")).alias("root"), "plain", F.coalesce("tied", F.lit(0.0)).alias("tied"), "b")
-    return diagonal, others.unionAll(ends.select("u", "to", F.lit(-TIE).alias("w")))
-
-
-def conjugate_gradients(diagonal: DataFrame, others: DataFrame, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """(u, value): the solution of normal_equations(), by preconditioned conjugate gradients.
-
-    The vectors are columns of a table with a row for each unknown; a step is a join of the entries with one of them, an aggregation, and one pass for the two
-    numbers that the driver sees. The preconditioner takes the unknowns of a tied group as their common value and departures from it, so stiff ties cost no steps.
-    Ends after `steps`, or when the residual's size is `tolerance` of the first one's.
+    t = ties.select(F.col("id").cast("long").alias("id"), code("obs_a").alias("a"), code("obs_b").alias("b")).where("a <> b").withColumn("of", F.pmod("id", F.lit(chunks)))
+    own = stored(pieces.where("chunk IS NOT NULL").groupBy("chunk").cogroup(t.groupBy("of")).applyInPandas(lambda x, y: chunk_of(x, y, len(names)), PIECE))
+    return pieces.where("chunk IS NULL").select("block", "data"), own.where("block IS NULL").select("chunk", "data"), own.where("block IS NOT NULL").select("block", F.col("chunk").alias("of"), F.col("data").alias("list"))
+
+
+def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
+    """residuals: (obs_name, event_id, station_id, r). (obs_name, kind, id, value): event and station statics of all observables at once, however many.
+
+    Station statics are damped by (sigma / damping)^2. ties: (id, obs_a, obs_b): event statics to be held equal. Null and NaN residuals, and those of no event, station or sigma, are left out.
+    Preconditioned conjugate gradients, after elimination of the stations; the driver sees two numbers a step. They end after `steps`, or when the residual's size is `tolerance` of the first one's.
     """
-    # unknowns are numbered once, so that steps move and compare numbers, not names
-    named = stored(diagonal.withColumn("n", F.monotonically_increasing_id()))
-    number = lambda u, n: named.select(F.col("u").alias(u), F.col("n").alias(n))
-    # tasks of one step read the diagonal and entries as they are stored; only the vectors are written anew
-    fixed = stored(named.join(number("group", "g"), "group", "left").select("n", F.coalesce("g", "n").alias("group"), "root", "plain", "tied", "b"))
-    entries = stored(others.join(number("u", "n"), "u").join(number("to", "m"), "to").select("n", "m", "w"))
-    whole = Window.partitionBy("group")
-
-    def preconditioned(rows: DataFrame) -> DataFrame:
-        common = F.sum("r").over(whole) / F.sum("plain").over(whole)
-        return rows.withColumn("z", F.when(F.col("root"), common).otherwise(common + F.col("r") / (F.col("plain") + F.col("tied"))))
-
-    def with_product(rows: DataFrame) -> DataFrame:
-        """rows with az: the matrix times z."""
-        # entries are passed by a hash of the vector's part, not sorted
-        vector = rows.select(F.col("n").alias("m"), "z").hint("shuffle_hash")
-        part = entries.join(vector, "m").groupBy("n").agg(F.sum(F.col("w") * F.col("z")).alias("sum"))
-        return rows.join(part, "n", "left").withColumn("az", (F.col("plain") + F.col("tied")) * F.col("z") + F.coalesce("sum", F.lit(0.0))).drop("sum")
-
-    zero = F.lit(0.0)
-    now = stored(preconditioned(fixed.select("n", "group", "root", "plain", "tied", zero.alias("x"), F.col("b").alias("r"), zero.alias("p"), zero.alias("ap"))))
-    before, alpha, first = None, None, None
-    for step in range(steps):
-        wide = stored(with_product(now))
+    ship(residuals.sparkSession)
+    names = sorted(sigma)
+    blocks, start, lists = assembled(residuals, sigma, damping, ties)
+
+    def numbers(chunks: DataFrame, vector: str, alpha: float | None, beta: float) -> DataFrame:
+        return chunks.select("chunk", "data").groupBy("chunk").cogroup(lists.groupBy("of")).applyInPandas(lambda c, x: sent(c, x, vector, alpha, beta), PIECE)
+
+    def step(chunks: DataFrame, own: bool, alpha: float | None = None, beta: float = 0.0) -> DataFrame:
+        back = blocks.groupBy("block").cogroup(numbers(chunks, "z", alpha, beta).groupBy("block")).applyInPandas(lambda b, x: given_back(b, x, own), PIECE)
+        out = chunks.select("chunk", "data").groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(lambda c, x: stepped(c, x, own, alpha, beta), "chunk long, data binary, rz double, zaz double")
+        return stored(out)
+
+    now = step(start, True)
+    before, alpha, beta, first = None, None, 0.0, None
+    for _ in range(steps):
+        later = step(now, False, alpha, beta)
         drop_stored(now)
-        k = wide.agg(F.sum(F.col("r") * F.col("z")).alias("rz"), F.sum(F.col("z") * F.col("az")).alias("zaz")).first()
+        now = later
+        k = now.agg(F.sum("rz").alias("rz"), F.sum("zaz").alias("zaz")).first()
         rz, zaz = k["rz"] or 0.0, k["zaz"] or 0.0
         first = rz if first is None else first
         if rz <= 0 or rz <= tolerance**2 * first:
-            now = wide
             break
         beta = 0.0 if before is None else rz / before
         alpha = rz / (zaz - (beta * rz / alpha if before is not None else 0.0))
         before = rz
-        moved = wide.withColumns({"p": F.col("z") + beta * F.col("p"), "ap": F.col("az") + beta * F.col("ap")})
-        moved = moved.withColumns({"x": F.col("x") + alpha * F.col("p"), "r": F.col("r") - alpha * F.col("ap")})
-        now = stored(preconditioned(moved.drop("z", "az")))
-        drop_stored(wide)
-    drop_stored(fixed)
-    drop_stored(entries)
-    return named.join(now.select("n", F.col("x").alias("value")), "n").select("u", "value")
-
-
-def joint_statics(residuals: DataFrame, sigma: dict[str, float], damping: float, ties: DataFrame | None = None, steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """residuals: (obs_name, event_id, station_id, r). (obs_name, kind, id, value): event and station statics of all observables at once, however many.
-
-    Station statics are damped by (sigma / damping)^2. ties: (id, obs_a, obs_b): event statics to be held equal. Null and NaN residuals, and those of no event or station, are left out.
-    """
-    value = conjugate_gradients(*normal_equations(residuals, sigma, damping, ties), steps, tolerance)
-    return centred(value.select("u.obs_name", "u.kind", "u.id", "value"), {k: (v / damping) ** 2 for k, v in sigma.items()}, ties)
+    events = now.select("data").mapInPandas(lambda batches: (pd.DataFrame({"obs_name": np.array(names, object)[c["obs"]], "kind": "event", "id": c["id"], "value": c["x"]}) for pdf in batches for c in map(pickle.loads, pdf["data"])), VALUE)
+    stations = blocks.groupBy("block").cogroup(numbers(now, "x", None, 0.0).groupBy("block")).applyInPandas(lambda b, x: stations_of(b, x, names), VALUE)
+    value = stored(events.unionAll(stations))
+    drop_stored(now)
+    return centred(value, {k: (v / damping) ** 2 for k, v in sigma.items()}, ties)
 
 
 def centred(value: DataFrame, damped: dict[str, float], ties: DataFrame | None) -> DataFrame:

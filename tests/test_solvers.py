@@ -44,6 +44,23 @@ def test_statics_equal_the_dense_solution(spark, damping):
     assert max(abs(r["value"] - want[r["obs_name"], r["kind"], r["id"]]) for r in got) < 1e-6
 
 
+def test_statics_of_many_blocks_are_no_rows(spark, monkeypatch):
+    """Entries of the matrix are arrays of blocks: no table between steps has a row for each. Blocks and chunks don't change the solution."""
+    tables, write = [], statics.stored
+    monkeypatch.setattr(statics, "stored", lambda df, *more: tables.append(write(df, *more)) or tables[-1])
+    monkeypatch.setattr(statics, "drop_stored", lambda df: None)
+    monkeypatch.setattr(statics, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(statics, "CHUNK", 12, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(o, int(e), int(s), float(rng.normal())) for o in "AB" for e in range(-9, 9) for s in range(30) if rng.random() < 0.5]
+    ties = [(e, "B", "A") for e in range(-9, 6)]
+    sigma = {"A": 0.5, "B": 0.4}
+    got = statics.joint_statics(spark.createDataFrame(rows, "obs_name string, event_id long, station_id long, r double"), sigma, 0.1, spark.createDataFrame(ties, "id long, obs_a string, obs_b string")).collect()
+    want = dense_statics(rows, sigma, 0.1, ties)
+    assert len(got) == len(want) and max(abs(r["value"] - want[r["obs_name"], r["kind"], r["id"]]) for r in got) < 1e-6
+    assert max(t.count() for t in tables) <= len(want) < len(rows) / 4 and tables[0].where("chunk IS NULL").count() > 2
+
+
 def test_statics_of_nothing(spark):
     assert statics.joint_statics(spark.createDataFrame([], "obs_name string, event_id long, station_id long, r double"), {"A": 1.0}, 1.0).count() == 0
 
